@@ -49,11 +49,11 @@ def _seeds(frame: DataFrame, words: str, usable) -> DataFrame:
     last = F.size(words) - SPAN
 
     def under(m: int) -> Column:
-        places = F.filter(F.sequence(F.lit(0), last), lambda i: usable(i, m))
-        return F.transform(places, lambda i: F.struct(_key(words, i, m).alias("seed"), i.alias("at")))
+        places = F.filter(F.when(last >= 0, F.sequence(F.lit(0), last)), lambda i: usable(i, m))
+        return F.transform(F.coalesce(places, F.array().cast("array<int>")), lambda i: F.struct(_key(words, i, m).alias("seed"), i.alias("at")))
 
     found = F.concat(*map(under, range(len(MASKS))))
-    return frame.where(last >= 0).select("*", F.explode(found).alias("s")).select("*", "s.seed", "s.at").drop("s")
+    return frame.select("*", F.explode(found).alias("s")).select("*", "s.seed", "s.at").drop("s")
 
 
 def _best(hit: str) -> Column:
@@ -81,7 +81,7 @@ def overlaps(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str =
     frame = docs.select(F.col(key).alias("key"), F.xxhash64(text).alias("mark"), words_of(text).alias("words"))
     if len(vocabulary) <= VOCABULARY:
         known = F.transform("words", lambda w: w.isin(vocabulary) if vocabulary else F.lit(False))
-        frame = frame.select("*", known.alias("known")).where(F.exists("known", lambda x: x))
+        frame = frame.select("*", known.alias("known"))
 
         def usable(i: Column, m: int) -> Column:
             return reduce(Column.__and__, (F.get("known", i + o) for o in _places(MASKS[m])))

@@ -87,7 +87,8 @@ def statistics(docs: DataFrame, text: str = "text") -> DataFrame:
         share(F.regexp_count("t", F.lit("[!?]")), words).alias("mark_share"),
         share(F.size(F.filter("lines", lambda x: ~x.rlike(r"[.!?:;,\"')\]]\s*$"))), n_lines).alias("bare_end_share"),
     )
-    return counted.select("row", stats.alias("stats"))
+    # A one-element explode: a later filter on the statistics stays above it, instead of computing them once more below.
+    return counted.select("row", F.explode(F.array(stats)).alias("stats"))
 
 
 @dataclass(frozen=True)
