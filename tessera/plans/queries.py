@@ -1,7 +1,463 @@
-"""The engine's operators as queries over the test tables, with SQL that tells their results."""
+"""The engine's operators as queries over the test tables, with SQL that tells their results.
+
+Search queries ask with every row whose id is divisible by 50, against all rows.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from tessera import config
+from tessera.functions import paths as P
+from tessera.functions import text as T
+from tessera.operators import chunking, conversation, embed, evaluate, keyword, retrieval, summaries, sync, telemetry, vector
+from tessera.plans import oracles
+from tessera.sources import logs
+
+Query = Callable[[SparkSession, str], DataFrame]
 FLAGSHIP = "hybrid_rerank_topk"
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES: dict[str, Query] = {}
+ORACLE_SQL = oracles.SQL
+KEYWORDS = ("the", "license", "de", "tion")
+
+
+def query(f: Query) -> Query:
+    QUERIES[f.__name__] = f
+    return f
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+# -- scans, distincts, aggregates
+
+
+@query
+def scan_filter_language_source(spark, d):
+    return table(spark, d, "documents").withColumnRenamed("lang", "language").where(retrieval.where("en", "src1")).select("doc_id", "n_chars")
+
+
+@query
+def distinct_sources(spark, d):
+    return table(spark, d, "documents").where("source IS NOT NULL").select("source").distinct()
+
+
+@query
+def distinct_languages(spark, d):
+    return table(spark, d, "documents").where("lang <> ''").select("lang").distinct()
+
+
+@query
+def first_hash_per_source(spark, d):
+    docs = table(spark, d, "documents").select("source", F.col("doc_id").alias("chunk_index"), T.content_hash("text").alias("content_hash"))
+    return sync.stored_hashes(docs)
+
+
+@query
+def collections_excluding_prefix(spark, d):
+    return table(spark, d, "documents").where(~F.startswith("source", F.lit("src1"))).groupBy(F.col("source").alias("name")).agg(F.count("*").alias("chunk_count"))
+
+
+@query
+def delete_sources(spark, d):
+    return sync.delete_sources(table(spark, d, "documents"), ["src1", "src2", "src3"]).select("doc_id", "source")
+
+
+@query
+def parse_props_json(spark, d):
+    return logs.parse(table(spark, d, "events").withColumnRenamed("props", "value_json"), "k bigint", "value_json", ("event_id",))
+
+
+@query
+def file_summary(spark, d):
+    return summaries.file_summary(table(spark, d, "documents").select(P.size_kb(F.octet_length("text")).alias("size_kb")))
+
+
+@query
+def files_by_extension(spark, d):
+    return summaries.files_by_extension(_pages(spark, d).select(P.extension("path").alias("extension")))
+
+
+@query
+def ingestion_stats(spark, d):
+    return summaries.chunk_stats(table(spark, d, "documents"))
+
+
+@query
+def chunks_by_language(spark, d):
+    return summaries.counts_by(table(spark, d, "documents"), "lang")
+
+
+@query
+def group_by_language(spark, d):
+    rows = summaries.paths_by_language(_pages(spark, d))
+    return rows.select("language", "n", F.array_join("paths", "\n").alias("paths"))
+
+
+@query
+def filter_options(spark, d):
+    return summaries.filter_options(table(spark, d, "documents"), "lang", "All languages")
+
+
+@query
+def running_size_cap(spark, d):
+    total = F.sum("n_chars").over(Window.partitionBy("source").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, 0))
+    return table(spark, d, "documents").select("source", "doc_id", total.alias("running")).withColumn("over_cap", F.col("running") > 100_000)
+
+
+@query
+def batch_assign(spark, d):
+    place = F.row_number().over(Window.partitionBy("source").orderBy("doc_id")) - 1
+    return table(spark, d, "documents").select("source", "doc_id", F.floor(place / 100).cast("bigint").alias("batch"))
+
+
+# -- paths
+
+
+def _pages(spark, d) -> DataFrame:
+    path = F.regexp_replace(F.regexp_replace("url", "^[a-z]+://", ""), "[?#].*$", "")
+    return table(spark, d, "pages").select("page_id", path.alias("path"))
+
+
+@query
+def readable_pages(spark, d):
+    return _pages(spark, d).select("page_id", P.readable("path").alias("readable"))
+
+
+@query
+def page_context(spark, d):
+    c = P.language_context("path")
+    return _pages(spark, d).select("page_id", P.extension("path").alias("extension"), c["language"].alias("language"), c["fence"].alias("fence"), c["is_code"].alias("is_code"), c["is_config"].alias("is_config"), c["is_markup"].alias("is_markup"))
+
+
+@query
+def page_role(spark, d):
+    return _pages(spark, d).select("page_id", P.role("path").alias("role"))
+
+
+@query
+def page_icon(spark, d):
+    return summaries.icons(_pages(spark, d)).distinct()
+
+
+@query
+def page_tree(spark, d):
+    return summaries.path_tree(_pages(spark, d))
+
+
+@query
+def sanitize_names(spark, d):
+    return table(spark, d, "part").select("p_partkey", P.collection_name("p_name").alias("name"))
+
+
+@query
+def normalize_paths(spark, d):
+    return table(spark, d, "part").select("p_partkey", P.posix(F.concat(F.lit("bundle.zip\\"), F.col("p_brand"), F.lit("\\"), F.col("p_name"))).alias("path"))
+
+
+# -- text
+
+
+@query
+def chunk_header(spark, d):
+    return table(spark, d, "documents").select("doc_id", F.concat(T.chunk_header("source", "lang", P.role("source")), F.col("text")).alias("page_content"))
+
+
+@query
+def tokenize_counts(spark, d):
+    rows = table(spark, d, "documents").select("doc_id", T.tokens("text").alias("t"))
+    return rows.select("doc_id", F.size("t").cast("bigint").alias("n_tokens"), F.size(F.array_distinct("t")).cast("bigint").alias("n_distinct"))
+
+
+@query
+def document_frequency(spark, d):
+    return keyword.document_frequency(keyword.index(table(spark, d, "documents"), "doc_id"))
+
+
+@query
+def token_estimate(spark, d):
+    return table(spark, d, "documents").select("doc_id", T.token_estimate("text").alias("tokens"))
+
+
+@query
+def content_hashes(spark, d):
+    return table(spark, d, "documents").select("doc_id", T.content_hash("text").alias("hash"), T.not_blank("text").alias("not_blank"))
+
+
+@query
+def keyword_coverage(spark, d):
+    rows = table(spark, d, "documents").select("doc_id", F.col("text").alias("answer"), F.array(*map(F.lit, KEYWORDS)).alias("keywords"))
+    return evaluate.answers(rows).select("doc_id", "keyword_coverage", "keyword_hit")
+
+
+@query
+def answer_metrics(spark, d):
+    rows = table(spark, d, "documents").select(F.col("text").alias("answer"), F.array(*map(F.lit, KEYWORDS)).alias("keywords"))
+    return evaluate.aggregate_answers(evaluate.answers(rows))
+
+
+def _judged(spark, d) -> DataFrame:
+    verdict = F.when((F.col("quality") == 1) & (F.col("toxic") == 0), " Correct ").when(F.col("quality") == 1, "partial").when(F.col("toxic") == 0, "incorrect").otherwise("unsure")
+    raw = F.concat(F.lit('My grade:\n{"verdict": "'), verdict, F.lit('", "reasoning": "row '), F.col("doc_id").cast("string"), F.lit('"} as asked'))
+    return table(spark, d, "labels").select("doc_id", T.judge_response(raw).alias("j")).select("doc_id", "j.*")
+
+
+@query
+def judge_parse(spark, d):
+    return _judged(spark, d)
+
+
+@query
+def judge_aggregate(spark, d):
+    return evaluate.aggregate_judgements(_judged(spark, d))
+
+
+# -- sync
+
+
+def _snapshots(spark, d) -> tuple[DataFrame, DataFrame]:
+    """Files now, and chunks as stored: French texts are new, those of src3 are gone, those of src5 have changed."""
+    docs = table(spark, d, "documents").select(F.concat_ws("/", "source", F.col("doc_id").cast("string")).alias("path"), "source", "lang", "text")
+    now = docs.where("source <> 'src3'").select("path", T.content_hash(F.when(F.col("source") == "src5", F.concat("text", F.lit("!"))).otherwise(F.col("text"))).alias("hash"))
+    stored = docs.where("lang <> 'fr'").select(F.col("path").alias("source"), F.lit(0).alias("chunk_index"), T.content_hash("text").alias("content_hash"))
+    return now, stored
+
+
+@query
+def sync_diff(spark, d):
+    now, stored = _snapshots(spark, d)
+    return sync.diff(now, sync.stored_hashes(stored), full_sync=True)
+
+
+@query
+def sync_stats(spark, d):
+    return sync.stats(sync_diff(spark, d))
+
+
+@query
+def replace_changed(spark, d):
+    now, stored = _snapshots(spark, d)
+    found = sync.diff(now, sync.stored_hashes(stored), full_sync=True)
+    added = now.join(found.where(F.col("status").isin("new", "updated")), "path", "left_semi").select(F.col("path").alias("source"), F.lit(0).alias("chunk_index"), F.col("hash").alias("content_hash"))
+    return sync.replace(stored, found, added)
+
+
+@query
+def dedup_embed_share(spark, d):
+    rows = table(spark, d, "documents").select("doc_id", T.content_hash("text").alias("h")).withColumn("k", embed.dedup_key("h", "doc_id"))
+    once = sync.first_by(rows, ["k"], ["doc_id"]).select("k", F.col("doc_id").alias("embedded_as"))
+    return rows.join(once, "k").select("doc_id", "embedded_as")
+
+
+@query
+def duplicate_chunks(spark, d):
+    return table(spark, d, "documents").groupBy(T.content_hash("text").alias("hash")).agg(F.count("*").alias("copies"), F.min("doc_id").alias("first_doc")).where("copies > 1")
+
+
+# -- retrieval
+
+
+def _corpus(spark, d) -> DataFrame:
+    docs = table(spark, d, "documents").withColumnRenamed("lang", "language")
+    return docs.join(table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding"), "doc_id")
+
+
+def _asked(spark, d, shift: int = 0) -> DataFrame:
+    """Benchmark items by id, with the vector of the same id; ``shift`` takes the texts and vectors of later ids."""
+    items = table(spark, d, "benchmark").select((F.col("item_id") - shift).alias("query_id"), "text")
+    vectors = table(spark, d, "embeddings").select((F.col("vec_id") - shift).alias("query_id"), "embedding")
+    return items.where("query_id % 50 = 0 AND query_id >= 0").join(vectors, "query_id")
+
+
+def _vector_queries(spark, d) -> DataFrame:
+    return table(spark, d, "embeddings").where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+
+
+@query
+def knn_topk(spark, d):
+    return vector.knn(_vector_queries(spark, d), table(spark, d, "embeddings"), 20, "vec_id", unit=True)
+
+
+@query
+def knn_filtered(spark, d):
+    return vector.knn(_vector_queries(spark, d), table(spark, d, "embeddings"), 6, "vec_id", where=F.col("label") == 3, unit=True)
+
+
+@query
+def mmr_select(spark, d):
+    s = config.Settings()
+    return vector.mmr(_vector_queries(spark, d), table(spark, d, "embeddings"), s.top_k, s.fetch_k, s.mmr_lambda, "vec_id", unit=True)
+
+
+@query
+def bm25_topk(spark, d):
+    return keyword.search(_asked(spark, d).select("query_id", "text"), keyword.index(table(spark, d, "documents"), "doc_id"), 20, "doc_id")
+
+
+@query
+def bm25_filtered(spark, d):
+    rows = keyword.index(table(spark, d, "documents").withColumnRenamed("lang", "language"), "doc_id", where=retrieval.where("en"))
+    return keyword.search(_asked(spark, d).select("query_id", "text"), rows, 6, "doc_id")
+
+
+@query
+def rrf_fuse(spark, d):
+    asked = _asked(spark, d)
+    by_vector = vector.knn(asked, _corpus(spark, d), 20, "doc_id", unit=True)
+    by_words = keyword.search(asked, keyword.index(table(spark, d, "documents"), "doc_id"), 20, "doc_id")
+    return retrieval.fuse([by_vector, by_words], key="doc_id")
+
+
+@query
+def hybrid_topk(spark, d):
+    return retrieval.hybrid(_asked(spark, d), _corpus(spark, d), 6, key="doc_id", unit=True)
+
+
+@query
+def hybrid_filtered(spark, d):
+    return retrieval.hybrid(_asked(spark, d), _corpus(spark, d), 6, key="doc_id", unit=True, filtered=retrieval.where("en"))
+
+
+@query
+def hybrid_multi_query(spark, d):
+    other = _asked(spark, d, 1).withColumn("variant", F.lit(1))
+    return retrieval.hybrid(_asked(spark, d), _corpus(spark, d), 6, key="doc_id", unit=True, variants=other)
+
+
+@query
+def lexical_rerank(spark, d):
+    asked, docs = _asked(spark, d), table(spark, d, "documents")
+    first = keyword.search(asked, keyword.index(docs, "doc_id"), 20, "doc_id")
+    return retrieval.rerank(first, asked, docs, 6, key="doc_id")
+
+
+@query
+def hybrid_rerank_topk(spark, d):
+    return retrieval.retrieve(_asked(spark, d), _corpus(spark, d), "hybrid_rerank", key="doc_id", unit=True)
+
+
+@query
+def assemble_context(spark, d):
+    return retrieval.context(keyword.search(_asked(spark, d), keyword.index(table(spark, d, "documents"), "doc_id"), 6, "doc_id"), table(spark, d, "documents"), "doc_id")
+
+
+@query
+def source_summary(spark, d):
+    found = keyword.search(_asked(spark, d), keyword.index(table(spark, d, "documents"), "doc_id"), 20, "doc_id")
+    rows = found.join(table(spark, d, "documents").select("doc_id", "source", F.col("lang").alias("language")), "doc_id")
+    return retrieval.source_summary(rows)
+
+
+# -- evaluation
+
+
+def _evaluated(spark, d, mode: str) -> DataFrame:
+    rows, asked = table(spark, d, "embeddings"), _vector_queries(spark, d)
+    found = retrieval.retrieve(asked, rows, mode, key="vec_id", unit=True)
+    labels = rows.select("vec_id", "label")
+    truth = asked.join(labels.withColumnRenamed("vec_id", "query_id"), "query_id").select("query_id", "label").join(labels, "label").select("query_id", "vec_id")
+    return evaluate.per_query(found, truth, config.Settings().top_k, asked, "vec_id")
+
+
+@query
+def eval_per_query(spark, d):
+    return _evaluated(spark, d, "vector")
+
+
+@query
+def eval_by_mode(spark, d):
+    rows = _evaluated(spark, d, "vector").withColumn("mode", F.lit("vector")).unionByName(_evaluated(spark, d, "mmr").withColumn("mode", F.lit("mmr")))
+    return evaluate.aggregate(rows, "mode")
+
+
+def _daily(spark, d) -> DataFrame:
+    return table(spark, d, "events").groupBy(F.to_date("ts").cast("string").alias("day"), "event_type").agg(F.round(F.avg("value"), 8).alias("mean_value"), F.count("*").alias("n"))
+
+
+@query
+def previous_run(spark, d):
+    return evaluate.previous(_daily(spark, d), ["event_type"], "day", ["mean_value", "n"])
+
+
+@query
+def run_diff(spark, d):
+    days = _daily(spark, d)
+    ends = days.agg(F.min("day").alias("first"), F.max("day").alias("last"))
+    rows = days.join(F.broadcast(ends)).select("day", "first", "last", F.col("event_type").alias("section"), F.explode(F.create_map(F.lit("mean_value"), F.col("mean_value"), F.lit("n"), F.col("n").cast("double"))).alias("metric", "value"))
+    return evaluate.diff(rows.where("day = last"), rows.where("day = first"))
+
+
+# -- telemetry
+
+
+def _log(spark, d) -> DataFrame:
+    """Events as log records: type as mode, errors as failures, k as hits, value as latency, the user as collection."""
+    e = table(spark, d, "events")
+    return e.select(
+        F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss").alias("timestamp"),
+        F.col("user_id").cast("string").alias("collection"),
+        F.col("event_type").alias("retrieval_mode"),
+        (F.get_json_object("props", "$.k").cast("bigint") % 5).alias("hit_count"),
+        F.col("value").alias("retrieval_latency_ms"),
+        (2 * F.col("value")).alias("generation_latency_ms"),
+        (3 * F.col("value")).alias("total_latency_ms"),
+        F.get_json_object("props", "$.k").cast("bigint").alias("prompt_tokens_estimate"),
+        F.lit(1).cast("bigint").alias("completion_tokens_estimate"),
+        (F.col("event_type") == "error").alias("error"),
+    )
+
+
+@query
+def metrics_overall_and_by_mode(spark, d):
+    return telemetry.summary(_log(spark, d))
+
+
+@query
+def metrics_since(spark, d):
+    return telemetry.summary(telemetry.since(_log(spark, d), "2024-01-15T00:00:00"))
+
+
+@query
+def metrics_by_collection(spark, d):
+    return telemetry.summary(telemetry.since(_log(spark, d), collection="7"))
+
+
+@query
+def nearest_rank_percentiles(spark, d):
+    rows = table(spark, d, "events").groupBy("event_type")
+    return rows.agg(T.nearest_rank("value", 0.5).alias("p50"), T.nearest_rank("value", 0.95).alias("p95"), T.nearest_rank("value", 0.0).alias("p0"))
+
+
+# -- conversations
+
+
+@query
+def recent_turns(spark, d):
+    return conversation.recent_turns(table(spark, d, "conversations"), 3)
+
+
+@query
+def parse_numbered_list(spark, d):
+    rows = table(spark, d, "conversations").select("conv_id", "turn", F.posexplode(T.list_items("text", 3)).alias("pos", "item"))
+    return rows
+
+
+@query
+def expand_dedup(spark, d):
+    turns = table(spark, d, "conversations")
+    reply = F.concat(F.lit("1. "), F.col("text"), F.lit("\n2) "), F.col("text"), F.lit("\n- "), F.upper("role"), F.lit("\n- note\n* NOTE"))
+    rows = turns.select(F.concat_ws("/", "conv_id", "turn").alias("query_id"), F.col("role").alias("question"), reply.alias("reply"))
+    return conversation.expanded(rows, 50)
+
+
+# -- chunking
+
+
+@query
+def ingest_documents(spark, d):
+    docs = table(spark, d, "documents").select(F.concat("source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("path"), F.col("text").alias("content"), P.size_kb(F.octet_length("text")).alias("size_kb"))
+    return chunking.ingest(docs).drop("page_content")
