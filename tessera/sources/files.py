@@ -44,11 +44,46 @@ def _rows(raw: DataFrame, ignore: gitignore.Ignore | None) -> DataFrame:
     return read.where(T.not_blank("content")).select("path", "content", P.extension("path").alias("extension"), P.size_kb("n_bytes").alias("size_kb"))
 
 
+def _bytes(spark: SparkSession, fs, path) -> bytes:
+    stream = fs.open(path)
+    try:
+        return bytes(spark._jvm.org.apache.commons.io.IOUtils.toByteArray(stream))
+    finally:
+        stream.close()
+
+
+def _hidden(fs, root) -> tuple[list[str], list]:
+    """Source files that Spark's listing passes over, because a folder of theirs or their own name begins
+    with ``_`` or ``.``, such as ``__init__.py``: (paths in such folders, file statuses of such names)."""
+    below, named, todo = [], [], [(root, False)]
+    while todo:
+        at, inside = todo.pop()
+        for s in fs.listStatus(at):
+            name = s.getPath().getName()
+            if s.isDirectory():
+                if name not in config.SKIPPED_DIRS:
+                    todo.append((s.getPath(), inside or name[0] in "._"))
+            elif name.lower().endswith(config.SUPPORTED_EXTENSIONS):
+                if name[0] in "._":
+                    named.append(s)
+                elif inside:
+                    below.append(s.getPath().toString())
+    return below, named
+
+
 def from_directory(spark: SparkSession, root: str, respect_gitignore: bool = True, max_bytes: int | None = None) -> DataFrame:
     """Files below ``root``, their paths relative to it. Longer ones than ``max_bytes`` are passed over unread."""
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
     prefix = spark._jvm.org.apache.hadoop.fs.Path(root)
     fs = prefix.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+    found = found.select("path", "content", "length")
+    below, named = _hidden(fs, prefix)
+    if below:
+        found = found.unionByName(spark.read.format("binaryFile").load(below).select("path", "content", "length"))
+    if named:
+        # no reader takes a file of such a name; these few, small as source files are, come by way of the driver
+        rows = [(s.getPath().toString(), bytearray(_bytes(spark, fs, s.getPath())), s.getLen()) for s in named if max_bytes is None or s.getLen() <= max_bytes]
+        found = found.unionByName(spark.createDataFrame(rows, "path string, content binary, length bigint"))
     base = fs.makeQualified(prefix).toString().rstrip("/")
     plain = base.split(":", 1)[1].lstrip("/") if ":" in base else base.lstrip("/")
     full = F.regexp_replace("path", r"^[a-z0-9+.-]+:/+", "")
@@ -63,7 +98,7 @@ def from_directory(spark: SparkSession, root: str, respect_gitignore: bool = Tru
             own.append(f"{tops[0]}/.gitignore")
         for name in own:
             if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(prefix, name)):
-                ignore = gitignore.from_text("\n".join(r[0] for r in spark.read.text(f"{root.rstrip('/')}/{name}").collect()))
+                ignore = gitignore.from_text(decode(_bytes(spark, fs, spark._jvm.org.apache.hadoop.fs.Path(prefix, name))))
                 break
     return _rows(raw, ignore)
 
