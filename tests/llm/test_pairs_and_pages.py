@@ -1,0 +1,273 @@
+"""SimHash, components, URL filters, WARC, the pipeline and the registered queries."""
+
+import base64
+import gzip
+import hashlib
+import io
+
+import numpy as np
+import pytest
+import xxhash
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from tessera.llm import queries, simhash, substring_dedup, urlfilter, warc
+from tessera.llm._graph import components
+
+DOCS = "doc_id long, text string, fingerprint string, component_id string"
+
+
+def _fp(text, shingle=3):
+    words = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "").encode().split()
+    if not words:
+        return 0
+    grams = [b" ".join(words[i : i + shingle]) for i in range(max(1, len(words) - shingle + 1))]
+    hashes = [xxhash.xxh64_intdigest(g, 42) for g in grams]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def _closure(nodes, linked):
+    root = {n: n for n in nodes}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, a in enumerate(nodes):
+        for b in nodes[i + 1 :]:
+            if linked(a, b):
+                x, y = sorted((find(a), find(b)))
+                root[y] = x
+    return {n: find(n) for n in nodes}
+
+
+def test_components_of_paths_stars_and_loops(spark):
+    rng = np.random.default_rng(2)
+    edges = [(i, i + 1) for i in range(60)] + [(100, i) for i in range(101, 140)] + [(200, 200)] + [tuple(map(int, rng.integers(300, 400, 2))) for _ in range(70)]
+    got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    nodes = sorted({x for a, b in edges if a != b for x in (a, b)})
+    pairs = {frozenset(e) for e in edges}
+    assert got == _closure(nodes, lambda a, b: frozenset((a, b)) in pairs)
+    assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_fingerprints(spark):
+    texts = [None, "", "one", "Two words", "a b c", "A B C", "a b c a b c d é", "x " * 3000]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.key: r.fp % 2**64 for r in simhash.fingerprints(df).collect()}
+    assert got == {i: _fp(t) for i, t in enumerate(texts)}
+    # the function of Spark is the same hash
+    assert spark.range(1).select(F.xxhash64(F.lit("a b c"))).first()[0] % 2**64 == xxhash.xxh64_intdigest(b"a b c", 42)
+
+
+def test_thermometer_distance_is_manhattan_and_bounds_hamming(spark):
+    rng = np.random.default_rng(0)
+    xs = rng.integers(-(2**63), 2**63 - 1, 200, dtype=np.int64)
+    ys = xs ^ (np.int64(1) << rng.integers(0, 63, 200)) ^ (np.int64(1) << rng.integers(0, 63, 200))
+    df = spark.createDataFrame(list(zip(xs.tolist(), ys.tolist())), "x long, y long")
+    for r in df.select("x", "y", F.bit_count(simhash.thermometer("x", 2).bitwiseXOR(simhash.thermometer("y", 2))).alias("d")).collect():
+        counts = [[bin(v % 2**64 >> s & 3).count("1") for s in range(0, 64, 2)] for v in (r.x, r.y)]
+        assert r.d == sum(abs(a - b) for a, b in zip(*counts)) <= bin((r.x ^ r.y) % 2**64).count("1")
+
+
+@pytest.mark.parametrize("limit", [128, 3])
+@pytest.mark.parametrize("distance", [0, 1, 2, 3])
+def test_links_connect_all_within_distance(spark, distance, limit):
+    rng = np.random.default_rng(distance)
+    fps = set()
+    for _ in range(12):
+        x = int(rng.integers(0, 2**63)) * 2
+        fps.add(x)
+        for _ in range(12):
+            for b in rng.integers(0, 64, rng.integers(1, 5)):
+                x ^= 1 << int(b)
+            fps.add(x)
+    fps = sorted(x - 2**64 if x >= 2**63 else x for x in fps)
+    near = lambda a, b: bin((a ^ b) % 2**64).count("1") <= distance
+    found = simhash.links(spark.createDataFrame([(x,) for x in fps], "fp long"), distance, cell_limit=limit)
+    rows = [(r.a, r.b) for r in found.collect()]
+    assert all(near(a, b) for a, b in rows)
+    pairs = {frozenset(p) for p in rows}
+    assert _closure(fps, lambda a, b: frozenset((a, b)) in pairs) == _closure(fps, near)
+
+
+def test_near_duplicates_odd_inputs(spark):
+    rows = [(1, None, "x", None), (2, "", None, None), (3, "same old words", None, None), (5, "SAME old words", None, None), (5, "SAME old words", None, None), (None, "same old  words", None, None), (7, "other words stand here now", None, None), (None, "alone in its class it is", None, None)]
+    df = spark.createDataFrame(rows, DOCS)
+    got = sorted(((r.doc_id, r.fingerprint, r.component_id) for r in simhash.near_duplicates(df).collect()), key=str)
+    assert len(got) == 8 and all(c == 3 for i, f, c in got if f == f"{_fp('same old words'):016x}")
+    assert {c for i, f, c in got if i in (1, 2)} == {1} and {f for i, f, _ in got if i in (1, 2)} == {"0" * 16}
+    assert [c for i, f, c in got if f == f"{_fp('alone in its class it is'):016x}"] == [None]
+    kept = sorted((r.doc_id or 0) for r in simhash.keep_one(df).collect())
+    assert kept == [0, 0, 1, 3, 7]
+    none = spark.createDataFrame([], DOCS)
+    assert simhash.near_duplicates(none).count() == 0 and simhash.keep_one(none).count() == 0
+
+
+def test_near_duplicates_match_brute_force(spark, small):
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    texts = {r.doc_id: r.text for r in docs.select("doc_id", "text").collect()}
+    fps = {i: _fp(t) for i, t in texts.items()}
+    want = _closure(sorted(fps), lambda a, b: bin(fps[a] ^ fps[b]).count("1") <= 3)
+    got = {r.doc_id: (r.fingerprint, r.component_id) for r in simhash.near_duplicates(docs).collect()}
+    assert got == {i: (f"{fps[i]:016x}", want[i]) for i in fps}
+
+
+# -- URL filters
+
+
+def _pages(spark, rows):
+    return spark.createDataFrame(rows, "page_id long, url string, html string, verdict string")
+
+
+def test_rules_and_parts(spark):
+    cases = [
+        ("HTTP://WWW.Example.COM/en/7x?q", "www.example.com", "/en/7x", "example.com/en/7", "allow"),
+        ("https://a.com/en/1#x", "a.com", "/en/1", "com/en/", "block"),
+        ("https://example.net/de/81", "example.net", "/de/81", "example.net/de/8", "block"),
+        ("https://b.example.net/de/1", "b.example.net", "/de/1", "net/de/", "allow"),
+        ("https://notexample.net/de/8", "notexample.net", "/de/8", "net/de/", "allow"),
+        ("x://y://z/a", "y:", "//z/a", None, "allow"),
+        ("https://q.org?p=/es/", "q.org", "", None, "allow"),
+        ("no scheme/com/en/", "", "", None, "allow"),
+        (None, "", "", None, "allow"),
+        ("://h.org/es/", "h.org", "/es/", "org/es/", "block"),
+    ]
+    rows = _pages(spark, [(i, c[0], None, "x") for i, c in enumerate(cases)])
+    got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in urlfilter.judge(rows).collect()}
+    for i, (url, *want) in enumerate(cases):
+        if want[2] is not None or i in (5, 7, 8):
+            assert got[i] == tuple(want), url
+        else:
+            assert got[i][:3] == tuple(want[:3])
+    assert urlfilter.judge(_pages(spark, [])).count() == 0
+
+
+def _rank(nodes, edges, seeds, damping=0.85, rounds=20):
+    total = sum(seeds.values())
+    s = np.array([seeds.get(n, 0) / total if total else 0.0 for n in nodes])
+    r, out = s.copy(), {n: sum(w for a, _, w in edges if a == n) for n in nodes}
+    at = {n: i for i, n in enumerate(nodes)}
+    for _ in range(rounds):
+        g = np.zeros(len(nodes))
+        for a, b, w in edges:
+            g[at[b]] += r[at[a]] * w / out[a]
+        lost = (1 if total else 0) - g.sum()
+        new = (1 - damping) * s + damping * (g + lost * s)
+        done = np.abs(new - r).sum() < 1e-9
+        r = new
+        if done:
+            break
+    return dict(zip(nodes, r))
+
+
+def test_propagation_matches_numpy(spark):
+    rng = np.random.default_rng(4)
+    nodes = [f"h{i}" for i in range(12)]
+    edges = [(a, b, int(w)) for a in nodes for b in nodes if a != b and rng.random() < 0.2 for w in [rng.integers(1, 4)]]
+    good, bad = {"h0": 3, "h4": 1}, {"h7": 2}
+    hosts = spark.createDataFrame([(n, good.get(n, 0), bad.get(n, 0)) for n in nodes], "host string, good long, bad long")
+    got = {r.host: (r.trust, r.distrust) for r in urlfilter.propagate(hosts, spark.createDataFrame(edges, "src string, dst string, n long"), close=1e-9).collect()}
+    trust, distrust = _rank(nodes, edges, good), _rank(nodes, [(b, a, w) for a, b, w in edges], bad)
+    assert all(got[n] == (pytest.approx(trust[n], abs=1e-6), pytest.approx(distrust[n], abs=1e-6)) for n in nodes)
+    assert sum(t for t, _ in got.values()) == pytest.approx(1)
+
+
+def test_who_links_to_blocked_hosts_is_blocked(spark):
+    link = '<a class=x HREF = "https://user@Bad.com/en/z">'
+    rows = [(1, "https://bad.com/en/1", None, None), (2, "https://friend.org/a", link * 3, None), (3, "https://calm.org/a", '<a href="/self"><a href="//calm.org/b">', None), (4, "https://ok.net/de/1", '<a href=https://calm.org/>', None)]
+    rows += [(10 + i, f"https://calm.org/{i}", "", None) for i in range(6)]
+    got = {r.page_id: r.verdict for r in urlfilter.judge(_pages(spark, rows)).collect()}
+    assert got[2] == "block" and got[3] == got[4] == got[10] == "allow" and got[1] == "block"
+
+
+# -- WARC
+
+
+def test_round_trip(spark, tmp_path):
+    texts = ["<p>é</p>", "", None, "<p>é</p>", "line\r\n\r\nWARC/1.1\r\nmore", "<p>é</p>", "x" * 200_000]
+    rows = [(i, f"https://h.org/{i}\r\nX: y" if i == 4 else None if i == 6 else f"https://h.org/{i}", t, "q") for i, t in enumerate(texts)] + [(None, "https://h.org/n", "", "q"), (6, None, "x" * 200_000, "q")]
+    got = sorted(((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in warc.round_trip(_pages(spark, rows), str(tmp_path / "a")).collect()), key=str)
+    want, first = [], {}
+    for i, _, t, _ in rows:
+        if i is not None:
+            first[t or ""] = min(i, first.get(t or "", i))
+    for i, _, t, _ in rows:
+        b = (t or "").encode()
+        again = i is not None and first[t or ""] < i
+        want.append((i, len(b), base64.b32encode(hashlib.sha1(b).digest()).decode(), "revisit" if again else "response", first[t or ""] if again else None))
+    assert got == sorted(want, key=str)
+    assert warc.round_trip(_pages(spark, []), str(tmp_path / "b")).count() == 0
+
+
+def test_transactions_are_whole(spark, tmp_path):
+    rows = [(i, f"https://h.org/{i}", f"<p>{i % 4}</p>", "") for i in range(20)]
+    path = str(tmp_path / "c")
+    warc.write(_pages(spark, rows), path, records=7)
+    found = warc.captures(spark, path).collect()
+    assert len(found) == 20 and all(r.payload_ok and r.request and r.metadata for r in found)
+    for r in found:
+        assert r.request.target_uri == r.response.target_uri and r.metadata.fields["payload-length"] == "8"
+        assert (r.response.payload is None) == (r.response.warc_type == "revisit")
+    assert sum(r.response.warc_type == "response" for r in found) == 4
+    raw = b"".join(gzip.decompress(p.read_bytes()) for p in sorted((tmp_path / "c").glob("part-*")))
+    assert sum(1 for _ in warc.parse(io.BytesIO(raw))) == 60
+
+
+def test_assembly_of_foreign_records(spark, tmp_path):
+    def record(kind, rid, block, *more):
+        head = "".join(f"{k}: {v}\r\n" for k, v in (("WARC-Type", kind), ("WARC-Record-ID", rid), *more, ("Content-Length", len(block))))
+        return b"WARC/1.0\r\n" + head.encode() + b"\r\n" + block + b"\r\n\r\n"
+
+    http = b"HTTP/1.1 200 OK\r\n\r\n\xff\x00"
+    mime = ("Content-Type", "application/http")
+    data = record("warcinfo", "<i>", b"x") + record("response", "<r1>", http, mime, ("WARC-Concurrent-To", "<q1>")) + record("request", "<q1>", b"GET", mime)
+    data += record("response", "<r2>", http, mime) + record("metadata", "<m2>", b"a: b\r\n", ("WARC-Concurrent-To", "<r2>")) + record("request", "<q9>", b"GET", mime, ("WARC-Concurrent-To", "<none>"))
+    (tmp_path / "part-0.warc").write_bytes(data)
+    got = {r.record_id: r for r in warc.captures(spark, str(tmp_path)).collect()}
+    assert set(got) == {"<r1>", "<r2>"} and bytes(got["<r1>"].response.payload) == b"\xff\x00"
+    assert got["<r1>"].request.record_id == "<q1>" and got["<r1>"].metadata is None
+    assert got["<r2>"].request is None and got["<r2>"].metadata.fields == {"a": "b"}
+
+
+# -- pipeline and registration
+
+
+def test_pipeline_stages(spark, small, tmp_path):
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    seen = [docs]
+    for name, stage in corpus_pipeline.STAGES:
+        stage(spark, seen[-1], small).write.parquet(str(tmp_path / name))
+        seen.append(spark.read.parquet(str(tmp_path / name)))
+    assert all(x.columns == docs.columns for x in seen[:-1])
+    ids = [{r.doc_id for r in x.select("doc_id").collect()} for x in seen]
+    assert all(b <= a for a, b in zip(ids, ids[1:])) and ids[3] == ids[2]
+    judged = queries.QUERIES["op4_quality_rules"](spark, small).where("kept").collect()
+    assert ids[1] == {r.doc_id for r in judged}
+    groups = simhash.near_duplicates(seen[1]).collect()
+    assert ids[2] == {r.component_id for r in groups}
+    cleaned = {r.doc_id: r for r in substring_dedup.remove_repeats(seen[2]).collect()}
+    assert all(cleaned[r.doc_id].text == r.text and len(r.text) == r.n_chars for r in seen[3].collect())
+    last = seen[5].columns
+    assert last[: len(docs.columns)] == docs.columns and {"copy", "shard", "position"} <= set(last)
+    assert corpus_pipeline.run(spark, small).count() == seen[5].count()
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
+def test_queries_match_their_sql(spark, small, name):
+    import duckdb
+
+    con = duckdb.connect()
+    for t in ("documents", "pages", "benchmark", "labels"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{small}/{t}.parquet'")
+    df = queries.QUERIES[name](spark, small)
+    columns = sorted(df.columns)
+    want = con.sql(queries.ORACLE_SQL[name])
+    assert sorted(want.columns) == columns
+    rows = con.sql(f"SELECT {', '.join(columns)} FROM ({queries.ORACLE_SQL[name]})").fetchall()
+
+    def key(row):
+        return repr(tuple(round(x, 9) if isinstance(x, float) else x for x in row))
+
+    assert sorted(map(key, df.select(*columns).collect())) == sorted(map(key, rows))
