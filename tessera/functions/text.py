@@ -91,13 +91,6 @@ def judge_response(raw: Text) -> Column:
     return F.struct(F.when(known, verdict).otherwise("error").alias("verdict"), F.coalesce(found["reasoning"], F.lit("")).alias("reasoning"), F.when(known, score).otherwise(0.0).alias("score"))
 
 
-def nearest_rank(values: Text, share: float) -> Column:
-    """Aggregate: the sorted values' element at floor(n * share), the last at most (0-based); nothing: 0."""
-    v = _col(values)
-    at = F.least(F.floor(F.count(v) * F.lit(float(share))), F.count(v) - 1).cast("int") + 1
-    return F.coalesce(F.when(F.count(v) > 0, F.try_element_at(F.array_sort(F.collect_list(v)), F.greatest(at, F.lit(1)))), F.lit(0.0))
-
-
 def mean(values: Text, digits: int = 2) -> Column:
     """Aggregate: rounded average, 0 for nothing."""
     return F.coalesce(F.round(F.avg(_col(values)), digits), F.lit(0.0))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera import schemas
@@ -34,22 +34,36 @@ def _metrics() -> list[Column]:
         T.mean("retrieval_latency_ms").alias("avg_retrieval_latency_ms"),
         T.mean(ok("generation_latency_ms")).alias("avg_generation_latency_ms"),
         T.mean(total).alias("avg_total_latency_ms"),
-        T.nearest_rank(total, 0.5).alias("p50_total_latency_ms"),
-        T.nearest_rank(total, 0.95).alias("p95_total_latency_ms"),
         T.mean(ok("prompt_tokens_estimate")).alias("avg_prompt_tokens"),
         T.mean(ok("completion_tokens_estimate")).alias("avg_completion_tokens"),
     ]
 
 
+def nearest_ranks(rows: DataFrame, value: str, shares: dict[str, float], by: tuple[str, ...] = ()) -> DataFrame:
+    """(by..., a column for each share): the sorted values' element at floor(n * share), the last at most (0-based).
+
+    Without ``by`` there is one row, of nulls if there is no value. Equal values are counted
+    before they are sorted, so what meets in one task is the distinct values, streamed.
+    """
+    counts = rows.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("_v")).agg(F.count("*").alias("_c"))
+    group = Window.partitionBy(*by)
+    upto = F.sum("_c").over(group.orderBy("_v").rowsBetween(Window.unboundedPreceding, 0))
+    counts = counts.select("*", upto.alias("_upto"), F.sum("_c").over(group).alias("_n"))
+    picks = [F.min(F.when(F.col("_upto") > F.least(F.floor(F.col("_n") * F.lit(float(p))), F.col("_n") - 1), F.col("_v"))).alias(name) for name, p in shares.items()]
+    return counts.groupBy(*by).agg(*picks) if by else counts.agg(*picks)
+
+
 def summary(records: DataFrame) -> DataFrame:
     """One row overall (mode null) and one for each mode; no record: the overall row, all zeros.
 
     Hit rate, generation latency and tokens are over successes, the rest over all records. A
     record without a mode is of mode ``unknown``.
     """
-    overall = records.agg(*_metrics()).select(F.lit(None).cast("string").alias("mode"), "*")
-    by_mode = records.groupBy(F.coalesce(F.nullif("retrieval_mode", F.lit("")), F.lit("unknown")).alias("mode")).agg(*_metrics())
-    return overall.unionByName(by_mode)
+    rows = records.select("*", F.coalesce(F.nullif("retrieval_mode", F.lit("")), F.lit("unknown")).alias("_mode"), F.coalesce("total_latency_ms", F.lit(0.0)).alias("_total"))
+    shares = {"p50_total_latency_ms": 0.5, "p95_total_latency_ms": 0.95}
+    overall = rows.agg(*_metrics()).crossJoin(F.broadcast(nearest_ranks(rows, "_total", shares))).withColumn("_mode", F.lit(None).cast("string"))
+    by_mode = rows.groupBy("_mode").agg(*_metrics()).join(nearest_ranks(rows, "_total", shares, ("_mode",)), "_mode")
+    return overall.unionByName(by_mode).fillna(0.0, list(shares)).withColumnRenamed("_mode", "mode")
 
 
 def record(spark: SparkSession, path: str, **values) -> None:

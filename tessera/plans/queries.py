@@ -428,8 +428,7 @@ def metrics_by_collection(spark, d):
 
 @query
 def nearest_rank_percentiles(spark, d):
-    rows = table(spark, d, "events").groupBy("event_type")
-    return rows.agg(T.nearest_rank("value", 0.5).alias("p50"), T.nearest_rank("value", 0.95).alias("p95"), T.nearest_rank("value", 0.0).alias("p0"))
+    return telemetry.nearest_ranks(table(spark, d, "events"), "value", {"p50": 0.5, "p95": 0.95, "p0": 0.0}, ("event_type",))
 
 
 # -- conversations

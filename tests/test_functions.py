@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from tessera import config
 from tessera.functions import paths as P
 from tessera.functions import text as T
+from tessera.operators.telemetry import nearest_ranks
 
 
 def one(spark, rows, column, schema="x string"):
@@ -115,8 +116,9 @@ def test_judge_responses(spark):
 @given(st.lists(st.floats(0, 1000).map(lambda x: round(x, 3)), max_size=30), st.sampled_from([0.0, 0.5, 0.95, 1.0]))
 @settings(max_examples=8, deadline=None)
 def test_nearest_rank(spark, values, p):
-    got = spark.createDataFrame([(float(v),) for v in values], "x double").agg(T.nearest_rank("x", p)).first()[0]
-    assert got == (sorted(values)[min(int(len(values) * p), len(values) - 1)] if values else 0.0)
+    got = spark.createDataFrame([(float(v),) for v in values], "x double")
+    got = nearest_ranks(got, "x", {"p": p}).first().p
+    assert got == (sorted(values)[min(int(len(values) * p), len(values) - 1)] if values else None)
 
 
 def test_cosine(spark):
