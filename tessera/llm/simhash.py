@@ -37,6 +37,13 @@ _BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)
 _PLACES = 256 * np.arange(8)
 
 
+def majority(hashes: np.ndarray) -> int:
+    """The bits that over half of the 64-bit hashes have, as a signed number."""
+    table = np.ascontiguousarray(hashes).view(np.uint8).reshape(-1, 8)
+    ones = (np.bincount((table + _PLACES).ravel(), minlength=2048).reshape(8, 256) @ _BITS).ravel()
+    return int(np.packbits(ones * 2 > len(hashes), bitorder="little").view("<i8")[0])
+
+
 def fingerprint(text: bytes | None, shingle: int = 3) -> int:
     """64-bit SimHash (as a signed number) of the word shingles of one text; no word: 0."""
     import xxhash
@@ -51,9 +58,7 @@ def fingerprint(text: bytes | None, shingle: int = 3) -> int:
         ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
         begins = np.concatenate([[0], ends[:-1] + 1])
         hashes = [digest(joined[s:e], SEED) for s, e in zip(begins[: len(words) - shingle + 1].tolist(), ends[shingle - 1 :].tolist())]
-    table = np.array(hashes, dtype="<u8").view(np.uint8).reshape(-1, 8)
-    ones = (np.bincount((table + _PLACES).ravel(), minlength=2048).reshape(8, 256) @ _BITS).ravel()
-    return int(np.packbits(ones * 2 > len(hashes), bitorder="little").view("<i8")[0])
+    return majority(np.array(hashes, dtype="<u8"))
 
 
 def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 3) -> DataFrame:
@@ -138,7 +143,7 @@ def hub_links(fps: DataFrame, max_distance: int = 3, buckets: int = 64, batch: i
 
 
 def links(fps: DataFrame, max_distance: int = 3, segment_bits: int = 2, cell_limit: int = 128) -> DataFrame:
-    """Links (a, b) between distinct fingerprints (column fp) that connect all within ``max_distance``.
+    """Links (view, a, b) between distinct fingerprints (view, fp) of a view that connect all within ``max_distance``.
 
     Pairs of cells within the limit are all found; the rest is linked through hubs.
     """
@@ -146,22 +151,24 @@ def links(fps: DataFrame, max_distance: int = 3, segment_bits: int = 2, cell_lim
         raise ValueError("max_distance is 0 to 3")
     blocks = _blocks(max_distance, segment_bits)
     masks = [_signed(sum(c)) for c in combinations(blocks, 3)]
-    coded = fps.select("fp", thermometer("fp", segment_bits).alias("code"))
-    cells = coded.select("fp", "code", F.posexplode(F.array(*(F.col("code").bitwiseAND(F.lit(m)) for m in masks)))).withColumnRenamed("pos", "choice").withColumnRenamed("col", "cell")
-    sizes = cells.groupBy("choice", "cell").agg(F.count("*").alias("n")).where("n > 1")
-    full = saved(cells.join(sizes, ["choice", "cell"]).select("choice", "cell", "fp", "code", "n"))
+    cell = ["view", "choice", "cell"]
+    coded = fps.select("view", "fp", thermometer("fp", segment_bits).alias("code"))
+    cells = coded.select("view", "fp", "code", F.posexplode(F.array(*(F.col("code").bitwiseAND(F.lit(m)) for m in masks))).alias("choice", "cell"))
+    sizes = cells.groupBy(*cell).agg(F.count("*").alias("n")).where("n > 1")
+    full = saved(cells.join(sizes, cell).select(*cell, "fp", "code", "n"))
     cold = full.where(F.col("n") <= cell_limit)
-    other = cold.select("choice", "cell", F.col("fp").alias("fp2"), F.col("code").alias("code2"))
+    other = cold.select(*cell, F.col("fp").alias("fp2"), F.col("code").alias("code2"))
     pairs = (
-        cold.join(other, ["choice", "cell"])
+        cold.join(other, cell)
         .where("fp < fp2")
         .where(F.bit_count(F.col("code").bitwiseXOR(F.col("code2"))) <= max_distance)
         .where(F.bit_count(F.col("fp").bitwiseXOR(F.col("fp2"))) <= max_distance)
-        .select(F.col("fp").alias("a"), F.col("fp2").alias("b"))
+        .select("view", F.col("fp").alias("a"), F.col("fp2").alias("b"))
     )
-    hot = full.where(F.col("n") > cell_limit).select("fp").distinct()
-    if n := hot.count():
-        pairs = pairs.unionByName(hub_links(hot, max_distance, max(16, n // 500)))
+    hot = full.where(F.col("n") > cell_limit).select("view", "fp").distinct()
+    for r in hot.groupBy("view").count().collect():
+        found = hub_links(hot.where(F.col("view") == r["view"]), max_distance, max(16, r["count"] // 500))
+        pairs = pairs.unionByName(found.select(F.lit(r["view"]).alias("view"), "a", "b"))
     return pairs.distinct()
 
 
@@ -186,7 +193,8 @@ def near_duplicates(
     """
     marked = saved(fingerprints(docs, key, text, shingle))
     classes = saved(marked.groupBy("fp").agg(F.min("key").alias("least")))
-    roots = saved(components(links(classes, max_distance, segment_bits, cell_limit)))
+    near = links(classes.select(F.lit(0).alias("view"), "fp"), max_distance, segment_bits, cell_limit)
+    roots = saved(components(near.select("a", "b")))
     linked = roots.join(classes, roots["node"] == classes["fp"])
     least = linked.groupBy("root").agg(F.min("least").alias("least"))
     of_linked = roots.join(least, "root").select(F.col("node").alias("fp"), F.col("least").alias("linked"))
@@ -194,12 +202,80 @@ def near_duplicates(
     return marked.join(owner, "fp").select(F.col("key").alias(key), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", **how) -> DataFrame:
-    """``docs`` without the near duplicates: of each component the row with the smallest key stays.
+def word_fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", views: int = 6) -> DataFrame:
+    """(key, view, fp): for each row and view a SimHash of the text's distinct words, by independent hashes.
+
+    Texts without a word have none.
+    """
+    import xxhash
+
+    kind = docs.schema[key].dataType.simpleString()
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            places, fps = [], []
+            for n, t in enumerate(batch.column(1)):
+                words = set((t.as_py() or b"").lower().split())
+                if words:
+                    hashes = np.fromiter((xxhash.xxh64_intdigest(w, SEED) for w in words), np.uint64, len(words))
+                    places.append(n)
+                    fps += [majority(mix(hashes + np.uint64((v * 0x9E3779B97F4A7C15) % 2**64))) for v in range(views)]
+            keys = batch.column(0).take(pa.array(np.repeat(places, views), pa.int64()))
+            yield pa.RecordBatch.from_arrays([keys, pa.array(list(range(views)) * len(places), pa.int32()), pa.array(fps, pa.int64())], names=["key", "view", "fp"])
+
+    return docs.select(F.col(key).alias("key"), F.col(text).cast("binary").alias("text")).mapInArrow(make, f"key {kind}, view int, fp bigint")
+
+
+def jaccard(a: bytes | None, b: bytes | None, shingle: int = 5) -> float:
+    """Similarity of the sets of word shingles of two texts (shorter texts: the whole sequence); two empty ones: 1."""
+    sets = []
+    for t in (a, b):
+        w = (t or b"").lower().split()
+        sets.append({b" ".join(w[i : i + shingle]) for i in range(max(1, len(w) - shingle + 1))})
+    return len(sets[0] & sets[1]) / len(sets[0] | sets[1])
+
+
+def verified_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", views: int = 6, similarity: float = 0.8, shingle: int = 5, **how) -> DataFrame:
+    """Keys of rows that are near copies of a row with a smaller key, by exact similarity.
+
+    Candidates are the components over links of word fingerprints in any view; each of their
+    rows is compared with the row of the component's smallest key, and named if the word
+    shingles of the two have ``similarity`` or more. Rows without a key are not compared.
+    """
+    marked = saved(word_fingerprints(docs.where(F.col(key).isNotNull()), key, text, views))
+    classes = saved(marked.groupBy("view", "fp").agg(F.min("key").alias("least")))
+    near = links(classes.select("view", "fp"), **how)
+    ends = near.join(classes.select("view", F.col("fp").alias("a"), F.col("least").alias("x")), ["view", "a"]).join(classes.select("view", F.col("fp").alias("b"), F.col("least").alias("y")), ["view", "b"])
+    same = marked.join(classes, ["view", "fp"]).where("key <> least").select(F.col("key").alias("a"), F.col("least").alias("b"))
+    roots = saved(components(ends.select(F.col("x").alias("a"), F.col("y").alias("b")).unionByName(same).distinct()).where("node <> root"))
+    texts = docs.select(F.col(key).alias("key"), F.col(text).cast("binary").alias("text"))
+    firsts = join_checked(texts, roots.select(F.col("root").alias("key")).distinct(), "key", "left_semi").dropDuplicates(["key"]).withColumnsRenamed({"key": "root", "text": "first"})
+    pairs = join_checked(texts, roots.withColumnRenamed("node", "key"), "key", "inner").join(firsts, "root")
+    kind = docs.schema[key].dataType.simpleString()
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            close = [jaccard(a.as_py(), b.as_py(), shingle) >= similarity for a, b in zip(batch.column(1), batch.column(2))]
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(close, pa.bool_()))], names=["key"])
+
+    return pairs.select("key", "text", "first").mapInArrow(compare, f"key {kind}").distinct().withColumnRenamed("key", key)
+
+
+def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", views: int = 6, similarity: float = 0.8, **how) -> DataFrame:
+    """``docs`` without the near duplicates.
+
+    Of each component (see ``near_duplicates``) the row with the smallest key stays. Of what is
+    left, rows go that have ``similarity`` or more to the first row of their group in the word
+    fingerprints of some view (see ``verified_copies``): fingerprints of shingles differ in
+    more than a few bits even for close copies. ``views`` 0: that second step is left out.
 
     Rows without a key can't be told apart and stay; repeated rows of a kept key stay.
     All columns are returned unchanged.
     """
     found = near_duplicates(docs, key, text, **how)
     dropped = saved(found.where(F.col(key) > F.col("component_id")).select(key).distinct())
-    return join_checked(docs, dropped, key, "left_anti")
+    left = join_checked(docs, dropped, key, "left_anti")
+    if not views:
+        return left
+    more = saved(verified_copies(left, key, text, views, similarity))
+    return join_checked(docs, saved(dropped.unionByName(more)), key, "left_anti")

@@ -85,9 +85,10 @@ def test_links_connect_all_within_distance(spark, distance, limit):
             fps.add(x)
     fps = sorted(x - 2**64 if x >= 2**63 else x for x in fps)
     near = lambda a, b: bin((a ^ b) % 2**64).count("1") <= distance
-    found = simhash.links(spark.createDataFrame([(x,) for x in fps], "fp long"), distance, cell_limit=limit)
-    rows = [(r.a, r.b) for r in found.collect()]
-    assert all(near(a, b) for a, b in rows)
+    found = simhash.links(spark.createDataFrame([(v, x) for x in fps for v in (0, 1)], "view int, fp long"), distance, cell_limit=limit)
+    every = [(r.view, r.a, r.b) for r in found.collect()]
+    rows = [(a, b) for v, a, b in every if v == 1]
+    assert sorted(rows) == sorted((a, b) for v, a, b in every if v == 0) and all(near(a, b) for a, b in rows)
     pairs = {frozenset(p) for p in rows}
     assert _closure(fps, lambda a, b: frozenset((a, b)) in pairs) == _closure(fps, near)
 
@@ -105,6 +106,23 @@ def test_near_duplicates_odd_inputs(spark):
     assert simhash.near_duplicates(none).count() == 0 and simhash.keep_one(none).count() == 0
 
 
+def test_near_copies_go_and_others_stay(spark):
+    rng = np.random.default_rng(8)
+    base = [[f"w{x}" for x in rng.integers(0, 9000, 300)] for _ in range(30)]
+    docs, copies = [(i, " ".join(w)) for i, w in enumerate(base)], set()
+    for i, w in enumerate(base[:20]):
+        changed = list(w)
+        for k in rng.integers(0, 300, 1 + i % 4):
+            changed[k] = "other"
+        docs.append((100 + i, " ".join(changed)))
+        copies.add(100 + i)
+    for i, w in enumerate(base[20:]):
+        docs.append((200 + i, " ".join(w[:150] + [f"v{x}" for x in rng.integers(0, 9000, 150)])))
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    assert all(simhash.jaccard(dict(docs)[100 + i].encode(), dict(docs)[i].encode()) >= 0.8 for i in range(20))
+    assert {i for i, _ in docs} - {r.doc_id for r in simhash.keep_one(df).collect()} == copies
+
+
 def test_near_duplicates_match_brute_force(spark, small):
     docs = spark.read.parquet(f"{small}/documents.parquet")
     texts = {r.doc_id: r.text for r in docs.select("doc_id", "text").collect()}
@@ -246,7 +264,13 @@ def test_pipeline_stages(spark, small, tmp_path):
     judged = queries.QUERIES["op4_quality_rules"](spark, small).where("kept").collect()
     assert ids[1] == {r.doc_id for r in judged}
     groups = simhash.near_duplicates(seen[1]).collect()
-    assert ids[2] == {r.component_id for r in groups}
+    firsts = {r.component_id for r in groups}
+    texts = {r.doc_id: r.text.encode() for r in seen[1].collect()}
+    assert ids[2] <= firsts and ids[2] == {r.doc_id for r in simhash.keep_one(seen[1]).collect()}
+    for i in firsts - ids[2]:
+        assert any(simhash.jaccard(texts[i], texts[j]) >= 0.8 for j in ids[2] if j < i)
+    close = {(i, j) for i in ids[2] for j in ids[2] if i < j and simhash.jaccard(texts[i], texts[j]) >= 0.8}
+    assert len(close) <= 0.1 * len(ids[1] - ids[2])
     cleaned = {r.doc_id: r for r in substring_dedup.remove_repeats(seen[2]).collect()}
     assert all(cleaned[r.doc_id].text == r.text and len(r.text) == r.n_chars for r in seen[3].collect())
     last = seen[5].columns
