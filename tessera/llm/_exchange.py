@@ -9,12 +9,13 @@ group, and no text moves after it was dealt out.
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 U64 = np.uint64
 
@@ -23,14 +24,27 @@ def text_bytes(docs: DataFrame, text: str) -> int:
     return docs.agg(F.coalesce(F.sum(F.octet_length(F.col(text).cast("string"))), F.lit(0))).first()[0]
 
 
+def loosened(kind: T.StructType) -> T.StructType:
+    """The type with everything nullable, as what comes back from Arrow is."""
+
+    def walk(x):
+        if isinstance(x, dict):
+            return {k: True if k in ("nullable", "containsNull", "valueContainsNull") else walk(v) for k, v in x.items()}
+        return [walk(v) for v in x] if isinstance(x, list) else x
+
+    return T.StructType.fromJson(walk(kind.jsonValue()))
+
+
 def dealt(docs: DataFrame, text: str, total: int, group_bytes: int, spread: Iterable[Column]) -> DataFrame:
     """(g, text binary, row struct of the other columns): g deals the rows to groups of about ``group_bytes``."""
     groups = max(1, math.ceil(total / group_bytes))
-    others = [F.col(f"`{c}`") for c in docs.columns if c != text]
+    others = [F.col(f"`{c}`") for c in docs.columns if c != text] or [F.lit(0).alias("none")]
+    row = F.struct(*others)
+    kind = loosened(docs.select(row.alias("row")).schema["row"].dataType)
     return docs.select(
         F.pmod(F.xxhash64(*spread, F.col(text)), F.lit(groups)).cast("int").alias("g"),
         F.col(text).cast("binary").alias("text"),
-        (F.struct(*others) if others else F.struct(F.lit(0).alias("none"))).alias("row"),
+        row.cast(kind).alias("row"),
     )
 
 
@@ -82,6 +96,3 @@ def runs(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             s = k[order]
             new[1:] |= s[1:] != s[:-1]
     return order, np.cumsum(new) - 1, np.flatnonzero(new)
-
-
-Emit = Callable[[tuple, pa.Table], pa.Table]

@@ -126,5 +126,5 @@ def contamination(docs: DataFrame, items: DataFrame, key: str = "doc_id", text:
 def remove_contaminated(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", **how) -> DataFrame:
     """``docs`` without the documents that overlap with an item; all columns stay as they are."""
     found = saved(overlaps(docs, items, key, text, **how).select(F.col("key").alias("_key"), F.col("mark").alias("_mark")).distinct())
-    same = F.col("_key").eqNullSafe(docs[key]) & (F.col("_mark") == F.xxhash64(docs[text]))
+    same = found["_key"].eqNullSafe(docs[key]) & (found["_mark"] == F.xxhash64(docs[text]))
     return join_checked(docs, found, same, "left_anti")

@@ -124,16 +124,18 @@ def plan(blocks: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float =
 
 
 def _keyed(docs: DataFrame, key: str, text: str, source: str, blocks: int, seed: int) -> DataFrame:
+    """(row struct of the columns, key, source, size, block); the columns ride in a struct, so their names can't clash."""
     return docs.select(
-        "*",
-        F.col(source).cast("string").alias("_source"),
-        word_count(text).alias("_size"),
-        F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(blocks)).cast("int").alias("_block"),
+        F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"),
+        F.col(key).alias("key"),
+        F.col(source).cast("string").alias("source"),
+        word_count(text).alias("size"),
+        F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(blocks)).cast("int").alias("block"),
     )
 
 
 def _planned(keyed: DataFrame, weights, most, shards, seed):
-    blocks = keyed.groupBy(F.col("_source").alias("source"), F.col("_block").alias("block")).agg(F.sum("_size").alias("words"))
+    blocks = keyed.groupBy("source", "block").agg(F.sum("size").alias("words"))
     return plan(saved(blocks), weights, most, shards, seed)
 
 
@@ -148,11 +150,12 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     own = docs.select(*(F.col(f"`{c}`") for c in docs.columns if c not in made))
     keyed = _keyed(own, key, text, source, blocks, seed)
     sources, draws = _planned(keyed, weights, most, shards, seed)
-    ids = join_checked(draws, sources.select("sid", F.col("source").alias("_of")), "sid", "inner", 0).drop("sid")
-    ids = saved(ids.select(F.col("_of"), F.col("block").alias("_at"), "copy", "shard"))
-    rows = join_checked(keyed, ids, keyed["_source"].eqNullSafe(ids["_of"]) & (keyed["_block"] == ids["_at"]), "inner")
-    local = Window.partitionBy("shard").orderBy(F.xxhash64(F.col(key), "copy", F.lit(seed)), F.col(key), "copy")
-    return rows.withColumn("position", F.row_number().over(local) - 1).select(*own.columns, *made)
+    ids = join_checked(draws, sources.select("sid", F.col("source").alias("of")), "sid", "inner", 0)
+    ids = saved(ids.select("of", F.col("block").alias("at"), "copy", "shard"))
+    rows = join_checked(keyed, ids, keyed["source"].eqNullSafe(ids["of"]) & (keyed["block"] == ids["at"]), "inner")
+    local = Window.partitionBy("shard").orderBy(F.xxhash64("key", "copy", F.lit(seed)), "key", "copy")
+    rows = rows.withColumn("position", F.row_number().over(local) - 1)
+    return rows.select(*(F.col(f"row.`{c}`").alias(c) for c in own.columns), *made)
 
 
 def taken(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[float, ...] = WEIGHTS, most: float = LONGEST, shards: int = 64, blocks: int = 16384, seed: int = 7) -> DataFrame:
@@ -167,10 +170,9 @@ def taken(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str
     and null keys included, share a block and are drawn alike. A source without words has
     target 0. An empty table gives an empty result. Other columns are not read.
     """
-    keyed = _keyed(docs.select(F.col(key), F.col(text), F.col(source)), key, text, source, blocks, seed)
-    lean = saved(keyed.select(F.col(key).alias("key"), "_source", "_size", "_block"))
+    lean = saved(_keyed(docs, key, text, source, blocks, seed).drop("row"))
     sources, draws = _planned(lean, weights, most, shards, seed)
-    times = draws.groupBy("sid", "block").agg(F.count("*").alias("times"))
-    known = join_checked(lean, sources, lean["_source"].eqNullSafe(sources["source"]), "inner", 0)
-    out = known.join(times, (known["sid"] == times["sid"]) & (known["_block"] == times["block"]), "left")
-    return out.select(F.col("key").alias(key), F.col("_size").alias("size"), "source_size", "target", (F.col("_size") * F.coalesce("times", F.lit(0))).cast("bigint").alias("taken"))
+    times = draws.groupBy(F.col("sid").alias("of"), F.col("block").alias("at")).agg(F.count("*").alias("times"))
+    known = join_checked(lean, sources.withColumnRenamed("source", "name"), F.col("source").eqNullSafe(F.col("name")), "inner", 0)
+    out = known.join(times, (F.col("sid") == F.col("of")) & (F.col("block") == F.col("at")), "left")
+    return out.select(F.col("key").alias(key), "size", "source_size", "target", (F.col("size") * F.coalesce("times", F.lit(0))).cast("bigint").alias("taken"))

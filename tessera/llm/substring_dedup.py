@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessera.llm._exchange import bits, dealt, from_bits, from_low_bytes, in_order, low_bytes, packed, runs, text_bytes
 from tessera.llm._hashing import Words, slices, window_hashes, window_starts
@@ -161,8 +162,6 @@ def remove_repeats(
         rows = [(b, p.stop - p.start, both[p].astype("<u8").tobytes(), bits(group.many[p]), b"") for b, p in packed(group.keys, buckets)]
         return _sent(2, key[0].as_py(), rows)
 
-    row_type = base.schema["row"].dataType.simpleString()
-
     def finish(key: tuple, table: pa.Table, replies: pa.Table) -> pa.Table:
         table, texts = in_order(table)
         group = _Group(texts, window)
@@ -187,7 +186,7 @@ def remove_repeats(
     groups = base.groupBy("g")
     near = groups.applyInArrow(probe, _SENT).groupBy("stage", "bucket").applyInArrow(_answer, _REPLY)
     exact = groups.cogroup(near.groupBy("g")).applyInArrow(extend, _SENT).groupBy("stage", "bucket").applyInArrow(_answer, _REPLY)
-    schema = f"row {row_type}, " + "text binary, " * with_text + "n_words bigint, n_removed bigint, kept_sha256 string"
+    schema = T.StructType([T.StructField("row", base.schema["row"].dataType), *T.StructType.fromDDL("text binary, " * with_text + "n_words bigint, n_removed bigint, kept_sha256 string")])
     done = groups.cogroup(near.unionByName(exact).groupBy("g")).applyInArrow(finish, schema)
     kept = [c for c in docs.columns if c not in made and (c != text or with_text)]
     return done.select(*(F.col("text").cast("string").alias(c) if c == text else F.col(f"row.`{c}`").alias(c) for c in kept), *made)
