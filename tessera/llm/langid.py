@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -29,7 +29,7 @@ _WORD = re.compile(r"[^\W\d_]+")
 _LONGEST = 24
 _BEGIN = "▁"
 #: Words whose probabilities a worker keeps.
-_KEPT = 150_000
+_KEPT = 400_000
 
 
 def pieces_of(vocabulary: str = VOCABULARY) -> list[str]:
@@ -42,30 +42,51 @@ def pieces_of(vocabulary: str = VOCABULARY) -> list[str]:
 
 
 def words_of(text: str) -> list[str]:
-    return [w[i : i + _LONGEST] for w in _WORD.findall(text.lower()) for i in range(0, len(w), _LONGEST)]
+    found = _WORD.findall(text.lower())
+    if max(map(len, found), default=0) <= _LONGEST:
+        return found
+    return [w[i : i + _LONGEST] for w in found for i in range(0, len(w), _LONGEST)]
+
+
+def prefix_table(pieces: Sequence[str]) -> dict[str, int]:
+    """Number of each piece, and -1 for each beginning of a piece that is none itself."""
+    table = {p[:k]: -1 for p in pieces for k in range(1, len(p))}
+    table.update((p, i) for i, p in enumerate(pieces))
+    return table
 
 
 class Lattice:
-    """All segmentations of words: edges (word, begin, end, piece), in the order of their ends."""
+    """All segmentations of words: edges (word, begin, end, piece), in the order of their ends.
+
+    ``unseen`` is the number of the piece that stands for a letter that the vocabulary lacks.
+    """
 
-    def __init__(self, words: list[str], ids: dict[str, int], longest: int) -> None:
-        word, begin, end, piece = [], [], [], []
-        unseen = len(ids)
-        for n, w in enumerate(words):
+    def __init__(self, words: list[str], table: dict[str, int], unseen: int) -> None:
+        places, pieces, counts = [], [], []
+        find, place, take = table.get, places.append, pieces.append
+        for w in words:
             w = _BEGIN + w
-            size = len(w)
+            size, before = len(w), len(pieces)
             for i in range(size):
-                alone = True
-                for j in range(i + 1, min(size, i + longest) + 1):
-                    k = ids.get(w[i:j])
-                    if k is not None:
-                        word.append(n), begin.append(i), end.append(j), piece.append(k)
-                        alone &= j > i + 1
-                if alone:  # a letter that the vocabulary lacks
-                    word.append(n), begin.append(i), end.append(i + 1), piece.append(unseen)
+                k = find(w[i])
+                if k is None or k < 0:
+                    place(i << 8 | i + 1), take(unseen)
+                else:
+                    place(i << 8 | i + 1), take(k)
+                if k is None:
+                    continue
+                for j in range(i + 2, size + 1):
+                    k = find(w[i:j])
+                    if k is None:
+                        break
+                    if k >= 0:
+                        place(i << 8 | j), take(k)
+            counts.append(len(pieces) - before)
         self.n, self.sizes = len(words), np.fromiter(map(len, words), np.int64, len(words)) + 1
-        order = np.lexsort((np.array(word, np.int64), np.array(end, np.int64)))
-        self.word, self.begin, self.end, self.piece = (np.array(x, np.int64)[order] for x in (word, begin, end, piece))
+        word, at, piece = np.repeat(np.arange(self.n), counts), np.array(places, np.int64), np.array(pieces, np.int64)
+        # edges come by word: a stable sort by end keeps that order
+        order = np.argsort(at & 255, kind="stable")
+        self.word, self.begin, self.end, self.piece = word[order], at[order] >> 8, at[order] & 255, piece[order]
 
     def forward(self, probs: np.ndarray) -> np.ndarray:
         """(words, places, languages) sums over the segmentations of each beginning."""
@@ -115,17 +136,16 @@ class Scorer:
 
     def __init__(self, model: Model) -> None:
         self.model = model
-        self.ids = {p: i for i, p in enumerate(model.pieces)}
-        self.longest = max(map(len, model.pieces), default=1)
+        self.pieces = prefix_table(model.pieces)
         self.place: dict[str, int] = {}
-        self.table = np.zeros((0, len(model.languages)))
+        self.table = np.zeros((1 << 14, len(model.languages)))
 
     def of_words(self, words: list[str]) -> np.ndarray:
         """(words, languages) natural logs of the words' probabilities."""
         out = np.empty((len(words), len(self.model.languages)))
         for at in range(0, len(words), 20_000):
             part = words[at : at + 20_000]
-            out[at : at + len(part)] = np.log(np.maximum(Lattice(part, self.ids, self.longest).totals(self.model.probs), 1e-300))
+            out[at : at + len(part)] = np.log(np.maximum(Lattice(part, self.pieces, len(self.model.pieces)).totals(self.model.probs), 1e-300))
         return out
 
     def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
@@ -135,18 +155,21 @@ class Scorer:
         counts = [Counter(words_of(t or "")) for t in texts]
         new = list({w for c in counts for w in c if w not in self.place})
         if len(self.place) + len(new) > _KEPT:
-            self.place, self.table = {}, self.table[:0]
+            self.place = {}
             new = list({w for c in counts for w in c})
         if new:
             n = len(self.place)
-            self.place.update((w, n + i) for i, w in enumerate(new))
-            self.table = np.concatenate([self.table, self.of_words(new)])
+            while len(self.table) < n + len(new):
+                self.table = np.concatenate([self.table, np.zeros_like(self.table)])
+            self.table[n : n + len(new)] = self.of_words(new)
+            self.place.update(zip(new, range(n, n + len(new))))
+        place = self.place
         out = []
         for c in counts:
             if not c:
                 out.append((UNKNOWN, 0.0))
                 continue
-            sums = np.fromiter(c.values(), float, len(c)) @ self.table[[self.place[w] for w in c]]
+            sums = np.fromiter(c.values(), float, len(c)) @ self.table[[place[w] for w in c]]
             best = int(sums.argmax())
             out.append((self.model.languages[best], float(1 / np.exp(np.minimum(sums - sums[best], 0)).sum())))
         return out
@@ -155,13 +178,12 @@ class Scorer:
 def fit(counts: list[tuple[str, str, int]], pieces: list[str], rounds: int = 4, smoothing: float = 0.02) -> Model:
     """Model from (language, word, count), by expectation maximisation on this process."""
     languages = tuple(sorted({c[0] for c in counts}))
-    ids = {p: i for i, p in enumerate(pieces)}
-    longest = max(map(len, pieces), default=1)
+    table = prefix_table(pieces)
     probs = np.zeros((len(pieces) + 1, len(languages)))
     for k, language in enumerate(languages):
         own = [(w, n) for a, w, n in counts if a == language]
         p = np.full((len(pieces) + 1, 1), 1 / (len(pieces) + 1))
-        lattices = [(Lattice([w for w, _ in own[at : at + 5000]], ids, longest), np.array([n for _, n in own[at : at + 5000]], float)) for at in range(0, len(own), 5000)]
+        lattices = [(Lattice([w for w, _ in own[at : at + 5000]], table, len(pieces)), np.array([n for _, n in own[at : at + 5000]], float)) for at in range(0, len(own), 5000)]
         for _ in range(rounds):
             expected = np.zeros(len(p))
             for lattice, n in lattices:

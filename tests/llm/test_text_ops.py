@@ -12,7 +12,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from tessera.llm import decontam, langid, licenses, lm, mixing, quality, substring_dedup
+from tessera.llm import decontam, langid, licenses, lm, mixing, quality, simhash, substring_dedup
 from tessera.llm._hashing import Words, window_hashes, window_starts
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -238,7 +238,7 @@ def test_forward_sums_all_segmentations():
     ids = {p: i for i, p in enumerate(pieces)}
     probs = np.array([[0.1], [0.2], [0.05], [0.3], [0.07], [0.03], [0.25]])
     ways = {"ab": [("▁", "a", "b"), ("▁a", "b"), ("▁ab",), ("▁", "ab")], "ax": [("▁", "a", None), ("▁a", None)]}
-    lattice = langid.Lattice(list(ways), ids, 3)
+    lattice = langid.Lattice(list(ways), langid.prefix_table(pieces), len(pieces))
     want = [sum(math.prod(probs[ids.get(p, 6), 0] for p in way) for way in ways[w]) for w in ways]
     assert np.allclose(lattice.totals(probs)[:, 0], want) and np.allclose(lattice.backward(probs)[:, 0, 0], want)
 
@@ -351,3 +351,17 @@ def test_mix_odd_inputs(spark):
     assert len(rows) == 9 and all(r.taken <= 3 * r["size"] for r in rows)
     assert mixing.taken(empty(spark)).count() == 0 and mixing.mix(empty(spark)).count() == 0
     assert set(mixing.mix(odd(spark)).columns) >= {"labels", "copy", "shard", "position"}
+
+
+CLASHES = ("key", "mark", "_key", "_mark", "_source", "g", "of", "at", "sid", "size", "block", "copy", "stats", "words", "kept", "first")
+
+
+def test_clashing_columns_ride_along(spark):
+    docs = odd(spark).select("doc_id", "text", "source", *(F.lit(c).alias(c) for c in CLASHES))
+    bench = spark.createDataFrame([(1, "x y z")], "item_id long, text string")
+    labels = spark.createDataFrame([(4, 1, 0, "k")], "doc_id long, quality int, toxic int, stats string")
+    for out in (substring_dedup.remove_repeats(docs), decontam.remove_contaminated(docs, bench), simhash.keep_one(docs), mixing.mix(docs), quality.quality(docs, labels).select("row.*")):
+        assert set(docs.columns) <= set(out.columns)
+        for r in out.select(*CLASHES).distinct().collect():
+            assert all(r[c] == c for c in CLASHES if c != "copy")
+    assert licenses.scan(docs).count() == langid.identify(docs.withColumn("lang", F.lit("en"))).count() == lm.score(docs).count() == mixing.taken(docs).count() == 9
