@@ -5,13 +5,15 @@ lies wholly in one. A block meets a template if it contains the threshold's shar
 template's tokens. The join: tokens are ordered by their document frequency over the whole
 corpus, the rarest first; of a template only the prefix is indexed that must meet any block
 above the threshold; blocks probe it, and length and positional filters drop pairs that
-can't reach the threshold; the rest is verified exactly. Only documents with a prefix token
-are cut into blocks. All of it is built-in Spark expressions.
+can't reach the threshold; the rest is verified exactly. Texts are tokenised once; only those
+that have enough tokens of some template keep their words, and are cut into blocks. All of
+it is built-in Spark expressions.
 """
 
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -59,9 +61,9 @@ def _templates(templates, threshold: float) -> list[tuple[int, str, list[str], i
     return [(i, label, t, max(1, math.ceil(threshold * len(t) - 1e-9))) for i, (label, t) in enumerate(sets)]
 
 
-def frequency_order(frame: DataFrame, words: str, vocabulary: list[str]) -> list[str]:
-    """``vocabulary`` from the rarest token to the most frequent one, by rows of ``frame`` that have it."""
-    counts = frame.select(F.explode(F.array_intersect(F.col(words), F.array(*map(F.lit, vocabulary)))).alias("t")).groupBy("t").count().collect()
+def frequency_order(frame: DataFrame, present: str, vocabulary: list[str]) -> list[str]:
+    """``vocabulary`` from the rarest token to the most frequent one, by the rows of ``frame`` that have it."""
+    counts = frame.select(F.explode(present).alias("t")).groupBy("t").count().collect()
     seen = {r["t"]: r["count"] for r in counts}
     return sorted(vocabulary, key=lambda t: (seen.get(t, 0), t))
 
@@ -80,15 +82,13 @@ def _phrase_places(words: str, phrase: list[str]) -> Column:
     return F.when(F.array_contains(words, max(phrase, key=len)) & (F.size(words) >= len(phrase)), F.filter(places, here)).otherwise(F.array().cast("array<int>"))
 
 
-def block_matches(frame: DataFrame, words: str, templates=TEMPLATES, threshold: float = THRESHOLD, order: list[str] | None = None) -> DataFrame:
+def block_matches(frame: DataFrame, words: str, known: list[tuple[int, str, list[str], int]], order: list[str]) -> DataFrame:
     """The columns of ``frame`` but words, with (label, score) for each template that a block meets.
 
-    score: the share of the template's tokens that the block contains.
+    ``known``: the templates; ``order``: their tokens, the rarest first; score: the share of the
+    template's tokens that the block contains.
     """
-    spark, known = frame.sparkSession, _templates(templates, threshold)
-    if not known:
-        raise ValueError("no template")
-    order = order or frequency_order(frame, words, sorted({t for *_, ts, _ in known for t in ts}))
+    spark = frame.sparkSession
     rank = {t: i for i, t in enumerate(order)}
     index, prefixes = [], set()
     for i, label, tokens, need in known:
@@ -122,10 +122,20 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", phrases=PHRAS
     result; rows with a null key are told apart by their text; an empty table gives an empty
     result. Other columns are not read.
     """
+    known = _templates(templates, threshold)
+    if not known:
+        raise ValueError("no template")
+    vocabulary = sorted({t for *_, tokens, _ in known for t in tokens})
     own = docs.select(F.col(key).alias("key"), F.xxhash64(text).alias("mark"), words_of(text).alias("words"))
     split = [(p.split(), label) for p, label in phrases]
-    found = own.select("key", "mark", F.size("words").cast("bigint").alias("n_words"), *(_phrase_places("words", p).alias(f"p{i}") for i, (p, _) in enumerate(split)))
-    matches = block_matches(own, "words", templates, threshold).groupBy("key", "mark").agg(F.collect_set("label").alias("more"), F.max("score").alias("best"))
+    places = [_phrase_places("words", p).alias(f"p{i}") for i, (p, _) in enumerate(split)]
+    seen = own.select("key", "mark", "words", F.size("words").cast("bigint").alias("n_words"), *places, F.array_intersect(F.array(*map(F.lit, vocabulary)), "words").alias("present"))
+    # a text that lacks too many tokens of every template has no block that meets one
+    reachable = reduce(Column.__or__, (F.size(F.array_intersect(F.array(*map(F.lit, tokens)), "present")) >= need for *_, tokens, need in known))
+    found = saved(seen.withColumn("words", F.when(reachable, F.col("words"))))
+    order = frequency_order(found, "present", vocabulary)
+    rows = found.where("words IS NOT NULL").select("key", "mark", "words")
+    matches = block_matches(rows, "words", known, order).groupBy("key", "mark").agg(F.collect_set("label").alias("more"), F.max("score").alias("best"))
     met = saved(matches.withColumnsRenamed({"key": "key_", "mark": "mark_"}))
     out = join_checked(found, met, F.col("key").eqNullSafe(F.col("key_")) & (F.col("mark").eqNullSafe(F.col("mark_"))), "left")
     every = F.concat(*(F.col(f"p{i}") for i in range(len(split))))
