@@ -144,22 +144,39 @@ class Engine:
             after = self.spark.range(1).select(F.current_timestamp() - F.make_dt_interval(mins=F.lit(since_minutes))).first()[0]
         return telemetry.summary(telemetry.since(logs.query_log(self.spark, self.settings.query_log), after, collection))
 
-    def evaluate(self, collection: str, items: list[tuple[str, list[str]]], modes: Sequence[str] = config.MODES, record: bool = True) -> dict:
-        """Retrieval quality of (question, expected sources) by mode; each mode runs all questions as one plan."""
+    def evaluate(self, collection: str, items: list[tuple], modes: Sequence[str] = config.MODES, record: bool = True, score_answers: bool = False, judge: qa.Model | None = None) -> dict:
+        """Quality by mode of items (question, expected sources[, expected keywords]).
+
+        Retrieval runs all questions of a mode as one plan. ``score_answers`` has the model
+        answer each question and scores its keywords; ``judge`` is a model that grades the answers.
+        """
         k = self.settings.top_k
-        truth = self.spark.createDataFrame([(i, s) for i, (_, expected) in enumerate(items) for s in sorted(set(expected))], "query_id long, key string")
+        truth = self.spark.createDataFrame([(i, s) for i, x in enumerate(items) for s in sorted(set(x[1]))], "query_id long, key string")
         every = self.spark.createDataFrame([(i,) for i in range(len(items))], "query_id long")
         results = {}
         for mode in modes:
-            found = self.retrieve_many(collection, [(i, q) for i, (q, _) in enumerate(items)], mode)
+            found = self.retrieve_many(collection, [(i, x[0]) for i, x in enumerate(items)], mode)
             once = sync.first_by(found.select("query_id", F.col("source").alias("key"), "rank"), ["query_id", "key"], ["rank"])
             ranks = once.withColumn("rank", F.row_number().over(retrieval.Window.partitionBy("query_id").orderBy("rank")))
-            row = evaluate.aggregate(evaluate.per_query(ranks, truth, k, every)).first().asDict()
-            results[mode] = {"retrieval": {m: float(v) for m, v in row.items() if m != "n"}}
+            parts = {"retrieval": evaluate.aggregate(evaluate.per_query(ranks, truth, k, every))}
+            if score_answers or judge:
+                replies = [self._reply(collection, x[0], mode) for x in items]
+                rows = self.spark.createDataFrame([(r, list(x[2]) if len(x) > 2 else []) for r, x in zip(replies, items)], "answer string, keywords array<string>")
+                parts["answers"] = evaluate.aggregate_answers(evaluate.answers(rows))
+                if judge:
+                    graded = self.spark.createDataFrame([(qa.grade(x[0], r, judge),) for r, x in zip(replies, items)], "raw string")
+                    parts["judge"] = evaluate.aggregate_judgements(graded.select(T.judge_response("raw").alias("j")).select("j.*"))
+            results[mode] = {section: {m: float(v) for m, v in df.first().asDict().items() if m != "n"} for section, df in parts.items()}
         if record:
             evaluate.record_run(self.spark, self.settings.eval_log, k, len(items), results, self.settings)
         return results
 
+    def _reply(self, collection: str, question: str, mode: str) -> str:
+        try:
+            return self.query(collection, question, mode=mode)["answer"]
+        except RuntimeError:
+            return ""
+
     def last_diff(self, mode: str) -> DataFrame:
         """(section, metric, current, previous, delta) of the last two runs that had ``mode``."""
         runs = logs.eval_runs(self.spark, self.settings.eval_log).where(F.col("results").getItem(mode).isNotNull()).orderBy(F.col("timestamp").desc()).limit(2).collect()

@@ -89,3 +89,28 @@ def history(runs: DataFrame, last: int) -> DataFrame:
     """(timestamp, mode, section, metric, value) of the last ``last`` runs."""
     recent = runs.orderBy(F.col("timestamp").desc()).limit(last)
     return recent.select("timestamp", F.explode("results").alias("mode", "_s")).select("timestamp", "mode", F.explode("_s").alias("section", "_m")).select("timestamp", "mode", "section", F.explode("_m").alias("metric", "value"))
+
+
+def _table(head: list[str], rows: list[list]) -> str:
+    cells = [head, *([("-" if x is None else f"{x:.4f}" if isinstance(x, float) else str(x)) for x in r] for r in rows)]
+    widths = [max(len(r[i]) for r in cells) for i in range(len(head))]
+    return "\n".join("  ".join(x.ljust(w) for x, w in zip(r, widths)).rstrip() for r in cells)
+
+
+def report(results: dict[str, dict[str, dict[str, float]]]) -> str:
+    """A text table of one run: a line for each mode, a column for each metric."""
+    names = list(dict.fromkeys((s, m) for x in results.values() for s, v in x.items() for m in v))
+    return _table(["mode", *(f"{s}.{m}" for s, m in names)], [[mode, *(x.get(s, {}).get(m) for s, m in names)] for mode, x in results.items()])
+
+
+def diff_report(rows: DataFrame) -> str:
+    """A text table of ``diff``."""
+    names = ["section", "metric", "current", "previous", "delta"]
+    return _table(names, [list(r) for r in rows.select(*names).orderBy("section", "metric").collect()])
+
+
+def history_report(runs: DataFrame, last: int) -> str:
+    """A text table of the last runs, the oldest first: a line for each run and mode."""
+    rows = history(runs, last).groupBy("timestamp", "mode").agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws(".", "section", "metric"), "value"))).alias("m")).orderBy("timestamp", "mode").collect()
+    names = sorted({n for r in rows for n in r["m"]})
+    return _table(["timestamp", "mode", *names], [[r["timestamp"], r["mode"], *(r["m"].get(n) for n in names)] for r in rows])

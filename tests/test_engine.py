@@ -4,7 +4,9 @@ import pytest
 
 from tessera import config
 from tessera.engine import Engine
+from tessera.operators import evaluate
 from tessera.qa import frames
+from tessera.sources import logs
 from tessera.streaming import metrics
 
 
@@ -59,6 +61,12 @@ def test_evaluation(engine):
     assert got["hybrid"]["retrieval"]["mrr"] >= 0.5 and got["vector"]["retrieval"]["recall_at_k"] > 0
     assert {r.metric: r.delta for r in engine.last_diff("hybrid").collect()}["mrr"] == 0.0
     assert engine.last_diff("none").count() == 0
+    scored = engine.evaluate("app", [("login password", ["auth.py"], ["answer", "absent"])], modes=("vector",), score_answers=True, judge=lambda p: '{"verdict": "partial"}')
+    assert scored["vector"]["answers"] == {"keyword_coverage": 0.5, "keyword_hit_rate": 1.0} and scored["vector"]["judge"]["score"] == 0.5
+    text = evaluate.report(got | scored)
+    assert text.splitlines()[0].startswith("mode") and "judge.score" in text and " -" in text
+    assert "retrieval" in evaluate.diff_report(engine.last_diff("hybrid"))
+    assert len(evaluate.history_report(logs.eval_runs(engine.spark, engine.settings.eval_log), 2).splitlines()) == 4
 
 
 def test_frames():
