@@ -14,21 +14,21 @@ from tessera.operators.small import small
 K1, B, EPSILON = 1.5, 0.75, 0.25
 
 
+#: Distinct query tokens up to which they are looked for by a literal set; beyond it by a join.
+VOCABULARY = 5000
+
+
 @dataclass(frozen=True)
 class Corpus:
-    """Documents as tokens, with their number and mean length; made once for all queries."""
+    """Documents as token lists (key, toks); statistics are made when a search needs them."""
 
     tokens: DataFrame
-    n: int
-    mean_length: float
 
 
 def index(corpus: DataFrame, key: str = "key", text: str = "text", where: Column | None = None) -> Corpus:
-    """Token lists (key, toks) of ``corpus``; ``where`` filters it first, so the statistics are those of what is left."""
+    """Token lists of ``corpus``; ``where`` filters it first, so the statistics are those of what is left."""
     own = corpus if where is None else corpus.where(where)
-    tokens = own.select(F.col(key).alias("key"), T.tokens(F.coalesce(F.col(text), F.lit(""))).alias("toks"))
-    n, total = tokens.agg(F.count("*"), F.coalesce(F.sum(F.size("toks")), F.lit(0))).first()
-    return Corpus(tokens, n, total / n if n else 0.0)
+    return Corpus(own.select(F.col(key).alias("key"), T.tokens(F.coalesce(F.col(text), F.lit(""))).alias("toks")))
 
 
 def document_frequency(corpus: Corpus) -> DataFrame:
@@ -47,20 +47,37 @@ def search(queries: DataFrame, corpus: Corpus, k: int, key: str = "key", digits:
     times the mean idf of all tokens of the corpus; that mean is only computed if some query
     token needs it. Scores are rounded to ``digits``, ties go to the smallest key.
 
-    The query tokens go to every task; a document is scored where it was read, so what is
-    shuffled is one row for each query and matching document.
+    Two passes over the corpus: one counts its documents, their tokens and the documents of
+    each query token; the other scores each document where it is read, so what is shuffled
+    is one row for each query and matching document.
     """
     terms = queries.select("query_id", F.explode(T.tokens(F.coalesce(F.col("text"), F.lit("")))).alias("token")).groupBy("query_id", "token").agg(F.count("*").alias("qtf"))
     words = terms.select("token").distinct()
-    hits = corpus.tokens.select("key", F.size("toks").alias("dl"), F.explode("toks").alias("token")).join(small(words), "token", "left_semi")
-    counts = hits.groupBy("key", "dl", "token").agg(F.count("*").alias("tf"))
-    df = counts.groupBy("token").agg(F.count("*").alias("df"))
-    weights = df.select("token", _idf(F.col("df"), corpus.n).alias("idf"))
-    if corpus.n and not weights.where("idf < 0").isEmpty():
-        mean = document_frequency(corpus).agg(F.avg(_idf(F.col("df"), corpus.n))).first()[0]
+    vocabulary = [r[0] for r in words.limit(VOCABULARY + 1).collect()]
+    found = corpus.tokens.select("key", F.size("toks").alias("dl"), "toks")
+    if len(vocabulary) <= VOCABULARY:
+        found = found.withColumn("toks", F.filter("toks", lambda t: t.isin(vocabulary) if vocabulary else F.lit(False)))
+    # the empty token stands for the document itself
+    marks = found.select("dl", F.explode(F.array_union(F.array(F.lit("")), F.array_distinct("toks"))).alias("token"))
+    if len(vocabulary) > VOCABULARY:
+        marks = marks.join(small(words.unionByName(words.sparkSession.createDataFrame([("",)], "token string"))), "token", "left_semi")
+    stats = marks.groupBy("token").agg(F.count("*").alias("df"), F.sum("dl").alias("total"))
+    if len(vocabulary) <= VOCABULARY:
+        rows = stats.collect()
+        n, total = next(((r["df"], r["total"]) for r in rows if r["token"] == ""), (0, 0))
+        stats = words.sparkSession.createDataFrame([(r["token"], r["df"]) for r in rows if r["token"]], "token string, df long")
+    else:
+        n, total = stats.where("token = ''").select("df", "total").first() or (0, 0)
+        stats = stats.where("token <> ''")
+    if not n:
+        return queries.select("query_id", F.lit(None).cast(corpus.tokens.schema["key"].dataType).alias(key), F.lit(0.0).alias("score"), F.lit(0).alias("rank")).limit(0)
+    weights = stats.select("token", _idf(F.col("df"), n).alias("idf"))
+    if not weights.where("idf < 0").isEmpty():
+        mean = document_frequency(corpus).agg(F.avg(_idf(F.col("df"), n))).first()[0]
         weights = weights.withColumn("idf", F.when(F.col("idf") < 0, EPSILON * mean).otherwise(F.col("idf")))
     asked = terms.join(weights, "token")
-    norm = F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.lit(corpus.mean_length or 1.0))
+    counts = found.select("key", "dl", F.explode("toks").alias("token")).groupBy("key", "dl", "token").agg(F.count("*").alias("tf"))
+    norm = F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.lit(total / n or 1.0))
     part = F.col("qtf") * F.col("idf") * F.col("tf") * (K1 + 1) / norm
     scores = counts.join(small(asked), "token").groupBy("query_id", "key").agg(F.round(F.sum(part), digits).alias("score")).where("score > 0")
     best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "key")

@@ -50,6 +50,13 @@ def test_bm25_scores(spark):
     assert {r.query_id for r in rows} == {0, 1}
 
 
+def test_bm25_many_query_tokens(spark, corpus, monkeypatch):
+    q = asked(spark, "find user by id", "render page")
+    want = keyword.search(q, keyword.index(corpus), 5).orderBy("query_id", "rank").collect()
+    monkeypatch.setattr(keyword, "VOCABULARY", 2)
+    assert keyword.search(q, keyword.index(corpus), 5).orderBy("query_id", "rank").collect() == want
+
+
 def test_bm25_order_cap_and_empty(spark, corpus):
     q = asked(spark, "find user by id")
     assert ranked(keyword.search(q, keyword.index(corpus), 10))[0] in (1, 5)
