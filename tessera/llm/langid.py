@@ -15,9 +15,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm._joins import join_checked
+from tessera.llm._sampling import smallest
 from tessera.llm._storage import saved
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
@@ -219,10 +221,8 @@ def held_out(key: str):
 def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", vocabulary: str = VOCABULARY, sample: int = SAMPLE_DOCS) -> Model:
     """Model from the rows of ``docs`` that aren't held out and have text and language."""
     usable = docs.where(~held_out(key) & F.col(text).isNotNull() & F.col(lang).isNotNull())
-    place = Window.partitionBy("lang").orderBy(F.xxhash64("key"), "key")
-    chosen = usable.select(F.col(key).alias("key"), F.col(lang).alias("lang")).withColumn("r", F.row_number().over(place)).where(F.col("r") <= sample)
-    keys = saved(chosen.select("key", "lang").distinct())
-    texts = usable.select(F.col(key).alias("key"), F.col(lang).alias("lang"), F.col(text).alias("text")).join(F.broadcast(keys), ["key", "lang"], "left_semi")
+    keys = saved(smallest(usable.select(F.col(key).alias("key"), F.col(lang).alias("lang")), "key", sample, "lang").distinct())
+    texts = join_checked(usable.select(F.col(key).alias("key"), F.col(lang).alias("lang"), F.col(text).alias("text")), keys, ["key", "lang"], "left_semi")
     return fit(word_counts(texts), pieces_of(vocabulary))
 
 
