@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm._joins import join_checked
+from tessera.llm._sampling import smallest
 from tessera.llm._storage import saved
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -203,9 +204,8 @@ def learn(sample: DataFrame, bins: int = 24, most_rules: int = 12, most_conditio
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, key: str, text: str, rows: int = SAMPLE_ROWS) -> DataFrame:
     """(stats, bad, held) of ``rows`` labelled documents at most, those with the smallest hash of the key."""
-    place = F.xxhash64(F.col(key))
     chosen = labels.where(F.col("quality").isNotNull() & F.col(key).isNotNull()).groupBy(key).agg(F.min("quality").alias("quality"))
-    chosen = saved(chosen.orderBy(place, key).limit(rows))
+    chosen = saved(smallest(chosen.withColumn("_all", F.lit(0)), key, rows, "_all").select(key, "quality"))
     own = join_checked(docs.select(F.col(key), F.col(text)), chosen, key, "inner", rows)
     found = statistics(own.dropDuplicates([key]), text)
     return saved(found.select("stats", (F.col("row.quality") == 0).alias("bad"), (F.pmod(F.xxhash64(F.col(f"row.{key}"), F.lit(1)), F.lit(3)) == 0).alias("held")))
