@@ -2,7 +2,7 @@
 
 Each source is cut into blocks of documents by a hash. A source's target fixes its exact
 quota of blocks: so many whole passes over all blocks, plus for the rest the leading blocks of
-a fixed permutation and the one other block that closes the gap best. A binary tree over the output shards then splits the vector of
+a fixed permutation and a few other blocks that close the gap best. A binary tree over the output shards then splits the vector of
 quotas: at each node the left half draws its blocks from the node's by a multivariate
 hypergeometric law, as a random deal would. At the leaves each shard holds an exact number
 of blocks of every source; it draws the next ones of the permutation, so no two shards share
@@ -24,6 +24,8 @@ from tessera.llm._storage import saved
 
 WEIGHTS = (5, 2, 1)
 LONGEST = 3
+#: Blocks that close the gap between a source's leading blocks and its target, at most.
+CLOSINGS = 4
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -98,14 +100,16 @@ def plan(blocks: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float =
         .withColumn("rank", F.row_number().over(turn))
         .withColumn("upto", F.sum("words").over(turn.rowsBetween(Window.unboundedPreceding, 0)))
     )
-    # the leading blocks that fit into the rest, then the one other block that fits the gap best
-    of = Window.partitionBy("sid")
-    ranked = ranked.withColumn("leads", (F.col("rest") > 0) & (F.col("passes") < most) & (F.col("upto") <= F.col("rest")))
-    ranked = ranked.withColumn("gap", F.col("rest") - F.coalesce(F.max(F.when(F.col("leads"), F.col("upto"))).over(of), F.lit(0)))
-    off = F.struct(F.abs(F.col("words") - F.col("gap")).alias("off"), F.col("rank").alias("rank"))
-    ranked = ranked.withColumn("last", F.min(F.when(~F.col("leads") & (F.col("passes") < most), off)).over(of))
-    closes = F.coalesce((F.col("rank") == F.col("last.rank")) & (F.col("last.off") < F.col("gap")), F.lit(False))
-    ranked = saved(ranked.withColumn("extra", F.col("leads") | closes).drop("leads", "gap", "last"))
+    # the leading blocks that fit into the rest, then one at a time the other block that fits what is missing best
+    of, open_ = Window.partitionBy("sid"), F.col("passes") < most
+    ranked = ranked.withColumn("extra", open_ & (F.col("rest") > 0) & (F.col("upto") <= F.col("rest")))
+    for _ in range(CLOSINGS):
+        ranked = ranked.withColumn("gap", F.col("rest") - F.coalesce(F.sum(F.when(F.col("extra"), F.col("words"))).over(of), F.lit(0)))
+        off = F.struct(F.abs(F.col("words") - F.col("gap")).alias("off"), F.col("rank").alias("rank"))
+        ranked = ranked.withColumn("last", F.min(F.when(~F.col("extra") & open_, off)).over(of))
+        closes = F.coalesce((F.col("rank") == F.col("last.rank")) & (F.col("last.off") < F.col("gap")), F.lit(False))
+        ranked = ranked.withColumn("extra", F.col("extra") | closes).drop("gap", "last")
+    ranked = saved(ranked)
     per = {r["sid"]: r for r in ranked.groupBy("sid").agg(F.count("*").alias("blocks"), F.count_if("extra").alias("extra")).collect()}
     quotas = [whole[i] * per[i]["blocks"] + per[i]["extra"] if i in per else 0 for i in range(len(rows))]
     deal = split_quotas(quotas, shards, seed) if quotas else np.zeros((shards, 0), np.int64)
@@ -116,9 +120,11 @@ def plan(blocks: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float =
     size = Window.partitionBy("sid")
     drawn = (
         ranked.withColumn("n_blocks", F.count("*").over(size))
+        .withColumn("turn", F.sum(F.when(F.col("extra"), 1).otherwise(0)).over(turn.rowsBetween(Window.unboundedPreceding, 0)))
         .where(copies > 0)
-        .select("sid", "block", F.explode(F.sequence(F.lit(0), copies - 1)).alias("copy"), "rank", "n_blocks")
-        .withColumn("draw", F.col("copy").cast("bigint") * F.col("n_blocks") + F.col("rank") - 1)
+        .select("sid", "block", "passes", F.explode(F.sequence(F.lit(0), copies - 1)).alias("copy"), "rank", "turn", "n_blocks")
+        # whole passes take the blocks by rank, the last one takes the extra blocks by their turn
+        .withColumn("draw", F.col("copy").cast("bigint") * F.col("n_blocks") + F.when(F.col("copy") < F.col("passes"), F.col("rank")).otherwise(F.col("turn")) - 1)
     )
     return sources, drawn.join(places, ["sid", "draw"]).select("sid", "block", F.col("copy").cast("int").alias("copy"), "shard")
 

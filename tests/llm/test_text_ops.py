@@ -346,6 +346,19 @@ def test_mix_meets_targets(spark, small):
     assert all(r.n == r.p == r.m + 1 for r in places)
 
 
+def test_every_planned_block_is_drawn(spark):
+    rng = np.random.default_rng(6)
+    rows = [(s, b, int(w)) for s, n in (("a", 40), ("b", 300), (None, 120)) for b, w in enumerate(rng.integers(1, 400, n))]
+    sources, draws = mixing.plan(spark.createDataFrame(rows, "source string, block int, words long"), shards=7)
+    words = {(s, b): w for s, b, w in rows}
+    of = {r.sid: (r.source, r.target) for r in sources.collect()}
+    got = [(of[r.sid][0], r.block, r.copy) for r in draws.collect()]
+    assert len(got) == len(set(got))
+    for s, target in of.values():
+        assert abs(sum(words[x, b] for x, b, _ in got if x == s) - target) <= 20
+    assert of[0][0] == "a" and of[2][0] is None and of[0][1] == 3 * sum(w for s, _, w in rows if s == "a")
+
+
 def test_mix_odd_inputs(spark):
     rows = mixing.taken(odd(spark)).collect()
     assert len(rows) == 9 and all(r.taken <= 3 * r["size"] for r in rows)
