@@ -1,8 +1,8 @@
 """Mixing sources to target weights by a multivariate-hypergeometric splitting tree.
 
 Each source is cut into blocks of documents by a hash. A source's target fixes its exact
-quota of blocks: so many whole passes over all blocks, plus for the rest the leading blocks of
-a fixed permutation and a few other blocks that close the gap best. A binary tree over the output shards then splits the vector of
+quota of blocks: so many whole passes over all blocks, plus for the rest the blocks of a fixed
+permutation in turn, each that still fits, and a few exchanges that close the gap. A binary tree over the output shards then splits the vector of
 quotas: at each node the left half draws its blocks from the node's by a multivariate
 hypergeometric law, as a random deal would. At the leaves each shard holds an exact number
 of blocks of every source; it draws the next ones of the permutation, so no two shards share
@@ -16,6 +16,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,8 +25,6 @@ from tessera.llm._storage import saved
 
 WEIGHTS = (5, 2, 1)
 LONGEST = 3
-#: Blocks that close the gap between a source's leading blocks and its target, at most.
-CLOSINGS = 4
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -79,6 +78,49 @@ def _large_draw(rng: np.random.Generator, have: np.ndarray, n: int) -> np.ndarra
     return out
 
 
+def _last_pass(most: float):
+    """For the ranked blocks of one source: which ones its last, partial pass takes (``extra``).
+
+    Each block in turn is taken if it fits into what is missing, one that doesn't is passed
+    over; so no block is left that fits. Then blocks are added or exchanged, one at a time, as long
+    as the target is missed by less.
+    """
+
+    def choose(table: pa.Table) -> pa.Table:
+        table = table.sort_by("rank")
+        words = table.column("words").to_numpy()
+        gap, extra, missed = float(table.column("rest")[0].as_py()), np.zeros(len(words), bool), False
+        if table.column("passes")[0].as_py() < most and gap > 0:
+            for i, w in enumerate(words.tolist()):
+                # blocks without words don't change the gap: those among the leading ones are taken
+                if w <= gap and (w or not missed):
+                    extra[i], gap = True, gap - w
+                else:
+                    missed = True
+            while gap:
+                # the exchange of a taken block (or none) for another that leaves the least gap
+                free = np.flatnonzero(~extra)
+                free = free[np.argsort(words[free], kind="stable")]
+                if not len(free):
+                    break
+                ours = np.concatenate([[-1], np.flatnonzero(extra)])
+                size = np.where(ours < 0, 0, words[ours])
+                at = np.searchsorted(words[free], size + gap)
+                near = np.stack([np.maximum(at - 1, 0), np.minimum(at, len(free) - 1)])
+                off = np.abs(words[free][near] - size - gap)
+                side, x = np.unravel_index(off.argmin(), off.shape)
+                if off[side, x] >= abs(gap):
+                    break
+                new = free[near[side, x]]
+                gap -= float(words[new] - size[x])
+                extra[new] = True
+                if ours[x] >= 0:
+                    extra[ours[x]] = False
+        return table.append_column("extra", pa.array(extra, pa.bool_()))
+
+    return choose
+
+
 def plan(blocks: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = LONGEST, shards: int = 64, seed: int = 7):
     """(sources, draws) of the block table (source, block, words).
 
@@ -98,18 +140,8 @@ def plan(blocks: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float =
         join_checked(blocks, sources, blocks["source"].eqNullSafe(sources["source"]), "inner", len(rows))
         .select("sid", "block", "words", "passes", "rest")
         .withColumn("rank", F.row_number().over(turn))
-        .withColumn("upto", F.sum("words").over(turn.rowsBetween(Window.unboundedPreceding, 0)))
     )
-    # the leading blocks that fit into the rest, then one at a time the other block that fits what is missing best
-    of, open_ = Window.partitionBy("sid"), F.col("passes") < most
-    ranked = ranked.withColumn("extra", open_ & (F.col("rest") > 0) & (F.col("upto") <= F.col("rest")))
-    for _ in range(CLOSINGS):
-        ranked = ranked.withColumn("gap", F.col("rest") - F.coalesce(F.sum(F.when(F.col("extra"), F.col("words"))).over(of), F.lit(0)))
-        off = F.struct(F.abs(F.col("words") - F.col("gap")).alias("off"), F.col("rank").alias("rank"))
-        ranked = ranked.withColumn("last", F.min(F.when(~F.col("extra") & open_, off)).over(of))
-        closes = F.coalesce((F.col("rank") == F.col("last.rank")) & (F.col("last.off") < F.col("gap")), F.lit(False))
-        ranked = ranked.withColumn("extra", F.col("extra") | closes).drop("gap", "last")
-    ranked = saved(ranked)
+    ranked = saved(ranked.groupBy("sid").applyInArrow(_last_pass(most), "sid int, block int, words bigint, passes int, rest double, rank int, extra boolean"))
     per = {r["sid"]: r for r in ranked.groupBy("sid").agg(F.count("*").alias("blocks"), F.count_if("extra").alias("extra")).collect()}
     quotas = [whole[i] * per[i]["blocks"] + per[i]["extra"] if i in per else 0 for i in range(len(rows))]
     deal = split_quotas(quotas, shards, seed) if quotas else np.zeros((shards, 0), np.int64)

@@ -359,6 +359,24 @@ def test_every_planned_block_is_drawn(spark):
     assert of[0][0] == "a" and of[2][0] is None and of[0][1] == 3 * sum(w for s, _, w in rows if s == "a")
 
 
+def test_a_block_that_does_not_fit_is_passed_over(spark):
+    rng = np.random.default_rng(3)
+    for long in (20_000,):
+        rows = [(s, b, int(w)) for s in "abc" for b, w in enumerate([*rng.integers(100, 500, 300), long])]
+        words = {(s, b): w for s, b, w in rows}
+        for seed in range(2):
+            sources, draws = mixing.plan(spark.createDataFrame(rows, "source string, block int, words long"), shards=3, seed=seed)
+            of = {r.sid: (r.source, r.target) for r in sources.collect()}
+            got = [(of[r.sid][0], r.block, r.copy) for r in draws.collect()]
+            assert len(got) == len(set(got))
+            for s, target in of.values():
+                taken = [b for x, b, _ in got if x == s]
+                miss = target - sum(words[s, b] for b in taken)
+                # either close to the target, or no block that fits is left
+                left = [w for (x, b), w in words.items() if x == s and taken.count(b) < max(map(taken.count, taken))]
+                assert abs(miss) <= 100 or miss < min(left, default=math.inf)
+
+
 def test_mix_odd_inputs(spark):
     rows = mixing.taken(odd(spark)).collect()
     assert len(rows) == 9 and all(r.taken <= 3 * r["size"] for r in rows)
