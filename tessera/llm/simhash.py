@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm._graph import components
 from tessera.llm._hashing import mix
-from tessera.llm._joins import join_checked
+from tessera.llm._joins import BROADCAST_ROWS, join_checked
 from tessera.llm._storage import saved
 
 SEED = 42
@@ -235,39 +235,74 @@ def jaccard(a: bytes | None, b: bytes | None, shingle: int = 5) -> float:
     return len(sets[0] & sets[1]) / len(sets[0] | sets[1])
 
 
+def close_pairs(pairs: DataFrame, docs: DataFrame, key: str, text: str, similarity: float, shingle: int) -> DataFrame:
+    """The ``b`` of those ``pairs`` (a, b) of keys whose texts have ``similarity`` or more, each once."""
+    texts = docs.select(F.col(key).alias("key"), F.col(text).cast("binary").alias("text"))
+    n = pairs.limit(BROADCAST_ROWS + 1).count()
+    firsts = join_checked(texts, pairs.withColumnRenamed("a", "key"), "key", "inner", n).select("b", F.col("text").alias("first"))
+    wanted = join_checked(texts, pairs.select(F.col("b").alias("key")).distinct(), "key", "left_semi", n)
+    both = wanted.join(firsts, F.col("key") == F.col("b")).select("key", "text", "first")
+    kind = docs.schema[key].dataType.simpleString()
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            close = [jaccard(a.as_py(), b.as_py(), shingle) >= similarity for a, b in zip(batch.column(1), batch.column(2))]
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(close, pa.bool_()))], names=["key"])
+
+    return both.mapInArrow(compare, f"key {kind}").distinct()
+
+
+def settled(members: DataFrame, docs: DataFrame, key: str, text: str, similarity: float, shingle: int, whole: int = 32, heads: int = 16) -> DataFrame:
+    """Keys of rows to drop, so that no two rows left in a group of ``members`` (group, key) have ``similarity`` or more.
+
+    In each round a group's first rows are compared with all its others and then leave it, as
+    do the rows that are near copies of one with a smaller key: the first round with one row,
+    the next ones with ``heads``, or at once all with all in groups of at most ``whole``.
+    So every two rows that stay have been compared; of close ones the larger key goes.
+    """
+    now, turn, gone = saved(members), 0, members.select("key").limit(0)
+    while True:
+        place = F.pmod(F.xxhash64("key"), F.lit(heads))
+        firsts = [F.min("key")] if not turn else [F.min(F.when(place == j, F.col("key"))) for j in range(heads)]
+        groups = saved(now.groupBy("group").agg(F.count("*").alias("n"), F.array_compact(F.array(*firsts)).alias("heads")).where("n > 1"))
+        if groups.isEmpty():
+            return gone
+        rows = saved(join_checked(now, groups, "group", "inner"))
+        open_ = rows if not turn else rows.where(F.col("n") > whole)
+        pairs = open_.select(F.explode("heads").alias("head"), "key").where("head <> key").select(F.least("head", "key").alias("a"), F.greatest("head", "key").alias("b"))
+        if turn:
+            few = rows.where(F.col("n") <= whole).select("group", "key")
+            pairs = pairs.unionByName(few.withColumnRenamed("key", "a").join(few.withColumnRenamed("key", "b"), "group").where("a < b").select("a", "b"))
+        new = saved(close_pairs(saved(pairs.distinct()), docs, key, text, similarity, shingle))
+        gone = gone.unionByName(new)
+        left = open_.where(~F.array_contains("heads", F.col("key"))).select("group", "key")
+        now, turn = saved(join_checked(left, new, "key", "left_anti").select("group", "key")), turn + 1
+
+
 def verified_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", views: int = 6, similarity: float = 0.8, shingle: int = 5, **how) -> DataFrame:
     """Keys of rows that are near copies of a row with a smaller key, by exact similarity.
 
-    Candidates are the components over links of word fingerprints in any view; each of their
-    rows is compared with the row of the component's smallest key, and named if the word
-    shingles of the two have ``similarity`` or more. Rows without a key are not compared.
+    Candidates are the components over links of word fingerprints in any view; in each of them
+    rows are named until no two others have word shingles of ``similarity`` or more (see
+    ``settled``). Rows without a key are not compared.
     """
     marked = saved(word_fingerprints(docs.where(F.col(key).isNotNull()), key, text, views))
     classes = saved(marked.groupBy("view", "fp").agg(F.min("key").alias("least")))
     near = links(classes.select("view", "fp"), **how)
     ends = near.join(classes.select("view", F.col("fp").alias("a"), F.col("least").alias("x")), ["view", "a"]).join(classes.select("view", F.col("fp").alias("b"), F.col("least").alias("y")), ["view", "b"])
     same = marked.join(classes, ["view", "fp"]).where("key <> least").select(F.col("key").alias("a"), F.col("least").alias("b"))
-    roots = saved(components(ends.select(F.col("x").alias("a"), F.col("y").alias("b")).unionByName(same).distinct()).where("node <> root"))
-    texts = docs.select(F.col(key).alias("key"), F.col(text).cast("binary").alias("text"))
-    firsts = join_checked(texts, roots.select(F.col("root").alias("key")).distinct(), "key", "left_semi").dropDuplicates(["key"]).withColumnsRenamed({"key": "root", "text": "first"})
-    pairs = join_checked(texts, roots.withColumnRenamed("node", "key"), "key", "inner").join(firsts, "root")
-    kind = docs.schema[key].dataType.simpleString()
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            close = [jaccard(a.as_py(), b.as_py(), shingle) >= similarity for a, b in zip(batch.column(1), batch.column(2))]
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(close, pa.bool_()))], names=["key"])
-
-    return pairs.select("key", "text", "first").mapInArrow(compare, f"key {kind}").distinct().withColumnRenamed("key", key)
+    roots = components(ends.select(F.col("x").alias("a"), F.col("y").alias("b")).unionByName(same).distinct())
+    members = roots.select(F.col("root").alias("group"), F.col("node").alias("key"))
+    return settled(members, docs, key, text, similarity, shingle).withColumnRenamed("key", key)
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", views: int = 6, similarity: float = 0.8, **how) -> DataFrame:
     """``docs`` without the near duplicates.
 
     Of each component (see ``near_duplicates``) the row with the smallest key stays. Of what is
-    left, rows go that have ``similarity`` or more to the first row of their group in the word
-    fingerprints of some view (see ``verified_copies``): fingerprints of shingles differ in
-    more than a few bits even for close copies. ``views`` 0: that second step is left out.
+    left, rows go until no two of a group in the word fingerprints have ``similarity`` or more
+    (see ``verified_copies``): fingerprints of shingles differ in more than a few bits even
+    for close copies. ``views`` 0: that second step is left out.
 
     Rows without a key can't be told apart and stay; repeated rows of a kept key stay.
     All columns are returned unchanged.

@@ -123,6 +123,28 @@ def test_near_copies_go_and_others_stay(spark):
     assert {i for i, _ in docs} - {r.doc_id for r in simhash.keep_one(df).collect()} == copies
 
 
+def test_copies_of_a_weak_first_row_go(spark):
+    rng = np.random.default_rng(11)
+    # the first row of each group is close to none of the others, which are close to each other
+    docs, group = [], []
+    for g, n in enumerate((6, 50)):
+        base = [f"w{x}" for x in rng.integers(0, 9000, 250)]
+        weak = list(base)
+        for k in range(0, 250, 10):
+            weak[k] = f"weak{g}"
+        docs.append((1000 * g, " ".join(weak)))
+        for i in range(1, n):
+            changed = list(base)
+            for k in rng.integers(0, 250, i % 3):
+                changed[k] = "other"
+            docs.append((1000 * g + i, " ".join(changed)))
+        group += [(g, i) for i, _ in docs if i // 1000 == g]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    members = spark.createDataFrame(group, "group long, key long")
+    gone = {r.key for r in simhash.settled(members, df, "doc_id", "text", 0.8, 5, whole=8, heads=2).collect()}
+    assert {i for i, _ in docs} - gone == {0, 1, 1000, 1001}
+
+
 def test_near_duplicates_match_brute_force(spark, small):
     docs = spark.read.parquet(f"{small}/documents.parquet")
     texts = {r.doc_id: r.text for r in docs.select("doc_id", "text").collect()}
