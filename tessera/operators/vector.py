@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text as T
 
-#: Queries that one call takes at most; their vectors are sent to every task.
+#: Queries of a block; a block's vectors are sent to every task of its pass over the corpus.
 LIMIT = 20_000
 
 
@@ -48,39 +49,46 @@ def knn(queries: DataFrame, corpus: DataFrame, k: int, key: str = "key", keep: t
     another length than the query's are not found.
 
     Each Arrow batch of the corpus is multiplied with all queries at once and passes on its best
-    ``k`` of each; the queries, LIMIT at most at a time, go to every task.
+    ``k`` of each; the queries go to every task in blocks of LIMIT, one pass over the corpus each.
     """
     chunks = (corpus if where is None else corpus.where(where)).select(F.col(key).alias("key"), "embedding", *(c for c in keep if c != "embedding"))
-    asked = queries.where("embedding IS NOT NULL").select(F.to_json(F.struct("query_id")).alias("id"), "embedding").limit(LIMIT + 1).collect()
-    if len(asked) > LIMIT:
-        raise ValueError(f"{LIMIT} queries at a time at most")
+    asked = queries.where("embedding IS NOT NULL").select(F.to_json(F.struct("query_id")).alias("id"), "embedding")
+    some = asked.limit(LIMIT + 1).collect()
+    # beyond one block the queries pass through the driver a block at a time
+    rest = iter(some) if len(some) <= LIMIT else asked.toLocalIterator()
     schema = chunks.drop("embedding") if "embedding" not in keep else chunks
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.schema.fields)
-    by_dim: dict[int, tuple[list[str], np.ndarray]] = {}
-    for dim in {len(r["embedding"]) for r in asked}:
-        own = [r for r in asked if len(r["embedding"]) == dim]
-        m = np.array([r["embedding"] for r in own], np.float32).astype(np.float64).reshape(len(own), dim)
-        by_dim[dim] = ([r["id"] for r in own], m if unit else _unit(m))
-    given = corpus.sparkSession.sparkContext.broadcast(by_dim)
     names = schema.columns
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = batch.select(names)
-            turn = np.empty(batch.num_rows, np.int64)
-            turn[np.asarray(pc.sort_indices(batch.column("key")))] = np.arange(batch.num_rows)
-            for dim, (ids, wanted) in given.value.items():
-                places, m = _rows(batch.column("embedding"), dim)
-                if not len(places):
-                    continue
-                scores = np.round(wanted @ (m if unit else _unit(m)).T, digits) + 0.0
-                best = [_best(s, turn[places], k) for s in scores]
-                at = np.concatenate(best)
-                out = rows.take(pa.array(places[at]))
-                extra = [pa.array(np.repeat(ids, [len(b) for b in best]).tolist(), pa.string()), pa.array(np.concatenate([s[b] for s, b in zip(scores, best)]), pa.float64())]
-                yield pa.RecordBatch.from_arrays([*extra, *out.columns], names=["id", "score", *names])
-
-    found = chunks.mapInArrow(run, f"id string, score double, {kinds}")
+    def search(block: list) -> DataFrame:
+        by_dim: dict[int, tuple[list[str], np.ndarray]] = {}
+        for dim in {len(r["embedding"]) for r in block}:
+            own = [r for r in block if len(r["embedding"]) == dim]
+            m = np.array([r["embedding"] for r in own], np.float32).astype(np.float64).reshape(len(own), dim)
+            by_dim[dim] = ([r["id"] for r in own], m if unit else _unit(m))
+        given = corpus.sparkSession.sparkContext.broadcast(by_dim)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                rows = batch.select(names)
+                turn = np.empty(batch.num_rows, np.int64)
+                turn[np.asarray(pc.sort_indices(batch.column("key")))] = np.arange(batch.num_rows)
+                for dim, (ids, wanted) in given.value.items():
+                    places, m = _rows(batch.column("embedding"), dim)
+                    if not len(places):
+                        continue
+                    scores = np.round(wanted @ (m if unit else _unit(m)).T, digits) + 0.0
+                    best = [_best(s, turn[places], k) for s in scores]
+                    at = np.concatenate(best)
+                    out = rows.take(pa.array(places[at]))
+                    extra = [pa.array(np.repeat(ids, [len(b) for b in best]).tolist(), pa.string()), pa.array(np.concatenate([s[b] for s, b in zip(scores, best)]), pa.float64())]
+                    yield pa.RecordBatch.from_arrays([*extra, *out.columns], names=["id", "score", *names])
+
+        return chunks.mapInArrow(run, f"id string, score double, {kinds}")
+
+    found = search(list(islice(rest, LIMIT)))
+    while block := list(islice(rest, LIMIT)):
+        found = found.unionByName(search(block))
     best = Window.partitionBy("id").orderBy(F.col("score").desc(), "key")
     found = found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
     query = F.from_json("id", queries.select("query_id").schema)["query_id"].alias("query_id")

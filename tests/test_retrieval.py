@@ -83,6 +83,15 @@ def test_knn_matches_numpy(spark):
     assert {r.query_id for r in got} == {0, 1}
 
 
+def test_more_queries_than_a_block(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rng.normal(size=(60, 8)))], "key long, embedding array<float>")
+    q = df.where("key < 25").select(F.col("key").alias("query_id"), "embedding")
+    want = sorted(vector.knn(q, df, 3).collect())
+    monkeypatch.setattr(vector, "LIMIT", 10)
+    assert len(want) == 75 and sorted(vector.knn(q, df, 3).collect()) == want
+
+
 def test_mmr_matches_greedy(spark):
     rng = np.random.default_rng(5)
     m = rng.normal(size=(30, 6)).astype(np.float32)
