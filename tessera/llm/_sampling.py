@@ -15,7 +15,10 @@ def place(key: str) -> Column:
 
 
 def smallest(rows: DataFrame, key: str, most: int, group: str) -> DataFrame:
-    """``most`` rows of each ``group`` at most; the groups, few by nature, are counted first."""
+    """``most`` rows of each ``group`` at most; the groups, few by nature, are counted first.
+
+    ``key`` has no null and names one row of its group: the first cut counts on that.
+    """
     counts = rows.groupBy(group).agg(F.count("*").alias("_n"))
     near = rows.join(F.broadcast(counts), group) if counts.limit(100_001).count() <= 100_000 else rows.join(counts, group)
     near = near.where(place(key) <= F.lit(float(_RANGE)) * F.least(F.lit(1.0), F.lit(float(_SPARE * most)) / F.col("_n")))

@@ -23,12 +23,12 @@ from tessera.llm._sampling import smallest
 from tessera.llm._storage import saved
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
-#: Labelled texts of each language that the model is fitted on at most: those with the smallest hash of the key.
+#: Labelled texts of each language that the model is fitted on at most: those with the smallest hash of the text.
 SAMPLE_DOCS = 600
 UNKNOWN = "und"
 _WORD = re.compile(r"[^\W\d_]+")
-#: Longer words are cut into stretches of so many letters.
-_LONGEST = 24
+#: Longer words are gone through one by one, with numbers kept in range. They are scored, but teach nothing.
+_LONG = 64
 _BEGIN = "▁"
 #: Words whose probabilities a worker keeps.
 _KEPT = 400_000
@@ -44,10 +44,12 @@ def pieces_of(vocabulary: str = VOCABULARY) -> list[str]:
 
 
 def words_of(text: str) -> list[str]:
+    """Runs of letters, in lower case."""
     found = _WORD.findall(text.lower())
-    if max(map(len, found), default=0) <= _LONGEST:
+    if all(map(str.isalpha, found)):
         return found
-    return [w[i : i + _LONGEST] for w in found for i in range(0, len(w), _LONGEST)]
+    # numbers that are no digits (fractions, Roman numerals) are word characters, but no letters
+    return [w for x in found for w in "".join(c if c.isalpha() else " " for c in x).split()]
 
 
 def prefix_table(pieces: Sequence[str]) -> dict[str, int]:
@@ -123,6 +125,23 @@ class Lattice:
         return self.forward(probs)[np.arange(self.n), self.sizes]
 
 
+def log_total(word: str, table: dict[str, int], probs: np.ndarray) -> np.ndarray:
+    """Natural log of the sum over all segmentations of one word of any length, for each language."""
+    word, longest, unseen = _BEGIN + word, max(map(len, table), default=1), len(probs) - 1
+    sums, scale = [np.ones(probs.shape[1])], np.zeros(probs.shape[1])
+    for j in range(1, len(word) + 1):
+        k = table.get(word[j - 1])
+        new = sums[-1] * probs[unseen if k is None or k < 0 else k]
+        for n in range(2, min(longest, j) + 1):
+            k = table.get(word[j - n : j])
+            if k is not None and k >= 0:
+                new = new + sums[-n] * probs[k]
+        sums = [*sums[1 - longest :], new] if longest > 1 else [new]
+        if new.min() < 1e-100:
+            sums, scale = [x / new for x in sums], scale + np.log(new)
+    return np.log(sums[-1]) + scale
+
+
 @dataclass(frozen=True)
 class Model:
     languages: tuple[str, ...]
@@ -145,9 +164,13 @@ class Scorer:
     def of_words(self, words: list[str]) -> np.ndarray:
         """(words, languages) natural logs of the words' probabilities."""
         out = np.empty((len(words), len(self.model.languages)))
-        for at in range(0, len(words), 20_000):
-            part = words[at : at + 20_000]
-            out[at : at + len(part)] = np.log(np.maximum(Lattice(part, self.pieces, len(self.model.pieces)).totals(self.model.probs), 1e-300))
+        short = [i for i, w in enumerate(words) if len(w) <= _LONG]
+        for at in range(0, len(short), 20_000):
+            part = short[at : at + 20_000]
+            out[part] = np.log(np.maximum(Lattice([words[i] for i in part], self.pieces, len(self.model.pieces)).totals(self.model.probs), 1e-300))
+        for i, w in enumerate(words):
+            if len(w) > _LONG:
+                out[i] = log_total(w, self.pieces, self.model.probs)
         return out
 
     def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
@@ -183,7 +206,7 @@ def fit(counts: list[tuple[str, str, int]], pieces: list[str], rounds: int = 4,
     table = prefix_table(pieces)
     probs = np.zeros((len(pieces) + 1, len(languages)))
     for k, language in enumerate(languages):
-        own = [(w, n) for a, w, n in counts if a == language]
+        own = [(w, n) for a, w, n in counts if a == language and len(w) <= _LONG]
         p = np.full((len(pieces) + 1, 1), 1 / (len(pieces) + 1))
         lattices = [(Lattice([w for w, _ in own[at : at + 5000]], table, len(pieces)), np.array([n for _, n in own[at : at + 5000]], float)) for at in range(0, len(own), 5000)]
         for _ in range(rounds):
@@ -219,10 +242,11 @@ def held_out(key: str):
 
 
 def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", vocabulary: str = VOCABULARY, sample: int = SAMPLE_DOCS) -> Model:
-    """Model from the rows of ``docs`` that aren't held out and have text and language."""
+    """Model from the rows of ``docs`` that aren't held out and have text and language; equal texts of a language count once."""
     usable = docs.where(~held_out(key) & F.col(text).isNotNull() & F.col(lang).isNotNull())
-    keys = saved(smallest(usable.select(F.col(key).alias("key"), F.col(lang).alias("lang")), "key", sample, "lang").distinct())
-    texts = join_checked(usable.select(F.col(key).alias("key"), F.col(lang).alias("lang"), F.col(text).alias("text")), keys, ["key", "lang"], "left_semi")
+    usable = usable.select(F.xxhash64(text).alias("mark"), F.col(lang).alias("lang"), F.col(text).alias("text"))
+    chosen = saved(smallest(usable.select("mark", "lang").distinct(), "mark", sample, "lang"))
+    texts = join_checked(usable, chosen, ["mark", "lang"], "left_semi").groupBy("mark", "lang").agg(F.min("text").alias("text"))
     return fit(word_counts(texts), pieces_of(vocabulary))
 
 
@@ -248,9 +272,10 @@ def identify(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str
     lang_pred: the likeliest learned language, ``und`` if the text is null or has no letter;
     score: its posterior probability (equal priors), 0 with ``und``.
 
-    Ties go to the first language by name; repeated rows get the same result each; with no
-    labelled text at all every row is ``und``; an empty table gives an empty result. The model
-    sees at most ``sample`` texts of each language.
+    Ties go to the first language by name; repeated rows get the same result each; rows without
+    a key are learned from, and rows that share a key or a text don't crowd others out; words and texts of
+    any length are scored whole; with no labelled text at all every row is ``und``; an empty table
+    gives an empty result. The model sees at most ``sample`` texts of each language.
     """
     found = predict(docs, train(docs, key, text, lang, vocabulary, sample), key, text)
     return found.select(key, held_out(key).alias("held_out"), "lang_pred", "score")
