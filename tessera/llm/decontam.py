@@ -2,13 +2,15 @@
 
 A seed is a fixed mask over ``SPAN`` consecutive words: the words at its ignored places may
 differ. Every window of every document is hashed under each mask and joined with the hashes
-of all windows of the benchmark; a substituted word stays unseen by the masks that ignore
-its place. Around each hit the aligned word sequences are compared word by word: matches
-count 1, substitutions cost 2, and the best stretch (ungapped local alignment) must reach
-``least`` points.
+of all windows of the benchmark; two substituted words stay unseen by the mask that ignores
+their places, whatever their distance within the window. A hit names a diagonal of a text and
+an item; once for each diagonal both are compared word by word, along the whole item: matches count 1,
+substitutions cost 2, and the best stretch (ungapped local alignment) must reach ``least``
+points, or the item's length if that is less.
 
 Before hashing, windows with a selected word that no benchmark item has are passed over; no
-such window can match. All of it is built-in Spark expressions.
+such window can match. What is joined are bare seeds; words are fetched for hits only. All of
+it is built-in Spark expressions.
 """
 
 from __future__ import annotations
@@ -22,12 +24,10 @@ from tessera.llm._joins import BROADCAST_ROWS, join_checked
 from tessera.llm._storage import saved
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: 1: the word counts, 0: it may differ.
-MASKS = ("11011011", "11100111", "10111101")
+#: 1: the word counts, 0: it may differ. Two places at each distance from 1 to 7.
+MASKS = ("11100111", "11010111", "11011011", "10111011", "10111101", "01111101", "01111110")
 SPAN = len(MASKS[0])
-#: Words on either side of a hit that are compared.
-REACH = 96
-#: Distinct benchmark words up to which windows are passed over by a literal word set.
+#: Distinct benchmark words up to which windows are passed over by a literal word set; beyond it all windows are joined.
 VOCABULARY = 20_000
 
 
@@ -75,29 +75,37 @@ def overlaps(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str =
     mark is a hash of the document's text; with the key it names the row.
     """
     bench = items.select(F.col(item_key).alias("item"), words_of(item_text).alias("item_words")).where(F.size("item_words") >= SPAN)
-    seeds = saved(_seeds(bench, "item_words", lambda i, m: F.lit(True)).select("seed", "item", F.col("at").alias("item_at")))
-    texts = saved(bench.distinct())
+    seeds = saved(_seeds(bench, "item_words", lambda i, m: F.lit(True)).select("seed", F.xxhash64("item", "item_words").alias("twin"), F.col("at").alias("item_at")).distinct())
+    texts = saved(bench.distinct().select("item", "item_words", F.xxhash64("item", "item_words").alias("twin")))
     vocabulary = [r[0] for r in texts.select(F.explode("item_words")).distinct().limit(VOCABULARY + 1).collect()]
     frame = docs.select(F.col(key).alias("key"), F.xxhash64(text).alias("mark"), words_of(text).alias("words"))
     if len(vocabulary) <= VOCABULARY:
-        known = F.transform("words", lambda w: w.isin(vocabulary) if vocabulary else F.lit(False))
-        frame = frame.select("*", known.alias("known"))
+        # one letter a word: 1 if the benchmark has it; a pattern then tells whether any window is left
+        known = F.array_join(F.transform("words", lambda w: F.when(w.isin(vocabulary) if vocabulary else F.lit(False), "1").otherwise("0")), "")
+        frame = frame.select("*", known.alias("known")).where(F.col("known").rlike("|".join(m.replace("0", ".") for m in MASKS)))
 
         def usable(i: Column, m: int) -> Column:
-            return reduce(Column.__and__, (F.get("known", i + o) for o in _places(MASKS[m])))
+            return F.substring("known", i + 1, F.lit(SPAN)).rlike(MASKS[m].replace("0", "."))
     else:
 
         def usable(i: Column, m: int) -> Column:
             return F.lit(True)
 
-    probes = _seeds(frame, "words", usable).select("key", "mark", "seed", F.least("at", F.lit(REACH)).alias("at"), F.slice("words", F.greatest(F.col("at") - REACH, F.lit(0)) + 1, F.lit(2 * REACH + SPAN)).alias("near"))
+    probes = _seeds(frame, "words", usable).select("key", "mark", "seed", "at")
     n = seeds.limit(BROADCAST_ROWS + 1).count()
     hits = join_checked(probes, seeds, "seed", "inner", n)
-    both = join_checked(hits, texts, "item", "inner", n)
-    before = F.least("at", "item_at")
-    after = F.least(F.size("near") - F.col("at"), F.size("item_words") - F.col("item_at")) - 1
-    same = F.transform(F.sequence(-before, after), lambda k: F.get("near", F.col("at") + k) == F.get("item_words", F.col("item_at") + k))
-    scored = both.select("key", "mark", "item", _best(same).alias("best")).where(F.col("best.score") >= least)
+    diagonals = saved(hits.select("key", "mark", "twin", (F.col("at") - F.col("item_at")).alias("shift")).distinct())
+    own = docs.select(F.col(key).alias("key_"), F.xxhash64(text).alias("mark_"), F.col(text).alias("text_"))
+    named = join_checked(own, diagonals.select("key", "mark").distinct(), F.col("key_").eqNullSafe(F.col("key")) & (F.col("mark_") == F.col("mark")), "left_semi")
+    fetched = named.select("key_", "mark_", words_of("text_").alias("words")).dropDuplicates(["key_", "mark_"])
+    both = fetched.join(diagonals, F.col("key_").eqNullSafe(F.col("key")) & (F.col("mark_") == F.col("mark")))
+    begin = F.greatest(F.lit(0), -F.col("shift"))
+    cut = both.select("key", "mark", "twin", begin.alias("begin"), F.slice("words", begin + F.col("shift") + 1, F.lit(1 << 30)).alias("rest"))
+    cut = join_checked(cut, texts, "twin", "inner", n)
+    last = F.least(F.size("rest"), F.size("item_words") - F.col("begin")) - 1
+    same = F.transform(F.sequence(F.lit(0), last), lambda k: F.get("rest", k) == F.get("item_words", F.col("begin") + k))
+    scored = cut.select("key", "mark", "item", F.size("item_words").alias("length"), same.alias("same")).select("key", "mark", "item", "length", _best("same").alias("best"))
+    scored = scored.where(F.col("best.score") >= F.least(F.lit(least), F.col("length")))
     best = F.max(F.struct("best.score", "best.matches")).alias("best")
     return scored.groupBy("key", "mark", "item").agg(best).select("key", "mark", "item", "best.score", "best.matches")
 
@@ -110,13 +118,13 @@ def contamination(docs: DataFrame, items: DataFrame, key: str = "doc_id", text:
     matching words; null and 0 if there is none.
 
     Words are compared in lower case and without punctuation. A null or short text is clean;
-    items of fewer than 8 words, and null ones, have no seed and match nothing; repeated
-    rows, and rows that share a null key and a text, get the same verdict; an empty table
-    of documents gives an empty result, an empty benchmark leaves all clean. Other columns
-    are not read.
+    items of fewer than 8 words, and null ones, have no seed and match nothing; keys are of any type;
+    repeated rows, and rows that share a null key and a text, get the same verdict; an empty table
+    of documents gives an empty result, an empty benchmark leaves all clean; very long texts and
+    items are compared whole. Other columns are not read.
     """
     found = overlaps(docs, items, key, text, item_key, item_text, least)
-    top = F.max_by(F.struct("item", "matches"), F.struct("score", -F.col("item"))).alias("top")
+    top = F.min_by(F.struct("item", "matches"), F.struct(-F.col("score"), F.col("item").isNull(), F.col("item"))).alias("top")
     marked = saved(found.groupBy("key", "mark").agg(F.count("*").alias("n_items"), top))
     own = docs.select(F.col(key).alias("key_"), F.xxhash64(text).alias("mark_"))
     out = join_checked(own, marked, F.col("key_").eqNullSafe(F.col("key")) & (F.col("mark_") == F.col("mark")), "left")

@@ -166,7 +166,7 @@ def test_contamination_matches_brute_force(spark):
             words[at:at] = [w.upper() + "," for w in part]
         docs.append((i, " ".join(words)))
     df, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
-    want = {i: {b for b, t in items if len(_norm(t)) >= 8 and _best(_norm(x), _norm(t)) >= 10} for i, x in docs}
+    want = {i: {b for b, t in items if len(_norm(t)) >= 8 and _best(_norm(x), _norm(t)) >= min(10, len(_norm(t)))} for i, x in docs}
     got = {r.doc_id: r for r in decontam.contamination(df, bench).collect()}
     assert {i: r.contaminated for i, r in got.items()} == {i: bool(s) for i, s in want.items()}
     assert all(got[i].n_items == len(s) and (got[i].item_id in s or not s) for i, s in want.items())
@@ -175,6 +175,37 @@ def test_contamination_matches_brute_force(spark):
     assert kept == {i for i, s in want.items() if not s}
 
 
+def test_contamination_recall_by_distance_of_substitutions(spark):
+    rng = np.random.default_rng(4)
+    vocabulary = [f"v{i}" for i in range(2000)]
+    items = [(f"item-{i}", " ".join(rng.choice(vocabulary, 60))) for i in range(12)]
+    docs, want = [], []
+    for period in range(3, 9):
+        for i, (_, t) in enumerate(items):
+            part = t.split()
+            for k in range(int(rng.integers(0, period)), len(part), period):
+                part[k] = str(rng.choice(vocabulary)) if i % 2 else "changed"
+            docs.append((f"{period}-{i}", " ".join([*rng.choice(vocabulary, 40), *part, *rng.choice(vocabulary, 40)])))
+            want.append(_best(part, t.split()) >= 10)
+    assert sum(want) >= 55
+    df, bench = spark.createDataFrame(docs, "doc_id string, text string"), spark.createDataFrame(items, "item_id string, text string")
+    got = {r.doc_id: r.contaminated for r in decontam.contamination(df, bench).collect()}
+    assert not any(got[i] for (i, _), w in zip(docs, want) if not w)
+    assert sum(got[i] for (i, _), w in zip(docs, want) if w) >= 0.9 * sum(want)
+    for period in range(4, 9):
+        own = [got[i] for (i, _), w in zip(docs, want) if w and i.startswith(f"{period}-")]
+        assert sum(own) >= 0.9 * len(own)
+
+
+def test_contamination_compares_whole_items(spark):
+    words = [f"q{i}" for i in range(400)]
+    short = "one two three four five six seven eight"
+    df = spark.createDataFrame([(1, "a b " + " ".join(words)), (2, " ".join(words[:250]) + " x " + " ".join(words[251:])), (3, f"see {short}"), (4, short[4:])], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, " ".join(words)), (2, short), (3, " ".join(words))], "item_id int, text string")
+    got = {r.doc_id: (r.contaminated, r.n_items, r.item_id, r.overlap) for r in decontam.contamination(df, bench).collect()}
+    assert got == {1: (True, 2, 1, 400), 2: (True, 2, 1, 399), 3: (True, 1, 2, 8), 4: (False, 0, None, 0)}
+
+
 def test_contamination_large_vocabulary_and_shuffle_join(spark, monkeypatch):
     text = " ".join(f"q{i}" for i in range(40))
     df = spark.createDataFrame([(1, "a b " + text), (2, "nothing here at all")], "doc_id long, text string")
@@ -243,6 +274,61 @@ def test_forward_sums_all_segmentations():
     assert np.allclose(lattice.totals(probs)[:, 0], want) and np.allclose(lattice.backward(probs)[:, 0, 0], want)
 
 
+def test_words_are_letters():
+    assert langid.words_of("Añb ½ ² ① Ⅷ x²y a_b 3c4 ĳ") == ["añb", "x", "y", "a", "b", "c", "ĳ"]
+
+
+def _ways(word, pieces):
+    if not word:
+        yield ()
+    for k in range(1, len(word) + 1):
+        if word[:k] in pieces or k == 1:
+            for rest in _ways(word[k:], pieces):
+                yield (word[:k], *rest)
+
+
+def test_prediction_matches_all_segmentations(spark):
+    rng = np.random.default_rng(5)
+    pieces = ["a", "b", "c", "ab", "bc", "abc", "▁", "▁a", "▁b", "▁ab"]
+    probs = rng.dirichlet(np.ones(len(pieces) + 1), 2).T
+    model = langid.Model(("l1", "l2"), tuple(pieces), probs)
+    texts = [" ".join("".join(rng.choice(list("abcx"), rng.integers(1, 7))) for _ in range(rng.integers(1, 6))) for _ in range(40)]
+    got = {r.doc_id: r for r in langid.predict(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model).collect()}
+    ids = {p: i for i, p in enumerate(pieces)}
+    for i, t in enumerate(texts):
+        sums = [sum(math.log(sum(math.prod(probs[ids.get(p, len(pieces)), k] for p in way) for way in _ways("▁" + w, ids))) for w in t.split()) for k in (0, 1)]
+        assert got[i].lang_pred == ("l1" if sums[0] >= sums[1] else "l2")
+        assert got[i].score == pytest.approx(1 / (1 + math.exp(-abs(sums[0] - sums[1]))))
+
+
+def test_long_words_are_scored_whole():
+    pieces = ["a", "b", "ab", "▁", "▁a"]
+    probs = np.array([[0.1, 0.3], [0.2, 0.1], [0.05, 0.2], [0.3, 0.1], [0.07, 0.2], [0.25, 0.1]])
+    scorer = langid.Model(("x", "y"), tuple(pieces), probs).scorer()
+    for w in ("ab" * 20, "abx"):
+        assert np.allclose(langid.log_total(w, scorer.pieces, probs), np.log(langid.Lattice([w], scorer.pieces, 5).totals(probs))[0])
+    long = scorer.of_words(["ab" * 40_000, "abab"])
+    assert np.isfinite(long).all() and long[0, 1] > long[0, 0]
+    # the growth of one more syllable is the same however long the word is
+    assert np.allclose(langid.log_total("ab" * 301, scorer.pieces, probs) - langid.log_total("ab" * 300, scorer.pieces, probs), langid.log_total("ab" * 1001, scorer.pieces, probs) - langid.log_total("ab" * 1000, scorer.pieces, probs))
+
+
+def test_languages_of_rows_without_or_with_one_key_are_learned(spark):
+    rng = np.random.default_rng(2)
+
+    def text(letters):
+        return " ".join("".join(rng.choice(list(letters), 5)) for _ in range(30))
+
+    rows = [(None, text("abcd"), "en") for _ in range(60)] + [(7, text("abcd"), "en") for _ in range(60)] + [(i, text("efgh"), "fr") for i in range(20)] + [(None, text("ijkl"), "xx") for _ in range(20)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.train(df, sample=25)
+    assert model.languages == ("en", "fr", "xx")
+    named = spark.createDataFrame([(lang, t) for _, t, lang in rows], "doc_id string, text string")
+    assert all(r.lang_pred == r.doc_id for r in langid.predict(named, model).collect())
+    odd_ones = spark.createDataFrame([(1, "½ ² ① Ⅷ", "en"), (2, "¾", None)], "doc_id long, text string, lang string")
+    assert {r.lang_pred for r in langid.predict(odd_ones, model).collect()} == {"und"}
+
+
 def test_language_held_out_accuracy(spark, small):
     docs = spark.read.parquet(f"{small}/documents.parquet")
     rows = langid.identify(docs).join(docs.select("doc_id", "lang"), "doc_id").collect()
