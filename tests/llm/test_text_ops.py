@@ -435,7 +435,7 @@ def test_mix_meets_targets(spark, small):
 def test_every_planned_block_is_drawn(spark):
     rng = np.random.default_rng(6)
     rows = [(s, b, int(w)) for s, n in (("a", 40), ("b", 300), (None, 120)) for b, w in enumerate(rng.integers(1, 400, n))]
-    sources, draws = mixing.plan(spark.createDataFrame(rows, "source string, block int, words long"), shards=7)
+    sources, draws, _ = mixing.plan(spark.createDataFrame(rows, "source string, block int, words long"), shards=7)
     words = {(s, b): w for s, b, w in rows}
     of = {r.sid: (r.source, r.target) for r in sources.collect()}
     got = [(of[r.sid][0], r.block, r.copy) for r in draws.collect()]
@@ -451,7 +451,7 @@ def test_a_block_that_does_not_fit_is_passed_over(spark):
         rows = [(s, b, int(w)) for s in "abc" for b, w in enumerate([*rng.integers(100, 500, 300), long])]
         words = {(s, b): w for s, b, w in rows}
         for seed in range(2):
-            sources, draws = mixing.plan(spark.createDataFrame(rows, "source string, block int, words long"), shards=3, seed=seed)
+            sources, draws, _ = mixing.plan(spark.createDataFrame(rows, "source string, block int, words long"), shards=3, seed=seed)
             of = {r.sid: (r.source, r.target) for r in sources.collect()}
             got = [(of[r.sid][0], r.block, r.copy) for r in draws.collect()]
             assert len(got) == len(set(got))
@@ -463,6 +463,33 @@ def test_a_block_that_does_not_fit_is_passed_over(spark):
                 assert abs(miss) <= 100 or miss < min(left, default=math.inf)
 
 
+def test_repeated_and_null_keys_are_drawn_one_by_one(spark):
+    rows = [(None, f"a{i} b c d e f g h i j", "s") for i in range(40)] + [(5, "x y z", "r")] * 30 + [(i, "w " * 80, "t") for i in range(30)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    for parts in (1, 7):
+        found = mixing.taken(df.repartition(parts)).collect()
+        assert len(found) == 100
+        by = {}
+        for r in found:
+            by.setdefault((r.source_size, r.target), []).append(r.taken)
+        for (size, target), taken in by.items():
+            assert abs(sum(taken) - target) <= {400: 10, 90: 3, 2400: 80}[size]
+        again = sorted((r["size"], r.taken) for r in found)
+        assert parts == 1 or again == first
+        first = again
+
+
+def test_subtrees_are_those_of_the_whole_tree(spark):
+    quotas, shards = [100, 0, 7, 1000], 37
+    whole = mixing.split_quotas(quotas, shards, 3)
+    for cells in (4, 40, 4000):
+        got = np.zeros_like(whole)
+        for r in mixing._ranges(spark, quotas, shards, 3, cells).collect():
+            got[r.shard, r.sid] = r.end - r.begin
+            assert r.begin == whole[: r.shard, r.sid].sum()
+        assert (got == whole).all()
+
+
 def test_mix_odd_inputs(spark):
     rows = mixing.taken(odd(spark)).collect()
     assert len(rows) == 9 and all(r.taken <= 3 * r["size"] for r in rows)
