@@ -1,8 +1,10 @@
 """Vectorised hashing of words and word windows for the Arrow-backed operators.
 
 Everything works on one byte buffer holding many texts, so the cost is a few numpy passes
-per byte and nothing per row. Hashes are pure functions of the bytes: no seed, no
-process state, so a task that is run again after a lost executor gives the same values.
+per word and nothing per row. Words are hashed eight bytes at a time, each step mixing all
+bits, so no pattern of bytes cancels out; there are two lanes with nothing in common, for
+hashes of 128 bits. Hashes are pure functions of the bytes: no process state, so a task that
+is run again after a lost executor gives the same values.
 """
 
 from __future__ import annotations
@@ -14,7 +16,10 @@ import numpy as np
 U64 = np.uint64
 _SPACES = np.zeros(256, dtype=bool)
 _SPACES[[9, 10, 11, 12, 13, 32]] = True
-_CHAR_MULT = 0x9E3779B97F4A7C15
+#: Start and multiplier of each lane.
+_LANES = ((0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F), (0x243F6A8885A308D3, 0x9FB21C651E98DF25))
+#: Longer words, of bytes, are hashed one by one.
+_LONG = 64
 _WORD_MULTS = (0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
 _powers_cache: dict[int, np.ndarray] = {}
 
@@ -26,9 +31,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(31))
 
 
-_BYTE_CODES = mix(np.arange(1, 257, dtype=U64) * U64(_CHAR_MULT))
-
-
 def powers(mult: int, n: int) -> np.ndarray:
     """mult ** 0..n-1 modulo 2**64; grown on demand and kept for the worker's life."""
     have = _powers_cache.get(mult)
@@ -72,19 +74,36 @@ class Words:
     def __len__(self) -> int:
         return len(self.starts)
 
-    def hashes(self) -> np.ndarray:
-        if not len(self):
-            return np.zeros(0, dtype=U64)
-        raw = _ranges(_BYTE_CODES[self.buf], self.starts, self.ends, _CHAR_MULT | 1)
-        return mix(raw + (self.ends - self.starts).astype(U64))
+    def hashes(self, lane: int = 0) -> np.ndarray:
+        """A hash of each word; lanes 0 and 1 are independent."""
+        start, mult = (U64(x) for x in _LANES[lane])
+        size = self.ends - self.starts
+        out = mix(size.astype(U64) * mult + start)
+        # the eight bytes from any place on, as one number
+        padded = np.concatenate([self.buf, np.zeros(8, np.uint8)])
+        eight = np.lib.stride_tricks.as_strided(padded[:8].view("<u8"), (len(padded) - 7,), (1,))
+        at = np.flatnonzero(size <= _LONG)
+        for k in range(0, _LONG, 8):
+            at = at[size[at] > k]
+            if not len(at):
+                break
+            rest = np.minimum(size[at] - k, 8).astype(U64) * U64(8)
+            chunk = eight[self.starts[at] + k] & (U64(2**64 - 1) >> (U64(64) - rest))
+            out[at] = mix((out[at] ^ chunk) * mult + start)
+        if (long := np.flatnonzero(size > _LONG)).size:
+            import xxhash
+
+            for i in long.tolist():
+                both = xxhash.xxh3_128_digest(self.data[self.starts[i] : self.ends[i]])
+                out[i] = int.from_bytes(both[8 * lane : 8 * lane + 8], "little")
+        return out
 
 
 def window_hashes(words: np.ndarray, starts: np.ndarray, size: int, kind: int = 0) -> np.ndarray:
-    """Hash of the ``size`` words from each start; kinds 0 and 1 are independent."""
+    """Hash of the ``size`` words from each start; ``words`` are the hashes of the lane of that kind."""
     if not len(starts):
         return np.zeros(0, dtype=U64)
-    codes = words if kind == 0 else mix(words ^ U64(0x5851F42D4C957F2D))
-    return mix(_ranges(codes, starts, starts + size, _WORD_MULTS[kind]))
+    return mix(_ranges(words, starts, starts + size, _WORD_MULTS[kind]))
 
 
 def window_starts(counts: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:

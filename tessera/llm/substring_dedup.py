@@ -4,7 +4,7 @@ Every ``window``-word passage holds a whole block of ``anchor = (window + 1) //
 starts at a multiple of ``anchor`` in its document. These non-overlapping blocks are the
 reference index; every rolling window of ``anchor`` words of every document probes it. Where
 a probe meets a block at another place, the hit is extended: each ``window``-word passage
-around it is compared, by a 128-bit hash of its words, with all other such passages, and
+around it is compared, by two independent 64-bit hashes of its words, with all other such passages, and
 passages found twice or more join to maximal repeated spans, which are removed.
 
 Texts are dealt once into groups of a few MB. What moves after that are packed hashes of a
@@ -38,10 +38,15 @@ class _Group:
 
     def __init__(self, texts: list[bytes | None], window: int) -> None:
         self.window, self.anchor = window, (window + 1) // 2
+        self.texts = texts
         parts = [Words(texts[s]) for s in slices(texts, _SLICE)]
         self.words = np.concatenate([p.hashes() for p in parts]) if parts else np.zeros(0, np.uint64)
         self.counts = np.concatenate([p.counts for p in parts]) if parts else np.zeros(0, np.int64)
 
+    def second_lane(self) -> np.ndarray:
+        parts = [Words(self.texts[s]).hashes(1) for s in slices(self.texts, _SLICE)]
+        return np.concatenate(parts) if parts else np.zeros(0, np.uint64)
+
     def probes(self) -> None:
         starts, inside = window_starts(self.counts, self.anchor)
         keys = window_hashes(self.words, starts, self.anchor)
@@ -59,7 +64,8 @@ class _Group:
         at = np.repeat(np.cumsum(probes) - probes, n) + inside
         near = sums[at + self.window - self.anchor + 1] > sums[at]
         self.starts = starts[near]
-        a, b = (window_hashes(self.words, self.starts, self.window, kind) for kind in (0, 1))
+        lanes = (self.words, self.second_lane()) if len(self.starts) else (self.words, self.words)
+        a, b = (window_hashes(words, self.starts, self.window, kind) for kind, words in enumerate(lanes))
         order, group, first = runs(a, b)
         self.place = np.empty(len(order), np.int64)
         self.place[order] = group

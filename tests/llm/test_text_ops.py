@@ -61,11 +61,28 @@ def test_window_hashes_follow_content():
     w = Words([b"a b c d a b c", b"x a b c"])
     starts, inside = window_starts(w.counts, 3)
     for kind in (0, 1):
-        h = window_hashes(w.hashes(), starts, 3, kind)
+        h = window_hashes(w.hashes(kind), starts, 3, kind)
         assert h[0] == h[4] == h[6] and len(set(h.tolist())) == 5
     assert inside.tolist() == [0, 1, 2, 3, 4, 0, 1]
 
 
+def _thue_morse(k):
+    s = "a"
+    for _ in range(k):
+        s += s.translate({97: 98, 98: 97})
+    return s, s.translate({97: 98, 98: 97})
+
+
+def test_hashes_tell_patterned_and_long_words_apart():
+    words = [w for k in range(1, 15) for w in _thue_morse(k)] + ["x" * n for n in range(1, 200)] + ["x" * n + "y" for n in range(200)] + ["x" * 8 + "y" * 8, "y" * 8 + "x" * 8]
+    assert len(set(words)) == len(words)
+    both = Words([" ".join(words).encode()])
+    assert len(set(both.hashes(0).tolist())) == len(set(both.hashes(1).tolist())) == len(words)
+    assert not set(both.hashes(0).tolist()) & set(both.hashes(1).tolist())
+    # a word's hash doesn't hang on what stands around it
+    assert all(Words([w.encode()]).hashes(lane)[0] == h for lane in (0, 1) for w, h in zip(words, both.hashes(lane)))
+
+
 # -- licenses
 
 
@@ -250,6 +267,13 @@ def test_repeats_match_brute_force(spark, window, buckets):
         assert k or r.text == texts[i]
 
 
+def test_passages_that_differ_in_one_patterned_word_stay(spark):
+    for k in (10, 12):
+        first, second = (" ".join([f"u{i}" for i in range(17)] + [w] + [f"v{i}" for i in range(17)]) for w in _thue_morse(k))
+        df = spark.createDataFrame([(1, first), (2, second)], "doc_id long, text string")
+        assert [r.n_removed for r in substring_dedup.remove_repeats(df).collect()] == [0, 0]
+
+
 def test_repeats_odd_inputs(spark):
     out = substring_dedup.remove_repeats(odd(spark))
     assert out.count() == 9 and {"source", "labels", "row", "n_words"} <= set(out.columns)
