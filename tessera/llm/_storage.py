@@ -10,11 +10,14 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
 
-    Only where neither that nor a checkpoint folder is set (a local session, as in tests)
-    a new temporary folder is made and set.
+    Only where neither that nor a checkpoint folder is set, and the session is local (as in
+    tests), a new temporary folder is made and set. On a cluster that is an error: executors don't
+    share a folder of one machine.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir is not set: a cluster needs a shared folder for intermediate tables")
         found = tempfile.mkdtemp(prefix="tessera-")
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(found)
@@ -25,3 +28,9 @@ def saved(df: DataFrame) -> DataFrame:
     """``df`` computed once and written to the shared folder; the lineage ends there."""
     shared_dir(df.sparkSession)
     return df.checkpoint()
+
+
+def removed(spark: SparkSession, folder: str) -> None:
+    """Delete an intermediate folder, wherever it lies."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

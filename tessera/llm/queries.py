@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import decontam, langid, licenses, lm, mixing, quality, simhash, substring_dedup, urlfilter, warc
-from tessera.llm._storage import shared_dir
+from tessera.llm._storage import removed, shared_dir
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -56,7 +56,9 @@ def op8_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = f"{shared_dir(spark).rstrip('/')}/warc-{uuid.uuid4().hex}"
-    return warc.round_trip(_table(spark, sf_dir, "pages"), folder)
+    found = warc.round_trip(_table(spark, sf_dir, "pages"), folder)
+    removed(spark, folder)
+    return found
 
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

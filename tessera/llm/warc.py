@@ -3,7 +3,8 @@
 Each capture becomes a request, a response (or revisit) and a metadata record; request and
 metadata name the response they belong to by ``WARC-Concurrent-To``. Files go through Spark's
 text writer with the record separator as line separator, so they land wherever Spark can
-write, compressed by gzip and of a bounded number of records. Reading parses them by
+write, compressed by gzip and of bounded size: payloads are written by classes of size, the larger
+the fewer of them a file. Reading parses them by
 their Content-Length, checks each payload against its digest, and joins the records of a
 transaction into one nested row.
 """
@@ -27,6 +28,8 @@ CRLF = "\r\n"
 END = CRLF + CRLF
 DATE = "2025-01-01T00:00:00Z"
 RECORDS_A_FILE = 6000
+#: Bytes of payload in a file at most, but for single payloads that are larger.
+BYTES_A_FILE = 1 << 26
 
 
 def base32(hexes: str) -> Column:
@@ -48,9 +51,11 @@ def _record(kind: Column | str, record_id: Column, block: Column, mime: Column |
     return F.concat(F.lit("WARC/1.1" + CRLF), *lines, F.lit("Content-Length: "), F.octet_length(block).cast("string"), F.lit(END), block)
 
 
-def write(pages: DataFrame, path: str, key: str = "page_id", url: str = "url", html: str = "html", least_bytes: int = 0, records: int = RECORDS_A_FILE) -> None:
+def write(pages: DataFrame, path: str, key: str = "page_id", url: str = "url", html: str = "html", least_bytes: int = 0, records: int = RECORDS_A_FILE, most_bytes: int = BYTES_A_FILE) -> None:
     """Write a transaction for each row of ``pages`` below the folder ``path``.
 
+    A file holds ``records`` records at most, and of payloads larger than ``most_bytes`` would allow
+    for so many only a share: up to 16 times that size a 16th, and so on to one transaction a file.
     Of rows with equal payloads of ``least_bytes`` bytes or more, the one with the smallest
     key is a response, those with larger keys are revisits of it.
     """
@@ -78,8 +83,17 @@ def write(pages: DataFrame, path: str, key: str = "page_id", url: str = "url", h
     request = _record("request", _record_id("request", "key", "url", "sha1"), F.concat(F.lit("GET "), "url", F.lit(" HTTP/1.1" + CRLF + "Host: "), where, F.lit(END)), "application/http; msgtype=request", ("WARC-Target-URI", F.col("url")), ("WARC-Concurrent-To", own_id))
     fields = F.concat(F.coalesce(F.concat(F.lit("capture-key: "), F.col("key").cast("string"), F.lit(CRLF)), F.lit("")), F.lit("payload-length: "), F.octet_length("body").cast("string"), F.lit(CRLF))
     metadata = _record("metadata", _record_id("metadata", "key", "url", "sha1"), fields, "application/warc-fields", ("WARC-Target-URI", F.col("url")), ("WARC-Concurrent-To", own_id))
-    lines = rows.select(F.explode(F.array(request, main, metadata)).alias("value"))
-    lines.write.mode("overwrite").option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", records).text(path)
+    bound, level = most_bytes * 3 // records, F.lit(0)
+    limits = [records]
+    while limits[-1] > 3:
+        level = F.when(F.octet_length("body") > bound, len(limits)).otherwise(level)
+        limits.append(max(3, limits[-1] // 16))
+        bound *= 16
+    used = sorted(r[0] for r in own.select(level.alias("level")).distinct().collect())
+    for n, k in enumerate(used or [0]):
+        part = rows if len(used) < 2 else rows.where(level == k)
+        lines = part.select(F.explode(F.array(request, main, metadata)).alias("value"))
+        lines.write.mode("append" if n else "overwrite").option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", limits[k]).text(path)
 
 
 def parse(stream: io.BufferedIOBase) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -108,8 +122,9 @@ _KINDS = pa.schema([*((n, pa.string()) for n, _ in _FIELDS), ("payload_bytes", p
 
 
 def read_records(spark: SparkSession, path: str, with_payload: bool = True) -> DataFrame:
-    """The records below ``path``: header fields, payload (if asked for), its size and computed digest,
-    and the fields of metadata records."""
+    """The records of all files below ``path``: header fields, payload (if asked for), its size and computed digest,
+    and the fields of metadata records. Files may have any name that doesn't begin with ``_`` or ``.``; gzip is
+    told by their first bytes."""
 
     def rows(content: bytes) -> Iterator[tuple]:
         raw = io.BytesIO(content)
@@ -141,7 +156,8 @@ def read_records(spark: SparkSession, path: str, with_payload: bool = True) -> D
                 yield from batches(content.as_py())
 
     made = ", ".join([f"{n} string" for n, _ in _FIELDS] + ["payload_bytes bigint", "computed string", "payload binary", "fields map<string,string>"])
-    return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("content").mapInArrow(run, made)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    return files.where(~F.element_at(F.split("path", "/"), -1).rlike(r"^[_.]")).select("content").mapInArrow(run, made)
 
 
 def transactions(records: DataFrame) -> DataFrame:
@@ -181,7 +197,7 @@ def round_trip(pages: DataFrame, path: str, key: str = "page_id", url: str = "ur
     Null html is an empty payload, and empty payloads are equal like any others; a null url is
     written as an empty one. Rows without a key are always responses. Repeated rows, which share
     the smallest key, are responses each. An empty table gives an empty result. Other
-    columns are not written.
+    columns are not written. Urls and payloads may be very long. The archives can go once it has returned.
     """
     write(pages, path, key, url, html, least_bytes)
     kind = pages.schema[key].dataType
