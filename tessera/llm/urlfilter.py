@@ -1,6 +1,6 @@
 """URL filters: rules first, then trust and distrust propagated over the host graph.
 
-Hosts that hold pages under allow rules are trusted seeds, those with pages under block rules
+Few rules are a chain of conditions; many are a table, joined by host suffixes. Hosts that hold pages under allow rules are trusted seeds, those with pages under block rules
 are blocked seeds. Trust is a personalised PageRank along the links between hosts, distrust
 one along the reversed links (who links to a blocked host gets a share of its distrust). A
 host is blocked if its distrust exceeds both its trust and its share of all pages.
@@ -20,7 +20,11 @@ PARTS = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 LINKS = r"(?i)href\s*=\s*[\"']?\s*(?:https?:)?//([^/?#\"'\s<>]+)"
 # The rules (verdict, host and path).
 RULES = (("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/"))
-DAMPING, ROUNDS, CLOSE = 0.85, 20, 1e-6
+DAMPING = 0.85
+#: A round that moves less than this share of one page's weight ends the propagation.
+CLOSE = 0.01
+#: Rules up to which they are a chain of conditions.
+CHAIN = 200
 
 
 def host_of(url: str | Column) -> Column:
@@ -48,6 +52,19 @@ def rule_for(host: str, path: str, rules=RULES) -> Column:
     return out if out is not None else F.lit(None).cast("struct<rule:string,verdict:string>")
 
 
+def rules_found(pages: DataFrame, rules: DataFrame) -> DataFrame:
+    """``pages`` (key, host, path) with ``found``, the longest of ``rules`` (verdict, rule) that fits, for rules in any number."""
+    cut = F.split("rule", "/", 2)
+    table = rules.select("verdict", "rule", F.get(cut, F.lit(0)).alias("of"), F.concat(F.when(F.contains("rule", F.lit("/")), "/").otherwise(""), F.coalesce(F.get(cut, F.lit(1)), F.lit(""))).alias("start"))
+    parts = F.split("host", r"\.")
+    suffixes = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "."))
+    distinct = saved(pages.select("host", "path").distinct())
+    hits = join_checked(distinct.select("host", "path", F.explode(suffixes).alias("of")), table, "of", "inner").where(F.col("path").startswith(F.col("start")))
+    best = F.min_by(F.struct("rule", "verdict"), F.struct(-F.length("rule"), F.col("rule"))).alias("found")
+    found = hits.groupBy("host", "path").agg(best).select(F.col("host").alias("host_"), F.col("path").alias("path_"), "found")
+    return join_checked(pages, saved(found), (F.col("host") == F.col("host_")) & (F.col("path") == F.col("path_")), "left").drop("host_", "path_")
+
+
 def host_edges(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
     """(src, dst, n): links from pages of one host to another; relative links stay on a host and don't count."""
     found = F.regexp_extract_all(F.coalesce(F.col(html), F.lit("")), F.lit(LINKS), F.lit(1))
@@ -56,12 +73,12 @@ def host_edges(pages: DataFrame, url: str = "url", html: str = "html") -> DataFr
     return edges.where("src <> dst AND src <> '' AND dst <> ''").groupBy("src", "dst").agg(F.count("*").alias("n"))
 
 
-def propagate(hosts: DataFrame, edges: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS, close: float = CLOSE) -> DataFrame:
+def propagate(hosts: DataFrame, edges: DataFrame, damping: float = DAMPING, close: float = 1e-6) -> DataFrame:
     """(host, trust, distrust) from ``hosts`` (host, good, bad: seed weights) and ``edges`` (src, dst, n).
 
     Both ranks sum to 1 if they have a seed, else they are 0. What a host without links on
-    would pass on goes back to the seeds. It ends after ``rounds``, or when a round moves less than
-    ``close`` in all.
+    would pass on goes back to the seeds. It ends when a round moves less than ``close`` in all; as each
+    round moves ``damping`` times what the last one did at most, that is after log(close) / log(damping) rounds.
     """
     names = hosts.select("host", "good", "bad").unionByName(edges.select(F.explode(F.array("src", "dst")).alias("host"), F.lit(0).alias("good"), F.lit(0).alias("bad")))
     seeds = names.groupBy("host").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad"))
@@ -77,7 +94,7 @@ def propagate(hosts: DataFrame, edges: DataFrame, damping: float = DAMPING, roun
     both = edges.select(F.col("src").alias("a"), F.col("dst").alias("b"), "n", F.lit(True).alias("onward")).unionByName(edges.select(F.col("dst").alias("a"), F.col("src").alias("b"), "n", F.lit(False).alias("onward")))
     out = both.groupBy("a", "onward").agg(F.sum("n").alias("all"))
     share = saved(both.join(out, ["a", "onward"]).select("a", "b", "onward", (F.col("n") / F.col("all")).alias("w")))
-    for _ in range(rounds):
+    while True:
         moved = share.join(state, share["a"] == state["host"]).groupBy(F.col("b").alias("host"))
         moved = moved.agg(F.sum(F.when(F.col("onward"), F.col("w") * F.col("trust")).otherwise(0.0)).alias("t"), F.sum(F.when(~F.col("onward"), F.col("w") * F.col("distrust")).otherwise(0.0)).alias("d"))
         moved = saved(moved)
@@ -93,25 +110,31 @@ def propagate(hosts: DataFrame, edges: DataFrame, damping: float = DAMPING, roun
         change = new.join(old, "host").agg(F.sum(F.abs(F.col("trust") - F.col("t0")) + F.abs(F.col("distrust") - F.col("d0")))).first()[0] or 0.0
         state = new
         if change < close:
-            break
-    return state
+            return state
 
 
-def judge(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html", rules=RULES, **how) -> DataFrame:
+def judge(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html", rules=RULES, close: float = CLOSE, **how) -> DataFrame:
     """(key, host, path, rule, verdict) for each row of ``pages``.
 
+    ``rules``: pairs (verdict, rule), or a table with these columns.
+
     rule: the longest that fits, else null; verdict: the rule's, else ``block`` or ``allow`` by
     the host's trust and distrust.
 
     A null url, or one without ``://``, has an empty host and path, no rule, and is allowed, as are all
     hosts without distrust. Null html has no links. Repeated rows count each and get the
-    same verdict; an empty table gives an empty result. Other columns are not read.
+    same verdict; urls and html may be very long; an empty table gives an empty result. Other
+    columns are not read.
     """
-    own = pages.select(F.col(key).alias("key"), host_of(url).alias("host"), path_of(url).alias("path")).withColumn("found", rule_for("host", "path", rules))
+    own = pages.select(F.col(key).alias("key"), host_of(url).alias("host"), path_of(url).alias("path"))
+    if isinstance(rules, DataFrame) or len(rules) > CHAIN:
+        own = rules_found(own, rules if isinstance(rules, DataFrame) else pages.sparkSession.createDataFrame([tuple(r) for r in rules], "verdict string, rule string"))
+    else:
+        own = own.withColumn("found", rule_for("host", "path", rules))
     by_host = own.where("host <> ''").groupBy("host").agg(F.count("*").alias("pages"), F.count_if(F.col("found.verdict") == "allow").alias("good"), F.count_if(F.col("found.verdict") == "block").alias("bad"))
     hosts = saved(by_host)
-    ranks = propagate(hosts, saved(host_edges(pages, url, html)), **how)
     total = float(hosts.agg(F.coalesce(F.sum("pages"), F.lit(0))).first()[0]) or 1.0
+    ranks = propagate(hosts, saved(host_edges(pages, url, html)), close=min(1e-6, close / total), **how)
     distrust = F.round("distrust", 12)
     bad = ranks.join(hosts, "host").where((distrust > 0) & (distrust > F.round("trust", 12)) & (distrust > F.round(F.col("pages") / total, 12)))
     blocked = saved(bad.select(F.col("host").alias("host_"), F.lit("block").alias("blocked")))
