@@ -3,7 +3,8 @@
 A group holds a few MB of whole documents. For a count over all documents each group sends
 its *distinct* hashes, packed, to buckets of the hash range, and gets its answer back packed
 in the order sent. So a hash that a third of all documents have reaches its bucket once a
-group, and no text moves after it was dealt out.
+group, and no text moves after it was dealt out. Empty packets aren't sent: packets are never
+more than the distinct hashes of the groups, which grow with the input, not with its square.
 """
 
 from __future__ import annotations
@@ -24,6 +25,11 @@ def text_bytes(docs: DataFrame, text: str) -> int:
     return docs.agg(F.coalesce(F.sum(F.octet_length(F.col(text).cast("string"))), F.lit(0))).first()[0]
 
 
+def group_size(total: int, least: int, most: int = 32 << 20) -> int:
+    """Bytes of a group: more where there are many groups, so that what a group sends to a bucket doesn't become a few bytes."""
+    return max(least, min(most, total // 20_000))
+
+
 def loosened(kind: T.StructType) -> T.StructType:
     """The type with everything nullable, as what comes back from Arrow is."""
 

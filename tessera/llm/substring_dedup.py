@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm._exchange import bits, dealt, from_bits, from_low_bytes, in_order, low_bytes, packed, runs, text_bytes
+from tessera.llm._exchange import bits, dealt, from_bits, from_low_bytes, group_size, in_order, low_bytes, packed, runs, text_bytes
 from tessera.llm._hashing import Words, slices, window_hashes, window_starts
 
 #: Bytes of a probe hash that are sent; with the bucket they make over 40 bits. Only candidates hang on them.
@@ -126,7 +126,7 @@ def remove_repeats(
     text: str = "text",
     spread: tuple[str, ...] = ("doc_id",),
     window: int = 35,
-    group_bytes: int = 4 << 20,
+    group_bytes: int | None = None,
     bucket_words: int = 2_000_000,
     with_text: bool = True,
 ) -> DataFrame:
@@ -149,7 +149,7 @@ def remove_repeats(
     total = text_bytes(docs, text)
     buckets = max(1, math.ceil(total / 6 / bucket_words))
     made = ("n_words", "n_removed", "kept_sha256")
-    base = dealt(docs.select(*(F.col(f"`{c}`") for c in docs.columns if c not in made)), text, total, group_bytes, [F.col(c) for c in spread])
+    base = dealt(docs.select(*(F.col(f"`{c}`") for c in docs.columns if c not in made)), text, total, group_bytes or group_size(total, 4 << 20), [F.col(c) for c in spread])
 
     def probe(key: tuple, table: pa.Table) -> pa.Table:
         group = _Group(in_order(table)[1], window)
