@@ -8,8 +8,8 @@ an item; once for each diagonal both are compared word by word, along the whole
 substitutions cost 2, and the best stretch (ungapped local alignment) must reach ``least``
 points, or the item's length if that is less.
 
-Before hashing, windows with a selected word that no benchmark item has are passed over; no
-such window can match. What is joined are bare seeds; words are fetched for hits only. All of
+Before hashing, windows with two selected neighbours that no benchmark item has side by side are
+passed over; no such window can match. What is joined are bare seeds; words are fetched for hits only. All of
 it is built-in Spark expressions.
 """
 
@@ -27,8 +27,8 @@ WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: 1: the word counts, 0: it may differ. Two places at each distance from 1 to 7.
 MASKS = ("11100111", "11010111", "11011011", "10111011", "10111101", "01111101", "01111110")
 SPAN = len(MASKS[0])
-#: Distinct benchmark words up to which windows are passed over by a literal word set; beyond it all windows are joined.
-VOCABULARY = 20_000
+#: Distinct pairs of neighbours in the benchmark up to which windows are passed over by a literal set; beyond it all windows are joined.
+PAIRS = 20_000
 
 
 def words_of(text: str | Column) -> Column:
@@ -40,6 +40,11 @@ def _places(mask: str) -> list[int]:
     return [i for i, x in enumerate(mask) if x == "1"]
 
 
+def _sides(m: int) -> list[int]:
+    """Places of a mask that are selected together with the next one."""
+    return [i for i in range(SPAN - 1) if MASKS[m][i : i + 2] == "11"]
+
+
 def _key(words: str, at: Column, m: int) -> Column:
     return F.xxhash64(F.lit(m), *(F.get(words, at + o) for o in _places(MASKS[m])))
 
@@ -77,15 +82,20 @@ def overlaps(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str =
     bench = items.select(F.col(item_key).alias("item"), words_of(item_text).alias("item_words")).where(F.size("item_words") >= SPAN)
     seeds = saved(_seeds(bench, "item_words", lambda i, m: F.lit(True)).select("seed", F.xxhash64("item", "item_words").alias("twin"), F.col("at").alias("item_at")).distinct())
     texts = saved(bench.distinct().select("item", "item_words", F.xxhash64("item", "item_words").alias("twin")))
-    vocabulary = [r[0] for r in texts.select(F.explode("item_words")).distinct().limit(VOCABULARY + 1).collect()]
+    sides = F.transform("item_words", lambda w, i: F.xxhash64(w, F.get("item_words", i + 1)))
+    pairs = [r[0] for r in texts.select(F.explode(sides)).distinct().limit(PAIRS + 1).collect()]
     frame = docs.select(F.col(key).alias("key"), F.xxhash64(text).alias("mark"), words_of(text).alias("words"))
-    if len(vocabulary) <= VOCABULARY:
-        # one letter a word: 1 if the benchmark has it; a pattern then tells whether any window is left
-        known = F.array_join(F.transform("words", lambda w: F.when(w.isin(vocabulary) if vocabulary else F.lit(False), "1").otherwise("0")), "")
-        frame = frame.select("*", known.alias("known")).where(F.col("known").rlike("|".join(m.replace("0", ".") for m in MASKS)))
+    if len(pairs) <= PAIRS:
+        # as text: thousands of literals made one by one cost the driver many seconds
+        known = F.expr(f"transform(words, (w, i) -> xxhash64(w, get(words, i + 1)) IN ({', '.join(f'{x}L' for x in pairs) or 'NULL'}))")
+        # a one-element explode: the filter stays above it, instead of computing words and pairs once more
+        frame = frame.select("*", F.explode(F.array(known)).alias("known"))
+        # one letter a pair; a pattern tells whether any window is left
+        letters = F.array_join(F.transform("known", lambda k: F.when(k, "1").otherwise("0")), "")
+        frame = frame.where(letters.rlike("|".join("".join("1" if i in _sides(m) else "." for i in range(SPAN - 1)) for m in range(len(MASKS)))))
 
         def usable(i: Column, m: int) -> Column:
-            return F.substring("known", i + 1, F.lit(SPAN)).rlike(MASKS[m].replace("0", "."))
+            return reduce(Column.__and__, (F.get("known", i + o) for o in _sides(m)))
     else:
 
         def usable(i: Column, m: int) -> Column:
