@@ -8,13 +8,14 @@ The grid: the coordinates form ``max_distance + 3`` blocks, and two embeddings w
 of three blocks. Pairs of a cell pass the Manhattan bound, then the exact comparison.
 
 Sorting the bits inside each segment turns the counts into a thermometer code: its Hamming
-distance *is* the Manhattan distance, so embedding, cells and bound are JVM bit operations
-on one 64-bit number.
-
-Cells of more than ``cell_limit`` fingerprints aren't paired. Their fingerprints meet at
-hubs instead: for two fingerprints within distance 3 there is a value one bit (or none)
-from the one and two bits at most from the other. Links through a hub are followed as a
-star, so work stays linear in the number of fingerprints, and no link is lost.
+distance *is* the Manhattan distance, so embedding, cells and bound are bit operations on one
+64-bit number.
+
+A cell's fingerprints are searched breadth first, so it yields fewer links than it has
+fingerprints. Those of cells of more than ``cell_limit`` meet at hubs instead: for two
+fingerprints within distance 3 there is a value one bit (or none) from the one and two bits
+at most from the other. Links through a hub are followed as a star, so work stays linear in
+the number of fingerprints, and no link is lost.
 """
 
 from __future__ import annotations
@@ -24,15 +25,19 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm._graph import components
 from tessera.llm._hashing import mix
-from tessera.llm._joins import BROADCAST_ROWS, join_checked
+from tessera.llm._joins import join_checked
 from tessera.llm._storage import saved
 
 SEED = 42
+#: Independent fingerprints of a text's words; more of them miss fewer near copies.
+VIEWS = 8
+#: Rows that one task pairs or compares at a time.
+_ROWS_A_BUCKET, _ROWS_A_SALT = 200_000, 250
 _BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)
 _PLACES = 256 * np.arange(8)
 
@@ -96,6 +101,15 @@ def thermometer(fp: F.Column | str, segment_bits: int):
     return high.bitwiseOR(low).bitwiseOR(F.shiftleft(high.bitwiseAND(low), 1))
 
 
+def _thermometer(fp: np.ndarray, segment_bits: int) -> np.ndarray:
+    """``thermometer`` of unsigned numbers."""
+    if segment_bits == 1:
+        return fp
+    even, one = np.uint64(0x5555555555555555), np.uint64(1)
+    high, low = (fp >> one) & even, fp & even
+    return high | low | (high & low) << one
+
+
 def _flips(most: int) -> np.ndarray:
     """Masks of every change of up to ``most`` bits, as (mask, bits changed)."""
     one = np.uint64(1) << np.arange(64, dtype=np.uint64)
@@ -142,33 +156,70 @@ def hub_links(fps: DataFrame, max_distance: int = 3, buckets: int = 64, batch: i
     return fps.select("fp").mapInArrow(visit, "bucket int, hubs binary, src binary, close binary").groupBy("bucket").applyInArrow(meet, "a bigint, b bigint")
 
 
-def links(fps: DataFrame, max_distance: int = 3, segment_bits: int = 2, cell_limit: int = 128) -> DataFrame:
+def _forest(cell: np.ndarray, fp: np.ndarray, code: np.ndarray, max_distance: int) -> np.ndarray:
+    """Pairs of places within ``max_distance``, enough to connect all such pairs of each cell.
+
+    ``cell`` is sorted. Each fingerprint is found once, so a cell of n gives n - 1 pairs at most.
+    """
+
+    def near(a, b) -> np.ndarray:
+        """The places of ``b`` within the Manhattan bound of ``a`` that pass the exact comparison."""
+        out = np.bitwise_count(code[a] ^ code[b]) <= max_distance
+        out[out] = (np.bitwise_count(fp[a] ^ fp[b]) <= max_distance)[out]
+        return out
+
+    cuts = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1], [True]]))
+    sizes = np.diff(cuts)
+    two = cuts[:-1][sizes == 2]
+    two = two[near(two, two + 1)]
+    out = [np.stack([two, two + 1], axis=1)]
+    for start, n in zip(cuts[:-1][sizes > 2].tolist(), sizes[sizes > 2].tolist()):
+        left, queue = np.arange(start, start + n), []
+        while len(left):
+            if not queue:
+                queue, left = [int(left[0])], left[1:]
+            at = queue.pop()
+            hit = near(at, left)
+            if hit.any():
+                found, left = left[hit], left[~hit]
+                queue += found.tolist()
+                out.append(np.stack([np.full(len(found), at), found], axis=1))
+    return np.concatenate(out)
+
+
+def links(fps: DataFrame, max_distance: int = 3, segment_bits: int = 2, cell_limit: int = 4096) -> DataFrame:
     """Links (view, a, b) between distinct fingerprints (view, fp) of a view that connect all within ``max_distance``.
 
-    Pairs of cells within the limit are all found; the rest is linked through hubs.
+    A cell gives links that connect its fingerprints, fewer than it has; so links grow with the number
+    of fingerprints, not of pairs. Cells beyond the limit are linked through hubs.
     """
     if not 0 <= max_distance <= 3:
         raise ValueError("max_distance is 0 to 3")
-    blocks = _blocks(max_distance, segment_bits)
-    masks = [_signed(sum(c)) for c in combinations(blocks, 3)]
-    cell = ["view", "choice", "cell"]
+    masks = [_signed(sum(c)) for c in combinations(_blocks(max_distance, segment_bits), 3)]
     coded = fps.select("view", "fp", thermometer("fp", segment_bits).alias("code"))
-    cells = coded.select("view", "fp", "code", F.posexplode(F.array(*(F.col("code").bitwiseAND(F.lit(m)) for m in masks))).alias("choice", "cell"))
-    sizes = cells.groupBy(*cell).agg(F.count("*").alias("n")).where("n > 1")
-    full = saved(cells.join(sizes, cell).select(*cell, "fp", "code", "n"))
-    cold = full.where(F.col("n") <= cell_limit)
-    other = cold.select(*cell, F.col("fp").alias("fp2"), F.col("code").alias("code2"))
-    pairs = (
-        cold.join(other, cell)
-        .where("fp < fp2")
-        .where(F.bit_count(F.col("code").bitwiseXOR(F.col("code2"))) <= max_distance)
-        .where(F.bit_count(F.col("fp").bitwiseXOR(F.col("fp2"))) <= max_distance)
-        .select("view", F.col("fp").alias("a"), F.col("fp2").alias("b"))
-    )
-    hot = full.where(F.col("n") > cell_limit).select("view", "fp").distinct()
-    for r in hot.groupBy("view").count().collect():
-        found = hub_links(hot.where(F.col("view") == r["view"]), max_distance, max(16, r["count"] // 500))
-        pairs = pairs.unionByName(found.select(F.lit(r["view"]).alias("view"), "a", "b"))
+    # view, choice and cell in one number: cells that happen to share it are compared as one
+    cells = coded.select("view", "fp", F.explode(F.array(*(F.xxhash64("view", F.lit(i), F.col("code").bitwiseAND(F.lit(m))) for i, m in enumerate(masks)))).alias("cell"))
+    sizes = saved(cells.groupBy("cell").agg(F.count("*").alias("n")).where("n > 1"))
+    rows, hot_cells = sizes.agg(F.coalesce(F.sum(F.when(F.col("n") <= cell_limit, F.col("n"))), F.lit(0)), F.count_if(F.col("n") > cell_limit)).first()
+    full = saved(join_checked(cells, sizes, "cell", "inner").select("cell", "n", "view", "fp"))
+    buckets = max(1, -(-rows // _ROWS_A_BUCKET))
+
+    def pair(table: pa.Table) -> pa.Table:
+        cell, view, fp = (table.column(n).to_numpy() for n in ("cell", "view", "fp"))
+        order = np.lexsort((fp, view, cell))
+        cell, view, fp = cell[order], view[order], fp[order]
+        own = np.cumsum(np.concatenate([[False], (cell[1:] != cell[:-1]) | (view[1:] != view[:-1])]))
+        bits = fp.view(np.uint64)
+        a, b = _forest(own, bits, _thermometer(bits, segment_bits), max_distance).T
+        return pa.table({"view": pa.array(view[a], pa.int32()), "a": pa.array(np.minimum(fp[a], fp[b]), pa.int64()), "b": pa.array(np.maximum(fp[a], fp[b]), pa.int64())})
+
+    cold = full.where(F.col("n") <= cell_limit).select(F.pmod(F.xxhash64("cell", F.lit(1)), F.lit(buckets)).cast("int").alias("bucket"), "cell", "view", "fp")
+    pairs = cold.groupBy("bucket").applyInArrow(lambda t: pair(t), "view int, a bigint, b bigint")
+    if hot_cells:
+        hot = saved(full.where(F.col("n") > cell_limit).select("view", "fp").distinct())
+        for r in hot.groupBy("view").count().collect():
+            found = hub_links(hot.where(F.col("view") == r["view"]), max_distance, max(16, r["count"] // 500))
+            pairs = pairs.unionByName(found.select(F.lit(r["view"]).alias("view"), "a", "b"))
     return pairs.distinct()
 
 
@@ -179,7 +230,7 @@ def near_duplicates(
     shingle: int = 3,
     max_distance: int = 3,
     segment_bits: int = 2,
-    cell_limit: int = 128,
+    cell_limit: int = 4096,
 ) -> DataFrame:
     """(key, fingerprint, component_id) for each row of ``docs``.
 
@@ -198,119 +249,174 @@ def near_duplicates(
     linked = roots.join(classes, roots["node"] == classes["fp"])
     least = linked.groupBy("root").agg(F.min("least").alias("least"))
     of_linked = roots.join(least, "root").select(F.col("node").alias("fp"), F.col("least").alias("linked"))
-    owner = classes.join(of_linked, "fp", "left").select("fp", F.coalesce("linked", "least").alias("component_id"))
+    # written, so that the join below reads both sides as they are dealt out and Spark can split a fingerprint that many rows share
+    owner = saved(classes.join(of_linked, "fp", "left").select("fp", F.coalesce("linked", "least").alias("component_id")))
     return marked.join(owner, "fp").select(F.col("key").alias(key), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def word_fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", views: int = 6) -> DataFrame:
-    """(key, view, fp): for each row and view a SimHash of the text's distinct words, by independent hashes.
+def _words(text: bytes | None) -> list[bytes]:
+    return (text or b"").lower().split()
+
+
+def word_fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", views: int = VIEWS) -> DataFrame:
+    """(key, mark, digest, fps) for each row: SimHashes of the text's distinct words by ``views`` independent hashes.
 
-    Texts without a word have none.
+    mark is a hash of the text as it stands, digest one of 128 bits of its words in order. A text
+    without a word has neither digest nor fps.
     """
     import xxhash
 
     kind = docs.schema[key].dataType.simpleString()
+    turns = [np.uint64((v * 0x9E3779B97F4A7C15) % 2**64) for v in range(views)]
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            places, fps = [], []
-            for n, t in enumerate(batch.column(1)):
-                words = set((t.as_py() or b"").lower().split())
-                if words:
-                    hashes = np.fromiter((xxhash.xxh64_intdigest(w, SEED) for w in words), np.uint64, len(words))
-                    places.append(n)
-                    fps += [majority(mix(hashes + np.uint64((v * 0x9E3779B97F4A7C15) % 2**64))) for v in range(views)]
-            keys = batch.column(0).take(pa.array(np.repeat(places, views), pa.int64()))
-            yield pa.RecordBatch.from_arrays([keys, pa.array(list(range(views)) * len(places), pa.int32()), pa.array(fps, pa.int64())], names=["key", "view", "fp"])
+            digests, fps = [], []
+            for t in batch.column(2):
+                words = _words(t.as_py())
+                digests.append(xxhash.xxh3_128_digest(b" ".join(words)) if words else None)
+                own = set(words)
+                hashes = np.fromiter((xxhash.xxh64_intdigest(w, SEED) for w in own), np.uint64, len(own))
+                fps.append([majority(mix(hashes + turn)) for turn in turns] if words else None)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(digests, pa.binary()), pa.array(fps, pa.list_(pa.int64()))], names=["key", "mark", "digest", "fps"])
 
-    return docs.select(F.col(key).alias("key"), F.col(text).cast("binary").alias("text")).mapInArrow(make, f"key {kind}, view int, fp bigint")
+    return docs.select(F.col(key).alias("key"), F.xxhash64(text).alias("mark"), F.col(text).cast("binary").alias("text")).mapInArrow(make, f"key {kind}, mark bigint, digest binary, fps array<bigint>")
+
+
+def shingle_hashes(text: bytes | None, shingle: int = 5) -> np.ndarray:
+    """Sorted distinct 64-bit hashes of the word shingles of a text (shorter texts: the whole sequence)."""
+    import xxhash
+
+    w = _words(text)
+    found = {xxhash.xxh3_64_intdigest(b" ".join(w[i : i + shingle])) for i in range(max(1, len(w) - shingle + 1))}
+    return np.sort(np.fromiter(found, np.uint64, len(found)))
 
 
 def jaccard(a: bytes | None, b: bytes | None, shingle: int = 5) -> float:
     """Similarity of the sets of word shingles of two texts (shorter texts: the whole sequence); two empty ones: 1."""
-    sets = []
-    for t in (a, b):
-        w = (t or b"").lower().split()
-        sets.append({b" ".join(w[i : i + shingle]) for i in range(max(1, len(w) - shingle + 1))})
-    return len(sets[0] & sets[1]) / len(sets[0] | sets[1])
-
-
-def close_pairs(pairs: DataFrame, docs: DataFrame, key: str, text: str, similarity: float, shingle: int) -> DataFrame:
-    """The ``b`` of those ``pairs`` (a, b) of keys whose texts have ``similarity`` or more, each once."""
-    texts = docs.select(F.col(key).alias("key"), F.col(text).cast("binary").alias("text"))
-    n = pairs.limit(BROADCAST_ROWS + 1).count()
-    firsts = join_checked(texts, pairs.withColumnRenamed("a", "key"), "key", "inner", n).select("b", F.col("text").alias("first"))
-    wanted = join_checked(texts, pairs.select(F.col("b").alias("key")).distinct(), "key", "left_semi", n)
-    both = wanted.join(firsts, F.col("key") == F.col("b")).select("key", "text", "first")
-    kind = docs.schema[key].dataType.simpleString()
+    return _alike(shingle_hashes(a, shingle), shingle_hashes(b, shingle))
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            close = [jaccard(a.as_py(), b.as_py(), shingle) >= similarity for a, b in zip(batch.column(1), batch.column(2))]
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(close, pa.bool_()))], names=["key"])
 
-    return both.mapInArrow(compare, f"key {kind}").distinct()
+def _alike(a: np.ndarray, b: np.ndarray) -> float:
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both / (len(a) + len(b) - both)
 
 
-def settled(members: DataFrame, docs: DataFrame, key: str, text: str, similarity: float, shingle: int, whole: int = 32, heads: int = 16) -> DataFrame:
-    """Keys of rows to drop, so that no two rows left in a group of ``members`` (group, key) have ``similarity`` or more.
+def _close(a: np.ndarray, others: list[np.ndarray], similarity: float) -> list[int]:
+    """Places of the ``others`` that have ``similarity`` or more with ``a``."""
+    n = len(a)
+    return [i for i, b in enumerate(others) if min(n, len(b)) >= similarity * max(n, len(b)) - 1e-9 and _alike(a, b) >= similarity]
 
-    In each round a group's first rows are compared with all its others and then leave it, as
-    do the rows that are near copies of one with a smaller key: the first round with one row,
-    the next ones with ``heads``, or at once all with all in groups of at most ``whole``.
-    So every two rows that stay have been compared; of close ones the larger key goes.
+
+def verified_links(members: DataFrame, edges: DataFrame, texts: DataFrame, similarity: float = 0.8, shingle: int = 5, whole: int = 64, heads: int = 16) -> DataFrame:
+    """Links (a, b) between the nodes of ``members`` (group, node) whose ``texts`` (node, text) have ``similarity`` or more.
+
+    ``edges`` (a, b) are candidates within the groups. In a group of at most ``whole`` nodes all are
+    compared, in one task. In a larger one all edges are verified; then, in rounds, ``heads`` nodes are
+    compared with all of the group: of each set that is linked so far the nodes with the most
+    links, those of large sets first. It ends with the first round that joins fewer nodes and sets than it
+    had heads. So copies that gather around an original are joined by it, and work is heads times nodes,
+    never all pairs. A link in a large group can be missed if it is neither an edge nor one of a head.
     """
-    now, turn, gone = saved(members), 0, members.select("key").limit(0)
+    made = "group binary, node binary, salt int, set binary"
+    links_made = "a binary, b binary"
+    sizes = members.groupBy("group").agg(F.count("*").alias("n")).where("n > 1")
+    sized = saved(members.join(sizes, "group").select("group", "node", "n", F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / _ROWS_A_SALT)).cast("int").alias("salt")))
+    rows = texts.join(sized, "node").select("group", "node", "n", "salt", "text")
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = pa.array([shingle_hashes(t.as_py(), shingle).tobytes() for t in batch.column("text")], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("group"), batch.column("node"), batch.column("salt"), own], names=["group", "node", "salt", "set"])
+
+    def arrays(table: pa.Table) -> tuple[list[bytes], list[np.ndarray]]:
+        return table.column("node").to_pylist(), [np.frombuffer(x, np.uint64) for x in table.column("set").to_pylist()]
+
+    def pairs(found: list[tuple[bytes, bytes]]) -> pa.Table:
+        return pa.table({"a": pa.array([x for x, _ in found], pa.binary()), "b": pa.array([y for _, y in found], pa.binary())})
+
+    def compare_all(table: pa.Table) -> pa.Table:
+        nodes, own = arrays(table.sort_by("node"))
+        return pairs([(nodes[i], nodes[i + 1 + k]) for i in range(len(nodes)) for k in _close(own[i], own[i + 1 :], similarity)])
+
+    def compare_sent(key: tuple, sent: pa.Table, table: pa.Table) -> pa.Table:
+        """What was sent (with partners: only with these) against a chunk of its group."""
+        (first, theirs), (nodes, own), partners = arrays(sent), arrays(table), sent.column("partners").to_pylist()
+        at, found = {n: i for i, n in enumerate(nodes)}, []
+        for node, mine, some in zip(first, theirs, partners):
+            places = range(len(nodes)) if some is None else [at[x] for x in some]
+            found += [(node, nodes[places[k]]) for k in _close(mine, [own[i] for i in places], similarity) if nodes[places[k]] != node]
+        return pairs(found)
+
+    found = saved(rows.where(F.col("n") <= whole).mapInArrow(sets, made).groupBy("group").applyInArrow(lambda t: compare_all(t), links_made))
+    large = sized.where(F.col("n") > whole).select("group", "node", "salt")
+    if large.isEmpty():
+        return found
+    many = saved(rows.where(F.col("n") > whole).mapInArrow(sets, made))
+    chunks = large.select("group", "salt").distinct()
+
+    def compared(sent: DataFrame) -> DataFrame:
+        """sent: (group, salt, node, partners)"""
+        sent = sent.join(many.select("node", "set"), "node")
+        sent = sent.select(F.col("group").alias("of"), F.col("salt").alias("part"), F.col("node").alias("node"), F.col("set").alias("set"), "partners")
+        return sent.groupBy("of", "part").cogroup(many.groupBy("group", "salt")).applyInArrow(compare_sent, links_made)
+
+    wanted = edges.join(large.withColumnRenamed("node", "a"), "a").groupBy("group", "salt", F.col("b").alias("node")).agg(F.collect_set("a").alias("partners"))
+    mine, tried, before, sent = saved(compared(wanted)), large.select("node").limit(0), 0, 0
     while True:
-        place = F.pmod(F.xxhash64("key"), F.lit(heads))
-        firsts = [F.min("key")] if not turn else [F.min(F.when(place == j, F.col("key"))) for j in range(heads)]
-        groups = saved(now.groupBy("group").agg(F.count("*").alias("n"), F.array_compact(F.array(*firsts)).alias("heads")).where("n > 1"))
-        if groups.isEmpty():
-            return gone
-        rows = saved(join_checked(now, groups, "group", "inner"))
-        open_ = rows if not turn else rows.where(F.col("n") > whole)
-        pairs = open_.select(F.explode("heads").alias("head"), "key").where("head <> key").select(F.least("head", "key").alias("a"), F.greatest("head", "key").alias("b"))
-        if turn:
-            few = rows.where(F.col("n") <= whole).select("group", "key")
-            pairs = pairs.unionByName(few.withColumnRenamed("key", "a").join(few.withColumnRenamed("key", "b"), "group").where("a < b").select("a", "b"))
-        new = saved(close_pairs(saved(pairs.distinct()), docs, key, text, similarity, shingle))
-        gone = gone.unionByName(new)
-        left = open_.where(~F.array_contains("heads", F.col("key"))).select("group", "key")
-        now, turn = saved(join_checked(left, new, "key", "left_anti").select("group", "key")), turn + 1
-
-
-def verified_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", views: int = 6, similarity: float = 0.8, shingle: int = 5, **how) -> DataFrame:
-    """Keys of rows that are near copies of a row with a smaller key, by exact similarity.
-
-    Candidates are the components over links of word fingerprints in any view; in each of them
-    rows are named until no two others have word shingles of ``similarity`` or more (see
-    ``settled``). Rows without a key are not compared.
+        roots = saved(components(mine))
+        now = roots.where("node <> root").count()
+        if now - before <= sent and sent:
+            return found.unionByName(mine)
+        ends = mine.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("links"))
+        state = large.join(roots, "node").join(ends, "node").join(roots.groupBy("root").agg(F.count("*").alias("n")), "root").join(tried, "node", "left_anti")
+        first = F.row_number().over(Window.partitionBy("root").orderBy(F.desc("links"), "node"))
+        state = state.withColumn("place", first).where(F.col("place") <= heads)
+        turn = F.row_number().over(Window.partitionBy("group").orderBy("place", F.desc("n"), "node"))
+        chosen = saved(state.withColumn("turn", turn).where(F.col("turn") <= heads).select("group", "node"))
+        new = compared(chosen.join(chunks, "group").withColumn("partners", F.lit(None).cast("array<binary>")))
+        mine = saved(mine.unionByName(new).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+        tried, before, sent = saved(tried.unionByName(chosen.select("node"))), now, chosen.count()
+        if not sent:
+            return found.unionByName(mine)
+
+
+def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", views: int = VIEWS, similarity: float = 0.8, shingle: int = 5, **how) -> DataFrame:
+    """(key, mark, kept) for each row of ``docs`` with a key and a word: ``kept`` is the smallest key of its group.
+
+    Groups are the components over links of ``similarity`` or more between the word shingles of two
+    texts, and over equal word sequences. Links are looked for among the texts that the word
+    fingerprints connect, in any view (see ``links``), and verified exactly (see ``verified_links``).
+    mark: a hash of the text; with the key it names the row.
     """
-    marked = saved(word_fingerprints(docs.where(F.col(key).isNotNull()), key, text, views))
-    classes = saved(marked.groupBy("view", "fp").agg(F.min("key").alias("least")))
+    own = docs.where(F.col(key).isNotNull())
+    marked = saved(word_fingerprints(own, key, text, views).where("digest IS NOT NULL"))
+    texts = saved(marked.groupBy("digest").agg(F.min(F.struct("key", "mark")).alias("first"), F.min("fps").alias("fps")))
+    seen = texts.select("digest", F.posexplode("fps").alias("view", "fp"))
+    classes = saved(seen.groupBy("view", "fp").agg(F.min("digest").alias("least"), F.count("*").alias("n")))
     near = links(classes.select("view", "fp"), **how)
     ends = near.join(classes.select("view", F.col("fp").alias("a"), F.col("least").alias("x")), ["view", "a"]).join(classes.select("view", F.col("fp").alias("b"), F.col("least").alias("y")), ["view", "b"])
-    same = marked.join(classes, ["view", "fp"]).where("key <> least").select(F.col("key").alias("a"), F.col("least").alias("b"))
-    roots = components(ends.select(F.col("x").alias("a"), F.col("y").alias("b")).unionByName(same).distinct())
-    members = roots.select(F.col("root").alias("group"), F.col("node").alias("key"))
-    return settled(members, docs, key, text, similarity, shingle).withColumnRenamed("key", key)
-
-
-def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", views: int = 6, similarity: float = 0.8, **how) -> DataFrame:
-    """``docs`` without the near duplicates.
-
-    Of each component (see ``near_duplicates``) the row with the smallest key stays. Of what is
-    left, rows go until no two of a group in the word fingerprints have ``similarity`` or more
-    (see ``verified_copies``): fingerprints of shingles differ in more than a few bits even
-    for close copies. ``views`` 0: that second step is left out.
-
-    Rows without a key can't be told apart and stay; repeated rows of a kept key stay.
-    All columns are returned unchanged.
+    shared = saved(classes.where("n > 1").select("view", "fp", "least"))
+    same = seen.join(shared, ["view", "fp"]).where("digest <> least").select(F.col("digest").alias("a"), F.col("least").alias("b"))
+    edges = saved(ends.select(F.col("x").alias("a"), F.col("y").alias("b")).unionByName(same).distinct())
+    roots = saved(components(edges))
+    named = saved(texts.join(roots, texts["digest"] == roots["node"]).select("digest", "first.*", F.col("root").alias("group"), "node"))
+    members = named.select("group", "node")
+    wanted = docs.select(F.col(key).alias("key"), F.xxhash64(text).alias("mark"), F.col(text).cast("binary").alias("text"))
+    wanted = join_checked(wanted, named.select("key", "mark", "digest"), ["key", "mark"], "inner").select(F.col("digest").alias("node"), "text").dropDuplicates(["node"])
+    linked = saved(components(verified_links(members, edges, wanted, similarity, shingle)))
+    least = linked.join(texts, linked["node"] == texts["digest"]).groupBy("root").agg(F.min("first.key").alias("kept"))
+    of_linked = linked.join(least, "root").select(F.col("node").alias("digest"), "kept")
+    owner = saved(texts.join(of_linked, "digest", "left").select("digest", F.coalesce("kept", "first.key").alias("kept")))
+    return marked.join(owner, "digest").select("key", "mark", "kept")
+
+
+def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", views: int = VIEWS, similarity: float = 0.8, **how) -> DataFrame:
+    """``docs`` without the near duplicates: of each group (see ``groups``) the row with the smallest key stays.
+
+    Rows without a key can't be told apart and stay, as do null and wordless texts; repeated
+    rows of a kept key stay; ties can't be, the smallest key is one key; very long texts are compared
+    whole; an empty table gives an empty result. All columns are returned unchanged, whatever their names.
     """
-    found = near_duplicates(docs, key, text, **how)
-    dropped = saved(found.where(F.col(key) > F.col("component_id")).select(key).distinct())
-    left = join_checked(docs, dropped, key, "left_anti")
-    if not views:
-        return left
-    more = saved(verified_copies(left, key, text, views, similarity))
-    return join_checked(docs, saved(dropped.unionByName(more)), key, "left_anti")
+    dropped = saved(groups(docs, key, text, views, similarity, **how).where("key > kept").select(F.col("key").alias("_key"), F.col("mark").alias("_mark")).distinct())
+    return join_checked(docs, dropped, (F.col("_key") == docs[key]) & (F.col("_mark") == F.xxhash64(docs[text])), "left_anti")

@@ -227,7 +227,7 @@ def test_contamination_large_vocabulary_and_shuffle_join(spark, monkeypatch):
     text = " ".join(f"q{i}" for i in range(40))
     df = spark.createDataFrame([(1, "a b " + text), (2, "nothing here at all")], "doc_id long, text string")
     bench = spark.createDataFrame([(1, text)], "item_id long, text string")
-    monkeypatch.setattr(decontam, "VOCABULARY", 3)
+    monkeypatch.setattr(decontam, "PAIRS", 3)
     monkeypatch.setattr(decontam, "BROADCAST_ROWS", 1)
     assert {r.doc_id: (r.contaminated, r.overlap) for r in decontam.contamination(df, bench).collect()} == {1: (True, 40), 2: (False, 0)}
 
@@ -389,26 +389,71 @@ def test_scores(spark, small):
     assert sum(r.score for r in held) > sum(r.base_score for r in held)
 
 
-def test_class_probabilities_sum_to_one():
-    shape = lm.Shape(features=64)
+def test_scores_match_the_model_token_by_token(spark, small):
+    docs = spark.read.parquet(f"{small}/documents.parquet").limit(60)
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    frame = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    shape = lm.Shape(features=256, member_features=512)
+    got = {r.doc_id: r for r in lm.score(frame, shape=shape, group_bytes=30_000, bucket_words=2000).collect()}
+    again = {r.doc_id: r.score for r in lm.score(frame.repartition(7), shape=shape, group_bytes=30_000, bucket_words=2000).collect()}
+    assert again == {i: r.score for i, r in got.items()}
+    own = frame.withColumn("train", F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(10)) != 0)
+    totals = lm.gathered(lm.token_counts(own.where("train")))
+    total = sum(len(t.encode()) for t in texts.values())
+    members = lm.Members(list(totals.alone))
+    w = lm.train(lm.dealt(own, "text", total, 30_000, [F.col("doc_id")]), members, shape)
+    counts = Counter(k for i, t in texts.items() if zlib.crc32(str(i).encode()) % 10 for k in lm.Tokens([t.encode()]).keys.tolist())
+    assert totals.tokens == sum(counts.values()) and totals.kinds == len(counts)
+    for i in list(texts)[:20]:
+        t = lm.Tokens([texts[i].encode()])
+        m = members.of(t.keys)
+        first, then = t.rows(shape, m)
+        want = 0.0
+        for n, k in enumerate(t.keys.tolist()):
+            for rows, target in ((first[n], m[n] % 16), (then[n], m[n] // 16)):
+                z = [sum(float(w[r, c]) for r in rows) for c in range(16)]
+                want += (z[target] - math.log(sum(map(math.exp, z)))) / math.log(10)
+            if k not in totals.alone:
+                peers = [c for x, c in counts.items() if x not in totals.alone and x % lm.GROUPS == k % lm.GROUPS]
+                want += math.log10((counts[k] + 0.1) / (sum(peers) + 0.1 * (len(peers) + 1)))
+        assert got[i].score == pytest.approx(want, rel=1e-4)
+
+
+def test_probabilities_of_all_words_sum_to_one():
+    shape = lm.Shape(features=64, member_features=64)
     rng = np.random.default_rng(0)
     t = lm.Tokens([b"A b c", None, b"", b"d " * 50])
     assert t.counts.tolist() == [4, 1, 1, 51]
-    p = np.exp(lm.log_classes(rng.normal(size=(shape.rows, lm.CLASSES)).astype(np.float32), t.rows(shape)))
-    assert np.allclose(p.sum(axis=1), 1, atol=1e-5)
+    alone = list(dict.fromkeys(t.keys.tolist()))[:3]
+    members = lm.Members(alone)
+    m = members.of(t.keys)
+    assert [m[t.keys == a].tolist()[0] for a in alone] == [0, 1, 2] and (m[~np.isin(t.keys, alone)] >= lm.ALONE).all()
+    w = rng.normal(size=(shape.rows, lm.CLASSES)).astype(np.float32)
+    # every member in turn, after one and the same history
+    first, _ = t.rows(shape, m)
+    total = np.zeros(len(m))
+    for member in range(lm.MEMBERS):
+        then = lm.Tokens([b"A b c", None, b"", b"d " * 50]).rows(shape, m)[1].copy()
+        own = np.full(len(m), member)
+        # the member's rows are those of its class
+        _, rows = t.rows(shape, np.where(np.arange(len(m)) == 2, member, m))
+        total[2] += 10 ** lm.history_logs(w, first[2:3], rows[2:3], own[2:3])[0]
+        assert then.shape == rows.shape
+    assert total[2] == pytest.approx(1, abs=1e-4)
 
 
 def test_gradient_is_that_of_the_likelihood():
-    shape = lm.Shape(features=8, batch=64)
+    shape = lm.Shape(features=8, member_features=8, batch=64)
     t = lm.Tokens([b"a b c d e f g h i j"])
-    rows, w = t.rows(shape), np.zeros((shape.rows, lm.CLASSES), np.float32)
+    m = lm.Members(t.keys.tolist()).of(t.keys)
+    rows, w = t.rows(shape, m)[0], np.zeros((shape.rows, lm.CLASSES), np.float32)
 
     def loss(x):
-        return -lm.log_classes(x, rows)[np.arange(len(rows)), t.kinds].sum()
+        return -lm.log_classes(x, rows)[np.arange(len(rows)), m % lm.CLASSES].sum()
 
     trainer = lm.Trainer(w, shape)
     for _ in range(20):
-        trainer.learn(rows, t.kinds)
+        trainer.learn(rows, m % lm.CLASSES)
     assert loss(trainer.w) < 0.3 * loss(w)
 
 
