@@ -65,9 +65,26 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(_table(spark, sf_dir, "documents"))
 
 
+def quality_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What op4 counts, without the learned list: SQL can tell it."""
+    judged = quality.judge(_table(spark, sf_dir, "documents"), quality.DecisionList())
+    return judged.select("row.doc_id", *(F.col(f"stats.{c}") for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")), "base_failed")
+
+
+def mixing_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What op5 aims at, without the draw: SQL can tell it."""
+    return mixing.taken(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target")
+
+
+def url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What op7's rules say, without the propagation: SQL can tell it."""
+    judged = urlfilter.judge(_table(spark, sf_dir, "pages"))
+    return judged.select("page_id", "host", "path", "rule", F.when(F.col("rule").isNotNull(), F.col("verdict")).alias("ruled"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_license_scan, op2_substring_dedup, op3_lm_scoring, op4_quality_rules, op5_source_mixing, op6_decontamination, op7_url_filters, op8_simhash_dedup, op9_warc, op10_language_id)
+    for f in (op1_license_scan, op2_substring_dedup, op3_lm_scoring, op4_quality_rules, op5_source_mixing, op6_decontamination, op7_url_filters, op8_simhash_dedup, op9_warc, op10_language_id, quality_counts, mixing_targets, url_rules)
 }
 
 
@@ -102,7 +119,41 @@ SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(len(places) AS BIGINT) A
 FROM based LEFT JOIN best USING (rid)"""
 
 
+def _rules_sql() -> str:
+    rules = sorted(urlfilter.RULES, key=lambda r: (-len(r[1]), r[1]))
+    cases = {"rule": "", "ruled": ""}
+    for verdict, rule in rules:
+        host, slash, path = rule.partition("/")
+        fits = f"WHEN (host = '{host}' OR ends_with(host, '.{host}')) AND starts_with(path, '{slash}{path}') THEN "
+        cases["rule"] += fits + f"'{rule}' "
+        cases["ruled"] += fits + f"'{verdict}' "
+    return f"""
+WITH parts AS (SELECT page_id, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), '{urlfilter.UPPER}', '{urlfilter.LOWER}') AS host,
+  regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 2) AS path FROM pages)
+SELECT page_id, host, path, CASE {cases["rule"]}END AS rule, CASE {cases["ruled"]}END AS ruled FROM parts"""
+
+
 ORACLE_SQL: dict[str, str] = {
+    "url_rules": _rules_sql(),
+    "quality_counts": r"""
+WITH texts AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+windows AS (SELECT rid, i, array_to_string(w[i : i + 2], ' ') AS k FROM (SELECT rid, w, unnest(range(1, len(w) - 1)) AS i FROM texts)),
+twins AS (SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY rid, k) AS n FROM windows) WHERE n > 1),
+covered AS (SELECT rid, count(DISTINCT i + j) AS n FROM twins, (SELECT unnest([0, 1, 2]) AS j) GROUP BY rid),
+lines AS (SELECT rid, count(*) - count(DISTINCT l) AS n FROM (SELECT rid, unnest(string_split(t, chr(10))) AS l FROM texts) WHERE regexp_matches(l, '[^\x20\x09-\x0D]') GROUP BY rid),
+counted AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars, CAST(len(regexp_extract_all(t, '[#*$%&|<>]')) AS BIGINT) AS n_symbols,
+  CAST(coalesce(lines.n, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(covered.n, 0) AS BIGINT) AS n_repeat_words FROM texts LEFT JOIN lines USING (rid) LEFT JOIN covered USING (rid))
+SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM counted""",
+    "mixing_targets": r"""
+WITH sized AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents),
+sources AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, [5, 2, 1][CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS INT)] AS weight FROM sized GROUP BY source),
+-- the sources that reach three times their size are those with the least size a weight
+turns AS (SELECT *, sum(source_size) OVER () - coalesce(3 * sum(source_size) OVER before, 0) AS left_words, sum(weight) OVER () - coalesce(sum(weight) OVER before, 0) AS left_weight
+  FROM sources WINDOW before AS (ORDER BY CAST(source_size AS DOUBLE) / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+capped AS (SELECT *, left_words * weight > 3 * source_size * left_weight AS full_up FROM turns),
+rest AS (SELECT (SELECT sum(source_size) FROM capped) - coalesce(3 * sum(source_size) FILTER (full_up), 0) AS words, sum(weight) FILTER (NOT full_up) AS weights FROM capped),
+aims AS (SELECT source, source_size, CASE WHEN full_up THEN CAST(3 * source_size AS DOUBLE) ELSE CAST(words AS DOUBLE) * weight / weights END AS target FROM capped, rest)
+SELECT doc_id, size, source_size, target FROM sized JOIN aims ON sized.source IS NOT DISTINCT FROM aims.source""",
     "op1_license_scan": _license_sql(),
     "op2_substring_dedup": r"""
 WITH texts AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
