@@ -5,7 +5,6 @@ Each query applies its operator, with production parameters, to its whole table.
 
 from __future__ import annotations
 
-import math
 import uuid
 from collections.abc import Callable
 
@@ -98,8 +97,9 @@ def _license_sql() -> str:
     places = ", ".join("list_filter(range(len(w)), lambda i: " + " AND ".join(f"w[i + {k + 1}] = '{x}'" for k, x in enumerate(p)) + f") AS p{n}" for n, (p, _) in enumerate(phrases))
     base = ", ".join(f"CASE WHEN len(p{n}) > 0 THEN '{label}' END" for n, (_, label) in enumerate(phrases))
     every = "list_concat(" + ", ".join(f"p{n}" for n in range(len(phrases))) + ")"
-    sets = [(label, list(dict.fromkeys(t.split()))) for label, t in licenses.TEMPLATES]
-    rows = ", ".join(f"('{label}', {_list(t)}, {math.ceil(licenses.THRESHOLD * len(t) - 1e-9)})" for label, t in sets)
+    known = licenses.known_templates()
+    rows = ", ".join(f"({k.number}, '{k.label}', {_list(k.tokens)}, {k.need}, {k.step})" for k in known)
+    steps = " UNION ALL ".join(f"SELECT rid, {x} AS step, w, unnest(range(0, greatest(len(w), 1), {x})) AS s FROM texts" for x in sorted({k.step for k in known}))
     return f"""
 WITH texts AS (
   SELECT row_number() OVER () AS rid, doc_id,
@@ -107,10 +107,12 @@ WITH texts AS (
   FROM documents),
 found AS (SELECT rid, doc_id, len(w) AS n_words, {places} FROM texts),
 based AS (SELECT *, {every} AS places, list_filter([{base}], lambda x: x IS NOT NULL) AS base FROM found),
-templates(label, tokens, need) AS (VALUES {rows}),
-blocks AS (SELECT rid, list_distinct(w[s + 1 : s + {licenses.BLOCK}]) AS b FROM (SELECT rid, w, unnest(range(0, greatest(len(w), 1), {licenses.STEP})) AS s FROM texts)),
-met AS (SELECT rid, label, len(list_intersect(tokens, b)) AS met, need, len(tokens) AS n FROM blocks, templates),
-best AS (SELECT rid, list(DISTINCT label) AS more, max(met / n) AS best FROM met WHERE met >= need GROUP BY rid)
+templates(number, label, tokens, need, step) AS (VALUES {rows}),
+blocks AS (SELECT rid, step, s, list_distinct(w[s + 1 : s + 2 * step]) AS b FROM ({steps})),
+met AS (SELECT rid, step, s, number, label, tokens, len(list_intersect(tokens, b)) AS met, need FROM blocks JOIN templates USING (step)),
+enough AS (SELECT * FROM met WHERE met >= need),
+largest AS (SELECT * FROM enough AS e WHERE NOT EXISTS (SELECT 1 FROM enough AS o WHERE o.rid = e.rid AND o.step = e.step AND o.s = e.s AND len(o.tokens) > len(e.tokens) AND list_has_all(o.tokens, e.tokens))),
+best AS (SELECT rid, list(DISTINCT label) AS more, max(met / len(tokens)) AS best FROM largest GROUP BY rid)
 SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(len(places) AS BIGINT) AS n_base,
        CAST(list_min(places) AS BIGINT) AS first_word, CAST(list_max(places) AS BIGINT) AS last_word,
        coalesce(array_to_string(list_sort(base), ','), '') AS base_labels,

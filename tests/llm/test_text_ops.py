@@ -106,6 +106,19 @@ def test_licenses_tolerate_missing_tokens(spark):
     assert all("mit-grant" in got[i][0] and got[i][1] >= 0.9 for i in range(3)) and got[9] == ("", 0.0)
 
 
+def test_licenses_whole_texts_and_larger_templates(spark):
+    rng = np.random.default_rng(7)
+    text = dict(licenses.TEMPLATES)["mit-text"].split()
+    for k in (20, 77, 130):
+        text[k] = "changed"
+    pad = [f"p{x}" for x in rng.integers(0, 10**6, 300)]
+    cases = [(i, " ".join(pad[:n] + text + pad[n:])) for i, n in enumerate((0, 130, 299))]
+    cases += [(7, " ".join(pad + text[:80])), (8, "this is licensed under CC BY SA 4.0"), (9, "this is licensed under CC BY 4.0")]
+    got = {r.doc_id: r for r in licenses.scan(spark.createDataFrame(cases, "doc_id long, text string")).collect()}
+    assert all("mit-text" in got[i].labels.split(",") for i in range(3)) and "mit-text" not in got[7].labels
+    assert got[8].labels == "cc-by,cc-by-sa-4.0" and got[9].labels == "cc-by,cc-by-4.0"
+
+
 # -- quality
 
 
