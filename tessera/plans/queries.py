@@ -332,7 +332,7 @@ def hybrid_multi_query(spark, d):
 def lexical_rerank(spark, d):
     asked, docs = _asked(spark, d), table(spark, d, "documents")
     first = keyword.search(asked, keyword.index(docs, "doc_id"), 20, "doc_id")
-    return retrieval.rerank(first, asked, docs, 6, key="doc_id")
+    return retrieval.rerank(first, asked, docs, 6, key="doc_id", per_query=20)
 
 
 @query

@@ -14,8 +14,9 @@ CHUNKS = f"{schemas.CHUNKS}, embedding array<float>"
 
 
 class Catalog:
-    """Collections below a folder. A version is a folder of its own; a pointer file names the current one,
-    so readers see either the old or the new table, and a failed write leaves the old one."""
+    """Collections below a folder. A version is a folder of its own, named by number; the last one that is complete
+    counts, so readers see either the old or the new table, and a failed write leaves the old one. Of two
+    writers at the same time one version counts and the other's rows are lost: sync a collection from one place."""
 
     def __init__(self, spark: SparkSession, root: str) -> None:
         self.spark, self.root = spark, root.rstrip("/")
