@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tessera import config, qa
 from tessera.functions import paths as P
 from tessera.functions import text as T
-from tessera.operators import chunking, embed, evaluate, retrieval, summaries, sync, telemetry
+from tessera.operators import chunking, embed, evaluate, keyword, retrieval, summaries, sync, telemetry
 from tessera.sources import files as sources
 from tessera.sources import logs
 from tessera.sources.catalog import Catalog
@@ -84,6 +84,7 @@ class Engine:
                 fresh = own.join(found.where(F.col("status").isin("new", "updated")), "path", "left_semi")
                 chunks = embed.embed_distinct(chunking.ingest(fresh, self.settings), self.embedder, self.settings.embedding_batch_size)
                 self.catalog.replace(name, sync.replace(old, found, chunks))
+                keyword.write(keyword.build(self._keyed(name)), self.catalog.keywords(name))
             now = self.catalog.read(name)
             changed = found.where(F.col("status").isin("new", "updated")).select(F.col("path").alias("source"))
             made = {"chunks": now.join(changed, "source", "left_semi").count(), "collection_chunks": now.count()}
@@ -92,6 +93,11 @@ class Engine:
             own.unpersist()
         return {"collection": name, **counts, **total, **made, "seconds": round(time.perf_counter() - began, 2)}
 
+    def _keyed(self, name: str) -> DataFrame:
+        """The chunks of a collection with the columns that retrieval looks for."""
+        key = F.concat_ws("\u0001", "source", F.lpad(F.col("chunk_index").cast("string"), 10, "0"))
+        return self.catalog.read(name).withColumn("key", key).withColumn("text", F.col("page_content"))
+
     # -- retrieval and answers
 
     def retrieve(self, collection: str, question: str, mode: str | None = None, language: str | None = None, source: str | None = None, symbol: str | None = None, phrasings: Sequence[str] = ()) -> DataFrame:
@@ -100,15 +106,15 @@ class Engine:
 
     def retrieve_many(self, collection: str, questions: list[tuple[int, str]], mode: str | None = None, language: str | None = None, source: str | None = None, symbol: str | None = None, phrasings: Sequence[tuple[int, int, str]] = ()) -> DataFrame:
         """The chunks found for each (query_id, question), by one plan for all of them."""
-        key = F.concat_ws("\u0001", "source", F.lpad(F.col("chunk_index").cast("string"), 10, "0"))
-        corpus = self.catalog.read(collection).withColumn("key", key).withColumn("text", F.col("page_content"))
+        corpus = self._keyed(collection)
+        index = keyword.read(self.spark, self.catalog.keywords(collection)) if self.catalog.indexed(collection) else None
         vectors = self.embedder([q for _, q in questions])
         asked = self.spark.createDataFrame([(i, q, v) for (i, q), v in zip(questions, vectors)], "query_id long, text string, embedding array<float>")
         variants = None
         if phrasings:
             more = self.embedder([p for *_, p in phrasings])
             variants = self.spark.createDataFrame([(i, n, p, v) for (i, n, p), v in zip(phrasings, more)], "query_id long, variant int, text string, embedding array<float>")
-        found = retrieval.retrieve(asked, corpus, mode or self.settings.retrieval_mode, self.settings, "key", "text", language, source, symbol, variants, self.scorer)
+        found = retrieval.retrieve(asked, corpus, mode or self.settings.retrieval_mode, self.settings, "key", "text", language, source, symbol, variants, self.scorer, index=index)
         return found.join(corpus.drop("embedding", "text"), "key").drop("key")
 
     def stream(self, collection: str, question: str, history: Sequence[dict] | None = None, **how) -> Iterator[dict]:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
@@ -25,14 +25,45 @@ class Corpus:
     tokens: DataFrame
 
 
+@dataclass(frozen=True)
+class Index:
+    """A kept index: postings (token, key, tf, dl), sorted by token, and lengths (key, dl) of all documents."""
+
+    postings: DataFrame
+    lengths: DataFrame
+
+    def only(self, keys: DataFrame) -> Index:
+        """The part for the documents of ``keys`` (key); the statistics are those of what is left."""
+        return Index(self.postings.join(small(keys), "key", "left_semi"), self.lengths.join(small(keys), "key", "left_semi"))
+
+
+def build(corpus: DataFrame, key: str = "key", text: str = "text") -> Index:
+    """The index of ``corpus``, to be written; each document is tokenised once."""
+    own = index(corpus, key, text).tokens.select("key", F.size("toks").alias("dl"), "toks")
+    counts = own.select("key", "dl", F.explode("toks").alias("token")).groupBy("token", "key", "dl").agg(F.count("*").alias("tf"))
+    return Index(counts.select("token", "key", "tf", "dl"), own.select("key", "dl"))
+
+
+def write(found: Index, path: str) -> None:
+    """Write an index below ``path``. It is sorted by token, so a search reads only the parts with its tokens."""
+    found.postings.repartitionByRange("token").sortWithinPartitions("token", "key").write.mode("overwrite").parquet(f"{path}/postings")
+    found.lengths.write.mode("overwrite").parquet(f"{path}/lengths")
+
+
+def read(spark: SparkSession, path: str) -> Index:
+    return Index(spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/lengths"))
+
+
 def index(corpus: DataFrame, key: str = "key", text: str = "text", where: Column | None = None) -> Corpus:
     """Token lists of ``corpus``; ``where`` filters it first, so the statistics are those of what is left."""
     own = corpus if where is None else corpus.where(where)
     return Corpus(own.select(F.col(key).alias("key"), T.tokens(F.coalesce(F.col(text), F.lit(""))).alias("toks")))
 
 
-def document_frequency(corpus: Corpus) -> DataFrame:
+def document_frequency(corpus: Corpus | Index) -> DataFrame:
     """(token, df) of every token; documents count each token once."""
+    if isinstance(corpus, Index):
+        return corpus.postings.groupBy("token").agg(F.count("*").alias("df"))
     return corpus.tokens.select(F.explode(F.array_distinct("toks")).alias("token")).groupBy("token").agg(F.count("*").alias("df"))
 
 
@@ -40,7 +71,7 @@ def _idf(df: Column, n: int) -> Column:
     return F.log(F.lit(float(n)) - df + 0.5) - F.log(df + 0.5)
 
 
-def search(queries: DataFrame, corpus: Corpus, k: int, key: str = "key", digits: int = 6) -> DataFrame:
+def search(queries: DataFrame, corpus: Corpus | Index, k: int, key: str = "key", digits: int = 6) -> DataFrame:
     """(query_id, key, score, rank): the ``k`` highest scores above 0 for each query (query_id, text).
 
     A query token counts as often as it stands in the query. An idf below 0 becomes EPSILON
@@ -49,34 +80,43 @@ def search(queries: DataFrame, corpus: Corpus, k: int, key: str = "key", digits:
 
     Two passes over the corpus: one counts its documents, their tokens and the documents of
     each query token; the other scores each document where it is read, so what is shuffled
-    is one row for each query and matching document.
+    is one row for each query and matching document. With a kept index both read the postings
+    of the query tokens only, and nothing is tokenised.
     """
     terms = queries.select("query_id", F.explode(T.tokens(F.coalesce(F.col("text"), F.lit("")))).alias("token")).groupBy("query_id", "token").agg(F.count("*").alias("qtf"))
     words = terms.select("token").distinct()
     vocabulary = [r[0] for r in words.limit(VOCABULARY + 1).collect()]
-    found = corpus.tokens.select("key", F.size("toks").alias("dl"), "toks")
-    if len(vocabulary) <= VOCABULARY:
-        found = found.withColumn("toks", F.filter("toks", lambda t: t.isin(vocabulary) if vocabulary else F.lit(False)))
-    # the empty token stands for the document itself
-    marks = found.select("dl", F.explode(F.array_union(F.array(F.lit("")), F.array_distinct("toks"))).alias("token"))
-    if len(vocabulary) > VOCABULARY:
-        marks = marks.join(small(words.unionByName(words.sparkSession.createDataFrame([("",)], "token string"))), "token", "left_semi")
-    stats = marks.groupBy("token").agg(F.count("*").alias("df"), F.sum("dl").alias("total"))
+    kept = isinstance(corpus, Index)
+    if kept:
+        known = F.col("token").isin(vocabulary) if vocabulary else F.lit(False)
+        counts = corpus.postings.where(known) if len(vocabulary) <= VOCABULARY else corpus.postings.join(small(words), "token", "left_semi")
+        n, total = corpus.lengths.agg(F.count("*"), F.coalesce(F.sum("dl"), F.lit(0))).first()
+        stats = counts.groupBy("token").agg(F.count("*").alias("df"))
+    else:
+        found = corpus.tokens.select("key", F.size("toks").alias("dl"), "toks")
+        if len(vocabulary) <= VOCABULARY:
+            found = found.withColumn("toks", F.filter("toks", lambda t: t.isin(vocabulary) if vocabulary else F.lit(False)))
+        # the empty token stands for the document itself
+        marks = found.select("dl", F.explode(F.array_union(F.array(F.lit("")), F.array_distinct("toks"))).alias("token"))
+        if len(vocabulary) > VOCABULARY:
+            marks = marks.join(small(words.unionByName(words.sparkSession.createDataFrame([("",)], "token string"))), "token", "left_semi")
+        stats = marks.groupBy("token").agg(F.count("*").alias("df"), F.sum("dl").alias("total"))
+        counts = found.select("key", "dl", F.explode("toks").alias("token")).groupBy("key", "dl", "token").agg(F.count("*").alias("tf"))
     if len(vocabulary) <= VOCABULARY:
         rows = stats.collect()
-        n, total = next(((r["df"], r["total"]) for r in rows if r["token"] == ""), (0, 0))
+        if not kept:
+            n, total = next(((r["df"], r["total"]) for r in rows if r["token"] == ""), (0, 0))
         stats = words.sparkSession.createDataFrame([(r["token"], r["df"]) for r in rows if r["token"]], "token string, df long")
-    else:
+    elif not kept:
         n, total = stats.where("token = ''").select("df", "total").first() or (0, 0)
         stats = stats.where("token <> ''")
     if not n:
-        return queries.select("query_id", F.lit(None).cast(corpus.tokens.schema["key"].dataType).alias(key), F.lit(0.0).alias("score"), F.lit(0).alias("rank")).limit(0)
+        return queries.select("query_id", F.lit(None).cast((corpus.lengths if kept else corpus.tokens).schema["key"].dataType).alias(key), F.lit(0.0).alias("score"), F.lit(0).alias("rank")).limit(0)
     weights = stats.select("token", _idf(F.col("df"), n).alias("idf"))
     if not weights.where("idf < 0").isEmpty():
         mean = document_frequency(corpus).agg(F.avg(_idf(F.col("df"), n))).first()[0]
         weights = weights.withColumn("idf", F.when(F.col("idf") < 0, EPSILON * mean).otherwise(F.col("idf")))
     asked = terms.join(weights, "token")
-    counts = found.select("key", "dl", F.explode("toks").alias("token")).groupBy("key", "dl", "token").agg(F.count("*").alias("tf"))
     norm = F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.lit(total / n or 1.0))
     part = F.col("qtf") * F.col("idf") * F.col("tf") * (K1 + 1) / norm
     scores = counts.join(small(asked), "token").groupBy("query_id", "key").agg(F.round(F.sum(part), digits).alias("score")).where("score > 0")

@@ -54,6 +54,16 @@ class Catalog:
         for x in old[: max(0, len(old) + 1 - keep)]:
             self._fs.delete(self._path(f"{self.root}/{name}/{x}"), True)
 
+    def keywords(self, name: str) -> str | None:
+        """Where the keyword index of the current version is kept; Spark passes such a name over when it reads the chunks."""
+        at = self._current(name)
+        return at and f"{at}/_keywords"
+
+    def indexed(self, name: str) -> bool:
+        """Whether the current version's keyword index is complete."""
+        at = self.keywords(name)
+        return bool(at and self._fs.exists(self._path(f"{at}/lengths/_SUCCESS")))
+
     def delete_sources(self, name: str, sources: list[str]) -> None:
         if sources and self._current(name):
             self.replace(name, sync.delete_sources(self.read(name), sources))

@@ -66,6 +66,21 @@ def test_bm25_order_cap_and_empty(spark, corpus):
     assert set(ranked(english)) <= {2, 4}
 
 
+def test_kept_index_gives_what_a_scan_gives(spark, corpus, tmp_path):
+    keyword.write(keyword.build(corpus), str(tmp_path))
+    kept = keyword.read(spark, str(tmp_path))
+    q = asked(spark, "find user by id the the")
+    for where in (None, F.col("language") == "fr"):
+        scan = keyword.index(corpus, where=where)
+        part = kept if where is None else kept.only(corpus.where(where).select("key"))
+        want = sorted(keyword.search(q, scan, 10).collect())
+        assert (want or where is not None) and sorted(keyword.search(q, part, 10).collect()) == want
+    assert sorted(keyword.document_frequency(kept).collect()) == sorted(keyword.document_frequency(keyword.index(corpus)).collect())
+    plan = kept.postings.where(F.col("token").isin(["user"]))._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [In(token" in plan or "EqualTo(token,user)" in plan
+    assert keyword.search(q, keyword.build(corpus.limit(0)), 3).count() == 0
+
+
 def test_knn_matches_numpy(spark):
     rng = np.random.default_rng(0)
     m = np.round(rng.normal(size=(80, 5)), 1).astype(np.float32)
