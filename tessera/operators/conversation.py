@@ -12,9 +12,7 @@ from tessera.functions import text as T
 
 Model = Callable[[str], str]
 
-REWRITE = """Below are the last turns of a conversation about a codebase and a new question.
-Write the question so that it can be understood alone: put in what its pronouns and references stand for.
-Leave it as it is if it already can be. Do not answer it. Reply with the question only.
+REWRITE = """Somebody asks about source code, and the question may lean on what was said before. Turn it into one that a reader without the conversation would understand; a question that needs nothing from it comes back unchanged. Your reply is that question and nothing else, not its answer.
 
 Conversation:
 {history}
@@ -23,9 +21,7 @@ Question: {question}
 
 Standalone question:"""
 
-EXPAND = """Write {n} other search queries for the question below, to be run against a codebase.
-Keep its meaning; use other words, such as names that code might use. Keep them short and unlike each other.
-Reply with the {n} queries only, numbered, one a line.
+EXPAND = """A search over source code may miss the right file if it says things otherwise than the question does. List {n} short searches for the same thing in differing terms, identifiers among them: one a line, each with its number, and no other text.
 
 Question: {question}
 """
