@@ -13,6 +13,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tessera.llm import decontam, langid, licenses, lm, mixing, quality, simhash, substring_dedup
+from tessera.llm._exchange import group_size, packed
 from tessera.llm._hashing import Words, window_hashes, window_starts
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -83,6 +84,18 @@ def test_hashes_tell_patterned_and_long_words_apart():
     assert all(Words([w.encode()]).hashes(lane)[0] == h for lane in (0, 1) for w, h in zip(words, both.hashes(lane)))
 
 
+def test_packets_grow_with_the_input_not_with_its_square():
+    rng = np.random.default_rng(0)
+    sent = {}
+    for groups in (8, 32, 128):
+        # buckets grow with the input, as in the operators
+        distinct = [np.unique(rng.integers(0, 2**63, 500).astype(np.uint64) * np.uint64(2)) for _ in range(groups)]
+        sent[groups] = sum(len(list(packed(keys, 100 * groups))) for keys in distinct)
+        assert sent[groups] <= sum(map(len, distinct))
+    assert sent[128] <= 4.5 * sent[32] and sent[32] <= 6 * sent[8]
+    assert group_size(10**9, 4 << 20) == 4 << 20 and group_size(10**14, 4 << 20) == 32 << 20
+
+
 # -- licenses
 
 
@@ -442,17 +455,12 @@ def test_probabilities_of_all_words_sum_to_one():
     m = members.of(t.keys)
     assert [m[t.keys == a].tolist()[0] for a in alone] == [0, 1, 2] and (m[~np.isin(t.keys, alone)] >= lm.ALONE).all()
     w = rng.normal(size=(shape.rows, lm.CLASSES)).astype(np.float32)
-    # every member in turn, after one and the same history
-    first, _ = t.rows(shape, m)
-    total = np.zeros(len(m))
+    # every member in turn as the third token, after one and the same history
+    first, total = t.rows(shape, m)[0], 0.0
     for member in range(lm.MEMBERS):
-        then = lm.Tokens([b"A b c", None, b"", b"d " * 50]).rows(shape, m)[1].copy()
-        own = np.full(len(m), member)
-        # the member's rows are those of its class
-        _, rows = t.rows(shape, np.where(np.arange(len(m)) == 2, member, m))
-        total[2] += 10 ** lm.history_logs(w, first[2:3], rows[2:3], own[2:3])[0]
-        assert then.shape == rows.shape
-    assert total[2] == pytest.approx(1, abs=1e-4)
+        m[2] = member
+        total += 10 ** lm.history_logs(w, first[2:3], t.rows(shape, m)[1][2:3], m[2:3])[0]
+    assert total == pytest.approx(1, abs=1e-4)
 
 
 def test_gradient_is_that_of_the_likelihood():
