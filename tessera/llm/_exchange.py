@@ -9,6 +9,8 @@ more than the distinct hashes of the groups, which grow with the input, not with
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import math
 from collections.abc import Iterable, Iterator
 
@@ -25,6 +27,13 @@ def text_bytes(docs: DataFrame, text: str) -> int:
     return docs.agg(F.coalesce(F.sum(F.octet_length(F.col(text).cast("string"))), F.lit(0))).first()[0]
 
 
+def give_back() -> None:
+    """Return freed memory of a Python worker to the machine; idle workers outlive their tasks and would keep it."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def group_size(total: int, least: int, most: int = 32 << 20) -> int:
     """Bytes of a group: more where there are many groups, so that what a group sends to a bucket doesn't become a few bytes."""
     return max(least, min(most, total // 20_000))

@@ -55,11 +55,11 @@ class Shape:
 
     @property
     def class_rows(self) -> int:
-        return 3 * self.features + (CLASSES + 1) ** 2 + 1
+        return 3 * self.features + (CLASSES + 1) ** 2
 
     @property
     def rows(self) -> int:
-        return self.class_rows + 3 * self.member_features + CLASSES * ((CLASSES + 1) ** 2 + 1)
+        return self.class_rows + 3 * self.member_features + CLASSES * (CLASSES + 1) ** 2
 
 
 class Members:
@@ -101,7 +101,7 @@ class Tokens:
         self.doc = np.repeat(np.arange(len(texts)), self.counts)
 
     def rows(self, shape: Shape, members: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(tokens, 5) rows of the weight table for the class, and for the member, that each token's history selects."""
+        """(tokens, 4) rows of the weight table for the class, and for the member, that each token's history selects."""
         f, g, n = U64(shape.features), U64(shape.member_features), len(self.keys)
         start = np.concatenate([[0], np.cumsum(self.counts)[:-1]]) if len(self.counts) else np.zeros(0, np.int64)
         one, two = np.full(n, 1, U64), np.full(n, 2, U64)
@@ -113,26 +113,30 @@ class Tokens:
         second = start[self.counts > 1] + 1
         for at in (start, second):
             two[at], c2[at] = 2, CLASSES
-        first, then = np.empty((n, 5), np.int32), np.empty((n, 5), np.int32)
+        first, then = np.empty((n, 4), np.int32), np.empty((n, 4), np.int32)
         turn = own.astype(U64) * U64(0xD1342543DE82EF95)
         pair = c1 * (CLASSES + 1) + c2
         for k, h in enumerate((mix(one), mix(one * U64(0x9E3779B97F4A7C15) + two), mix(two + U64(0x632BE59BD9B4E019)))):
             first[:, k] = k * shape.features + (h % f).astype(np.int32)
             then[:, k] = shape.class_rows + k * shape.member_features + (mix(h + turn) % g).astype(np.int32)
         first[:, 3] = 3 * shape.features + pair
-        first[:, 4] = shape.class_rows - 1
-        last = shape.class_rows + 3 * shape.member_features
-        then[:, 3] = last + own * (CLASSES + 1) ** 2 + pair
-        then[:, 4] = last + CLASSES * (CLASSES + 1) ** 2 + own
+        # every history has one of these, so they do a bias's work too
+        then[:, 3] = shape.class_rows + 3 * shape.member_features + own * (CLASSES + 1) ** 2 + pair
         return first, then
 
 
-def log_classes(weights: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """Natural log of the probabilities of the classes, or of a class's members, for each history."""
+def _scores(weights: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Sums of the selected weights, the largest of each history 0."""
     z = weights[rows[:, 0]]
     for k in range(1, rows.shape[1]):
         z += weights[rows[:, k]]
     z -= z.max(axis=1, keepdims=True)
+    return z
+
+
+def log_classes(weights: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Natural log of the probabilities of the classes, or of a class's members, for each history."""
+    z = _scores(weights, rows)
     z -= np.log(np.exp(z).sum(axis=1, keepdims=True))
     return z
 
@@ -148,18 +152,24 @@ class Trainer:
     def learn(self, rows: np.ndarray, kinds: np.ndarray) -> None:
         for at in range(0, len(rows), self.shape.batch):
             r, k = rows[at : at + self.shape.batch], kinds[at : at + self.shape.batch]
-            g = np.exp(log_classes(self.w, r))
+            g = _scores(self.w, r)
+            np.exp(g, out=g)
+            g /= g.sum(axis=1, keepdims=True)
             g[np.arange(len(k)), k] -= 1
             for c in range(r.shape[1]):
                 self._step(r[:, c], g)
 
     def _step(self, own: np.ndarray, g: np.ndarray) -> None:
-        order = np.argsort(own, kind="stable")
+        least = int(own.min())
+        own = own - least
+        # numbers of 16 bits are sorted by radix
+        order = np.argsort(own.astype(np.uint16) if int(own.max()) < 1 << 16 else own, kind="stable")
         s = own[order]
         first = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
-        sums, hit = np.add.reduceat(g[order], first, axis=0), s[first]
-        self.square[hit] += (sums**2).mean(axis=1)
-        self.w[hit] -= self.shape.rate * sums / np.sqrt(self.square[hit])[:, None]
+        sums, hit = np.add.reduceat(g[order], first, axis=0), s[first] + least
+        square = self.square[hit] + np.einsum("ij,ij->i", sums, sums) / sums.shape[1]
+        self.square[hit] = square
+        self.w[hit] -= sums * (self.shape.rate / np.sqrt(square))[:, None]
         self.seen[hit] += np.diff(np.append(first, len(s)))
 
 

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm._exchange import bits, dealt, from_bits, from_low_bytes, group_size, in_order, low_bytes, packed, runs, text_bytes
+from tessera.llm._exchange import bits, dealt, from_bits, from_low_bytes, give_back, group_size, in_order, low_bytes, packed, runs, text_bytes
 from tessera.llm._hashing import Words, slices, window_hashes, window_starts
 
 #: Bytes of a probe hash that are sent; with the bucket they make over 40 bits. Only candidates hang on them.
@@ -156,6 +156,7 @@ def remove_repeats(
         group.probes()
         k = group.keys
         rows = [(b, p.stop - p.start, low_bytes(k[p], PROBE_BYTES), bits(group.many[p]), bits(group.aligned[p])) for b, p in packed(k, buckets)]
+        give_back()
         return _sent(1, key[0].as_py(), rows)
 
     def extend(key: tuple, table: pa.Table, replies: pa.Table) -> pa.Table:
@@ -166,6 +167,7 @@ def remove_repeats(
         group.candidates(_replies(replies, 1, group.keys, buckets))
         both = np.stack([group.keys, group.second], axis=1)
         rows = [(b, p.stop - p.start, both[p].astype("<u8").tobytes(), bits(group.many[p]), b"") for b, p in packed(group.keys, buckets)]
+        give_back()
         return _sent(2, key[0].as_py(), rows)
 
     def finish(key: tuple, table: pa.Table, replies: pa.Table) -> pa.Table:
@@ -184,6 +186,7 @@ def remove_repeats(
             digests.append(hashlib.sha256(b" ".join(compress(words, (~lost).tolist()) if k else words)).hexdigest())
             if with_text:
                 cleaned.append(_cut(t, lost) if k else t)
+        give_back()
         out = {"row": table.column("row")}
         if with_text:
             out["text"] = pa.array(cleaned, pa.binary())
