@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from tessera.llm._storage import saved
 
 
+_EDGES_A_PART = 100_000
+
+
 def _large_star(edges: DataFrame) -> DataFrame:
     """Each node's larger neighbours move to its smallest neighbour (or itself)."""
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -38,6 +41,7 @@ def components(edges: DataFrame) -> DataFrame:
         if seen == mark or not seen[0]:
             break
         mark = seen
-        now = saved(_small_star(_large_star(now)))
+        # few edges in few files: each round writes as many as it has partitions
+        now = saved(_small_star(_large_star(now)).coalesce(-(-seen[0] // _EDGES_A_PART)))
     roots = now.select(F.col("b").alias("node")).distinct().select("node", F.col("node").alias("root"))
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(roots)

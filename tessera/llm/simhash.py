@@ -28,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.llm._exchange import give_back
 from tessera.llm._graph import components
 from tessera.llm._hashing import mix
 from tessera.llm._joins import join_checked
@@ -37,7 +38,7 @@ SEED = 42
 #: Independent fingerprints of a text's words; more of them miss fewer near copies.
 VIEWS = 8
 #: Rows that one task pairs or compares at a time.
-_ROWS_A_BUCKET, _ROWS_A_SALT = 200_000, 250
+_ROWS_A_BUCKET, _ROWS_A_SALT = 100_000, 250
 _BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)
 _PLACES = 256 * np.arange(8)
 
@@ -74,6 +75,7 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", shing
         for batch in batches:
             fps = [fingerprint(t.as_py(), shingle) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64())], names=["key", "fp"])
+            give_back()
 
     return docs.select(F.col(key).alias("key"), F.col(text).cast("binary").alias("text")).mapInArrow(make, f"key {kind}, fp bigint")
 
@@ -211,6 +213,7 @@ def links(fps: DataFrame, max_distance: int = 3, segment_bits: int = 2, cell_lim
         own = np.cumsum(np.concatenate([[False], (cell[1:] != cell[:-1]) | (view[1:] != view[:-1])]))
         bits = fp.view(np.uint64)
         a, b = _forest(own, bits, _thermometer(bits, segment_bits), max_distance).T
+        give_back()
         return pa.table({"view": pa.array(view[a], pa.int32()), "a": pa.array(np.minimum(fp[a], fp[b]), pa.int64()), "b": pa.array(np.maximum(fp[a], fp[b]), pa.int64())})
 
     cold = full.where(F.col("n") <= cell_limit).select(F.pmod(F.xxhash64("cell", F.lit(1)), F.lit(buckets)).cast("int").alias("bucket"), "cell", "view", "fp")
@@ -279,6 +282,7 @@ def word_fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text",
                 hashes = np.fromiter((xxhash.xxh64_intdigest(w, SEED) for w in own), np.uint64, len(own))
                 fps.append([majority(mix(hashes + turn)) for turn in turns] if words else None)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(digests, pa.binary()), pa.array(fps, pa.list_(pa.int64()))], names=["key", "mark", "digest", "fps"])
+            give_back()
 
     return docs.select(F.col(key).alias("key"), F.xxhash64(text).alias("mark"), F.col(text).cast("binary").alias("text")).mapInArrow(make, f"key {kind}, mark bigint, digest binary, fps array<bigint>")
 
@@ -312,10 +316,9 @@ def verified_links(members: DataFrame, edges: DataFrame, texts: DataFrame, simil
     """Links (a, b) between the nodes of ``members`` (group, node) whose ``texts`` (node, text) have ``similarity`` or more.
 
     ``edges`` (a, b) are candidates within the groups. In a group of at most ``whole`` nodes all are
-    compared, in one task. In a larger one all edges are verified; then, in rounds, ``heads`` nodes are
-    compared with all of the group: of each set that is linked so far the nodes with the most
-    links, those of large sets first. It ends with the first round that joins fewer nodes and sets than it
-    had heads. So copies that gather around an original are joined by it, and work is heads times nodes,
+    compared, in one task. In a larger one all edges are verified; then ``heads`` nodes are compared with
+    all of the group, those with the most links, and after that as many of those that no such head has a
+    link to. So copies that gather around an original are joined by it, and work is heads times nodes,
     never all pairs. A link in a large group can be missed if it is neither an edge nor one of a head.
     """
     made = "group binary, node binary, salt int, set binary"
@@ -328,6 +331,7 @@ def verified_links(members: DataFrame, edges: DataFrame, texts: DataFrame, simil
         for batch in batches:
             own = pa.array([shingle_hashes(t.as_py(), shingle).tobytes() for t in batch.column("text")], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column("group"), batch.column("node"), batch.column("salt"), own], names=["group", "node", "salt", "set"])
+            give_back()
 
     def arrays(table: pa.Table) -> tuple[list[bytes], list[np.ndarray]]:
         return table.column("node").to_pylist(), [np.frombuffer(x, np.uint64) for x in table.column("set").to_pylist()]
@@ -362,23 +366,16 @@ def verified_links(members: DataFrame, edges: DataFrame, texts: DataFrame, simil
         return sent.groupBy("of", "part").cogroup(many.groupBy("group", "salt")).applyInArrow(compare_sent, links_made)
 
     wanted = edges.join(large.withColumnRenamed("node", "a"), "a").groupBy("group", "salt", F.col("b").alias("node")).agg(F.collect_set("a").alias("partners"))
-    mine, tried, before, sent = saved(compared(wanted)), large.select("node").limit(0), 0, 0
-    while True:
-        roots = saved(components(mine))
-        now = roots.where("node <> root").count()
-        if now - before <= sent and sent:
-            return found.unionByName(mine)
-        ends = mine.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("links"))
-        state = large.join(roots, "node").join(ends, "node").join(roots.groupBy("root").agg(F.count("*").alias("n")), "root").join(tried, "node", "left_anti")
-        first = F.row_number().over(Window.partitionBy("root").orderBy(F.desc("links"), "node"))
-        state = state.withColumn("place", first).where(F.col("place") <= heads)
-        turn = F.row_number().over(Window.partitionBy("group").orderBy("place", F.desc("n"), "node"))
-        chosen = saved(state.withColumn("turn", turn).where(F.col("turn") <= heads).select("group", "node"))
+    mine, tried = saved(compared(wanted)), large.select("node").limit(0)
+    for _ in range(2):
+        ends = mine.select("a", "b").unionByName(mine.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        taken = ends.join(tried.withColumnRenamed("node", "b"), "b", "left_semi").select(F.col("a").alias("node")).unionByName(tried).distinct()
+        free = ends.groupBy(F.col("a").alias("node")).agg(F.count("*").alias("links")).join(taken, "node", "left_anti")
+        turn = F.row_number().over(Window.partitionBy("group").orderBy(F.desc("links"), "node"))
+        chosen = saved(large.join(free, "node").withColumn("turn", turn).where(F.col("turn") <= heads).select("group", "node"))
         new = compared(chosen.join(chunks, "group").withColumn("partners", F.lit(None).cast("array<binary>")))
-        mine = saved(mine.unionByName(new).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-        tried, before, sent = saved(tried.unionByName(chosen.select("node"))), now, chosen.count()
-        if not sent:
-            return found.unionByName(mine)
+        mine, tried = saved(mine.unionByName(new).distinct()), chosen.select("node")
+    return found.unionByName(mine)
 
 
 def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", views: int = VIEWS, similarity: float = 0.8, shingle: int = 5, **how) -> DataFrame:
