@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm._exchange import give_back
+from tessera.llm._exchange import bits, from_bits, give_back, packed
 from tessera.llm._graph import components
 from tessera.llm._hashing import mix
 from tessera.llm._joins import join_checked
@@ -37,8 +37,8 @@ from tessera.llm._storage import saved
 SEED = 42
 #: Independent fingerprints of a text's words; more of them miss fewer near copies.
 VIEWS = 8
-#: Rows that one task pairs or compares at a time.
-_ROWS_A_BUCKET, _ROWS_A_SALT = 100_000, 250
+#: Rows that one task pairs or compares at a time; bytes of hashes that one task counts.
+_ROWS_A_BUCKET, _ROWS_A_SALT, _BYTES_A_BUCKET = 100_000, 250, 8 << 20
 _BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)
 _PLACES = 256 * np.arange(8)
 
@@ -312,14 +312,130 @@ def _close(a: np.ndarray, others: list[np.ndarray], similarity: float) -> list[i
     return [i for i, b in enumerate(others) if min(n, len(b)) >= similarity * max(n, len(b)) - 1e-9 and _alike(a, b) >= similarity]
 
 
+def _in_both(a: list[np.ndarray], b: list[np.ndarray], step: int = 4096) -> np.ndarray:
+    """How many hashes each set of ``a`` has in common with each of ``b``, by products of 0/1 matrices over the hashes that both sides have."""
+    keys, rows = zip(*((np.concatenate(x), np.repeat(np.arange(len(x)), [len(y) for y in x])) for x in (a, b)))
+    words = np.intersect1d(*keys)
+    ends = []
+    for k, row in zip(keys, rows):
+        at = np.minimum(np.searchsorted(words, k), max(0, len(words) - 1))
+        known = words[at] == k if len(words) else np.zeros(len(k), bool)
+        at, row = at[known], row[known]
+        order = np.argsort(at, kind="stable")
+        ends.append((at[order], row[order]))
+    out = np.zeros((len(a), len(b)))
+    for start in range(0, len(words), step):
+        parts = []
+        for (at, row), side in zip(ends, (a, b)):
+            part = np.zeros((len(side), min(step, len(words) - start)), np.float32)
+            s, e = np.searchsorted(at, [start, start + step])
+            part[row[s:e], at[s:e] - start] = 1
+            parts.append(part)
+        out += parts[0] @ parts[1].T
+    return out
+
+
+def _owned(keys: np.ndarray, owners: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys, sorted, and the owner of each; 0: several, or one of them is 0."""
+    order = np.lexsort((owners, keys))
+    keys, owners = keys[order], owners[order]
+    cuts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1], [True]]))
+    first, last = owners[cuts[:-1]], owners[cuts[1:] - 1]
+    return keys[cuts[:-1]], np.where(first == last, first, np.uint64(0))
+
+
+def _links_between(parts: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Links (a, b) that join the parts (group, salt, node, root) of a group wherever two nodes of different parts have ``similarity`` or more.
+
+    ``sets`` (group, node, salt, set) are the nodes' shingle hashes. A node with such a link has at least
+    that share of its hashes in other parts of its group: hashes are counted by packets, one for
+    each chunk and bucket, and the other nodes go. Of those that remain, all outside a group's largest part are
+    compared with all in other parts, in blocks; a block yields fewer links than it has parts.
+    """
+
+    def arrays(table: pa.Table) -> tuple[list[bytes], list[np.ndarray]]:
+        return table.column("node").to_pylist(), [np.frombuffer(x, np.uint64) for x in table.column("set").to_pylist()]
+
+    def offer(key: tuple, own: pa.Table, table: pa.Table) -> pa.Table:
+        """A chunk's distinct hashes, each with the part that has it, packed for the buckets."""
+        rows = []
+        if own.num_rows:
+            owner = dict(zip(own.column("node").to_pylist(), own.column("owner").to_pylist()))
+            nodes, found = arrays(table)
+            owners = np.repeat(np.array([owner[n] for n in nodes], np.int64).view(np.uint64), [len(x) for x in found])
+            hashes, owners = _owned(np.concatenate(found), owners)
+            rows = [(b, hashes[s].tobytes(), owners[s].tobytes()) for b, s in packed(hashes, own.column("buckets")[0].as_py())]
+        n = len(rows)
+        out = [pa.array([key[0].as_py()] * n, pa.binary()), pa.array([key[1].as_py()] * n, pa.int32()), pa.array([r[0] for r in rows], pa.int32())]
+        give_back()
+        return pa.table([*out, *(pa.array([r[i] for r in rows], pa.binary()) for i in (1, 2))], names=["group", "salt", "bucket", "hashes", "owners"])
+
+    def answer(table: pa.Table) -> pa.Table:
+        """For each packet, which of its hashes several parts have."""
+        hashes, owners = ([np.frombuffer(x, np.uint64) for x in table.column(n).to_pylist()] for n in ("hashes", "owners"))
+        known, owner = _owned(np.concatenate(hashes), np.concatenate(owners))
+        flags = [bits(owner[np.searchsorted(known, x)] == 0) for x in hashes]
+        return table.select(["group", "salt", "bucket"]).append_column("n", pa.array(map(len, hashes), pa.int64())).append_column("flags", pa.array(flags, pa.binary()))
+
+    def pick(key: tuple, told: pa.Table, table: pa.Table) -> pa.Table:
+        """The nodes of a chunk with enough hashes that several parts have."""
+        if not told.num_rows:
+            return pa.table({"node": pa.array([], pa.binary())})
+        nodes, found = arrays(table)
+        told, hashes = told.sort_by("bucket"), np.unique(np.concatenate(found))
+        several = np.concatenate([from_bits(f, n) for f, n in zip(told.column("flags").to_pylist(), told.column("n").to_pylist())])
+        kept = [n for n, x in zip(nodes, found) if several[np.searchsorted(hashes, x)].sum() >= similarity * len(x) - 1e-9]
+        give_back()
+        return pa.table({"node": pa.array(kept, pa.binary())})
+
+    def join(key: tuple, some: pa.Table, others: pa.Table) -> pa.Table:
+        """Links between the parts of a block, found so that each joins two that no earlier one has joined."""
+        links: list[tuple[bytes, bytes]] = []
+        if some.num_rows and others.num_rows:
+            (nodes, a), (them, b) = arrays(some), arrays(others)
+            mine, theirs = some.column("root").to_pylist(), others.column("root").to_pylist()
+            both = _in_both(a, b)
+            close = both / (np.array([len(x) for x in a])[:, None] + np.array([len(x) for x in b])[None, :] - both) >= similarity
+            to: dict[bytes, bytes] = {}
+
+            def top(x: bytes) -> bytes:
+                while (up := to.get(x, x)) != x:
+                    to[x] = x = to.get(up, up)
+                return x
+
+            for i, k in np.argwhere(close).tolist():
+                x, y = top(mine[i]), top(theirs[k])
+                if x != y:
+                    to[x] = y
+                    links.append((nodes[i], them[k]))
+        give_back()
+        return pa.table({"a": pa.array([x for x, _ in links], pa.binary()), "b": pa.array([y for _, y in links], pa.binary())})
+
+    broken = parts.groupBy("group").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least <> most")
+    weights = sets.groupBy("group").agg(F.ceil(F.sum(F.octet_length("set")) / _BYTES_A_BUCKET).cast("int").alias("buckets"))
+    own = parts.join(broken.join(weights, "group").select("group", "buckets"), "group").select("group", "salt", "node", F.xxhash64("root").alias("owner"), "buckets")
+    chunks = sets.groupBy("group", "salt")
+    offered = own.groupBy("group", "salt").cogroup(chunks).applyInArrow(offer, "group binary, salt int, bucket int, hashes binary, owners binary")
+    told = offered.groupBy("group", "bucket").applyInArrow(lambda t: answer(t), "group binary, salt int, bucket int, n bigint, flags binary")
+    picked = saved(told.groupBy("group", "salt").cogroup(chunks).applyInArrow(pick, "node binary"))
+    left = saved(parts.join(picked, "node", "left_semi").select("group", "node", "root"))
+    counts = left.groupBy("group", "root").agg(F.count("*").alias("n")).groupBy("group").agg(F.max(F.struct("n", "root")).alias("most"), F.sum("n").alias("n"))
+    counts = counts.where("n > most.n").select("group", F.col("most.root").alias("largest"), *(F.ceil(x / _ROWS_A_SALT).cast("int").alias(name) for x, name in ((F.col("n") - F.col("most.n"), "xs"), (F.col("n"), "ys"))))
+    rows = sets.select("group", "node", "set").join(left.join(counts, "group").drop("group"), "node")
+    rows = saved(rows.withColumn("x", F.pmod(F.xxhash64("node", F.lit(1)), "xs").cast("int")).withColumn("y", F.pmod(F.xxhash64("node", F.lit(2)), "ys").cast("int")))
+    some = rows.where("root <> largest").select("group", "x", F.explode(F.sequence(F.lit(0), F.col("ys") - 1)).alias("y"), "node", "root", "set")
+    others = rows.select("group", F.explode(F.sequence(F.lit(0), F.col("xs") - 1)).alias("x"), "y", "node", "root", "set")
+    return some.groupBy("group", "x", "y").cogroup(others.groupBy("group", "x", "y")).applyInArrow(join, "a binary, b binary")
+
+
 def verified_links(members: DataFrame, edges: DataFrame, texts: DataFrame, similarity: float = 0.8, shingle: int = 5, whole: int = 64, heads: int = 16) -> DataFrame:
-    """Links (a, b) between the nodes of ``members`` (group, node) whose ``texts`` (node, text) have ``similarity`` or more.
+    """Links (a, b) between the nodes of ``members`` (group, node), enough to connect all of a group whose ``texts`` (node, text) have ``similarity`` or more.
 
     ``edges`` (a, b) are candidates within the groups. In a group of at most ``whole`` nodes all are
     compared, in one task. In a larger one all edges are verified; then ``heads`` nodes are compared with
     all of the group, those with the most links, and after that as many of those that no such head has a
-    link to. So copies that gather around an original are joined by it, and work is heads times nodes,
-    never all pairs. A link in a large group can be missed if it is neither an edge nor one of a head.
+    link to. That joins copies that gather around an original; whatever it leaves apart is compared
+    by ``_links_between``, so no two nodes with a link stay apart. Each link returned has the similarity.
     """
     made = "group binary, node binary, salt int, set binary"
     links_made = "a binary, b binary"
@@ -375,7 +491,8 @@ def verified_links(members: DataFrame, edges: DataFrame, texts: DataFrame, simil
         chosen = saved(large.join(free, "node").withColumn("turn", turn).where(F.col("turn") <= heads).select("group", "node"))
         new = compared(chosen.join(chunks, "group").withColumn("partners", F.lit(None).cast("array<binary>")))
         mine, tried = saved(mine.unionByName(new).distinct()), chosen.select("node")
-    return found.unionByName(mine)
+    apart = saved(large.join(components(mine), "node", "left").select("group", "salt", "node", F.coalesce("root", "node").alias("root")))
+    return found.unionByName(mine).unionByName(_links_between(apart, many, similarity))
 
 
 def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", views: int = VIEWS, similarity: float = 0.8, shingle: int = 5, **how) -> DataFrame:

@@ -157,6 +157,27 @@ def test_groups_are_components_of_close_texts(spark, whole):
     assert kept == set(want.values())
 
 
+@pytest.mark.parametrize("rows", [250, 40])
+def test_large_groups_lose_no_link(spark, monkeypatch, rows):
+    monkeypatch.setattr(simhash, "_ROWS_A_SALT", rows)
+    monkeypatch.setattr(simhash, "_BYTES_A_BUCKET", 40 * rows)
+    rng = np.random.default_rng(12)
+    # one loose family, pairs that no candidate names, and a chain whose ends are no copies of each other
+    texts = _family(rng, 90, 250, lambda i: i % 14) + [t for _ in range(40) for t in _family(rng, 2, 120, lambda i: 2 * i)]
+    base = [f"w{x}" for x in rng.integers(0, 9000, 300)]
+    texts += [" ".join(base[k : k + 200]) for k in range(0, 100, 10)]
+    sets = {i: {tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)} for i, t in enumerate(texts)}
+    want = _closure(sorted(sets), lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]))
+    assert len({r for i, r in want.items() if 90 <= i < 170}) == 40 and len({r for i, r in want.items() if i >= 170}) == 1 < len({r for i, r in want.items() if i < 90})
+    name = [bytes([i]) for i in range(len(texts))]
+    members = spark.createDataFrame([(b"g", n) for n in name], "group binary, node binary")
+    edges = spark.createDataFrame([(name[i], name[i + 1]) for i in range(0, 60, 3)], "a binary, b binary")
+    found = simhash.verified_links(members, edges, spark.createDataFrame([(n, t.encode()) for n, t in zip(name, texts)], "node binary, text binary"))
+    pairs = {frozenset((r.a[0], r.b[0])) for r in found.collect()}
+    assert all(len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) for a, b in pairs)
+    assert _closure(sorted(sets), lambda a, b: frozenset((a, b)) in pairs) == want
+
+
 def test_links_grow_with_rows_not_pairs(spark):
     for n in (200, 800):
         # all in one cell of most choices: they differ in the low bits only
