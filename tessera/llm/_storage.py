@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -25,8 +26,14 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def saved(df: DataFrame) -> DataFrame:
-    """``df`` computed once and written to the shared folder; the lineage ends there."""
+    """``df`` computed once and written to the shared folder; the lineage ends there.
+
+    Shuffle files and checkpoints that nothing refers to any more go first. Spark removes them when the driver
+    collects garbage, which many small jobs seldom make it do; Python's references (cyclic in Py4J) would hold them.
+    """
     shared_dir(df.sparkSession)
+    gc.collect()
+    df.sparkSession._jvm.System.gc()
     return df.checkpoint()
 
 

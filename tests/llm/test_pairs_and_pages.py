@@ -4,6 +4,7 @@ import base64
 import gzip
 import hashlib
 import io
+import time
 
 import numpy as np
 import pytest
@@ -11,8 +12,9 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tessera.llm import queries, simhash, substring_dedup, urlfilter, warc
+from tessera.llm import _graph, queries, simhash, substring_dedup, urlfilter, warc
 from tessera.llm._graph import components
+from tessera.llm._storage import saved
 
 DOCS = "doc_id long, text string, fingerprint string, component_id string"
 
@@ -52,6 +54,38 @@ def test_components_of_paths_stars_and_loops(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+@pytest.mark.parametrize("part", [100_000, 60, 9])
+def test_components_in_parts(spark, monkeypatch, part):
+    monkeypatch.setattr(_graph, "_EDGES_A_PART", part)
+    rng = np.random.default_rng(3)
+    order = rng.permutation(70).tolist()
+    edges = list(zip(order, order[1:])) + [(100, i) for i in range(101, 140)] + [tuple(map(int, rng.integers(150, 250, 2))) for _ in range(70)]
+    edges = [(bytes([a]), bytes([b])) for a, b in edges + [(255, 254), (254, 255), (253, 253)]]
+    got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a binary, b binary").repartition(7)).collect()}
+    pairs = {frozenset(e) for e in edges}
+    assert {bytes(n): bytes(r) for n, r in got.items()} == _closure(sorted({x for a, b in edges if a != b for x in (a, b)}), lambda a, b: frozenset((a, b)) in pairs)
+
+
+def test_few_edges_take_few_jobs(spark):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(300)], "a long, b long")
+    spark.sparkContext.setJobGroup("few edges", "")
+    assert {r.root for r in components(edges).collect()} == {0}
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert 0 < len(spark.sparkContext.statusTracker().getJobIdsForGroup("few edges")) <= 8
+
+
+def test_shuffles_of_saved_tables_go(spark):
+    known = spark._jvm.org.apache.spark.SparkEnv.get().mapOutputTracker().shuffleStatuses()
+    before = known.size()
+    for i in range(20):
+        saved(spark.range(100).groupBy((F.col("id") % (i + 2)).alias("k")).count())
+    for _ in range(50):
+        if known.size() <= before + 3:
+            break
+        time.sleep(0.2)
+    assert known.size() <= before + 3
+
+
 def test_fingerprints(spark):
     texts = [None, "", "one", "Two words", "a b c", "A B C", "a b c a b c d é", "x " * 3000]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
