@@ -1,6 +1,7 @@
 """SimHash, components, URL filters, WARC, the pipeline and the registered queries."""
 
 import base64
+import gc
 import gzip
 import hashlib
 import io
@@ -76,6 +77,9 @@ def test_few_edges_take_few_jobs(spark):
 
 def test_shuffles_of_saved_tables_go(spark):
     known = spark._jvm.org.apache.spark.SparkEnv.get().mapOutputTracker().shuffleStatuses()
+    gc.collect()
+    spark._jvm.System.gc()
+    time.sleep(2)  # those of other tests go first
     before = known.size()
     for i in range(20):
         saved(spark.range(100).groupBy((F.col("id") % (i + 2)).alias("k")).count())
