@@ -533,4 +533,4 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", views: in
     whole; an empty table gives an empty result. All columns are returned unchanged, whatever their names.
     """
     dropped = saved(groups(docs, key, text, views, similarity, **how).where("key > kept").select(F.col("key").alias("_key"), F.col("mark").alias("_mark")).distinct())
-    return join_checked(docs, dropped, (F.col("_key") == docs[key]) & (F.col("_mark") == F.xxhash64(docs[text])), "left_anti")
+    return join_checked(docs, dropped, (dropped["_key"] == docs[key]) & (dropped["_mark"] == F.xxhash64(docs[text])), "left_anti")
