@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import decontam, langid, licenses, lm, mixing, quality, simhash, substring_dedup, urlfilter, warc
+from tessera.llm import clustering, decontam, langid, licenses, lm, minhash, mixing, quality, simhash, substring_dedup, urlfilter, warc, whitening
 from tessera.llm._storage import removed, shared_dir
 
 
@@ -64,6 +64,26 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(_table(spark, sf_dir, "documents"))
 
 
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = whitening.whiten(_table(spark, sf_dir, "embeddings"))
+    each = found.select("vec_id", "n", "deviation", "explained", "identity_error", F.posexplode("whitened").alias("place", "whitened"))
+    return each.select("vec_id", (F.col("place") + 1).alias("component"), "n", "deviation", "whitened", F.element_at("explained", F.col("place") + 1).alias("explained"), "identity_error")
+
+
+def op12_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = clustering.cluster(_table(spark, sf_dir, "embeddings"))
+    return found.select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", F.sha2(F.array_join(F.col("centroid").cast("array<string>"), ","), 256).alias("centroid_sha256"))
+
+
+def op13_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
+def whitening_deviations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What op11 counts and how far each vector is from the mean: SQL can tell it."""
+    return whitening.whiten(_table(spark, sf_dir, "embeddings")).select("vec_id", "n", "deviation")
+
+
 def quality_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What op4 counts, without the learned list: SQL can tell it."""
     judged = quality.judge(_table(spark, sf_dir, "documents"), quality.DecisionList())
@@ -83,7 +103,7 @@ def url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_license_scan, op2_substring_dedup, op3_lm_scoring, op4_quality_rules, op5_source_mixing, op6_decontamination, op7_url_filters, op8_simhash_dedup, op9_warc, op10_language_id, quality_counts, mixing_targets, url_rules)
+    for f in (op1_license_scan, op2_substring_dedup, op3_lm_scoring, op4_quality_rules, op5_source_mixing, op6_decontamination, op7_url_filters, op8_simhash_dedup, op9_warc, op10_language_id, op11_embedding_whitening, op12_centroid_clustering, op13_minhash_dedup, quality_counts, mixing_targets, url_rules, whitening_deviations)
 }
 
 
@@ -135,7 +155,45 @@ WITH parts AS (SELECT page_id, translate(regexp_extract(coalesce(url, ''), '(?s)
 SELECT page_id, host, path, CASE {cases["rule"]}END AS rule, CASE {cases["ruled"]}END AS ruled FROM parts"""
 
 
+def _clustering_sql() -> str:
+    """Every vector against every centroid, round by round."""
+    k, rounds, scale, seed = clustering.CLUSTERS, clustering.ROUNDS, clustering.SCALE, clustering.SEED
+    parts = [
+        f"""kept AS (SELECT row_number() OVER () AS rid, vec_id, list_transform(embedding, lambda x: floor({scale} * CAST(x AS DOUBLE))) AS x FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64)""",
+        f"c0 AS (SELECT row_number() OVER (ORDER BY h) - 1 AS c, x FROM (SELECT sha256('{seed}:' || vec_id) AS h, x FROM kept ORDER BY h LIMIT {k}))",
+    ]
+    for i in range(rounds + 1):
+        parts.append(
+            f"""a{i} AS (SELECT rid, min(s).c AS c, min(s).d AS d FROM (SELECT rid, {{'d': CAST(list_dot_product(kept.x, kept.x) + list_dot_product(c{i}.x, c{i}.x) - 2 * list_dot_product(kept.x, c{i}.x) AS BIGINT), 'c': c}} AS s FROM kept, c{i}) GROUP BY rid)"""
+        )
+        if i < rounds:
+            parts.append(
+                f"""c{i + 1} AS (SELECT c{i}.c, coalesce(m.x, c{i}.x) AS x FROM c{i} LEFT JOIN (SELECT c, list(v ORDER BY p) AS x FROM (SELECT c, p, floor(sum(v) / count(*)) AS v FROM
+  (SELECT a{i}.c, unnest(range(1, 65)) AS p, unnest(kept.x) AS v FROM kept JOIN a{i} USING (rid)) GROUP BY c, p) GROUP BY c) AS m ON c{i}.c = m.c)"""
+            )
+    return f"""WITH {", ".join(parts)}
+SELECT vec_id, CAST(c AS INT) AS cluster, d AS distance, CAST(sum(d) OVER (PARTITION BY c) AS BIGINT) AS cluster_inertia, CAST(sum(d) OVER () AS BIGINT) AS inertia,
+  sha256(array_to_string(list_transform(c{rounds}.x, lambda v: CAST(CAST(v AS BIGINT) AS VARCHAR)), ',')) AS centroid_sha256
+FROM kept JOIN a{rounds} USING (rid) JOIN c{rounds} USING (c)"""
+
+
 ORACLE_SQL: dict[str, str] = {
+    "op12_centroid_clustering": _clustering_sql(),
+    "op13_minhash_dedup": rf"""
+WITH RECURSIVE texts AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{licenses.UPPER}', '{licenses.LOWER}'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+sets AS (SELECT doc_id, CASE len(w) WHEN 0 THEN [] WHEN 1 THEN w ELSE list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) END AS s FROM texts),
+shingles AS (SELECT doc_id, len(s) AS n, unnest(s) AS k FROM sets),
+-- every pair that shares a shingle
+pairs AS (SELECT x.doc_id AS a, y.doc_id AS b FROM shingles AS x JOIN shingles AS y ON x.k = y.k AND x.doc_id <> y.doc_id GROUP BY ALL HAVING 100 * count(*) >= 80 * (any_value(x.n) + any_value(y.n) - count(*))),
+reach AS (SELECT a, b FROM pairs UNION SELECT reach.a, pairs.b FROM reach JOIN pairs ON reach.b = pairs.a),
+least AS (SELECT a, min(b) AS b FROM reach GROUP BY a)
+SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, least(doc_id, coalesce(b, doc_id)) AS component_id, doc_id <= coalesce(b, doc_id) AS kept FROM sets LEFT JOIN least ON doc_id = a""",
+    "whitening_deviations": f"""
+WITH kept AS (SELECT row_number() OVER () AS rid, vec_id, embedding FROM embeddings WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)),
+entries AS (SELECT rid, vec_id, unnest(range(len(embedding))) AS p, CAST(floor({whitening.SCALE} * CAST(unnest(embedding) AS DOUBLE)) AS BIGINT) + {whitening.OFFSET} AS x FROM kept),
+told AS (SELECT *, sum(x) OVER (PARTITION BY p) AS s, count(*) OVER (PARTITION BY p) AS n FROM entries)
+SELECT vec_id, n, CAST(sum((n * x - s) * (n * x - s)) AS BIGINT) AS deviation FROM told GROUP BY rid, vec_id, n""",
     "url_rules": _rules_sql(),
     "quality_counts": r"""
 WITH texts AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
