@@ -1,14 +1,12 @@
 """Files into chunks: whole definitions where the language allows, else pieces of bounded size.
 
-Python is parsed; brace languages are scanned for definitions at the outermost level with
-strings and comments passed over, which is approximate. Positions are bytes, so text
-beyond ASCII is cut rightly.
+Python is parsed by its own parser, brace languages by ``definitions``; a file that neither can read is cut by
+separators.
 """
 
 from __future__ import annotations
 
 import ast
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -19,8 +17,9 @@ from pyspark.sql import functions as F
 from tessera import config
 from tessera.functions import paths as P
 from tessera.functions import text as T
+from tessera.operators import definitions
 
-PARSED = ("Python", "JavaScript", "JavaScript (React)", "TypeScript", "TypeScript (React)", "Java", "Go", "Rust", "C", "C++")
+PARSED = ("Python", *definitions.LANGUAGES)
 PIECE = "array<struct<text:string,symbol_name:string,symbol_type:string,parent_symbol:string,method:string>>"
 
 
@@ -75,7 +74,7 @@ def split_text(text: str, separators: list[str], size: int, overlap: int) -> lis
     return [p for p in (x.strip() for x in out) if p]
 
 
-def _python(source: str) -> list[Piece] | None:
+def _python(source: str) -> list[definitions.Definition] | None:
     """Definitions of the module; None if it can't be parsed."""
     try:
         tree = ast.parse(source)
@@ -93,133 +92,58 @@ def _python(source: str) -> list[Piece] | None:
     def end(node) -> int:
         return lines[node.end_lineno - 1] + node.end_col_offset
 
-    def take(a: int, z: int) -> str:
-        return data[a:z].decode("utf-8", "replace")
-
     functions = (ast.FunctionDef, ast.AsyncFunctionDef)
-    out: list[Piece] = []
-    loose: list[tuple[int, int]] = []
-
-    def flush() -> None:
-        if loose:
-            text = take(loose[0][0], loose[-1][1]).strip()
-            if text:
-                out.append(Piece(text))
-            loose.clear()
-
-    for node in tree.body:
-        if not isinstance(node, (*functions, ast.ClassDef)):
-            loose.append((begin(node), end(node)))
-            continue
-        flush()
-        methods = [n for n in node.body if isinstance(n, functions)] if isinstance(node, ast.ClassDef) and not node.decorator_list else []
-        if methods:
-            head = take(begin(node), begin(methods[0])).rstrip()
-            out.append(Piece(head, node.name, "class"))
-            out += [Piece(f"# (method of {node.name})\n{take(begin(m), end(m))}", m.name, "method", node.name) for m in methods]
-        else:
-            out.append(Piece(take(begin(node), end(node)), node.name, "class" if isinstance(node, ast.ClassDef) else "function"))
-    flush()
-    return out
-
-
-_NAME = r"([A-Za-z_$][\w$]*)"
-# Kinds of definitions by language: (pattern of its first line, kind); the classes are split into methods.
-_DEFINITIONS = {
-    "JavaScript": ((rf"(?:async\s+)?function\s*\*?\s*{_NAME}", "function"), (rf"class\s+{_NAME}", "class"), (rf"(?:const|let)\s+{_NAME}", "variable")),
-    "TypeScript": ((rf"(?:async\s+)?function\s*\*?\s*{_NAME}", "function"), (rf"(?:abstract\s+)?class\s+{_NAME}", "class"), (rf"interface\s+{_NAME}", "interface"), (rf"(?:const|let)\s+{_NAME}", "variable")),
-    "Java": ((rf"(?:(?:public|private|protected|abstract|final|static)\s+)*class\s+{_NAME}", "class"), (rf"(?:(?:public|private|protected|abstract|static)\s+)*interface\s+{_NAME}", "interface")),
-    "Go": ((rf"func\s+{_NAME}", "function"), (rf"func\s+\([^)]*\)\s*{_NAME}", "method"), (rf"type\s+{_NAME}", "type")),
-    "Rust": ((rf"(?:pub(?:\([^)]*\))?\s+)?(?:async\s+|unsafe\s+|const\s+)*fn\s+{_NAME}", "function"), (rf"(?:pub(?:\([^)]*\))?\s+)?struct\s+{_NAME}", "struct"), (rf"impl(?:<[^>]*>)?\s+{_NAME}", "impl"), (rf"(?:pub(?:\([^)]*\))?\s+)?enum\s+{_NAME}", "enum"), (rf"(?:pub(?:\([^)]*\))?\s+)?trait\s+{_NAME}", "trait")),
-    "C": ((rf"struct\s+{_NAME}\s*\{{", "struct"), (rf"[A-Za-z_][\w\s*&:<>,~]*?[\s*&]{_NAME}\s*\([^;{{]*\)\s*(?:const\s*)?\{{", "function")),
-    "C++": ((rf"class\s+{_NAME}", "class"), (rf"struct\s+{_NAME}", "struct"), (rf"[A-Za-z_][\w\s*&:<>,~]*?[\s*&]{_NAME}\s*\([^;{{]*\)\s*(?:const\s*)?\{{", "function")),
-}
-_DEFINITIONS["JavaScript (React)"], _DEFINITIONS["TypeScript (React)"] = _DEFINITIONS["JavaScript"], _DEFINITIONS["TypeScript"]
-_SPLIT = {"class", "impl"}
-_METHODS = {
-    "Java": rf"(?:@\w+(?:\([^)]*\))?\s*)*(?:(?:public|private|protected|static|final|abstract|synchronized)\s+)*(?:[\w<>\[\],.?]+\s+)?{_NAME}\s*\([^;{{]*\)\s*(?:throws[\w\s,.]+)?\{{",
-    "Rust": rf"(?:pub(?:\([^)]*\))?\s+)?(?:async\s+|unsafe\s+|const\s+)*fn\s+{_NAME}",
-    "C++": rf"(?:[A-Za-z_~][\w\s*&:<>,~]*?[\s*&])?~?{_NAME}\s*\([^;{{]*\)\s*(?:const\s*)?(?:override\s*)?\{{",
-}
-_SCRIPT_METHOD = rf"(?:(?:static|async|get|set|public|private|protected|readonly)\s+)*\*?{_NAME}\s*\([^;{{]*\)\s*(?::[^{{;]+)?\{{"
-_WORDS_NO_METHOD = {"if", "for", "while", "switch", "catch", "return", "else", "do"}
-
-
-def _blanked(source: str) -> str:
-    """``source`` with strings and comments as spaces, of the same length."""
-    token = re.compile(r'//[^\n]*|/\*.*?\*/|"(?:\\.|[^"\\\n])*"|\'(?:\\.|[^\'\\\n])*\'|`(?:\\.|[^`\\])*`', re.S)
-    return token.sub(lambda m: re.sub(r"[^\n]", " ", m[0]), source)
-
-
-def _blocks(text: str, start: int, stop: int) -> Iterator[tuple[int, int]]:
-    """(begin, end) of the items at the outermost level: up to a closing brace, a semicolon, or a blank line."""
-    depth, begin, i = 0, None, start
-    while i < stop:
-        c = text[i]
-        if begin is None and not c.isspace():
-            begin = i
-        if c in "{([":
-            depth += 1
-        elif c in "})]":
-            depth -= 1
-            if depth == 0 and c == "}" and begin is not None:
-                tail = re.compile(r"\s*;").match(text, i + 1)
-                i = tail.end() - 1 if tail else i
-                yield begin, i + 1
-                begin = None
-        elif depth == 0 and begin is not None and (c == ";" or (c == "\n" and text[i + 1 : i + 2] == "\n")):
-            yield begin, i + 1
-            begin = None
-        i += 1
-    if begin is not None and text[begin:stop].strip():
-        yield begin, stop
-
-
-def _braces(source: str, language: str) -> list[Piece]:
-    """Definitions of a brace language, by scanning."""
-    text = _blanked(source)
-    out: list[Piece] = []
-    loose: list[tuple[int, int]] = []
-
-    def flush() -> None:
-        if loose:
-            piece = source[loose[0][0] : loose[-1][1]].strip()
-            if piece:
-                out.append(Piece(piece))
-            loose.clear()
-
-    for a, z in _blocks(text, 0, len(text)):
-        found = next(((m[1], kind) for p, kind in _DEFINITIONS[language] if (m := re.match(p, text[a:z]))), None)
-        if not found:
-            loose.append((a, z))
+
+    def told(node, parent: bool = False) -> definitions.Definition:
+        split = isinstance(node, ast.ClassDef) and not node.decorator_list and not parent
+        members = tuple(told(n, True) for n in node.body if isinstance(n, functions)) if split else ()
+        kind = "method" if parent else "class" if isinstance(node, ast.ClassDef) else "function"
+        return definitions.Definition(kind, node.name, place(begin(node)), place(end(node)), members)
+
+    def place(byte: int) -> int:
+        return byte if len(data) == len(source) else len(data[:byte].decode("utf-8", "replace"))
+
+    return [told(n) for n in tree.body if isinstance(n, (*functions, ast.ClassDef))]
+
+
+def _loose(text: str) -> str:
+    """Text between definitions, without the semicolon that may end the one before."""
+    return text.lstrip("; \t\r\n").rstrip()
+
+
+def _pieces(source: str, found: list[definitions.Definition]) -> Iterator[Piece]:
+    """Each definition, those with members split into what comes before the first and the members, and the text between them."""
+    at = 0
+    for d in found:
+        if loose := _loose(source[at : d.start]):
+            yield Piece(loose)
+        at = d.end
+        if not d.members:
+            yield Piece(source[d.start : d.end].rstrip(), d.name, d.kind)
             continue
-        flush()
-        name, kind = found
-        methods = []
-        if kind in _SPLIT and (open_ := text.find("{", a, z)) >= 0:
-            pattern = re.compile(_METHODS.get(language, _SCRIPT_METHOD))
-            for b, y in _blocks(text, open_ + 1, z - 1):
-                m = pattern.match(text, b, y)
-                if m and m[1] not in _WORDS_NO_METHOD and text[b:y].rstrip(" ;\n").endswith("}"):
-                    methods.append((b, y, m[1]))
-        if methods:
-            out.append(Piece(source[a : methods[0][0]].rstrip(), name, kind))
-            out += [Piece(f"# (method of {name})\n{source[b:y]}", m, "function" if language in ("Rust", "C++") else "method", name) for b, y, m in methods]
-        else:
-            out.append(Piece(source[a:z].rstrip(), name, kind))
-    flush()
-    return out
+        yield Piece(source[d.start : d.members[0].start].rstrip(), d.name, d.kind)
+        for m in d.members:
+            yield Piece(f"# (method of {d.name})\n{source[m.start : m.end]}", m.name, "method", d.name)
+    if loose := _loose(source[at:]):
+        yield Piece(loose)
+
+
+def _braces(source: str, language: str) -> list[definitions.Definition] | None:
+    try:
+        return definitions.find(source, language)
+    except (definitions.Broken, RecursionError):
+        return None
 
 
-def definitions(source: str, language: str, size: int = 1000) -> list[Piece] | None:
+def by_definition(source: str, language: str, size: int = 1000) -> list[Piece] | None:
     """Pieces by definition, those over three times ``size`` split again with their symbols; None if the language or text forbids."""
     if language not in PARSED or not source.strip():
         return None
     found = _python(source) if language == "Python" else _braces(source, language)
-    if not found:
+    if found is None:
         return None
     out = []
-    for p in found:
+    for p in _pieces(source, found):
         if len(p.text) > 3 * size:
             out += [Piece(t, p.symbol_name, p.symbol_type, p.parent_symbol) for t in split_text(p.text, config.DEFAULT_SEPARATORS, size, min(150, size // 4))]
         elif p.text.strip():
@@ -229,7 +153,7 @@ def definitions(source: str, language: str, size: int = 1000) -> list[Piece] | N
 
 def chunk(source: str, language: str, size: int = 1000, overlap: int = 150) -> list[tuple]:
     """(text, symbol_name, symbol_type, parent_symbol, method) of a file's chunks."""
-    found = definitions(source, language, size)
+    found = by_definition(source, language, size)
     if found is not None:
         return [(p.text, p.symbol_name, p.symbol_type, p.parent_symbol, "ast") for p in found]
     return [(t, "", "", "", "heuristic") for t in split_text(source, config.SEPARATORS.get(language, config.DEFAULT_SEPARATORS), size, overlap)]

@@ -34,12 +34,12 @@ def names(pieces):
 
 
 def test_python():
-    got = chunking.definitions(PY, "Python")
+    got = chunking.by_definition(PY, "Python")
     assert names(got) == [("", "", ""), ("deco", "function", ""), ("A", "class", ""), ("first", "method", "A"), ("second", "method", "A"), ("last", "function", "")]
     assert got[1].text.startswith("@wraps(f)\ndef deco") and got[1].text.endswith('"é" + a')
     assert got[2].text.endswith("y = 2") and got[4].text == '# (method of A)\nasync def second(self):\n        return "ü"'
-    assert chunking.definitions("def broken(:", "Python") is None and chunking.definitions("", "Python") is None
-    assert names(chunking.definitions("@d\nclass B:\n    def m(self): pass\n", "Python")) == [("B", "class", "")]
+    assert chunking.by_definition("def broken(:", "Python") is None and chunking.by_definition("", "Python") is None
+    assert names(chunking.by_definition("@d\nclass B:\n    def m(self): pass\n", "Python")) == [("B", "class", "")]
 
 
 @pytest.mark.parametrize(
@@ -55,14 +55,14 @@ def test_python():
     ],
 )
 def test_brace_languages(language, source, want):
-    got = chunking.definitions(source, language)
+    got = chunking.by_definition(source, language)
     assert [p.symbol_name for p in got] == want
     assert all("(method of" in p.text for p in got if p.parent_symbol)
 
 
 def test_oversized_definitions_keep_their_symbols():
     body = "def f():\n" + "".join(f"    x{i} = {i}\n" for i in range(400))
-    got = chunking.definitions(body, "Python", 500)
+    got = chunking.by_definition(body, "Python", 500)
     assert len(got) > 1 and {p.symbol_name for p in got} == {"f"} and all(len(p.text) <= 500 for p in got)
 
 
