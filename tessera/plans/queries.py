@@ -13,9 +13,9 @@ from pyspark.sql import functions as F
 from tessera import config
 from tessera.functions import paths as P
 from tessera.functions import text as T
-from tessera.operators import chunking, conversation, embed, evaluate, keyword, retrieval, summaries, sync, telemetry, vector
+from tessera.operators import chunking, conversation, embed, evaluate, inverted_file, keyword, retrieval, summaries, sync, telemetry, vector
 from tessera.plans import oracles
-from tessera.sources import logs
+from tessera.sources import logs, scratch
 
 Query = Callable[[SparkSession, str], DataFrame]
 FLAGSHIP = "hybrid_rerank_topk"
@@ -287,6 +287,25 @@ def knn_filtered(spark, d):
     return vector.knn(_vector_queries(spark, d), table(spark, d, "embeddings"), 6, "vec_id", where=F.col("label") == 3, unit=True)
 
 
+def _vector_index(spark, d) -> inverted_file.Index:
+    """The index of the vectors, kept for the session."""
+    rows = table(spark, d, "embeddings").withColumnRenamed("vec_id", "key")
+    path = scratch.once(spark, "vectors", f"{d}/embeddings.parquet", lambda f: inverted_file.write(inverted_file.build(rows, inverted_file.fit(rows, unit=True), unit=True), f))
+    return inverted_file.read(spark, path)
+
+
+@query
+def knn_indexed(spark, d):
+    """As knn_topk, by way of the inverted file; SQL can't tell which lists it looks into, a test holds its recall."""
+    return inverted_file.search(_vector_queries(spark, d), _vector_index(spark, d), 20, "vec_id", unit=True)
+
+
+@query
+def knn_indexed_reads(spark, d):
+    """What the search of each query looks into."""
+    return inverted_file.reads(_vector_queries(spark, d), _vector_index(spark, d), unit=True)
+
+
 @query
 def mmr_select(spark, d):
     s = config.Settings()
