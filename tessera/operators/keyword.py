@@ -1,14 +1,16 @@
-"""Keyword search by BM25."""
+"""Keyword search by BM25, over texts as they are or over a kept index."""
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
 from tessera.operators.small import small
+from tessera.sources.scratch import saved
 
 # The usual constants of the Okapi variant.
 K1, B, EPSILON = 1.5, 0.75, 0.25
@@ -16,6 +18,10 @@ K1, B, EPSILON = 1.5, 0.75, 0.25
 
 #: Distinct query tokens up to which they are looked for by a literal set; beyond it by a join.
 VOCABULARY = 5000
+#: Documents of a block of a kept index, about.
+BLOCK = 32
+#: Blocks with the highest bounds that a query scores first; what it finds there is the score that the rest must be able to reach.
+FIRST = 16
 
 
 @dataclass(frozen=True)
@@ -26,32 +32,85 @@ class Corpus:
 
 
 @dataclass(frozen=True)
-class Index:
-    """A kept index: postings (token, key, tf, dl), sorted by token, and lengths (key, dl) of all documents."""
+class Postings:
+    """Postings (token, key, tf, dl) and lengths (key, dl) of some documents, whose statistics count."""
 
     postings: DataFrame
     lengths: DataFrame
 
-    def only(self, keys: DataFrame) -> Index:
+
+@dataclass(frozen=True)
+class Index:
+    """A kept index of one or more segments.
+
+    blocks: (segment, token, block, n, max_tf, min_dl, rows array of (key, tf, dl)), sorted by token: the postings of a token by
+    blocks of documents, with what bounds the share of each of them in a score. lengths: (segment, key, dl). vocabulary (token, df) and totals
+    (n, total) are sums: several rows add up. gone: (segment, key) of documents that later segments have replaced.
+    """
+
+    blocks: DataFrame
+    lengths: DataFrame
+    vocabulary: DataFrame
+    totals: DataFrame
+    gone: DataFrame | None = None
+
+    def live(self, rows: DataFrame) -> DataFrame:
+        """``rows`` (segment, key, ...) of documents that are still there."""
+        return rows if self.gone is None else rows.join(small(self.gone), ["segment", "key"], "left_anti")
+
+    def postings(self) -> DataFrame:
+        """(token, key, tf, dl)"""
+        return self.live(self.blocks.select("segment", "token", F.explode("rows").alias("r")).select("segment", "token", "r.*")).drop("segment")
+
+    def only(self, keys: DataFrame) -> Postings:
         """The part for the documents of ``keys`` (key); the statistics are those of what is left."""
-        return Index(self.postings.join(small(keys), "key", "left_semi"), self.lengths.join(small(keys), "key", "left_semi"))
+        lengths = self.live(self.lengths).drop("segment")
+        return Postings(self.postings().join(small(keys), "key", "left_semi"), lengths.join(small(keys), "key", "left_semi"))
+
 
+def build(corpus: DataFrame, key: str = "key", text: str = "text", segment: int = 0) -> Index:
+    """The index of ``corpus`` as one segment, to be written; each document is tokenised once for the postings.
 
-def build(corpus: DataFrame, key: str = "key", text: str = "text") -> Index:
-    """The index of ``corpus``, to be written; each document is tokenised once."""
+    Documents are dealt to blocks by a hash of the key; tokens are shuffled once, by token and block, so a token that
+    most documents have is dealt out too.
+    """
     own = index(corpus, key, text).tokens.select("key", F.size("toks").alias("dl"), "toks")
-    counts = own.select("key", "dl", F.explode("toks").alias("token")).groupBy("token", "key", "dl").agg(F.count("*").alias("tf"))
-    return Index(counts.select("token", "key", "tf", "dl"), own.select("key", "dl"))
+    blocks = max(1, -(-corpus.count() // BLOCK))
+    place = F.pmod(F.xxhash64("key"), F.lit(blocks)).cast("int").alias("block")
+    # dealt by token and block, which serves both groupings
+    tokens = own.select("key", "dl", place, F.explode("toks").alias("token")).repartition("token", "block")
+    counts = tokens.groupBy("token", "block", "key", "dl").agg(F.count("*").cast("int").alias("tf"))
+    rows = F.array_sort(F.collect_list(F.struct("key", "tf", "dl"))).alias("rows")
+    made = counts.groupBy("token", "block").agg(F.count("*").cast("int").alias("n"), F.max("tf").alias("max_tf"), F.min("dl").alias("min_dl"), rows)
+    made = made.select(F.lit(segment).alias("segment"), "token", "block", "n", "max_tf", "min_dl", "rows")
+    return _summed(made, own.select(F.lit(segment).alias("segment"), "key", "dl"))
+
+
+def _summed(blocks: DataFrame, lengths: DataFrame) -> Index:
+    """A segment with its sums."""
+    vocabulary = blocks.groupBy("token").agg(F.sum("n").alias("df"))
+    return Index(blocks, lengths, vocabulary, lengths.agg(F.count("*").alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).cast("bigint").alias("total")))
 
 
 def write(found: Index, path: str) -> None:
-    """Write an index below ``path``. It is sorted by token, so a search reads only the parts with its tokens."""
-    found.postings.repartitionByRange("token").sortWithinPartitions("token", "key").write.mode("overwrite").parquet(f"{path}/postings")
+    """Write a segment below ``path``. Blocks are sorted by token, so a search reads only the parts with its tokens; the sums are made from what was written."""
+    spark = found.blocks.sparkSession
+    found.blocks.repartitionByRange("token", "block").sortWithinPartitions("token", "block").write.mode("overwrite").parquet(f"{path}/blocks")
     found.lengths.write.mode("overwrite").parquet(f"{path}/lengths")
+    made = _summed(spark.read.parquet(f"{path}/blocks"), spark.read.parquet(f"{path}/lengths"))
+    made.vocabulary.repartitionByRange("token").sortWithinPartitions("token").write.mode("overwrite").parquet(f"{path}/vocabulary")
+    made.totals.coalesce(1).write.mode("overwrite").parquet(f"{path}/totals")
 
 
 def read(spark: SparkSession, path: str) -> Index:
-    return Index(spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/lengths"))
+    """The segment below ``path``."""
+    return Index(*(spark.read.parquet(f"{path}/{x}") for x in ("blocks", "lengths", "vocabulary", "totals")))
+
+
+def joined(segments: list[Index], gone: DataFrame | None = None) -> Index:
+    """Segments as one index; ``gone`` tells the documents that are no more."""
+    parts = ([getattr(s, x) for s in segments] for x in ("blocks", "lengths", "vocabulary", "totals"))
+    return Index(*(reduce(DataFrame.unionByName, p) for p in parts), gone)
 
 
 def index(corpus: DataFrame, key: str = "key", text: str = "text", where: Column | None = None) -> Corpus:
@@ -60,9 +119,11 @@ def index(corpus: DataFrame, key: str = "key", text: str = "text", where: Column
     return Corpus(own.select(F.col(key).alias("key"), T.tokens(F.coalesce(F.col(text), F.lit(""))).alias("toks")))
 
 
-def document_frequency(corpus: Corpus | Index) -> DataFrame:
+def document_frequency(corpus: Corpus | Postings | Index) -> DataFrame:
     """(token, df) of every token; documents count each token once."""
     if isinstance(corpus, Index):
+        return corpus.vocabulary.groupBy("token").agg(F.sum("df").alias("df")).where("df > 0")
+    if isinstance(corpus, Postings):
         return corpus.postings.groupBy("token").agg(F.count("*").alias("df"))
     return corpus.tokens.select(F.explode(F.array_distinct("toks")).alias("token")).groupBy("token").agg(F.count("*").alias("df"))
 
@@ -71,22 +132,52 @@ def _idf(df: Column, n: int) -> Column:
     return F.log(F.lit(float(n)) - df + 0.5) - F.log(df + 0.5)
 
 
-def search(queries: DataFrame, corpus: Corpus | Index, k: int, key: str = "key", digits: int = 6) -> DataFrame:
+def _share(tf: Column, dl: Column, mean: float) -> Column:
+    """What a token of a document adds to a score, but for the weight of the token."""
+    return tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / F.lit(mean or 1.0)))
+
+
+def _weights(stats: DataFrame, n: int, corpus: Corpus | Postings | Index) -> DataFrame:
+    """(token, idf) of query tokens (token, df); an idf below 0 becomes EPSILON times the mean idf of all tokens."""
+    weights = stats.select("token", _idf(F.col("df"), n).alias("idf"))
+    if not weights.where("idf < 0").isEmpty():
+        mean = document_frequency(corpus).agg(F.avg(_idf(F.col("df"), n))).first()[0]
+        weights = weights.withColumn("idf", F.when(F.col("idf") < 0, EPSILON * mean).otherwise(F.col("idf")))
+    return weights
+
+
+def _terms(queries: DataFrame) -> DataFrame:
+    return queries.select("query_id", F.explode(T.tokens(F.coalesce(F.col("text"), F.lit("")))).alias("token")).groupBy("query_id", "token").agg(F.count("*").alias("qtf"))
+
+
+def _none(queries: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    return queries.select("query_id", F.lit(None).cast(keys.schema["key"].dataType).alias(key), F.lit(0.0).alias("score"), F.lit(0).alias("rank")).limit(0)
+
+
+def _best(scores: DataFrame, k: int, key: str) -> DataFrame:
+    best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "key")
+    return scores.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", F.col("key").alias(key), "score", "rank")
+
+
+def search(queries: DataFrame, corpus: Corpus | Postings | Index, k: int, key: str = "key", digits: int = 6) -> DataFrame:
     """(query_id, key, score, rank): the ``k`` highest scores above 0 for each query (query_id, text).
 
     A query token counts as often as it stands in the query. An idf below 0 becomes EPSILON
     times the mean idf of all tokens of the corpus; that mean is only computed if some query
     token needs it. Scores are rounded to ``digits``, ties go to the smallest key.
 
-    Two passes over the corpus: one counts its documents, their tokens and the documents of
-    each query token; the other scores each document where it is read, so what is shuffled
-    is one row for each query and matching document. With a kept index both read the postings
-    of the query tokens only, and nothing is tokenised.
+    Without an index two passes over the corpus are made: one counts its documents, their tokens and the
+    documents of each query token; the other scores each document where it is read, so what is shuffled
+    is one row for each query and matching document. With a kept index nothing is tokenised, and
+    blocks that can't reach a query's k-th best score are passed over (see ``_waves``).
     """
-    terms = queries.select("query_id", F.explode(T.tokens(F.coalesce(F.col("text"), F.lit("")))).alias("token")).groupBy("query_id", "token").agg(F.count("*").alias("qtf"))
+    if isinstance(corpus, Index):
+        found = _waves(queries, corpus, k, digits)
+        return _none(queries, corpus.lengths, key) if found is None else _best(reduce(DataFrame.unionByName, found.scores), k, key)
+    terms = _terms(queries)
     words = terms.select("token").distinct()
     vocabulary = [r[0] for r in words.limit(VOCABULARY + 1).collect()]
-    kept = isinstance(corpus, Index)
+    kept = isinstance(corpus, Postings)
     if kept:
         known = F.col("token").isin(vocabulary) if vocabulary else F.lit(False)
         counts = corpus.postings.where(known) if len(vocabulary) <= VOCABULARY else corpus.postings.join(small(words), "token", "left_semi")
@@ -111,14 +202,73 @@ def search(queries: DataFrame, corpus: Corpus | Index, k: int, key: str = "key",
         n, total = stats.where("token = ''").select("df", "total").first() or (0, 0)
         stats = stats.where("token <> ''")
     if not n:
-        return queries.select("query_id", F.lit(None).cast((corpus.lengths if kept else corpus.tokens).schema["key"].dataType).alias(key), F.lit(0.0).alias("score"), F.lit(0).alias("rank")).limit(0)
-    weights = stats.select("token", _idf(F.col("df"), n).alias("idf"))
-    if not weights.where("idf < 0").isEmpty():
-        mean = document_frequency(corpus).agg(F.avg(_idf(F.col("df"), n))).first()[0]
-        weights = weights.withColumn("idf", F.when(F.col("idf") < 0, EPSILON * mean).otherwise(F.col("idf")))
-    asked = terms.join(weights, "token")
-    norm = F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.lit(total / n or 1.0))
-    part = F.col("qtf") * F.col("idf") * F.col("tf") * (K1 + 1) / norm
+        return _none(queries, corpus.lengths if kept else corpus.tokens, key)
+    asked = terms.join(_weights(stats, n, corpus), "token")
+    part = F.col("qtf") * F.col("idf") * _share(F.col("tf"), F.col("dl"), total / n)
     scores = counts.join(small(asked), "token").groupBy("query_id", "key").agg(F.round(F.sum(part), digits).alias("score")).where("score > 0")
-    best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "key")
-    return scores.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", F.col("key").alias(key), "score", "rank")
+    return _best(scores, k, key)
+
+
+@dataclass(frozen=True)
+class _Waves:
+    """bounds (query_id, segment, block, bound, postings) of all blocks with a query token; scored: those of each wave; scores (query_id, key, score) of each wave."""
+
+    bounds: DataFrame
+    scored: list[DataFrame]
+    scores: list[DataFrame]
+
+
+def _waves(queries: DataFrame, found: Index, k: int, digits: int) -> _Waves | None:
+    """The documents that may be among a query's ``k`` best, with their scores; none: the index is empty.
+
+    A token adds no more to the score of a document of a block than it would in one of the block's largest count and least
+    length, so the sum of these bounds a block. Each query scores the FIRST blocks with the highest bounds; then only
+    blocks whose bound reaches the k-th score found there can matter, and all of those are scored. A
+    collection of few blocks is scored at once.
+    """
+    n, total = found.totals.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("total"), F.lit(0))).first()
+    if not n:
+        return None
+    terms = _terms(queries)
+    words = terms.select("token").distinct()
+    vocabulary = [r[0] for r in words.limit(VOCABULARY + 1).collect()]
+    if len(vocabulary) <= VOCABULARY:
+        only = lambda df: df.where(F.col("token").isin(vocabulary) if vocabulary else F.lit(False))
+    else:
+        only = lambda df: df.join(small(words), "token", "left_semi")
+    stats = only(found.vocabulary).groupBy("token").agg(F.sum("df").alias("df")).where("df > 0")
+    if len(vocabulary) <= VOCABULARY:
+        stats = stats.sparkSession.createDataFrame(stats.collect(), "token string, df long")
+    asked = saved(terms.join(_weights(stats, n, found), "token").select("query_id", "token", (F.col("qtf") * F.col("idf")).alias("weight")))
+    blocks, mean = only(found.blocks).join(small(asked), "token"), total / n
+    most = F.greatest("weight", F.lit(0.0)) * _share(F.col("max_tf"), F.col("min_dl"), mean)
+    place = ["query_id", "segment", "block"]
+    bounds = blocks.groupBy(*place).agg(F.sum(most).alias("bound"), F.sum("n").alias("postings"))
+
+    def score(rows: DataFrame) -> DataFrame:
+        rows = rows.select("query_id", "segment", "weight", F.explode("rows").alias("r")).select("query_id", "segment", "weight", "r.*")
+        part = F.col("weight") * _share(F.col("tf"), F.col("dl"), mean)
+        return found.live(rows).groupBy("query_id", "key").agg(F.round(F.sum(part), digits).alias("score")).where("score > 0")
+
+    if n <= BLOCK * FIRST:
+        return _Waves(bounds, [bounds], [score(blocks)])
+    turn = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("bound").desc(), "segment", "block"))
+    bounds = saved(bounds.withColumn("turn", turn))
+    first = bounds.where(F.col("turn") <= FIRST)
+    begun = saved(score(blocks.join(small(first.select(*place)), place, "left_semi")))
+    best = Window.partitionBy("query_id").orderBy(F.col("score").desc())
+    kth = begun.withColumn("turn", F.row_number().over(best)).where(F.col("turn") == k).select("query_id", F.col("score").alias("kth"))
+    # a rounded score may lie half a unit of the last digit above its bound
+    reach = F.col("kth").isNull() | (F.col("bound") >= F.col("kth") - 10.0**-digits)
+    rest = saved(bounds.where(F.col("turn") > FIRST).join(small(kth), "query_id", "left").where(reach).select(*bounds.columns))
+    return _Waves(bounds, [first, rest], [begun, score(blocks.join(small(rest.select(*place)), place, "left_semi"))])
+
+
+def reads(queries: DataFrame, found: Index, k: int, digits: int = 6) -> DataFrame:
+    """(query_id, blocks, blocks_scored, postings, postings_scored): what the query's tokens have in the index, and what its search took."""
+    waves = _waves(queries, found, k, digits)
+    if waves is None:
+        return queries.select("query_id", *(F.lit(0).cast("bigint").alias(x) for x in ("blocks", "blocks_scored", "postings", "postings_scored"))).limit(0)
+    every = waves.bounds.groupBy("query_id").agg(F.count("*").alias("blocks"), F.sum("postings").alias("postings"))
+    took = reduce(DataFrame.unionByName, waves.scored).groupBy("query_id").agg(F.count("*").alias("blocks_scored"), F.sum("postings").alias("postings_scored"))
+    return every.join(took, "query_id", "left").select("query_id", "blocks", F.coalesce("blocks_scored", F.lit(0)).alias("blocks_scored"), "postings", F.coalesce("postings_scored", F.lit(0)).alias("postings_scored"))

@@ -49,7 +49,10 @@ JUDGED = """judged AS (SELECT doc_id, CASE WHEN quality = 1 AND toxic = 0 THEN '
 
 
 def _asked(shift: int = 0, variant: int = 0) -> str:
-    return f"SELECT b.item_id - {shift} AS query_id, {variant} AS variant, b.text, e.embedding FROM benchmark b JOIN embeddings e ON e.vec_id = b.item_id WHERE (b.item_id - {shift}) % 50 = 0 AND b.item_id >= {shift}"
+    return f"SELECT b.doc_id - {shift} AS query_id, {variant} AS variant, b.text, e.embedding FROM documents b JOIN embeddings e ON e.vec_id = b.doc_id WHERE (b.doc_id - {shift}) % 50 = 0 AND b.doc_id >= {shift}"
+
+
+TEXTS_ASKED = "SELECT doc_id AS query_id, 0 AS variant, text FROM documents WHERE doc_id % 50 = 0"
 
 
 CORPUS = "corpus AS (SELECT d.doc_id, d.text, d.lang, e.embedding FROM documents d JOIN embeddings e ON e.vec_id = d.doc_id)"
@@ -97,6 +100,7 @@ SELECT query_id, doc_id, score, CAST(row_number() OVER (PARTITION BY query_id OR
 OUT = "SELECT query_id, doc_id, score, CAST(rank AS INT) AS rank FROM "
 VECTORS = "asked AS (SELECT vec_id AS query_id, 0 AS variant, embedding, label FROM embeddings WHERE vec_id % 50 = 0), corpus AS (SELECT vec_id AS doc_id, embedding, label FROM embeddings)"
 WORDS_OF_DOCUMENTS = f"asked AS ({_asked()}), " + _bm25("asked", "documents", 20)
+WORDS_OF_ALL = f"asked AS ({TEXTS_ASKED}), " + _bm25("asked", "documents", 20)
 
 
 def _mmr(k: int = 6, fetch: int = 20) -> str:
@@ -189,16 +193,17 @@ SQL: dict[str, str] = {
     "knn_topk": f"WITH {VECTORS}, {_knn('asked', 'corpus', 20)} SELECT query_id, doc_id AS vec_id, score, CAST(rank AS INT) AS rank FROM near",
     "knn_filtered": f"WITH {VECTORS}, {_knn('asked', '(SELECT * FROM corpus WHERE label = 3)', 6)} SELECT query_id, doc_id AS vec_id, score, CAST(rank AS INT) AS rank FROM near",
     "mmr_select": f"WITH {VECTORS}, {_mmr()} SELECT query_id, doc_id AS vec_id, score, CAST(rank AS INT) AS rank FROM p6",
-    "bm25_topk": f"WITH {WORDS_OF_DOCUMENTS} {OUT} words",
-    "bm25_filtered": f"WITH asked AS ({_asked()}), {_bm25('asked', '''(SELECT * FROM documents WHERE lang = 'en')''', 6)} {OUT} words",
+    "bm25_topk": f"WITH {WORDS_OF_ALL} {OUT} words",
+    "bm25_short": f"WITH asked AS (SELECT query_id, variant, array_to_string({_tokens('text')}[1:4], ' ') AS text FROM ({TEXTS_ASKED})), {_bm25('asked', 'documents', 10)} {OUT} words",
+    "bm25_filtered": f"WITH asked AS ({TEXTS_ASKED}), {_bm25('asked', '''(SELECT * FROM documents WHERE lang = 'en')''', 6)} {OUT} words",
     "rrf_fuse": f"WITH {CORPUS}, {WORDS_OF_DOCUMENTS}, {_knn('asked', 'corpus', 20)}, {_fused(None)} {OUT} fused",
     "hybrid_topk": f"WITH {CORPUS}, asked AS ({_asked()}), {_bm25('asked', 'corpus', 20)}, {_knn('asked', 'corpus', 20)}, {_fused(6)} {OUT} fused",
     "hybrid_filtered": f"WITH {CORPUS}, english AS (SELECT * FROM corpus WHERE lang = 'en'), asked AS ({_asked()}), {_bm25('asked', 'english', 20)}, {_knn('asked', 'english', 20)}, {_fused(6)} {OUT} fused",
     "hybrid_multi_query": f"WITH {CORPUS}, asked AS ({_asked()} UNION ALL {_asked(1, 1)}), {_bm25('asked', 'corpus', 20)}, {_knn('asked', 'corpus', 20)}, {_fused(6)} {OUT} fused",
     "lexical_rerank": f"WITH {WORDS_OF_DOCUMENTS}, {_rerank('words', 'documents')}",
     "hybrid_rerank_topk": f"WITH {CORPUS}, asked AS ({_asked()}), {_bm25('asked', 'corpus', 20)}, {_knn('asked', 'corpus', 20)}, {_fused(20)}, {_rerank('fused', 'corpus')}",
-    "assemble_context": f"WITH {WORDS_OF_DOCUMENTS} SELECT query_id, string_agg(d.text, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY rank) AS context FROM words JOIN documents d USING (doc_id) WHERE rank <= 6 GROUP BY query_id",
-    "source_summary": f"""WITH {WORDS_OF_DOCUMENTS} SELECT query_id, CAST(rank AS INT) AS rank, d.source, d.lang AS language, 0 AS chunk_index, 1 AS total_chunks, '' AS symbol_name, '' AS symbol_type, '' AS parent_symbol
+    "assemble_context": f"WITH {WORDS_OF_ALL} SELECT query_id, string_agg(d.text, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY rank) AS context FROM words JOIN documents d USING (doc_id) WHERE rank <= 6 GROUP BY query_id",
+    "source_summary": f"""WITH {WORDS_OF_ALL} SELECT query_id, CAST(rank AS INT) AS rank, d.source, d.lang AS language, 0 AS chunk_index, 1 AS total_chunks, '' AS symbol_name, '' AS symbol_type, '' AS parent_symbol
 FROM words JOIN documents d USING (doc_id) QUALIFY row_number() OVER (PARTITION BY query_id, d.source ORDER BY rank) = 1""",
     "eval_per_query": f"WITH {VECTORS}, {_knn('asked', 'corpus', 6)} {_metrics('near')}",
     "eval_by_mode": f"WITH {VECTORS}, {_mmr()}, v AS ({_metrics('(SELECT * FROM near WHERE rank <= 6)')}), m AS ({_metrics('p6')}), both_ AS (SELECT 'vector' AS mode, * FROM v UNION ALL SELECT 'mmr', * FROM m) "

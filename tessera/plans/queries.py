@@ -267,12 +267,23 @@ def _corpus(spark, d) -> DataFrame:
 
 
 def _asked(spark, d, shift: int = 0) -> DataFrame:
-    """Benchmark items by id, with the vector of the same id; ``shift`` takes the texts and vectors of later ids."""
-    items = table(spark, d, "benchmark").select((F.col("item_id") - shift).alias("query_id"), "text")
+    """Documents by id, with the vector of the same id; ``shift`` takes the texts and vectors of later ids."""
+    items = table(spark, d, "documents").select((F.col("doc_id") - shift).alias("query_id"), "text")
     vectors = table(spark, d, "embeddings").select((F.col("vec_id") - shift).alias("query_id"), "embedding")
     return items.where("query_id % 50 = 0 AND query_id >= 0").join(vectors, "query_id")
 
 
+def _texts_asked(spark, d) -> DataFrame:
+    return table(spark, d, "documents").where("doc_id % 50 = 0").select(F.col("doc_id").alias("query_id"), "text")
+
+
+def _words(spark, d, kind: str = "documents") -> keyword.Index:
+    """The keyword index of all documents, or of those with a vector; kept for the session."""
+    rows = {"documents": table, "corpus": lambda s, x, _: _corpus(s, x)}[kind](spark, d, "documents")
+    path = scratch.once(spark, f"words-{kind}", f"{d}/documents.parquet", lambda f: keyword.write(keyword.build(rows, "doc_id"), f))
+    return keyword.read(spark, path)
+
+
 def _vector_queries(spark, d) -> DataFrame:
     return table(spark, d, "embeddings").where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
 
@@ -314,59 +325,72 @@ def mmr_select(spark, d):
 
 @query
 def bm25_topk(spark, d):
-    return keyword.search(_asked(spark, d).select("query_id", "text"), keyword.index(table(spark, d, "documents"), "doc_id"), 20, "doc_id")
+    return keyword.search(_texts_asked(spark, d), _words(spark, d), 20, "doc_id")
+
+
+@query
+def bm25_reads(spark, d):
+    """The postings that the searches of bm25_topk have and take; how many they take isn't for SQL to tell."""
+    return keyword.reads(_texts_asked(spark, d), _words(spark, d), 20)
+
+
+@query
+def bm25_short(spark, d):
+    """The first words of documents as questions."""
+    asked = _texts_asked(spark, d).select("query_id", F.array_join(F.slice(T.tokens("text"), 1, 4), " ").alias("text"))
+    return keyword.search(asked, _words(spark, d), 10, "doc_id")
 
 
 @query
 def bm25_filtered(spark, d):
-    rows = keyword.index(table(spark, d, "documents").withColumnRenamed("lang", "language"), "doc_id", where=retrieval.where("en"))
-    return keyword.search(_asked(spark, d).select("query_id", "text"), rows, 6, "doc_id")
+    english = table(spark, d, "documents").withColumnRenamed("lang", "language").where(retrieval.where("en")).select(F.col("doc_id").alias("key"))
+    return keyword.search(_texts_asked(spark, d), _words(spark, d).only(english), 6, "doc_id")
 
 
 @query
 def rrf_fuse(spark, d):
     asked = _asked(spark, d)
     by_vector = vector.knn(asked, _corpus(spark, d), 20, "doc_id", unit=True)
-    by_words = keyword.search(asked, keyword.index(table(spark, d, "documents"), "doc_id"), 20, "doc_id")
+    by_words = keyword.search(asked, _words(spark, d), 20, "doc_id")
     return retrieval.fuse([by_vector, by_words], key="doc_id")
 
 
 @query
 def hybrid_topk(spark, d):
-    return retrieval.hybrid(_asked(spark, d), _corpus(spark, d), 6, key="doc_id", unit=True)
+    return retrieval.hybrid(_asked(spark, d), _corpus(spark, d), 6, key="doc_id", unit=True, index=_words(spark, d, "corpus"))
 
 
 @query
 def hybrid_filtered(spark, d):
-    return retrieval.hybrid(_asked(spark, d), _corpus(spark, d), 6, key="doc_id", unit=True, filtered=retrieval.where("en"))
+    return retrieval.hybrid(_asked(spark, d), _corpus(spark, d), 6, key="doc_id", unit=True, filtered=retrieval.where("en"), index=_words(spark, d, "corpus"))
 
 
 @query
 def hybrid_multi_query(spark, d):
     other = _asked(spark, d, 1).withColumn("variant", F.lit(1))
-    return retrieval.hybrid(_asked(spark, d), _corpus(spark, d), 6, key="doc_id", unit=True, variants=other)
+    return retrieval.hybrid(_asked(spark, d), _corpus(spark, d), 6, key="doc_id", unit=True, variants=other, index=_words(spark, d, "corpus"))
 
 
 @query
 def lexical_rerank(spark, d):
     asked, docs = _asked(spark, d), table(spark, d, "documents")
-    first = keyword.search(asked, keyword.index(docs, "doc_id"), 20, "doc_id")
+    first = keyword.search(asked, _words(spark, d), 20, "doc_id")
     return retrieval.rerank(first, asked, docs, 6, key="doc_id", per_query=20)
 
 
 @query
 def hybrid_rerank_topk(spark, d):
-    return retrieval.retrieve(_asked(spark, d), _corpus(spark, d), "hybrid_rerank", key="doc_id", unit=True)
+    return retrieval.retrieve(_asked(spark, d), _corpus(spark, d), "hybrid_rerank", key="doc_id", unit=True, index=_words(spark, d, "corpus"))
 
 
 @query
 def assemble_context(spark, d):
-    return retrieval.context(keyword.search(_asked(spark, d), keyword.index(table(spark, d, "documents"), "doc_id"), 6, "doc_id"), table(spark, d, "documents"), "doc_id")
+    return retrieval.context(keyword.search(_texts_asked(spark, d), _words(spark, d), 6, "doc_id"), table(spark, d, "documents"), "doc_id")
 
 
 @query
 def source_summary(spark, d):
-    found = keyword.search(_asked(spark, d), keyword.index(table(spark, d, "documents"), "doc_id"), 20, "doc_id")
+    found = keyword.search(_texts_asked(spark, d), _words(spark, d), 20, "doc_id")
     rows = found.join(table(spark, d, "documents").select("doc_id", "source", F.col("lang").alias("language")), "doc_id")
     return retrieval.source_summary(rows)
 

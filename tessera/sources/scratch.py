@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _made: dict[tuple, str] = {}
 
@@ -36,3 +36,11 @@ def once(spark: SparkSession, kind: str, table: str, make) -> str:
         make(folder)
         _made[key] = folder
     return _made[key]
+
+
+def saved(df: DataFrame) -> DataFrame:
+    """``df`` computed once, as a checkpoint in the shared folder: its readers don't compute it again, and a lost executor costs no lineage."""
+    spark = df.sparkSession
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(root(spark))
+    return df.checkpoint()

@@ -50,11 +50,48 @@ def test_bm25_scores(spark):
     assert {r.query_id for r in rows} == {0, 1}
 
 
+def zipf(spark, n=1500, seed=0, words=400):
+    """Documents of words by Zipf's law, with rare ones and repeated documents."""
+    rng = np.random.default_rng(seed)
+    p = 1 / np.arange(1, words + 1)
+    texts = [" ".join(f"w{x}" for x in rng.choice(words, rng.integers(1, 60), p=p / p.sum())) for _ in range(n - 20)] + ["w1 w2 w3"] * 20
+    return spark.createDataFrame(list(enumerate(texts)), "key long, text string").repartition(4)
+
+
+def test_blocks_are_passed_over_without_loss(spark, tmp_path, monkeypatch):
+    corpus = zipf(spark)
+    q = spark.createDataFrame([(0, "w300 w399"), (1, "w0 w1"), (2, "w0 w350 w350 w7"), (3, " ".join(f"w{i}" for i in range(200))), (4, "absent"), (5, None), (6, "w1 w2 w3")], "query_id long, text string")
+    monkeypatch.setattr(keyword, "BLOCK", 8)
+    monkeypatch.setattr(keyword, "FIRST", 3)
+    keyword.write(keyword.build(corpus), str(tmp_path))
+    kept = keyword.read(spark, str(tmp_path))
+    for k in (1, 5, 40):
+        want = sorted(keyword.search(q, keyword.index(corpus), k).collect())
+        assert sorted(keyword.search(q, kept, k).collect()) == want
+    rows = {r.query_id: r for r in keyword.reads(q, kept, 5).collect()}
+    assert set(rows) == {0, 1, 2, 3, 6} and all(r.postings_scored <= r.postings and r.blocks_scored <= r.blocks for r in rows.values())
+    assert rows[2].postings_scored < 0.5 * rows[2].postings and sum(r.postings_scored for r in rows.values()) < sum(r.postings for r in rows.values())
+
+
+def test_bounds_hold(spark, tmp_path, monkeypatch):
+    """No document of a block scores above the block's bound."""
+    monkeypatch.setattr(keyword, "BLOCK", 16)
+    corpus = zipf(spark, 600, 3)
+    index = keyword.build(corpus)
+    q = spark.createDataFrame([(0, "w0 w5 w9 w9"), (1, "w250 w1")], "query_id long, text string")
+    waves = keyword._waves(q, index, 3, 6)
+    bounds = {(r.query_id, r.block): r.bound for r in waves.bounds.collect()}
+    block = {r.key: r.block for r in index.blocks.select("block", F.explode("rows.key").alias("key")).distinct().collect()}
+    for r in keyword.search(q, keyword.index(corpus), 600).collect():
+        assert r.score <= bounds[r.query_id, block[r.key]] + 1e-6
+
+
 def test_bm25_many_query_tokens(spark, corpus, monkeypatch):
     q = asked(spark, "find user by id", "render page")
     want = keyword.search(q, keyword.index(corpus), 5).orderBy("query_id", "rank").collect()
     monkeypatch.setattr(keyword, "VOCABULARY", 2)
     assert keyword.search(q, keyword.index(corpus), 5).orderBy("query_id", "rank").collect() == want
+    assert keyword.search(q, keyword.build(corpus), 5).orderBy("query_id", "rank").collect() == want
 
 
 def test_bm25_order_cap_and_empty(spark, corpus):
@@ -76,7 +113,7 @@ def test_kept_index_gives_what_a_scan_gives(spark, corpus, tmp_path):
         want = sorted(keyword.search(q, scan, 10).collect())
         assert (want or where is not None) and sorted(keyword.search(q, part, 10).collect()) == want
     assert sorted(keyword.document_frequency(kept).collect()) == sorted(keyword.document_frequency(keyword.index(corpus)).collect())
-    plan = kept.postings.where(F.col("token").isin(["user"]))._jdf.queryExecution().executedPlan().toString()
+    plan = kept.blocks.where(F.col("token").isin(["user"]))._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [In(token" in plan or "EqualTo(token,user)" in plan
     assert keyword.search(q, keyword.build(corpus.limit(0)), 3).count() == 0
 
