@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tessera import config, qa
 from tessera.functions import paths as P
 from tessera.functions import text as T
-from tessera.operators import chunking, embed, evaluate, keyword, retrieval, summaries, sync, telemetry
+from tessera.operators import chunking, embed, evaluate, retrieval, summaries, sync, telemetry
 from tessera.sources import files as sources
 from tessera.sources import logs
 from tessera.sources.catalog import Catalog
@@ -24,7 +24,7 @@ class Engine:
         self.spark, self.settings = spark, settings
         self.embedder = embedder or embed.hashing_embedder(settings.embedding_dim)
         self.model, self.scorer = model, scorer
-        self.catalog = Catalog(spark, settings.warehouse)
+        self.catalog = Catalog(spark, settings.warehouse, settings.vector_index)
 
     def health(self) -> dict:
         return {"status": "ok", "spark": self.spark.version, "model": self.model is not None}
@@ -68,8 +68,8 @@ class Engine:
     def sync(self, name: str, files: DataFrame, full_sync: bool = False) -> dict:
         """Bring a collection up to date with file rows; only new and changed files are chunked and embedded.
 
-        The new table is written whole and then takes the old one's place, so readers never see
-        a half of it and a failure leaves the collection as it was.
+        What is written is the new chunks and a list of those that they replace; readers see all of that or nothing, and
+        writers at the same time lose no rows (see ``Catalog``).
         """
         began = time.perf_counter()
         name = self.collection_name(self.spark, name)
@@ -79,24 +79,20 @@ class Engine:
             found = sync.diff(own.select("path", "hash"), sync.stored_hashes(old), full_sync).persist()
             counts = sync.stats(found).first().asDict()
             total = summaries.file_summary(own).first().asDict()
-            made = {"chunks": 0}
+            made = 0
             if counts["files_new"] + counts["files_updated"] + counts["files_deleted"]:
                 fresh = own.join(found.where(F.col("status").isin("new", "updated")), "path", "left_semi")
                 chunks = embed.embed_distinct(chunking.ingest(fresh, self.settings), self.embedder, self.settings.embedding_batch_size)
-                self.catalog.replace(name, sync.replace(old, found, chunks))
-                keyword.write(keyword.build(self._keyed(name)), self.catalog.keywords(name))
-            now = self.catalog.read(name)
-            changed = found.where(F.col("status").isin("new", "updated")).select(F.col("path").alias("source"))
-            made = {"chunks": now.join(changed, "source", "left_semi").count(), "collection_chunks": now.count()}
+                changed = found.where("status <> 'unchanged'").select(F.col("path").alias("source"))
+                made = self.catalog.add(name, chunks, changed)
             found.unpersist()
         finally:
             own.unpersist()
-        return {"collection": name, **counts, **total, **made, "seconds": round(time.perf_counter() - began, 2)}
+        return {"collection": name, **counts, **total, "chunks": made, "collection_chunks": self.catalog.count(name), "seconds": round(time.perf_counter() - began, 2)}
 
     def _keyed(self, name: str) -> DataFrame:
         """The chunks of a collection with the columns that retrieval looks for."""
-        key = F.concat_ws("\u0001", "source", F.lpad(F.col("chunk_index").cast("string"), 10, "0"))
-        return self.catalog.read(name).withColumn("key", key).withColumn("text", F.col("page_content"))
+        return self.catalog.keyed(name).withColumn("text", F.col("page_content"))
 
     # -- retrieval and answers
 
@@ -107,14 +103,14 @@ class Engine:
     def retrieve_many(self, collection: str, questions: list[tuple[int, str]], mode: str | None = None, language: str | None = None, source: str | None = None, symbol: str | None = None, phrasings: Sequence[tuple[int, int, str]] = ()) -> DataFrame:
         """The chunks found for each (query_id, question), by one plan for all of them."""
         corpus = self._keyed(collection)
-        index = keyword.read(self.spark, self.catalog.keywords(collection)) if self.catalog.indexed(collection) else None
+        index, near = self.catalog.words(collection), self.catalog.vector_index(collection)
         vectors = self.embedder([q for _, q in questions])
         asked = self.spark.createDataFrame([(i, q, v) for (i, q), v in zip(questions, vectors)], "query_id long, text string, embedding array<float>")
         variants = None
         if phrasings:
             more = self.embedder([p for *_, p in phrasings])
             variants = self.spark.createDataFrame([(i, n, p, v) for (i, n, p), v in zip(phrasings, more)], "query_id long, variant int, text string, embedding array<float>")
-        found = retrieval.retrieve(asked, corpus, mode or self.settings.retrieval_mode, self.settings, "key", "text", language, source, symbol, variants, self.scorer, index=index)
+        found = retrieval.retrieve(asked, corpus, mode or self.settings.retrieval_mode, self.settings, "key", "text", language, source, symbol, variants, self.scorer, index=index, near=near)
         return found.join(corpus.drop("embedding", "text"), "key").drop("key")
 
     def stream(self, collection: str, question: str, history: Sequence[dict] | None = None, **how) -> Iterator[dict]:

@@ -68,7 +68,7 @@ class Index:
         return Postings(self.postings().join(small(keys), "key", "left_semi"), lengths.join(small(keys), "key", "left_semi"))
 
 
-def build(corpus: DataFrame, key: str = "key", text: str = "text", segment: int = 0) -> Index:
+def build(corpus: DataFrame, key: str = "key", text: str = "text", segment: str = "") -> Index:
     """The index of ``corpus`` as one segment, to be written; each document is tokenised once for the postings.
 
     Documents are dealt to blocks by a hash of the key; tokens are shuffled once, by token and block, so a token that
@@ -95,22 +95,34 @@ def _summed(blocks: DataFrame, lengths: DataFrame) -> Index:
 def write(found: Index, path: str) -> None:
     """Write a segment below ``path``. Blocks are sorted by token, so a search reads only the parts with its tokens; the sums are made from what was written."""
     spark = found.blocks.sparkSession
-    found.blocks.repartitionByRange("token", "block").sortWithinPartitions("token", "block").write.mode("overwrite").parquet(f"{path}/blocks")
-    found.lengths.write.mode("overwrite").parquet(f"{path}/lengths")
+    found.blocks.drop("segment").repartitionByRange("token", "block").sortWithinPartitions("token", "block").write.mode("overwrite").parquet(f"{path}/blocks")
+    found.lengths.drop("segment").write.mode("overwrite").parquet(f"{path}/lengths")
     made = _summed(spark.read.parquet(f"{path}/blocks"), spark.read.parquet(f"{path}/lengths"))
     made.vocabulary.repartitionByRange("token").sortWithinPartitions("token").write.mode("overwrite").parquet(f"{path}/vocabulary")
     made.totals.coalesce(1).write.mode("overwrite").parquet(f"{path}/totals")
 
 
-def read(spark: SparkSession, path: str) -> Index:
-    """The segment below ``path``."""
-    return Index(*(spark.read.parquet(f"{path}/{x}") for x in ("blocks", "lengths", "vocabulary", "totals")))
+def read(spark: SparkSession, path: str, segment: str = "") -> Index:
+    """The segment below ``path``, by the name ``segment``."""
+    blocks, lengths, vocabulary, totals = (spark.read.parquet(f"{path}/{x}") for x in ("blocks", "lengths", "vocabulary", "totals"))
+    named = F.lit(segment).alias("segment")
+    return Index(blocks.select(named, "*"), lengths.select(named, "*"), vocabulary, totals)
 
 
-def joined(segments: list[Index], gone: DataFrame | None = None) -> Index:
-    """Segments as one index; ``gone`` tells the documents that are no more."""
-    parts = ([getattr(s, x) for s in segments] for x in ("blocks", "lengths", "vocabulary", "totals"))
-    return Index(*(reduce(DataFrame.unionByName, p) for p in parts), gone)
+def joined(segments: list[Index], gone: DataFrame | None = None, lost: tuple[DataFrame, DataFrame] | None = None) -> Index:
+    """Segments as one index; ``gone`` tells the documents that are no more, ``lost`` what they had in vocabulary and totals, as negative numbers."""
+    blocks, lengths, vocabulary, totals = ([getattr(s, x) for s in segments] for x in ("blocks", "lengths", "vocabulary", "totals"))
+    if lost is not None:
+        vocabulary.append(lost[0])
+        totals.append(lost[1])
+    return Index(*(reduce(DataFrame.unionByName, p) for p in (blocks, lengths, vocabulary, totals)), gone)
+
+
+def lost(documents: DataFrame, text: str = "text") -> tuple[DataFrame, DataFrame]:
+    """(segment, token, df) and (segment, n, total), negative: what ``documents`` (segment, text) take from the sums when they go."""
+    own = documents.select("segment", T.tokens(F.coalesce(F.col(text), F.lit(""))).alias("toks"))
+    words = own.select("segment", F.explode(F.array_distinct("toks")).alias("token")).groupBy("segment", "token").agg((-F.count("*")).alias("df"))
+    return words, own.groupBy("segment").agg((-F.count("*")).alias("n"), (-F.sum(F.size("toks"))).cast("bigint").alias("total"))
 
 
 def index(corpus: DataFrame, key: str = "key", text: str = "text", where: Column | None = None) -> Corpus:
