@@ -11,10 +11,11 @@ from pyspark.sql import functions as F
 from tessera import config, qa
 from tessera.functions import paths as P
 from tessera.functions import text as T
-from tessera.operators import chunking, embed, evaluate, retrieval, summaries, sync, telemetry
+from tessera.operators import batches, chunking, embed, evaluate, retrieval, summaries, sync, telemetry
 from tessera.sources import files as sources
 from tessera.sources import logs
 from tessera.sources.catalog import Catalog
+from tessera.sources.scratch import saved
 
 
 class Engine:
@@ -149,39 +150,43 @@ class Engine:
     def evaluate(self, collection: str, items: list[tuple], modes: Sequence[str] = config.MODES, record: bool = True, score_answers: bool = False, judge: qa.Model | None = None) -> dict:
         """Quality by mode of items (question, expected sources[, expected keywords]).
 
-        Retrieval runs all questions of a mode as one plan. ``score_answers`` has the model
-        answer each question and scores its keywords; ``judge`` is a model that grades the answers.
+        All questions and modes are one plan, which shares the vector and the keyword ranking. ``score_answers`` has the model
+        answer each question by each mode and scores its keywords; ``judge`` is a model that grades the answers. Both run in
+        tasks, so they are sent there; a call that fails is repeated once, then the answer is empty (and the verdict ``error``).
         """
-        k = self.settings.top_k
-        truth = self.spark.createDataFrame([(i, s) for i, x in enumerate(items) for s in sorted(set(x[1]))], "query_id long, key string")
-        every = self.spark.createDataFrame([(i,) for i in range(len(items))], "query_id long")
-        results = {}
-        for mode in modes:
-            found = self.retrieve_many(collection, [(i, x[0]) for i, x in enumerate(items)], mode)
-            once = sync.first_by(found.select("query_id", F.col("source").alias("key"), "rank"), ["query_id", "key"], ["rank"])
-            ranks = once.withColumn("rank", F.row_number().over(retrieval.Window.partitionBy("query_id").orderBy("rank")))
-            parts = {"retrieval": evaluate.aggregate(evaluate.per_query(ranks, truth, k, every))}
-            if score_answers or judge:
-                replies = [self._reply(collection, x[0], mode) for x in items]
-                rows = self.spark.createDataFrame([(r, list(x[2]) if len(x) > 2 else []) for r, x in zip(replies, items)], "answer string, keywords array<string>")
-                parts["answers"] = evaluate.aggregate_answers(evaluate.answers(rows))
-                if judge:
-                    graded = self.spark.createDataFrame([(qa.grade(x[0], r, judge),) for r, x in zip(replies, items)], "raw string")
-                    parts["judge"] = evaluate.aggregate_judgements(graded.select(T.judge_response("raw").alias("j")).select("j.*"))
-            results[mode] = {section: {m: float(v) for m, v in df.first().asDict().items() if m != "n"} for section, df in parts.items()}
+        k, modes = self.settings.top_k, tuple(modes)
+        make = self.spark.createDataFrame
+        truth = make([(i, s) for i, x in enumerate(items) for s in sorted(set(x[1]))], "query_id long, key string")
+        every = make([(i, x[0], list(x[2]) if len(x) > 2 else []) for i, x in enumerate(items)], "query_id long, question string, keywords array<string>")
+        corpus, vectors = self._keyed(collection), self.embedder([x[0] for x in items])
+        asked = make([(i, x[0], v) for i, (x, v) in enumerate(zip(items, vectors))], "query_id long, text string, embedding array<float>")
+        found = retrieval.by_mode(asked, corpus, modes, self.settings, "key", "text", self.scorer, index=self.catalog.words(collection))
+        found = found.join(corpus.select("key", "source", "page_content"), "key")
+        once = sync.first_by(found.select("mode", "query_id", F.col("source").alias("key"), "rank"), ["mode", "query_id", "key"], ["rank"])
+        ranks = once.withColumn("rank", F.row_number().over(retrieval.Window.partitionBy("mode", "query_id").orderBy("rank")))
+        scored = evaluate.per_query(evaluate.each_mode(ranks), evaluate.each_mode(truth, modes), k, evaluate.each_mode(every.select("query_id"), modes))
+        parts = {"retrieval": evaluate.aggregate(scored.withColumn("mode", F.col("query_id.mode")), "mode")}
+        if score_answers or judge:
+            texts = retrieval.context(evaluate.each_mode(found.select("mode", "query_id", "key", "rank")), corpus.select("key", "text"))
+            asks = evaluate.each_mode(every, modes).join(texts, "query_id", "left").withColumn("prompt", qa.prompt_of(F.col("context"), F.col("question"))).drop("context")
+            model = self.model
+            replies = saved(batches.written(asks, lambda: model).select(F.col("query_id.mode").alias("mode"), "question", "keywords", F.col("reply").alias("answer")))
+            parts["answers"] = evaluate.aggregate_answers(evaluate.answers(replies), "mode")
+            if judge:
+                grades = batches.written(replies.select("mode", qa.filled(qa.JUDGE, question=F.col("question"), answer=F.col("answer")).alias("prompt")), lambda: judge)
+                parts["judge"] = evaluate.aggregate_judgements(grades.select("mode", T.judge_response("reply").alias("j")).select("mode", "j.*"), "mode")
+        results: dict = {m: {} for m in modes}
+        for section, rows in parts.items():
+            for r in rows.collect():
+                results[r["mode"]][section] = {m: float(v) for m, v in r.asDict().items() if m not in ("n", "mode")}
         if record:
             evaluate.record_run(self.spark, self.settings.eval_log, k, len(items), results, self.settings)
         return results
 
-    def _reply(self, collection: str, question: str, mode: str) -> str:
-        try:
-            return self.query(collection, question, mode=mode)["answer"]
-        except RuntimeError:
-            return ""
-
     def last_diff(self, mode: str) -> DataFrame:
         """(section, metric, current, previous, delta) of the last two runs that had ``mode``."""
-        runs = logs.eval_runs(self.spark, self.settings.eval_log).where(F.col("results").getItem(mode).isNotNull()).orderBy(F.col("timestamp").desc()).limit(2).collect()
+        runs = logs.eval_runs(self.spark, self.settings.eval_log).where(F.col("results").getItem(mode).isNotNull())
+        runs = runs.orderBy(*evaluate.logs_order(runs)).limit(2).collect()
         schema = "section string, metric string, value double"
 
         def rows(r) -> DataFrame:

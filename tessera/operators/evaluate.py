@@ -20,10 +20,25 @@ def per_query(ranking: DataFrame, truth: DataFrame, k: int, queries: DataFrame |
     reciprocal rank looks at the whole ranking. ``queries`` adds those without any row, as zeros.
     """
     right = truth.select("query_id", key).distinct()
-    rows = ranking.select("query_id", key, "rank").join(right.withColumn("_right", F.lit(True)), ["query_id", key], "left")
-    top = F.col("rank") <= k
-    found = rows.groupBy("query_id").agg(F.count_if(top).alias("n"), F.count_if(top & F.col("_right")).alias("hits"), F.min(F.when(F.col("_right"), F.col("rank"))).alias("first"))
-    wanted = right.groupBy("query_id").agg(F.count("*").alias("wanted"))
+    rows = ranking.select("query_id", key, "rank").join(right.withColumn("right", F.lit(True)), ["query_id", key], "left")
+    return _scored(rows, right.groupBy("query_id").agg(F.count("*").alias("wanted")), k, queries)
+
+
+def per_query_by_label(ranking: DataFrame, labels: DataFrame, asked: DataFrame, k: int, key: str = "key") -> DataFrame:
+    """As ``per_query``, where what is right for a query (query_id, label) is every row (key, label) of its label.
+
+    The rows of a label are counted, not paired with its queries: only what was found is looked up.
+    """
+    own = labels.where("label IS NOT NULL")
+    wanted = asked.join(own.groupBy("label").agg(F.count("*").alias("wanted")), "label").select("query_id", "wanted")
+    found = ranking.select("query_id", key, "rank").join(own.select(key, F.col("label").alias("has")), key, "left").join(asked, "query_id", "left")
+    return _scored(found.select("query_id", "rank", (F.col("has") == F.col("label")).alias("right")), wanted, k, asked)
+
+
+def _scored(rows: DataFrame, wanted: DataFrame, k: int, queries: DataFrame | None) -> DataFrame:
+    """Metrics of rows (query_id, rank, right) and wanted (query_id, wanted)."""
+    top, right = F.col("rank") <= k, F.coalesce(F.col("right"), F.lit(False))
+    found = rows.groupBy("query_id").agg(F.count_if(top).alias("n"), F.count_if(top & right).alias("hits"), F.min(F.when(right, F.col("rank"))).alias("first"))
     every = (queries.select("query_id").distinct() if queries is not None else found.select("query_id")).join(found, "query_id", "left").join(wanted, "query_id", "left")
 
     def share(a: str, b: str):
@@ -43,20 +58,26 @@ def aggregate(rows: DataFrame, *by: str) -> DataFrame:
     return rows.groupBy(*by).agg(*made) if by else rows.agg(*made)
 
 
+def each_mode(rows: DataFrame, modes: tuple[str, ...] | None = None) -> DataFrame:
+    """``rows`` with the mode in their query_id: they have one, or get each of ``modes``."""
+    own = rows if modes is None else rows.withColumn("mode", F.explode(F.array(*map(F.lit, modes))))
+    return own.withColumn("query_id", F.struct("mode", "query_id")).drop("mode")
+
+
 def answers(rows: DataFrame, answer: str = "answer", keywords: str = "keywords", least: float = 0.5) -> DataFrame:
     """``rows`` with keyword_coverage and keyword_hit."""
     return rows.withColumns({"keyword_coverage": T.keyword_coverage(answer, keywords), "keyword_hit": T.keyword_hit(answer, keywords, least)})
 
 
-def aggregate_answers(rows: DataFrame) -> DataFrame:
+def aggregate_answers(rows: DataFrame, *by: str) -> DataFrame:
     scored = F.coalesce(F.round(F.avg("keyword_coverage"), 4), F.lit(0.0)).alias("keyword_coverage"), F.coalesce(F.round(F.avg(F.col("keyword_hit").cast("double")), 4), F.lit(0.0)).alias("keyword_hit_rate")
-    return rows.agg(*scored, F.count("*").alias("n"))
+    return rows.groupBy(*by).agg(*scored, F.count("*").alias("n"))
 
 
-def aggregate_judgements(rows: DataFrame) -> DataFrame:
+def aggregate_judgements(rows: DataFrame, *by: str) -> DataFrame:
     """Mean score and a count of each verdict of rows (verdict, score)."""
     counts = [F.count_if(F.col("verdict") == v).alias(v) for v in (*config.VERDICTS, "error")]
-    return rows.agg(F.coalesce(F.round(F.avg("score"), 4), F.lit(0.0)).alias("score"), *counts, F.count("*").alias("n"))
+    return rows.groupBy(*by).agg(F.coalesce(F.round(F.avg("score"), 4), F.lit(0.0)).alias("score"), *counts, F.count("*").alias("n"))
 
 
 def previous(runs: DataFrame, by: list[str], order: str, values: list[str]) -> DataFrame:
@@ -85,9 +106,14 @@ def record_run(spark: SparkSession, path: str, k: int, n: int, results: dict[str
     spark.createDataFrame([(stamp, k, n, kept, results)], schemas.EVAL_RUN).coalesce(1).write.mode("append").json(path)
 
 
+def logs_order(runs: DataFrame) -> list:
+    """The last run first: by its place in the log if that is told, else by its time."""
+    return [F.col("place").desc()] if "place" in runs.columns else [F.col("timestamp").desc()]
+
+
 def history(runs: DataFrame, last: int) -> DataFrame:
     """(timestamp, mode, section, metric, value) of the last ``last`` runs."""
-    recent = runs.orderBy(F.col("timestamp").desc()).limit(last)
+    recent = runs.orderBy(*logs_order(runs)).limit(last)
     return recent.select("timestamp", F.explode("results").alias("mode", "_s")).select("timestamp", "mode", F.explode("_s").alias("section", "_m")).select("timestamp", "mode", "section", F.explode("_m").alias("metric", "value"))
 
 

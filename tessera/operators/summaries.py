@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import paths as P
+from tessera.operators import prefix
+from tessera.operators.small import small
 
 
 def file_summary(files: DataFrame) -> DataFrame:
@@ -18,8 +20,10 @@ def files_by_extension(files: DataFrame) -> DataFrame:
 
 
 def paths_by_language(files: DataFrame, path: str = "path") -> DataFrame:
-    """(language, n, paths) with the paths of each language in order, the largest group first."""
-    return files.groupBy(P.language(path).alias("language")).agg(F.count("*").alias("n"), F.sort_array(F.collect_list(path)).alias("paths")).orderBy(F.col("n").desc(), "language")
+    """(language, n, place, path): the paths of each language in order, from place 1 on, and how many it has."""
+    own = files.select(P.language(path).alias("language"), F.col(path).alias("path"))
+    counts = own.groupBy("language").agg(F.count("*").alias("n"))
+    return prefix.running(own, ["language"], ["path"], place="place").join(small(counts), "language").select("language", "n", "place", "path")
 
 
 def chunk_stats(chunks: DataFrame) -> DataFrame:

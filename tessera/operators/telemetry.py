@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera import schemas
 from tessera.functions import text as T
+from tessera.operators.ranks import nearest_ranks
 
 
 def since(records: DataFrame, after: str | dt.datetime | None = None, collection: str | None = None) -> DataFrame:
@@ -39,20 +40,6 @@ def _metrics() -> list[Column]:
     ]
 
 
-def nearest_ranks(rows: DataFrame, value: str, shares: dict[str, float], by: tuple[str, ...] = ()) -> DataFrame:
-    """(by..., a column for each share): the sorted values' element at floor(n * share), the last at most (0-based).
-
-    Without ``by`` there is one row, of nulls if there is no value. Equal values are counted
-    before they are sorted, so what meets in one task is the distinct values, streamed.
-    """
-    counts = rows.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("_v")).agg(F.count("*").alias("_c"))
-    group = Window.partitionBy(*by)
-    upto = F.sum("_c").over(group.orderBy("_v").rowsBetween(Window.unboundedPreceding, 0))
-    counts = counts.select("*", upto.alias("_upto"), F.sum("_c").over(group).alias("_n"))
-    picks = [F.min(F.when(F.col("_upto") > F.least(F.floor(F.col("_n") * F.lit(float(p))), F.col("_n") - 1), F.col("_v"))).alias(name) for name, p in shares.items()]
-    return counts.groupBy(*by).agg(*picks) if by else counts.agg(*picks)
-
-
 def summary(records: DataFrame) -> DataFrame:
     """One row overall (mode null) and one for each mode; no record: the overall row, all zeros.
 

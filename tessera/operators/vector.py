@@ -106,8 +106,12 @@ def mmr(queries: DataFrame, corpus: DataFrame, k: int, fetch_k: int, weight: flo
     the first the highest sim. Ties go to the higher sim, then the smaller key. A query's
     candidates, ``fetch_k`` at most, meet in one row.
     """
+    return picked(knn(queries, corpus, fetch_k, key, ("embedding",), where, unit, digits), k, weight, key, unit, digits)
+
+
+def picked(found: DataFrame, k: int, weight: float, key: str = "key", unit: bool = False, digits: int = 6) -> DataFrame:
+    """The picks of ``mmr`` among candidates (query_id, key, score, rank, embedding)."""
     near = T.dot if unit else T.cosine
-    found = knn(queries, corpus, fetch_k, key, ("embedding",), where, unit, digits)
     rows = found.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", F.col("score").alias("sim"), F.col(key).alias("key"), "embedding"))).alias("c"))
     rows = rows.select("query_id", "c", F.transform("c", lambda a: F.transform("c", lambda b: F.round(near(a["embedding"], b["embedding"]), digits))).alias("m"))
 

@@ -120,6 +120,15 @@ FROM (SELECT a.query_id, (SELECT count(*) FROM corpus x WHERE x.label = a.label)
 (SELECT r.query_id, count(*) AS n, count(*) FILTER (WHERE c.label = a.label) AS h, min(r.rank) FILTER (WHERE c.label = a.label) AS f FROM {ranking} r JOIN corpus c ON c.doc_id = r.doc_id JOIN asked a ON a.query_id = r.query_id GROUP BY r.query_id) USING (query_id)"""
 
 
+def _all_modes() -> str:
+    again, rerank = _rerank("fused20", "corpus").split(")\nSELECT", 1)
+    rankings = {"vector": "(SELECT * FROM near WHERE rank <= 6)", "mmr": "p6", "hybrid": "(SELECT * FROM fused WHERE rank <= 6)", "hybrid_rerank": "reranked"}
+    rows = " UNION ALL ".join(f"SELECT '{m}' AS mode, * FROM ({_metrics(r)})" for m, r in rankings.items())
+    return f"""WITH corpus AS (SELECT d.doc_id, d.text, d.lang, e.embedding, e.label FROM documents d JOIN embeddings e ON e.vec_id = d.doc_id), asked AS (SELECT doc_id AS query_id, 0 AS variant, text, embedding, label FROM corpus WHERE doc_id % 50 = 0),
+{_mmr()}, {_bm25("asked", "corpus", 20)}, {_fused(None)}, fused20 AS (SELECT * FROM fused WHERE rank <= 20), {again}), reranked AS (SELECT{rerank}), rows_ AS ({rows})
+SELECT mode, round(avg(precision_at_k), 4) AS precision_at_k, round(avg(recall_at_k), 4) AS recall_at_k, round(avg(reciprocal_rank), 4) AS mrr, round(avg(CASE WHEN hit THEN 1.0e0 ELSE 0.0e0 END), 4) AS hit_rate, count(*) AS n FROM rows_ GROUP BY mode"""
+
+
 # -- telemetry
 
 LOG = """log AS (SELECT ts, CAST(user_id AS VARCHAR) AS collection, event_type AS mode, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, value, event_type = 'error' AS failed FROM events)"""
@@ -164,7 +173,7 @@ SQL: dict[str, str] = {
     "files_by_extension": f"SELECT coalesce(nullif({EXT}, ''), 'unknown') AS extension, count(*) AS files FROM ({PATHS}) GROUP BY 1",
     "ingestion_stats": "SELECT count(*) AS chunks, count(DISTINCT source) AS sources FROM documents",
     "chunks_by_language": "SELECT lang, count(*) AS n FROM documents GROUP BY lang",
-    "group_by_language": f"SELECT {LANGUAGE} AS language, count(*) AS n, string_agg(path, chr(10) ORDER BY path) AS paths FROM ({PATHS}) GROUP BY 1",
+    "group_by_language": f"SELECT *, count(*) OVER (PARTITION BY language) AS n, row_number() OVER (PARTITION BY language ORDER BY path) AS place FROM (SELECT {LANGUAGE} AS language, path FROM ({PATHS}))",
     "filter_options": "SELECT 0 AS position, 'All languages' AS option UNION ALL SELECT DISTINCT 1, lang FROM documents WHERE lang <> ''",
     "running_size_cap": "SELECT source, doc_id, CAST(sum(n_chars) OVER w AS BIGINT) AS running, sum(n_chars) OVER w > 100000 AS over_cap FROM documents WINDOW w AS (PARTITION BY source ORDER BY doc_id ROWS UNBOUNDED PRECEDING)",
     "batch_assign": "SELECT source, doc_id, (row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1) // 100 AS batch FROM documents",
@@ -208,6 +217,7 @@ FROM words JOIN documents d USING (doc_id) QUALIFY row_number() OVER (PARTITION
     "eval_per_query": f"WITH {VECTORS}, {_knn('asked', 'corpus', 6)} {_metrics('near')}",
     "eval_by_mode": f"WITH {VECTORS}, {_mmr()}, v AS ({_metrics('(SELECT * FROM near WHERE rank <= 6)')}), m AS ({_metrics('p6')}), both_ AS (SELECT 'vector' AS mode, * FROM v UNION ALL SELECT 'mmr', * FROM m) "
     "SELECT mode, round(avg(precision_at_k), 4) AS precision_at_k, round(avg(recall_at_k), 4) AS recall_at_k, round(avg(reciprocal_rank), 4) AS mrr, round(avg(CASE WHEN hit THEN 1.0e0 ELSE 0.0e0 END), 4) AS hit_rate, count(*) AS n FROM both_ GROUP BY mode",
+    "eval_all_modes": _all_modes(),
     "previous_run": f"WITH {DAILY} SELECT *, lag(mean_value) OVER w AS previous_mean_value, lag(n) OVER w AS previous_n FROM daily WINDOW w AS (PARTITION BY event_type ORDER BY day)",
     "run_diff": f"""WITH {DAILY}, long AS (SELECT day, event_type AS section, 'mean_value' AS metric, mean_value AS value FROM daily UNION ALL SELECT day, event_type, 'n', CAST(n AS DOUBLE) FROM daily)
 SELECT section, metric, c.value AS "current", p.value AS previous, round(c.value - p.value, 4) AS delta FROM (SELECT * FROM long WHERE day = (SELECT max(day) FROM daily)) c JOIN (SELECT * FROM long WHERE day = (SELECT min(day) FROM daily)) p USING (section, metric)""",

@@ -7,13 +7,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera import config
 from tessera.functions import paths as P
 from tessera.functions import text as T
-from tessera.operators import chunking, conversation, embed, evaluate, inverted_file, keyword, retrieval, summaries, sync, telemetry, vector
+from tessera.operators import chunking, conversation, embed, evaluate, inverted_file, keyword, prefix, ranks, retrieval, summaries, sync, telemetry, vector
 from tessera.plans import oracles
 from tessera.sources import logs, scratch
 
@@ -94,8 +94,7 @@ def chunks_by_language(spark, d):
 
 @query
 def group_by_language(spark, d):
-    rows = summaries.paths_by_language(_pages(spark, d))
-    return rows.select("language", "n", F.array_join("paths", "\n").alias("paths"))
+    return summaries.paths_by_language(_pages(spark, d))
 
 
 @query
@@ -105,14 +104,14 @@ def filter_options(spark, d):
 
 @query
 def running_size_cap(spark, d):
-    total = F.sum("n_chars").over(Window.partitionBy("source").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, 0))
-    return table(spark, d, "documents").select("source", "doc_id", total.alias("running")).withColumn("over_cap", F.col("running") > 100_000)
+    docs = table(spark, d, "documents").select("source", "doc_id", "n_chars")
+    return prefix.running(docs, ["source"], ["doc_id"], {"running": F.col("n_chars")}).drop("n_chars").withColumn("over_cap", F.col("running") > 100_000)
 
 
 @query
 def batch_assign(spark, d):
-    place = F.row_number().over(Window.partitionBy("source").orderBy("doc_id")) - 1
-    return table(spark, d, "documents").select("source", "doc_id", F.floor(place / 100).cast("bigint").alias("batch"))
+    docs = table(spark, d, "documents").select("source", "doc_id")
+    return prefix.running(docs, ["source"], ["doc_id"], place="place").select("source", "doc_id", F.floor((F.col("place") - 1) / 100).cast("bigint").alias("batch"))
 
 
 # -- paths
@@ -402,8 +401,7 @@ def _evaluated(spark, d, mode: str) -> DataFrame:
     rows, asked = table(spark, d, "embeddings"), _vector_queries(spark, d)
     found = retrieval.retrieve(asked, rows, mode, key="vec_id", unit=True)
     labels = rows.select("vec_id", "label")
-    truth = asked.join(labels.withColumnRenamed("vec_id", "query_id"), "query_id").select("query_id", "label").join(labels, "label").select("query_id", "vec_id")
-    return evaluate.per_query(found, truth, config.Settings().top_k, asked, "vec_id")
+    return evaluate.per_query_by_label(found, labels, asked.join(labels.withColumnRenamed("vec_id", "query_id"), "query_id").select("query_id", "label"), config.Settings().top_k, "vec_id")
 
 
 @query
@@ -417,6 +415,17 @@ def eval_by_mode(spark, d):
     return evaluate.aggregate(rows, "mode")
 
 
+@query
+def eval_all_modes(spark, d):
+    """All four modes over documents with a vector and its label, from shared rankings."""
+    labels = table(spark, d, "documents").select("doc_id").join(table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), "label"), "doc_id")
+    asked = _asked(spark, d)
+    found = evaluate.each_mode(retrieval.by_mode(asked, _corpus(spark, d), key="doc_id", unit=True, index=_words(spark, d, "corpus")))
+    own = evaluate.each_mode(asked.select("query_id").join(labels.withColumnRenamed("doc_id", "query_id"), "query_id"), config.MODES)
+    rows = evaluate.per_query_by_label(found, labels, own, config.Settings().top_k, "doc_id")
+    return evaluate.aggregate(rows.withColumn("mode", F.col("query_id.mode")), "mode")
+
+
 def _daily(spark, d) -> DataFrame:
     return table(spark, d, "events").groupBy(F.to_date("ts").cast("string").alias("day"), "event_type").agg(F.round(F.avg("value"), 8).alias("mean_value"), F.count("*").alias("n"))
 
@@ -471,7 +480,7 @@ def metrics_by_collection(spark, d):
 
 @query
 def nearest_rank_percentiles(spark, d):
-    return telemetry.nearest_ranks(table(spark, d, "events"), "value", {"p50": 0.5, "p95": 0.95, "p0": 0.0}, ("event_type",))
+    return ranks.nearest_ranks(table(spark, d, "events"), "value", {"p50": 0.5, "p95": 0.95, "p0": 0.0}, ("event_type",))
 
 
 # -- conversations

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tessera import config
 from tessera.functions import paths as P
 from tessera.functions import text as T
-from tessera.operators.telemetry import nearest_ranks
+from tessera.operators.ranks import nearest_ranks
 
 
 def one(spark, rows, column, schema="x string"):

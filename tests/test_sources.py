@@ -84,7 +84,7 @@ def test_summaries(spark):
     rows = spark.createDataFrame([("a.py", ".py", 1.0), ("b.py", ".py", 2.0), ("c.js", ".js", 0.5), ("d", "", 0.0)], "path string, extension string, size_kb double")
     assert tuple(summaries.file_summary(rows).first()) == (4, 3.5)
     assert {r.extension: r.files for r in summaries.files_by_extension(rows).collect()} == {".py": 2, ".js": 1, "unknown": 1}
-    assert [(r.language, r.paths) for r in summaries.paths_by_language(rows).collect()][0] == ("Python", ["a.py", "b.py"])
+    assert [(r.n, r.place, r.path) for r in summaries.paths_by_language(rows).where("language = 'Python'").orderBy("place").collect()] == [(2, 1, "a.py"), (2, 2, "b.py")]
     assert summaries.file_summary(rows.limit(0)).first().total_kb == 0.0
 
 
