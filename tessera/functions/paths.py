@@ -9,6 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tessera import config
+from tessera.functions.text import rounded
 
 Text = Column | str
 
@@ -78,7 +79,7 @@ def collection_name(name: Text) -> Column:
 
 
 def size_kb(n_bytes: Text) -> Column:
-    return F.round(_col(n_bytes) / F.lit(1024.0), 2)
+    return rounded(_col(n_bytes) / F.lit(1024.0), 2)
 
 
 def prefixes(path: Text) -> Column:

@@ -52,7 +52,7 @@ def aggregate(rows: DataFrame, *by: str) -> DataFrame:
     """Means of ``per_query`` rows rounded to 4, and n; nothing: zeros."""
 
     def mean(c: str):
-        return F.coalesce(F.round(F.avg(F.col(c).cast("double")), 4), F.lit(0.0))
+        return F.coalesce(T.rounded(F.avg(F.col(c).cast("double")), 4), F.lit(0.0))
 
     made = (mean("precision_at_k").alias("precision_at_k"), mean("recall_at_k").alias("recall_at_k"), mean("reciprocal_rank").alias("mrr"), mean("hit").alias("hit_rate"), F.count("*").alias("n"))
     return rows.groupBy(*by).agg(*made) if by else rows.agg(*made)
@@ -70,14 +70,14 @@ def answers(rows: DataFrame, answer: str = "answer", keywords: str = "keywords",
 
 
 def aggregate_answers(rows: DataFrame, *by: str) -> DataFrame:
-    scored = F.coalesce(F.round(F.avg("keyword_coverage"), 4), F.lit(0.0)).alias("keyword_coverage"), F.coalesce(F.round(F.avg(F.col("keyword_hit").cast("double")), 4), F.lit(0.0)).alias("keyword_hit_rate")
+    scored = F.coalesce(T.rounded(F.avg("keyword_coverage"), 4), F.lit(0.0)).alias("keyword_coverage"), F.coalesce(T.rounded(F.avg(F.col("keyword_hit").cast("double")), 4), F.lit(0.0)).alias("keyword_hit_rate")
     return rows.groupBy(*by).agg(*scored, F.count("*").alias("n"))
 
 
 def aggregate_judgements(rows: DataFrame, *by: str) -> DataFrame:
     """Mean score and a count of each verdict of rows (verdict, score)."""
     counts = [F.count_if(F.col("verdict") == v).alias(v) for v in (*config.VERDICTS, "error")]
-    return rows.groupBy(*by).agg(F.coalesce(F.round(F.avg("score"), 4), F.lit(0.0)).alias("score"), *counts, F.count("*").alias("n"))
+    return rows.groupBy(*by).agg(F.coalesce(T.rounded(F.avg("score"), 4), F.lit(0.0)).alias("score"), *counts, F.count("*").alias("n"))
 
 
 def previous(runs: DataFrame, by: list[str], order: str, values: list[str]) -> DataFrame:
@@ -95,7 +95,7 @@ def unpivot(results: DataFrame, column: str = "results") -> DataFrame:
 def diff(now: DataFrame, before: DataFrame) -> DataFrame:
     """(section, metric, current, previous, delta) of metrics that both sides (section, metric, value) have; delta rounded to 4."""
     both = now.select("section", "metric", F.col("value").alias("current")).join(before.select("section", "metric", F.col("value").alias("previous")), ["section", "metric"])
-    return both.where("current IS NOT NULL AND previous IS NOT NULL").withColumn("delta", F.round(F.col("current") - F.col("previous"), 4))
+    return both.where("current IS NOT NULL AND previous IS NOT NULL").withColumn("delta", T.rounded(F.col("current") - F.col("previous"), 4))
 
 
 def record_run(spark: SparkSession, path: str, k: int, n: int, results: dict[str, dict[str, dict[str, float]]], settings: config.Settings) -> None:

@@ -6,13 +6,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import paths as P
+from tessera.functions import text as T
 from tessera.operators import prefix
 from tessera.operators.small import small
 
 
 def file_summary(files: DataFrame) -> DataFrame:
     """One row: files, total_kb (rounded to 2)."""
-    return files.agg(F.count("*").alias("files"), F.coalesce(F.round(F.sum("size_kb"), 2), F.lit(0.0)).alias("total_kb"))
+    return files.agg(F.count("*").alias("files"), F.coalesce(T.rounded(F.sum("size_kb"), 2), F.lit(0.0)).alias("total_kb"))
 
 
 def files_by_extension(files: DataFrame) -> DataFrame:

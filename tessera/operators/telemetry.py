@@ -30,8 +30,8 @@ def _metrics() -> list[Column]:
     return [
         F.count("*").alias("total_queries"),
         F.count_if(failed).alias("error_count"),
-        F.coalesce(F.round(F.try_divide(F.count_if(failed).cast("double"), F.count("*").cast("double")), 4), F.lit(0.0)).alias("error_rate"),
-        F.coalesce(F.round(F.try_divide(F.count_if(~failed & (F.coalesce("hit_count", F.lit(0)) > 0)).cast("double"), F.count_if(~failed).cast("double")), 4), F.lit(0.0)).alias("hit_rate"),
+        F.coalesce(T.rounded(F.try_divide(F.count_if(failed).cast("double"), F.count("*").cast("double")), 4), F.lit(0.0)).alias("error_rate"),
+        F.coalesce(T.rounded(F.try_divide(F.count_if(~failed & (F.coalesce("hit_count", F.lit(0)) > 0)).cast("double"), F.count_if(~failed).cast("double")), 4), F.lit(0.0)).alias("hit_rate"),
         T.mean("retrieval_latency_ms").alias("avg_retrieval_latency_ms"),
         T.mean(ok("generation_latency_ms")).alias("avg_generation_latency_ms"),
         T.mean(total).alias("avg_total_latency_ms"),

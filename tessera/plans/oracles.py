@@ -126,7 +126,7 @@ def _all_modes() -> str:
     rows = " UNION ALL ".join(f"SELECT '{m}' AS mode, * FROM ({_metrics(r)})" for m, r in rankings.items())
     return f"""WITH corpus AS (SELECT d.doc_id, d.text, d.lang, e.embedding, e.label FROM documents d JOIN embeddings e ON e.vec_id = d.doc_id), asked AS (SELECT doc_id AS query_id, 0 AS variant, text, embedding, label FROM corpus WHERE doc_id % 50 = 0),
 {_mmr()}, {_bm25("asked", "corpus", 20)}, {_fused(None)}, fused20 AS (SELECT * FROM fused WHERE rank <= 20), {again}), reranked AS (SELECT{rerank}), rows_ AS ({rows})
-SELECT mode, round(avg(precision_at_k), 4) AS precision_at_k, round(avg(recall_at_k), 4) AS recall_at_k, round(avg(reciprocal_rank), 4) AS mrr, round(avg(CASE WHEN hit THEN 1.0e0 ELSE 0.0e0 END), 4) AS hit_rate, count(*) AS n FROM rows_ GROUP BY mode"""
+SELECT mode, round_even(avg(precision_at_k), 4) AS precision_at_k, round_even(avg(recall_at_k), 4) AS recall_at_k, round_even(avg(reciprocal_rank), 4) AS mrr, round_even(avg(CASE WHEN hit THEN 1.0e0 ELSE 0.0e0 END), 4) AS hit_rate, count(*) AS n FROM rows_ GROUP BY mode"""
 
 
 # -- telemetry
@@ -137,12 +137,12 @@ LOG = """log AS (SELECT ts, CAST(user_id AS VARCHAR) AS collection, event_type A
 def _summary(where: str = "true") -> str:
     return f"""WITH {LOG}
 SELECT mode, count(*) AS total_queries, count(*) FILTER (WHERE failed) AS error_count,
- coalesce(round(CAST(count(*) FILTER (WHERE failed) AS DOUBLE) / nullif(count(*), 0), 4), 0) AS error_rate,
- coalesce(round(CAST(count(*) FILTER (WHERE NOT failed AND k % 5 > 0) AS DOUBLE) / nullif(count(*) FILTER (WHERE NOT failed), 0), 4), 0) AS hit_rate,
- coalesce(round(avg(value), 2), 0) AS avg_retrieval_latency_ms, coalesce(round(avg(2 * value) FILTER (WHERE NOT failed), 2), 0) AS avg_generation_latency_ms, coalesce(round(avg(3 * value), 2), 0) AS avg_total_latency_ms,
+ coalesce(round_even(CAST(count(*) FILTER (WHERE failed) AS DOUBLE) / nullif(count(*), 0), 4), 0) AS error_rate,
+ coalesce(round_even(CAST(count(*) FILTER (WHERE NOT failed AND k % 5 > 0) AS DOUBLE) / nullif(count(*) FILTER (WHERE NOT failed), 0), 4), 0) AS hit_rate,
+ coalesce(round_even(avg(value), 2), 0) AS avg_retrieval_latency_ms, coalesce(round_even(avg(2 * value) FILTER (WHERE NOT failed), 2), 0) AS avg_generation_latency_ms, coalesce(round_even(avg(3 * value), 2), 0) AS avg_total_latency_ms,
  coalesce(list_sort(list(3 * value))[CAST(least(floor(count(*) * 0.5e0), count(*) - 1) AS INT) + 1], 0) AS p50_total_latency_ms,
  coalesce(list_sort(list(3 * value))[CAST(least(floor(count(*) * 0.95e0), count(*) - 1) AS INT) + 1], 0) AS p95_total_latency_ms,
- coalesce(round(avg(k) FILTER (WHERE NOT failed), 2), 0) AS avg_prompt_tokens, coalesce(round(avg(1) FILTER (WHERE NOT failed), 2), 0) AS avg_completion_tokens
+ coalesce(round_even(avg(k) FILTER (WHERE NOT failed), 2), 0) AS avg_prompt_tokens, coalesce(round_even(avg(1) FILTER (WHERE NOT failed), 2), 0) AS avg_completion_tokens
 FROM log WHERE {where} GROUP BY GROUPING SETS ((), (mode))"""
 
 
@@ -169,7 +169,7 @@ SQL: dict[str, str] = {
     "collections_excluding_prefix": "SELECT source AS name, count(*) AS chunk_count FROM documents WHERE NOT starts_with(source, 'src1') GROUP BY source",
     "delete_sources": "SELECT doc_id, source FROM documents WHERE source IS NULL OR source NOT IN ('src1', 'src2', 'src3')",
     "parse_props_json": "SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events WHERE json_valid(props)",
-    "file_summary": "SELECT count(*) AS files, round(sum(round(strlen(text) / 1024.0e0, 2)), 2) AS total_kb FROM documents",
+    "file_summary": "SELECT count(*) AS files, round_even(sum(round_even(strlen(text) / 1024.0e0, 2)), 2) AS total_kb FROM documents",
     "files_by_extension": f"SELECT coalesce(nullif({EXT}, ''), 'unknown') AS extension, count(*) AS files FROM ({PATHS}) GROUP BY 1",
     "ingestion_stats": "SELECT count(*) AS chunks, count(DISTINCT source) AS sources FROM documents",
     "chunks_by_language": "SELECT lang, count(*) AS n FROM documents GROUP BY lang",
@@ -191,9 +191,9 @@ SQL: dict[str, str] = {
     "token_estimate": "SELECT doc_id, CAST(greatest(1, round_even(length(text) / 4.0e0, 0)) AS INT) AS tokens FROM documents",
     "content_hashes": "SELECT doc_id, sha256(text) AS hash, regexp_matches(text, '\\S') AS not_blank FROM documents",
     "keyword_coverage": f"SELECT doc_id, {COVERAGE} AS keyword_coverage, {COVERAGE} >= 0.5e0 AS keyword_hit FROM documents",
-    "answer_metrics": f"SELECT round(avg({COVERAGE}), 4) AS keyword_coverage, round(avg(CASE WHEN {COVERAGE} >= 0.5e0 THEN 1.0e0 ELSE 0.0e0 END), 4) AS keyword_hit_rate, count(*) AS n FROM documents",
+    "answer_metrics": f"SELECT round_even(avg({COVERAGE}), 4) AS keyword_coverage, round_even(avg(CASE WHEN {COVERAGE} >= 0.5e0 THEN 1.0e0 ELSE 0.0e0 END), 4) AS keyword_hit_rate, count(*) AS n FROM documents",
     "judge_parse": f"WITH {JUDGED} SELECT * FROM judged",
-    "judge_aggregate": f"WITH {JUDGED} SELECT round(avg(score), 4) AS score, " + ", ".join(f"count(*) FILTER (WHERE verdict = '{v}') AS {v}" for v in ("correct", "partial", "incorrect", "error")) + ", count(*) AS n FROM judged",
+    "judge_aggregate": f"WITH {JUDGED} SELECT round_even(avg(score), 4) AS score, " + ", ".join(f"count(*) FILTER (WHERE verdict = '{v}') AS {v}" for v in ("correct", "partial", "incorrect", "error")) + ", count(*) AS n FROM judged",
     "sync_diff": f"WITH {SNAPSHOTS} SELECT path, status FROM found",
     "sync_stats": f"WITH {SNAPSHOTS} SELECT " + ", ".join(f"count(*) FILTER (WHERE status = '{s}') AS files_{s}" for s in ("new", "updated", "unchanged", "deleted")) + " FROM found",
     "replace_changed": f"WITH {SNAPSHOTS} SELECT path AS source, 0 AS chunk_index, coalesce(hash, stored) AS content_hash FROM found WHERE status <> 'deleted'",
@@ -216,11 +216,11 @@ SQL: dict[str, str] = {
 FROM words JOIN documents d USING (doc_id) QUALIFY row_number() OVER (PARTITION BY query_id, d.source ORDER BY rank) = 1""",
     "eval_per_query": f"WITH {VECTORS}, {_knn('asked', 'corpus', 6)} {_metrics('near')}",
     "eval_by_mode": f"WITH {VECTORS}, {_mmr()}, v AS ({_metrics('(SELECT * FROM near WHERE rank <= 6)')}), m AS ({_metrics('p6')}), both_ AS (SELECT 'vector' AS mode, * FROM v UNION ALL SELECT 'mmr', * FROM m) "
-    "SELECT mode, round(avg(precision_at_k), 4) AS precision_at_k, round(avg(recall_at_k), 4) AS recall_at_k, round(avg(reciprocal_rank), 4) AS mrr, round(avg(CASE WHEN hit THEN 1.0e0 ELSE 0.0e0 END), 4) AS hit_rate, count(*) AS n FROM both_ GROUP BY mode",
+    "SELECT mode, round_even(avg(precision_at_k), 4) AS precision_at_k, round_even(avg(recall_at_k), 4) AS recall_at_k, round_even(avg(reciprocal_rank), 4) AS mrr, round_even(avg(CASE WHEN hit THEN 1.0e0 ELSE 0.0e0 END), 4) AS hit_rate, count(*) AS n FROM both_ GROUP BY mode",
     "eval_all_modes": _all_modes(),
     "previous_run": f"WITH {DAILY} SELECT *, lag(mean_value) OVER w AS previous_mean_value, lag(n) OVER w AS previous_n FROM daily WINDOW w AS (PARTITION BY event_type ORDER BY day)",
     "run_diff": f"""WITH {DAILY}, long AS (SELECT day, event_type AS section, 'mean_value' AS metric, mean_value AS value FROM daily UNION ALL SELECT day, event_type, 'n', CAST(n AS DOUBLE) FROM daily)
-SELECT section, metric, c.value AS "current", p.value AS previous, round(c.value - p.value, 4) AS delta FROM (SELECT * FROM long WHERE day = (SELECT max(day) FROM daily)) c JOIN (SELECT * FROM long WHERE day = (SELECT min(day) FROM daily)) p USING (section, metric)""",
+SELECT section, metric, c.value AS "current", p.value AS previous, round_even(c.value - p.value, 4) AS delta FROM (SELECT * FROM long WHERE day = (SELECT max(day) FROM daily)) c JOIN (SELECT * FROM long WHERE day = (SELECT min(day) FROM daily)) p USING (section, metric)""",
     "metrics_overall_and_by_mode": _summary(),
     "metrics_since": _summary("ts >= TIMESTAMP '2024-01-15 00:00:00'"),
     "metrics_by_collection": _summary("collection = '7'"),

@@ -5,7 +5,7 @@ from __future__ import annotations
 import io
 import posixpath
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -15,6 +15,7 @@ from tessera import config
 from tessera.functions import paths as P
 from tessera.functions import text as T
 from tessera.sources import gitignore
+from tessera.sources.encodings import decode
 
 #: Below so many compressed bytes an entry's ratio isn't judged.
 RATIO_FLOOR = 4096
@@ -24,14 +25,6 @@ class UnsafeArchive(ValueError):
     """An archive over a limit, or with an entry that would leave its folder."""
 
 
-def decode(content: bytes) -> str:
-    """UTF-8, else Latin-1."""
-    try:
-        return content.decode("utf-8-sig" if content[:3] == b"\xef\xbb\xbf" else "utf-8")
-    except UnicodeDecodeError:
-        return content.decode("latin-1")
-
-
 def _rows(raw: DataFrame, ignore: gitignore.Ignore | None) -> DataFrame:
     """Readable, not ignored, not blank rows of (path, content binary, n_bytes)."""
 
@@ -52,54 +45,56 @@ def _bytes(spark: SparkSession, fs, path) -> bytes:
         stream.close()
 
 
-def _hidden(fs, root) -> tuple[list[str], list]:
-    """Source files that Spark's listing passes over, because a folder of theirs or their own name begins
-    with ``_`` or ``.``, such as ``__init__.py``: (paths in such folders, file statuses of such names)."""
-    below, named, todo = [], [], [(root, False)]
+def _walk(listing: Callable, root, ignore: gitignore.Ignore | None) -> tuple[list[str], list]:
+    """Files of the supported kinds below ``root``: (paths, statuses of those whose own name begins with ``_`` or ``.``).
+
+    Skipped and ignored folders are never listed.
+    """
+    plain, named, todo = [], [], [(root, "")]
     while todo:
-        at, inside = todo.pop()
-        for s in fs.listStatus(at):
+        at, below = todo.pop()
+        for s in listing(at):
             name = s.getPath().getName()
             if s.isDirectory():
-                if name not in config.SKIPPED_DIRS:
-                    todo.append((s.getPath(), inside or name[0] in "._"))
+                if name not in config.SKIPPED_DIRS and (ignore is None or not ignore.ignored(below + name, True)):
+                    todo.append((s.getPath(), f"{below}{name}/"))
             elif name.lower().endswith(config.SUPPORTED_EXTENSIONS):
                 if name[0] in "._":
                     named.append(s)
-                elif inside:
-                    below.append(s.getPath().toString())
-    return below, named
+                else:
+                    plain.append(s.getPath().toString())
+    return plain, named
+
+
+def _ignore_of(spark: SparkSession, fs, root) -> gitignore.Ignore | None:
+    """The rules of the ignore file of ``root``, or of the only folder in it."""
+    tops = [s.getPath().getName() for s in fs.listStatus(root)]
+    for name in [".gitignore", *(f"{t}/.gitignore" for t in tops if len(tops) == 1)]:
+        if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(root, name)):
+            return gitignore.from_text(decode(_bytes(spark, fs, spark._jvm.org.apache.hadoop.fs.Path(root, name))))
+    return None
 
 
 def from_directory(spark: SparkSession, root: str, respect_gitignore: bool = True, max_bytes: int | None = None) -> DataFrame:
-    """Files below ``root``, their paths relative to it. Longer ones than ``max_bytes`` are passed over unread."""
+    """Files below ``root``, their paths relative to it. Longer ones than ``max_bytes`` are passed over unread.
+
+    The driver lists the tree, without what is skipped or ignored; the files are read in tasks, but for those of a name that
+    begins with ``_`` or ``.`` (such as ``__init__.py``), which no reader takes: these, small as source files are, come by way of the driver.
+    """
     prefix = spark._jvm.org.apache.hadoop.fs.Path(root)
     fs = prefix.getFileSystem(spark._jsc.hadoopConfiguration())
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    found = found.select("path", "content", "length")
-    below, named = _hidden(fs, prefix)
-    if below:
-        found = found.unionByName(spark.read.format("binaryFile").load(below).select("path", "content", "length"))
-    if named:
-        # no reader takes a file of such a name; these few, small as source files are, come by way of the driver
-        rows = [(s.getPath().toString(), bytearray(_bytes(spark, fs, s.getPath())), s.getLen()) for s in named if max_bytes is None or s.getLen() <= max_bytes]
-        found = found.unionByName(spark.createDataFrame(rows, "path string, content binary, length bigint"))
+    ignore = _ignore_of(spark, fs, prefix) if respect_gitignore else None
+    plain, named = _walk(fs.listStatus, prefix, ignore)
+    rows = [(s.getPath().toString(), bytearray(_bytes(spark, fs, s.getPath())), s.getLen()) for s in named if max_bytes is None or s.getLen() <= max_bytes]
+    found = spark.createDataFrame(rows, "path string, content binary, length bigint")
+    if plain:
+        found = found.unionByName(spark.read.format("binaryFile").load(plain).select("path", "content", "length"))
     base = fs.makeQualified(prefix).toString().rstrip("/")
     plain = base.split(":", 1)[1].lstrip("/") if ":" in base else base.lstrip("/")
     full = F.regexp_replace("path", r"^[a-z0-9+.-]+:/+", "")
     raw = found.select(F.substring(F.url_decode(F.replace(full, F.lit("+"), F.lit("%2B"))), len(plain) + 2, 1 << 30).alias("path"), "content", F.col("length").alias("n_bytes"))
     if max_bytes is not None:
         raw = raw.where(F.col("n_bytes") <= max_bytes)
-    ignore = None
-    if respect_gitignore:
-        own = [".gitignore"]
-        tops = [s.getPath().getName() for s in fs.listStatus(prefix)]
-        if len(tops) == 1:
-            own.append(f"{tops[0]}/.gitignore")
-        for name in own:
-            if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(prefix, name)):
-                ignore = gitignore.from_text(decode(_bytes(spark, fs, spark._jvm.org.apache.hadoop.fs.Path(prefix, name))))
-                break
     return _rows(raw, ignore)
 
 

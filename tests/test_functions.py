@@ -134,3 +134,19 @@ def test_settings(tmp_path):
     with pytest.raises(ValueError):
         config.Settings(mmr_lambda=2)
     assert F.lit(1) is not None
+
+
+def test_rounding_is_exact_and_half_even(spark):
+    import random
+    import struct
+
+    rng = random.Random(0)
+    cases = [2.675, 1.005, 0.125, 0.375, -0.125, -2.675, 0.5, 1.5, 2.5, 1e15, 1e300, -0.0, 5e-324, 0.015, 1.115, 4503599627370495.5]
+    cases += [rng.uniform(-100, 100) for _ in range(20_000)] + [rng.randint(-(10**6), 10**6) / 1000 for _ in range(20_000)] + [(2 * rng.randint(-(10**5), 10**5) + 1) / 2**k for k in range(1, 12) for _ in range(500)]
+    cases += [x for x in (struct.unpack("<d", struct.pack("<Q", rng.getrandbits(64)))[0] for _ in range(20_000)) if abs(x) < 1e11]
+    df = spark.createDataFrame([(float(x),) for x in cases], "x double").select("x", *(T.rounded("x", d).alias(f"r{d}") for d in (0, 2, 4)))
+    for r in df.collect():
+        for d in (0, 2, 4):
+            assert r[f"r{d}"] == round(r.x, d), (r.x, d)
+    assert one(spark, [(None,), (float("inf"),), (2.675,)], T.rounded("x", 2), "x double") == [None, float("inf"), 2.67]
+    assert one(spark, [(128,), (384,)], P.size_kb("x"), "x long") == [0.12, 0.38]

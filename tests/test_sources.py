@@ -57,6 +57,29 @@ def test_directory(spark, tmp_path):
     assert {r.path for r in files.from_directory(spark, str(tmp_path), max_bytes=3).collect()} == {"über+1.md", "latin.txt", "src/__init__.py", "_priv/d.py"}
 
 
+def test_skipped_and_ignored_folders_are_never_listed(spark, tmp_path):
+    for name in ("a/b/x.py", "node_modules/m/y.py", "a/build/z.py", "gen/deep/w.py", ".git/c.py", "_p/__init__.py"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text("x = 1")
+    root = spark._jvm.org.apache.hadoop.fs.Path(str(tmp_path))
+    fs, seen = root.getFileSystem(spark._jsc.hadoopConfiguration()), []
+
+    def listing(path):
+        seen.append(path.getName())
+        return fs.listStatus(path)
+
+    plain, named = files._walk(listing, root, gitignore.from_text("gen/\n"))
+    assert sorted(seen) == sorted([tmp_path.name, "a", "b", "_p"]) and [p.rsplit("/", 1)[1] for p in plain] == ["x.py"] and [s.getPath().getName() for s in named] == ["__init__.py"]
+
+
+def test_encodings_of_files(spark, tmp_path):
+    (tmp_path / "ru.txt").write_bytes("Функция возвращает имя пользователя, если запись найдена".encode("cp1251"))
+    (tmp_path / "ja.md").write_bytes("この関数はユーザーの名前を返します。見つからないときは".encode("cp932"))
+    (tmp_path / "wide.py").write_bytes("x = 'é'".encode("utf-16"))
+    rows = {r.path: r.content for r in files.from_directory(spark, str(tmp_path)).collect()}
+    assert rows == {"ru.txt": "Функция возвращает имя пользователя, если запись найдена", "ja.md": "この関数はユーザーの名前を返します。見つからないときは", "wide.py": "x = 'é'"}
+
+
 def test_archives(spark, tmp_path):
     (tmp_path / "p.zip").write_bytes(archive({"proj/a.py": "a", "proj/.gitignore": "*.md\n", "proj/b.md": "no", "proj/dist/c.py": "no", "up.zip/d.py": "d"}))
     assert {r.path for r in files.from_zip(spark, str(tmp_path / "p.zip")).collect()} >= {"proj/a.py", "d.py"}
