@@ -1,4 +1,5 @@
 import json
+import os
 
 import pytest
 
@@ -90,6 +91,42 @@ def test_live_metrics(spark, tmp_path):
     assert rows == [("2026-06-01 00:00:00", 3, 1, 16.67), ("2026-06-01 00:05:00", 1, 0, 70.0)]
 
 
+def test_windows_are_summed_up_as_the_batch_does(spark, tmp_path):
+    import random
+
+    from pyspark.sql import functions as F
+
+    from tessera.operators import telemetry
+
+    rng = random.Random(4)
+    (tmp_path / "in").mkdir()
+    stamp = lambda m, s: f"2026-06-01T{m // 60:02d}:{m % 60:02d}:{s:02d}+00:00"
+    for i in range(6):
+        lines = []
+        for _ in range(40):
+            m = max(0, 4 * i + rng.randint(-6, 4))  # some come late, none too late
+            row = {"timestamp": stamp(m, rng.randint(0, 59)), "retrieval_mode": rng.choice(["vector", "hybrid", "", None]), "hit_count": rng.choice([0, 3, None]), "error": rng.choice([True, False, False, None])}
+            row |= {n: rng.choice([None, round(rng.uniform(1, 50), rng.randint(0, 3))]) for n in ("total_latency_ms", "retrieval_latency_ms", "generation_latency_ms")}
+            row |= {n: rng.choice([None, rng.randint(1, 99)]) for n in ("prompt_tokens_estimate", "completion_tokens_estimate")}
+            lines.append(json.dumps(row))
+        (tmp_path / "in" / f"{i}.json").write_text("\n".join([*lines, "broken"]))
+    (tmp_path / "in" / "9.json").write_text("\n".join(json.dumps({"timestamp": stamp(m, 0), "retrieval_mode": "last"}) for m in (300, 301)))
+    for i in range(10):  # the stream takes the files by their time
+        if (tmp_path / "in" / f"{i}.json").exists():
+            os.utime(tmp_path / "in" / f"{i}.json", (1_780_000_000 + i, 1_780_000_000 + i))
+    stream = metrics.summaries(metrics.log_stream(spark, str(tmp_path / "in"), per_trigger=1), "5 minutes", "10 minutes")
+    query = stream.writeStream.format("memory").queryName("windows").outputMode("append").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    query.awaitTermination(240)
+    got = {(str(r.start), r.mode): r.asDict() for r in spark.table("windows").collect() if r.start.hour < 5}
+    whole = logs.query_log(spark, str(tmp_path / "in")).withColumn("ts", F.try_to_timestamp("timestamp")).withColumn("w", F.window("ts", "5 minutes")["start"].cast("string")).where("hour(ts) < 5")
+    starts = [r[0] for r in whole.select("w").distinct().collect()]
+    want = {(w, r["mode"]): r.asDict() for w in starts for r in telemetry.summary(whole.where(F.col("w") == w)).collect()}
+    assert set(got) == set(want) and len(starts) == 5
+    for k, w in want.items():
+        for name, v in w.items():
+            assert got[k][name] == pytest.approx(v, abs=0.0101 if name.startswith("avg") else 1e-9), (k, name)
+
+
 def test_sync_stream(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in" / "a.json").write_text(json.dumps({"path": "a.py", "content": "x = 1", "size_kb": 0.1}))
