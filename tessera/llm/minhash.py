@@ -172,7 +172,7 @@ def candidates(sets: DataFrame, similarity: float = 0.8, cell_limit: int = 4096)
     cells = sets.select("digest", F.explode("cells").alias("cell"))
     sizes = saved(cells.groupBy("cell").agg(F.count("*").alias("n"), F.min("digest").alias("least")).where("n > 1"))
     rows, hot = sizes.agg(F.coalesce(F.sum(F.when(F.col("n") <= cell_limit, F.col("n"))), F.lit(0)), F.count_if(F.col("n") > cell_limit)).first()
-    met = saved(join_checked(cells, sizes, "cell", "inner"))
+    met = saved(join_checked(cells, sizes.select("cell", "n"), "cell", "inner"))
     buckets, need = max(1, -(-rows // _ROWS_A_BUCKET)), _enough(similarity)
 
     def pair(table: pa.Table) -> pa.Table:
@@ -187,7 +187,8 @@ def candidates(sets: DataFrame, similarity: float = 0.8, cell_limit: int = 4096)
     cold = cold.select(F.pmod(F.xxhash64("cell", F.lit(1)), F.lit(buckets)).cast("int").alias("bucket"), "cell", "digest", "sketch")
     edges = cold.groupBy("bucket").applyInArrow(lambda t: pair(t), "a binary, b binary")
     if hot:
-        edges = edges.unionByName(met.where((F.col("n") > cell_limit) & (F.col("digest") != F.col("least"))).select(F.col("least").alias("a"), F.col("digest").alias("b")))
+        large = join_checked(met.where(F.col("n") > cell_limit), sizes.where(F.col("n") > cell_limit).select("cell", "least"), "cell", "inner", hot)
+        edges = edges.unionByName(large.where("digest <> least").select(F.col("least").alias("a"), F.col("digest").alias("b")))
     return edges.distinct()
 
 
