@@ -63,7 +63,7 @@ def write(pages: DataFrame, path: str, key: str = "page_id", url: str = "url", h
     own = own.withColumn("sha1", F.sha1(F.col("body").cast("binary")))
     sized = own.where(F.octet_length("body") >= least_bytes)
     groups = saved(sized.groupBy("sha1").agg(F.count("*").alias("n"), F.min(F.when(F.col("key").isNotNull(), F.struct("key", "url"))).alias("first")).where("n > 1").select("sha1", "first"))
-    rows = join_checked(own, groups, "sha1", "left").withColumn("revisit", F.coalesce((F.octet_length("body") >= least_bytes) & (F.col("key") > F.col("first.key")), F.lit(False)))
+    rows = join_checked(own, groups, "sha1", "left", wide=("first.url",)).withColumn("revisit", F.coalesce((F.octet_length("body") >= least_bytes) & (F.col("key") > F.col("first.key")), F.lit(False)))
     rows = rows.withColumns({"digest": base32("sha1"), "first_key": F.col("first.key"), "first_url": F.col("first.url")})
     own_id, other_id = _record_id("response", "key", "url", "sha1"), _record_id("response", "first_key", "first_url", "sha1")
     digest = F.concat(F.lit("sha1:"), "digest")
@@ -97,7 +97,7 @@ def write(pages: DataFrame, path: str, key: str = "page_id", url: str = "url", h
 
 
 def parse(stream: io.BufferedIOBase) -> Iterator[tuple[dict[str, str], bytes]]:
-    """(header, block) of each record; header names are in lower case."""
+    """(header, block) of each record; header names are in lower case, lines that go on with a blank are joined to the one before."""
     while True:
         line = stream.readline()
         while line in (b"\r\n", b"\n"):
@@ -107,9 +107,15 @@ def parse(stream: io.BufferedIOBase) -> Iterator[tuple[dict[str, str], bytes]]:
         if not line.startswith(b"WARC/"):
             raise ValueError(f"no WARC record: {line[:40]!r}")
         header: dict[str, str] = {}
+        name = ""
         while (line := stream.readline()) not in (b"\r\n", b"\n", b""):
-            name, _, value = line.decode("utf-8", "replace").partition(":")
-            header[name.strip().lower()] = value.strip()
+            text = line.decode("utf-8", "replace")
+            if name and text[0] in " \t":
+                header[name] = f"{header[name]} {text.strip()}".strip()
+                continue
+            name, _, value = text.partition(":")
+            name = name.strip().lower()
+            header[name] = value.strip()
         size = int(header.get("content-length", "0"))
         block = stream.read(size)
         if len(block) < size:
@@ -117,8 +123,18 @@ def parse(stream: io.BufferedIOBase) -> Iterator[tuple[dict[str, str], bytes]]:
         yield header, block
 
 
+def has_digest(payload: bytes, claimed: str | None) -> bool | None:
+    """Whether a payload has the digest ``algorithm:value``, in hexadecimal or base32 of any case; none: it can't be judged (no digest, or an unknown algorithm)."""
+    name, _, value = (claimed or "").partition(":")
+    name = name.strip().lower().replace("-", "")
+    if name not in ("md5", "sha1", "sha256", "sha384", "sha512"):
+        return None
+    digest, value = hashlib.new(name, payload).digest(), value.strip()
+    return value.lower() == digest.hex() or value.upper().rstrip("=") == base64.b32encode(digest).decode().rstrip("=")
+
+
 _FIELDS = (("record_id", "warc-record-id"), ("warc_type", "warc-type"), ("concurrent_to", "warc-concurrent-to"), ("target_uri", "warc-target-uri"), ("warc_date", "warc-date"), ("refers_to", "warc-refers-to"), ("digest", "warc-payload-digest"))
-_KINDS = pa.schema([*((n, pa.string()) for n, _ in _FIELDS), ("payload_bytes", pa.int64()), ("computed", pa.string()), ("payload", pa.binary()), ("fields", pa.map_(pa.string(), pa.string()))])
+_KINDS = pa.schema([*((n, pa.string()) for n, _ in _FIELDS), ("payload_bytes", pa.int64()), ("computed", pa.string()), ("matches", pa.bool_()), ("payload", pa.binary()), ("fields", pa.map_(pa.string(), pa.string()))])
 
 
 def read_records(spark: SparkSession, path: str, with_payload: bool = True) -> DataFrame:
@@ -138,7 +154,9 @@ def read_records(spark: SparkSession, path: str, with_payload: bool = True) -> D
                     fields = [(n.strip(), v.strip()) for n, _, v in pairs]
                 full = header.get("warc-type") in ("response", "resource")
                 computed = base64.b32encode(hashlib.sha1(payload).digest()).decode() if full else None
-                yield (*(header.get(h) for _, h in _FIELDS), len(payload), computed, payload if full and with_payload else None, fields)
+                claimed = header.get("warc-payload-digest")
+                matches = (claimed == f"sha1:{computed}" or has_digest(payload, claimed)) if full else None
+                yield (*(header.get(h) for _, h in _FIELDS), len(payload), computed, matches, payload if full and with_payload else None, fields)
 
     def batches(content: bytes, size: int = 500) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -155,7 +173,7 @@ def read_records(spark: SparkSession, path: str, with_payload: bool = True) -> D
             for content in batch.column(0):
                 yield from batches(content.as_py())
 
-    made = ", ".join([f"{n} string" for n, _ in _FIELDS] + ["payload_bytes bigint", "computed string", "payload binary", "fields map<string,string>"])
+    made = ", ".join([f"{n} string" for n, _ in _FIELDS] + ["payload_bytes bigint", "computed string", "matches boolean", "payload binary", "fields map<string,string>"])
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     return files.where(~F.element_at(F.split("path", "/"), -1).rlike(r"^[_.]")).select("content").mapInArrow(run, made)
 
@@ -168,7 +186,7 @@ def transactions(records: DataFrame) -> DataFrame:
     if there is none. Records that name no capture are left out.
     """
     main = records.where(F.col("warc_type").isin("response", "revisit", "resource"))
-    main = main.select("record_id", "concurrent_to", F.struct("warc_type", "target_uri", "warc_date", "refers_to", "digest", "computed", "payload_bytes", "payload").alias("response"))
+    main = main.select("record_id", "concurrent_to", F.struct("warc_type", "target_uri", "warc_date", "refers_to", "digest", "computed", "matches", "payload_bytes", "payload").alias("response"))
     out = main
     for kind in ("request", "metadata"):
         own = records.where(F.col("warc_type") == kind).select("record_id", "concurrent_to", F.struct("record_id", "target_uri", "warc_date", "fields").alias(kind))
@@ -182,10 +200,9 @@ def transactions(records: DataFrame) -> DataFrame:
 
 
 def captures(spark: SparkSession, path: str, with_payload: bool = True) -> DataFrame:
-    """The transactions of the archives below ``path``, with ``payload_ok``: whether the payload has the digest it claims."""
+    """The transactions of the archives below ``path``, with ``payload_ok``: whether the payload has the digest it claims (see ``has_digest``); records without a payload of their own have nothing to fail."""
     found = transactions(saved(read_records(spark, path, with_payload)))
-    bare = F.regexp_replace("response.digest", "^sha1:", "")
-    return found.withColumn("payload_ok", F.col("response.computed").isNull() | (F.col("response.computed") == bare))
+    return found.withColumn("payload_ok", F.when(F.col("response.computed").isNull(), True).otherwise(F.col("response.matches")))
 
 
 def round_trip(pages: DataFrame, path: str, key: str = "page_id", url: str = "url", html: str = "html", least_bytes: int = 0) -> DataFrame:
