@@ -23,6 +23,8 @@ RULES = (("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/
 DAMPING = 0.85
 #: A round that moves less than this share of one page's weight ends the propagation.
 CLOSE = 0.01
+#: By how much distrust must exceed trust, and a host's share of the pages, to count as more.
+MARGIN = 1e-9
 #: Rules up to which they are a chain of conditions.
 CHAIN = 200
 
@@ -59,10 +61,10 @@ def rules_found(pages: DataFrame, rules: DataFrame) -> DataFrame:
     parts = F.split("host", r"\.")
     suffixes = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "."))
     distinct = saved(pages.select("host", "path").distinct())
-    hits = join_checked(distinct.select("host", "path", F.explode(suffixes).alias("of")), table, "of", "inner").where(F.col("path").startswith(F.col("start")))
+    hits = join_checked(distinct.select("host", "path", F.explode(suffixes).alias("of")), table, "of", "inner", wide=("of", "start")).where(F.col("path").startswith(F.col("start")))
     best = F.min_by(F.struct("rule", "verdict"), F.struct(-F.length("rule"), F.col("rule"))).alias("found")
     found = hits.groupBy("host", "path").agg(best).select(F.col("host").alias("host_"), F.col("path").alias("path_"), "found")
-    return join_checked(pages, saved(found), (F.col("host") == F.col("host_")) & (F.col("path") == F.col("path_")), "left").drop("host_", "path_")
+    return join_checked(pages, saved(found), (F.col("host") == F.col("host_")) & (F.col("path") == F.col("path_")), "left", wide=("host_", "path_")).drop("host_", "path_")
 
 
 def host_edges(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
@@ -135,8 +137,9 @@ def judge(pages: DataFrame, key: str = "page_id", url: str = "url", html: str =
     hosts = saved(by_host)
     total = float(hosts.agg(F.coalesce(F.sum("pages"), F.lit(0))).first()[0]) or 1.0
     ranks = propagate(hosts, saved(host_edges(pages, url, html)), close=min(1e-6, close / total), **how)
-    distrust = F.round("distrust", 12)
-    bad = ranks.join(hosts, "host").where((distrust > 0) & (distrust > F.round("trust", 12)) & (distrust > F.round(F.col("pages") / total, 12)))
+    # a margin relative to each side: sums differ in their last digits from run to run, whatever the size of the shares
+    over = lambda side: F.col("distrust") > side * (1 + MARGIN)
+    bad = ranks.join(hosts, "host").where((F.col("distrust") > 0) & over(F.col("trust")) & over(F.col("pages") / total))
     blocked = saved(bad.select(F.col("host").alias("host_"), F.lit("block").alias("blocked")))
     out = join_checked(own, blocked, F.col("host") == F.col("host_"), "left")
     return out.select(F.col("key").alias(key), "host", "path", F.col("found.rule").alias("rule"), F.coalesce("found.verdict", "blocked", F.lit("allow")).alias("verdict"))
