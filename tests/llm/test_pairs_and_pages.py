@@ -404,7 +404,7 @@ def test_pipeline_odd_inputs(spark, tmp_path):
     long = " ".join(f"w{x}" for x in rng.integers(0, 10**6, 20_000))
     plain = [" ".join(f"v{x}" for x in rng.integers(0, 10**6, 80)) for _ in range(3)]
     rows = [(1, None, "a"), (2, "", "a"), (3, " \t", None), (4, long, None), (5, plain[0], "b"), (5, plain[0], "b"), (None, plain[1], "b"), (None, plain[1], "b"), (7, plain[2], None)]
-    docs = spark.createDataFrame([(i, t, None, s, None, "k", "m", "s", "x") for i, t, s in rows], "doc_id long, text string, lang string, source string, n_chars long, key string, mark string, stats string, `words` string")
+    docs = spark.createDataFrame([(i, t, None, s, None, "k", "m", "s", "x", "i", "j") for i, t, s in rows], "doc_id long, text string, lang string, source string, n_chars long, key string, mark string, stats string, `words` string, _key string, _mark string")
     empty = str(tmp_path / "none")
     for name, kind in (("labels", "doc_id long, quality int, toxic int"), ("benchmark", "item_id long, text string")):
         spark.createDataFrame([], kind).write.parquet(f"{empty}/{name}.parquet")
@@ -417,7 +417,7 @@ def test_pipeline_odd_inputs(spark, tmp_path):
             if name != "source_mixing":
                 assert now.columns == frame.columns
                 assert {r.doc_id: r["count"] for r in now.groupBy("doc_id").count().collect()} == want
-            assert {tuple(r) for r in now.select("key", "mark", "stats", "words").distinct().collect()} <= {("k", "m", "s", "x")}
+            assert {tuple(r) for r in now.select("key", "mark", "stats", "words", "_key", "_mark").distinct().collect()} <= {("k", "m", "s", "x", "i", "j")}
 
 
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
