@@ -27,8 +27,34 @@ class Engine:
         self.model, self.scorer = model, scorer
         self.catalog = Catalog(spark, settings.warehouse, settings.vector_index)
 
-    def health(self) -> dict:
-        return {"status": "ok", "spark": self.spark.version, "model": self.model is not None}
+    def health(self, probe: str | None = None) -> dict:
+        """What works: Spark, the warehouse, the embedder, whether there is a model, and with a ``probe`` text whether the model answers it.
+
+        The status is ``ok``, or ``degraded`` with the failures by name.
+        """
+        failures = {}
+
+        def works(name: str, check: Callable) -> bool:
+            try:
+                return bool(check())
+            except Exception as e:
+                failures[name] = f"{type(e).__name__}: {e}"
+                return False
+
+        def answers() -> bool:
+            reply = self.model(probe)
+            return bool(reply if isinstance(reply, str) else "".join(reply))
+
+        out = {
+            "spark": self.spark.version,
+            "model": self.model is not None,
+            "embedder": works("embedder", lambda: len(self.embedder(["probe"])[0]) > 0),
+            "warehouse": works("warehouse", lambda: self.catalog.names() is not None),
+        }
+        if probe is not None:
+            out["answers"] = self.model is not None and works("model", answers)
+        good = all(v for k, v in out.items() if k != "model")
+        return {"status": "ok" if good else "degraded", **out, **({"failures": failures} if failures else {})}
 
     # -- collections
 
@@ -147,13 +173,15 @@ class Engine:
             after = self.spark.range(1).select(F.current_timestamp() - F.make_dt_interval(mins=F.lit(since_minutes))).first()[0]
         return telemetry.summary(telemetry.since(logs.query_log(self.spark, self.settings.query_log), after, collection))
 
-    def evaluate(self, collection: str, items: list[tuple], modes: Sequence[str] = config.MODES, record: bool = True, score_answers: bool = False, judge: qa.Model | None = None) -> dict:
-        """Quality by mode of items (question, expected sources[, expected keywords]).
+    def evaluate(self, collection: str, items: list[tuple] | DataFrame, modes: Sequence[str] = config.MODES, record: bool = True, score_answers: bool = False, judge: qa.Model | None = None) -> dict:
+        """Quality by mode of items (question, expected sources[, expected keywords]), a list or a table such as ``logs.eval_items`` reads.
 
         All questions and modes are one plan, which shares the vector and the keyword ranking. ``score_answers`` has the model
         answer each question by each mode and scores its keywords; ``judge`` is a model that grades the answers. Both run in
         tasks, so they are sent there; a call that fails is repeated once, then the answer is empty (and the verdict ``error``).
         """
+        if isinstance(items, DataFrame):
+            items = [(r[0], r[1] or [], r[2] or []) for r in items.select("question", "expected_sources", "expected_keywords").collect()]
         k, modes = self.settings.top_k, tuple(modes)
         make = self.spark.createDataFrame
         truth = make([(i, s) for i, x in enumerate(items) for s in sorted(set(x[1]))], "query_id long, key string")

@@ -218,6 +218,8 @@ FROM words JOIN documents d USING (doc_id) QUALIFY row_number() OVER (PARTITION
     "eval_by_mode": f"WITH {VECTORS}, {_mmr()}, v AS ({_metrics('(SELECT * FROM near WHERE rank <= 6)')}), m AS ({_metrics('p6')}), both_ AS (SELECT 'vector' AS mode, * FROM v UNION ALL SELECT 'mmr', * FROM m) "
     "SELECT mode, round_even(avg(precision_at_k), 4) AS precision_at_k, round_even(avg(recall_at_k), 4) AS recall_at_k, round_even(avg(reciprocal_rank), 4) AS mrr, round_even(avg(CASE WHEN hit THEN 1.0e0 ELSE 0.0e0 END), 4) AS hit_rate, count(*) AS n FROM both_ GROUP BY mode",
     "eval_all_modes": _all_modes(),
+    "archive_files": """SELECT source || '/' || doc_id || extension AS path, extension, round_even(strlen(text) / 1024.0e0, 2) AS size_kb, sha256(text) AS hash
+FROM (SELECT doc_id, coalesce(source, 'none') AS source, CASE WHEN lang = 'de' THEN '.md' ELSE '.txt' END AS extension, coalesce(text, '') AS text FROM documents WHERE lang IS DISTINCT FROM 'fr') WHERE source <> 'src5' AND regexp_matches(text, '\\S')""",
     "previous_run": f"WITH {DAILY} SELECT *, lag(mean_value) OVER w AS previous_mean_value, lag(n) OVER w AS previous_n FROM daily WINDOW w AS (PARTITION BY event_type ORDER BY day)",
     "run_diff": f"""WITH {DAILY}, long AS (SELECT day, event_type AS section, 'mean_value' AS metric, mean_value AS value FROM daily UNION ALL SELECT day, event_type, 'n', CAST(n AS DOUBLE) FROM daily)
 SELECT section, metric, c.value AS "current", p.value AS previous, round_even(c.value - p.value, 4) AS delta FROM (SELECT * FROM long WHERE day = (SELECT max(day) FROM daily)) c JOIN (SELECT * FROM long WHERE day = (SELECT min(day) FROM daily)) p USING (section, metric)""",

@@ -5,8 +5,11 @@ Search queries ask with every row whose id is divisible by 50, against all rows.
 
 from __future__ import annotations
 
+import io
+import zipfile
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,7 +18,7 @@ from tessera.functions import paths as P
 from tessera.functions import text as T
 from tessera.operators import chunking, conversation, embed, evaluate, inverted_file, keyword, prefix, ranks, retrieval, summaries, sync, telemetry, vector
 from tessera.plans import oracles
-from tessera.sources import logs, scratch
+from tessera.sources import files, logs, scratch
 
 Query = Callable[[SparkSession, str], DataFrame]
 FLAGSHIP = "hybrid_rerank_topk"
@@ -505,6 +508,33 @@ def expand_dedup(spark, d):
     return conversation.expanded(rows, 50)
 
 
+# -- files
+
+
+def _archives(spark, d) -> DataFrame:
+    """Documents as files in archives of about 200, made in tasks: German ones as Markdown, French ones as logs, which the archives' ignore files name, as they do the folder of a source."""
+    docs = table(spark, d, "documents").where("doc_id IS NOT NULL").select("doc_id", "source", "lang", "text").withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(max(1, table(spark, d, "documents").count() // 200))))
+
+    def pack(rows: pa.Table) -> pa.Table:
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w", zipfile.ZIP_STORED) as archive:
+            archive.writestr(".gitignore", "*.log\nsrc5/\n")
+            for i, source, lang, text in zip(*(rows.column(c).to_pylist() for c in ("doc_id", "source", "lang", "text"))):
+                kind = {"de": ".md", "fr": ".log"}.get(lang, ".txt")
+                archive.writestr(f"{source or 'none'}/{i}{kind}", (text or "").encode())
+        return pa.table({"content": pa.array([out.getvalue()], pa.binary())})
+
+    return docs.groupBy("part").applyInArrow(lambda t: pack(t), "content binary")
+
+
+@query
+def archive_files(spark, d):
+    """The files that count in archives: what is ignored or blank is left out."""
+    settings = config.Settings(max_zip_mb=4000)
+    rows = files.from_archives(_archives(spark, d), settings)
+    return rows.select("path", "extension", "size_kb", T.content_hash("content").alias("hash"))
+
+
 # -- chunking
 
 

@@ -98,12 +98,15 @@ def detect(data: bytes) -> str:
     for mark, codec in MARKS:
         if data.startswith(mark) and _read(data, codec) is not None:
             return codec
-    if _CONTROLS.search(data):
+    if controls := [m.start() & 1 for m in _CONTROLS.finditer(data)]:
+        valid = _read(data, "utf-8") is not None
+        # halves of wide characters are many and on one side; a few stray ones are a part of the text
+        stray = len(controls) < max(3, 0.1 * len(data)) or 0.1 < sum(controls) / len(controls) < 0.9
         if _SHIFTED.search(data) and _read(data, "iso2022_jp") is not None:
             return "iso2022_jp"
-        if wide := _wide(data):
+        if not (valid and stray) and (wide := _wide(data)):
             return wide
-        return "utf-8" if _read(data, "utf-8") is not None else "latin-1"
+        return "utf-8" if valid else "latin-1"
     if _read(data, "utf-8") is not None:
         return "utf-8"
     # a few bytes prove little: the fewer, the more the first of the table is preferred

@@ -53,3 +53,8 @@ def eval_runs(spark: SparkSession, path: str) -> DataFrame:
         return spark.createDataFrame([], f"{place}, {schemas.EVAL_RUN}")
     lines = numbered(spark, path).select("value", F.struct("written", "file", "line").alias("place"))
     return parse(lines, schemas.EVAL_RUN, keep=("place",))
+
+
+def eval_items(spark: SparkSession, path: str) -> DataFrame:
+    """Evaluation items (question, expected_sources, expected_keywords), one JSON object a line; items without a question are passed over."""
+    return read(spark, path, schemas.EVAL_ITEM).where(F.coalesce("question", F.lit("")) != "")

@@ -37,7 +37,7 @@ def size(path):
     return {os.path.join(d, f): os.path.getsize(os.path.join(d, f)) for d, _, fs in os.walk(path) for f in fs}
 
 
-@pytest.mark.parametrize("seed", [0, 1])
+@pytest.mark.parametrize("seed", [0])
 def test_random_syncs_equal_a_full_build(spark, tmp_path, seed):
     rng, files = random.Random(seed), {}
     c = Catalog(spark, str(tmp_path / "w"))

@@ -48,6 +48,11 @@ def test_small_and_odd(data, want):
     assert encodings.detect(data) == want and isinstance(encodings.decode(data), str)
 
 
+@pytest.mark.parametrize("text", ["ring \x07 the bell, é", "a nul\x00 in a text of some length, and another\x00 one", "\x7fdeleted\x7f", "aaaaaa\x07b", "\x01\x02ab"])
+def test_stray_control_characters_leave_utf8(text):
+    assert encodings.detect(text.encode()) == "utf-8" and encodings.decode(text.encode()) == text
+
+
 def test_any_bytes_have_a_text():
     for i in range(256):
         assert isinstance(encodings.decode(bytes([i, 255 - i, i ^ 90, 200, i])), str)

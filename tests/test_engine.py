@@ -70,6 +70,35 @@ def test_evaluation(engine):
     assert len(evaluate.history_report(logs.eval_runs(engine.spark, engine.settings.eval_log), 2).splitlines()) == 4
 
 
+def test_health(spark, engine):
+    assert engine.health() == {"status": "ok", "spark": spark.version, "model": True, "embedder": True, "warehouse": True}
+    assert engine.health("hello")["answers"] is True
+    broken = Engine(spark, engine.settings, embedder=lambda texts: 1 / 0, model=lambda p: 1 / 0)
+    told = broken.health("hello")
+    assert told["status"] == "degraded" and not told["embedder"] and not told["answers"] and set(told["failures"]) == {"embedder", "model"}
+    assert Engine(spark, engine.settings).health("hello")["answers"] is False
+
+
+def test_items_from_a_file(engine, tmp_path):
+    lines = [{"question": "login password", "expected_sources": ["auth.py"], "expected_keywords": ["login"]}, {"question": "", "expected_sources": []}, {"question": "send mail", "expected_sources": ["mail.py"]}]
+    (tmp_path / "items.jsonl").write_text("\n".join(map(json.dumps, lines)) + "\nbroken\n")
+    engine.index_uploads("app", FILES)
+    items = logs.eval_items(engine.spark, str(tmp_path / "items.jsonl"))
+    assert items.count() == 2
+    assert engine.evaluate("app", items, modes=("hybrid",), record=False)["hybrid"]["retrieval"]["hit_rate"] == 1.0
+    assert logs.eval_items(engine.spark, str(tmp_path / "none")).count() == 0
+
+
+def test_strict_modes(spark, engine):
+    from tessera.operators import retrieval
+
+    q = spark.createDataFrame([(0, "x", [1.0, 0.0])], "query_id long, text string, embedding array<float>")
+    rows = spark.createDataFrame([("a", [1.0, 0.0])], "key string, embedding array<float>")  # no text
+    assert [r.key for r in retrieval.retrieve(q, rows, "hybrid").collect()] == ["a"]
+    with pytest.raises(Exception, match="text"):
+        retrieval.retrieve(q, rows, "hybrid", config.Settings(strict_modes=True))
+
+
 def test_frames():
     def broken():
         yield {"type": "token", "content": "é\n"}
