@@ -62,7 +62,7 @@ def test_blocks_are_passed_over_without_loss(spark, tmp_path, monkeypatch):
     corpus = zipf(spark)
     q = spark.createDataFrame([(0, "w300 w399"), (1, "w0 w1"), (2, "w0 w350 w350 w7"), (3, " ".join(f"w{i}" for i in range(200))), (4, "absent"), (5, None), (6, "w1 w2 w3")], "query_id long, text string")
     monkeypatch.setattr(keyword, "BLOCK", 8)
-    monkeypatch.setattr(keyword, "FIRST", 3)
+    monkeypatch.setattr(keyword, "FIRST", 12)
     keyword.write(keyword.build(corpus), str(tmp_path))
     kept = keyword.read(spark, str(tmp_path))
     for k in (1, 5, 40):
