@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm._exchange import give_back
 from tessera.llm._graph import components
-from tessera.llm._hashing import U64, Words, mix, window_hashes, window_starts
+from tessera.llm._hashing import U64, Words, mix, slices, window_hashes, window_starts
 from tessera.llm._joins import join_checked
 from tessera.llm._storage import saved
 from tessera.llm.simhash import verified_links
@@ -36,8 +36,8 @@ BANDS, ROWS = 48, 6
 #: Places whose low bytes a cell compares.
 SKETCH = 128
 _STEP, _RANK = 0x9E3779B97F4A7C15, U64(54)
-#: Elements whose permutations a task holds at a time; bytes of text; rows that one task pairs.
-_ELEMENTS, _BYTES, _ROWS_A_BUCKET = 1 << 14, 4 << 20, 100_000
+#: Elements whose permutations a task holds at a time; bytes of text that it makes signatures of together; rows that one task pairs.
+_ELEMENTS, _BYTES, _ROWS_A_BUCKET = 1 << 14, 1 << 17, 100_000
 
 
 def shingle_sets(blobs: list[bytes | None], shingle: int = 2) -> tuple[np.ndarray, np.ndarray]:
@@ -106,14 +106,8 @@ def marked(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: in
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             blobs = batch.column(2).to_pylist()
-            begin = 0
-            while begin < len(blobs):
-                end = size = 0
-                end = begin
-                while end < len(blobs) and (end == begin or size + len(blobs[end] or b"") <= _BYTES // 32):
-                    size += len(blobs[end] or b"")
-                    end += 1
-                own, n = blobs[begin:end], end - begin
+            for part in slices(blobs, _BYTES):
+                own, n = blobs[part], part.stop - part.start
                 sets, elements = shingle_sets(own, shingle)
                 cuts = np.searchsorted(sets, np.arange(n + 1))
                 counts = np.diff(cuts)
@@ -122,8 +116,8 @@ def marked(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: in
                 full = [bool(c) for c in counts]
                 yield pa.RecordBatch.from_arrays(
                     [
-                        batch.column(0).slice(begin, n),
-                        batch.column(1).slice(begin, n),
+                        batch.column(0).slice(part.start, n),
+                        batch.column(1).slice(part.start, n),
                         pa.array(counts, pa.int64()),
                         pa.array([xxhash.xxh3_128_digest(elements[s:e].tobytes()) if e > s else None for s, e in zip(cuts[:-1].tolist(), cuts[1:].tolist())], pa.binary()),
                         pa.array([c if f else None for c, f in zip(cells, full)], pa.list_(pa.int64())),
@@ -131,7 +125,6 @@ def marked(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: in
                     ],
                     names=["key", "mark", "n_shingles", "digest", "cells", "sketch"],
                 )
-                begin = end
             give_back()
 
     return docs.select(F.col(key).alias("key"), F.xxhash64(text).alias("mark"), F.col(text).cast("binary").alias("text")).mapInArrow(run, f"key {kind}, mark bigint, n_shingles bigint, digest binary, cells array<bigint>, sketch binary")
