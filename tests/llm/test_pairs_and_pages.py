@@ -425,7 +425,7 @@ def test_queries_match_their_sql(spark, small, name):
     import duckdb
 
     con = duckdb.connect()
-    for t in ("documents", "pages", "benchmark", "labels"):
+    for t in ("documents", "pages", "benchmark", "labels", "embeddings"):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{small}/{t}.parquet'")
     df = queries.QUERIES[name](spark, small)
     columns = sorted(df.columns)
