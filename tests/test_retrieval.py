@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera import config
-from tessera.operators import embed, evaluate, keyword, retrieval, vector
+from tessera.operators import embed, evaluate, keyword, keyword_batch, retrieval, vector
 
 DOCS = [
     (1, "a.py", "find user by id in the database"), (2, "b.py", "parse config file"), (3, "c.py", "render html page"),
@@ -86,6 +86,29 @@ def test_bounds_hold(spark, tmp_path, monkeypatch):
         assert r.score <= bounds[r.query_id, block[r.key]] + 1e-6
 
 
+def test_many_queries_score_where_documents_are_read(spark, tmp_path, monkeypatch):
+    """A pass in small blocks and parts gives what the join gives, whatever the documents are kept in; no row for each query and document leaves a task."""
+    corpus = zipf(spark, 400, 5).union(spark.createDataFrame([(900, None), (901, "")], "key long, text string"))
+    q = corpus.where("key % 20 = 0").select(F.struct("key", F.lit(0).alias("variant")).alias("query_id"), "text")
+    want = {k: sorted(keyword.search(q, keyword.index(corpus), k).collect()) for k in (1, 7)}
+    some = corpus.where("key % 3 = 0")
+    want_some = sorted(keyword.search(q, keyword.index(some), 7).collect())
+    monkeypatch.setattr(keyword, "BLOCK", 8)
+    keyword.write(keyword.build(corpus), str(tmp_path))
+    kept = keyword.read(spark, str(tmp_path))
+    every = {r.query_id: (r.blocks, r.postings) for r in keyword.reads(q, kept, 400).collect()}
+    monkeypatch.setattr(keyword, "JOINED", 0)
+    for name, value in (("QUERIES", 6), ("CELLS", 100), ("TOKENS", 90), ("ROWS", 4)):
+        monkeypatch.setattr(keyword_batch, name, value)
+    for k in (1, 7):
+        assert sorted(keyword.search(q, keyword.index(corpus), k).collect()) == want[k]
+        assert sorted(keyword.search(q, kept, k).collect()) == want[k]
+    assert sorted(keyword.search(q, keyword.index(some), 7).collect()) == want_some
+    assert sorted(keyword.search(q, kept.only(some.select("key")), 7).collect()) == want_some
+    assert {r.query_id: (r.blocks_scored, r.postings_scored) for r in keyword.reads(q, kept, 5).collect()} == every
+    assert keyword.search(q, keyword.index(corpus.limit(0)), 3).count() == 0
+
+
 def test_bm25_many_query_tokens(spark, corpus, monkeypatch):
     q = asked(spark, "find user by id", "render page")
     want = keyword.search(q, keyword.index(corpus), 5).orderBy("query_id", "rank").collect()
