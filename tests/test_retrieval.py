@@ -256,3 +256,13 @@ def test_judgements_and_runs(spark):
     assert {x.metric: x.delta for x in evaluate.diff(a, b).collect()} == {"hit_rate": 0.1, "mrr": 0.0}
     runs = spark.createDataFrame([(1, "v", 0.1), (2, "h", 0.2), (3, "v", 0.3)], "line int, mode string, mrr double")
     assert {x.line: x.previous_mrr for x in evaluate.previous(runs, ["mode"], "line", ["mrr"]).collect()} == {1: None, 2: None, 3: 0.1}
+
+
+def test_vector_search_holds_a_bounded_matrix(spark, monkeypatch):
+    """Whatever part of the queries is multiplied at a time, the result is the same."""
+    rng = np.random.default_rng(3)
+    rows = spark.createDataFrame([(i, [float(x) for x in rng.normal(size=4)]) for i in range(60)], "key long, embedding array<float>").coalesce(1)
+    q = rows.where("key < 25").withColumnRenamed("key", "query_id")
+    want = sorted(vector.knn(q, rows, 5).collect())
+    monkeypatch.setattr(vector, "CELLS", 200)
+    assert sorted(vector.knn(q, rows, 5).collect()) == want and len(want) == 125
