@@ -100,3 +100,15 @@ def test_ingest(spark):
     a, b = by["vendor/a.py"][0], by["vendor/b.py"][0]
     assert a.chunk_content_hash == b.chunk_content_hash and a.page_content != b.page_content
     assert by["notes.md"][0].chunk_method == "heuristic" and by["notes.md"][0].symbol_name == "" and by["notes.md"][0].role == ""
+
+
+def test_files_are_cut_in_parts_of_bounded_bytes(spark, monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(chunking, "BYTES", 50)
+    batch = pa.record_batch({"content": pa.array(["a" * 30, None, "b" * 30, "", "c" * 200, "d"])})
+    parts = list(chunking._parts(batch))
+    assert [p.num_rows for p in parts] == [2, 2, 1, 1] and pa.Table.from_batches(parts).equals(pa.table(batch.to_pydict(), batch.schema))
+    files = spark.createDataFrame([("a/x.txt", "one two", 0.1), ("a/y.py", "def f():\n    return 1\n", 0.1), ("z.txt", None, 0.0)], "path string, content string, size_kb double").coalesce(1)
+    rows = {r.source: (r.chunk_index, r.total_chunks, r.symbol_name) for r in chunking.ingest(files).collect()}
+    assert rows == {"a/x.txt": (0, 1, ""), "a/y.py": (0, 1, "f")}
