@@ -266,3 +266,32 @@ def test_vector_search_holds_a_bounded_matrix(spark, monkeypatch):
     want = sorted(vector.knn(q, rows, 5).collect())
     monkeypatch.setattr(vector, "CELLS", 200)
     assert sorted(vector.knn(q, rows, 5).collect()) == want and len(want) == 125
+
+
+def test_reads_without_an_index(spark, tmp_path, monkeypatch):
+    """Documents count as their index does, by few queries and by many, and no index is built for that."""
+    odd = spark.createDataFrame([(900, None), (901, ""), (902, "lone"), (902, "lone pair")], "key long, text string")
+    corpus = zipf(spark, 400, 5).union(odd)
+    monkeypatch.setattr(keyword, "BLOCK", 8)
+    monkeypatch.setattr(keyword, "FIRST", 12)
+    keyword.write(keyword.build(corpus), str(tmp_path))
+    kept = keyword.read(spark, str(tmp_path))
+    monkeypatch.setattr(keyword, "write", None)
+    q = corpus.where("key % 20 = 0 OR key > 900").union(spark.createDataFrame([(903, "absent"), (904, "w300 w399")], "key long, text string")).withColumnRenamed("key", "query_id")
+    few = sorted(keyword.reads(q, kept, 5).collect())
+    assert len(few) == 22 and any(r.blocks_scored < r.blocks for r in few) and sorted(keyword.reads(q, keyword.index(corpus), 5).collect()) == few
+    many = [(r.query_id, r.blocks, r.blocks, r.postings, r.postings) for r in few]
+    texts, place = corpus.select("key", "text", keyword._place(corpus.count())).collect(), {}
+    for r in texts:
+        place.setdefault(r.block, []).append(set((r.text or "").split()))
+    for query, blocks, _, postings, _ in many:
+        words = {w for r in q.where(F.col("query_id") == query).collect() for w in (r.text or "").split()}
+        assert (blocks, postings) == (sum(any(words & d for d in b) for b in place.values()), sum(len(words & d) for b in place.values() for d in b))
+    monkeypatch.setattr(keyword, "JOINED", 0)
+    for size, asked_tokens in ((100_000, 2_000_000), (6, 100)):
+        monkeypatch.setattr(keyword_batch, "COUNTED", size)
+        monkeypatch.setattr(keyword_batch, "ASKED", asked_tokens)
+        for found in (kept, keyword.index(corpus)):
+            assert [tuple(r) for r in sorted(keyword.reads(q, found, 5).collect())] == many
+    assert keyword.reads(q.limit(0), keyword.index(corpus), 5).count() == 0
+    assert keyword.reads(q, keyword.index(corpus.limit(0)), 5).count() == 0
