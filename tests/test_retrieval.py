@@ -1,7 +1,9 @@
 import math
+import tracemalloc
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -295,3 +297,21 @@ def test_reads_without_an_index(spark, tmp_path, monkeypatch):
             assert [tuple(r) for r in sorted(keyword.reads(q, found, 5).collect())] == many
     assert keyword.reads(q.limit(0), keyword.index(corpus), 5).count() == 0
     assert keyword.reads(q, keyword.index(corpus.limit(0)), 5).count() == 0
+
+
+def test_vector_search_memory_does_not_grow_with_the_queries(spark, monkeypatch):
+    """A task's arrays take the same memory for 400 queries and for 4,000."""
+    rng = np.random.default_rng(4)
+    vectors = pa.array(rng.normal(size=(8000, 4)).tolist(), pa.list_(pa.float64()))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(8000)), vectors], names=["key", "embedding"])
+    rows, tasks = spark.createDataFrame(pa.Table.from_batches([batch])), []
+    through = type(rows).mapInArrow
+    monkeypatch.setattr(type(rows), "mapInArrow", lambda self, run, *a, **b: tasks.append(run) or through(self, run, *a, **b))
+    peaks = []
+    for n in (400, 4000):
+        vector.knn(rows.where(F.col("key") < n).withColumnRenamed("key", "query_id"), rows, 5)
+        tracemalloc.start()
+        assert sum(b.num_rows for b in tasks[-1](iter([batch]))) == 5 * n
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+    assert peaks[1] < 1.5 * peaks[0] < 60e6
