@@ -315,3 +315,18 @@ def test_vector_search_memory_does_not_grow_with_the_queries(spark, monkeypatch)
         peaks.append(tracemalloc.get_traced_memory()[1])
         tracemalloc.stop()
     assert peaks[1] < 1.5 * peaks[0] < 60e6
+
+
+def test_blocks_of_queries_share_a_pass(spark, monkeypatch):
+    """Documents are read once for the statistics and once for several blocks of queries; copies tie by their key."""
+    corpus = zipf(spark, 300, 6).union(spark.createDataFrame([(k, "w1 w2 w2 w9") for k in range(1000, 1060)], "key long, text string")).coalesce(1)
+    q = corpus.where("key % 15 = 0").withColumnRenamed("key", "query_id")
+    want = sorted(keyword.search(q, keyword.index(corpus), 3).collect())
+    monkeypatch.setattr(keyword, "JOINED", 0)
+    for name, value in (("QUERIES", 8), ("CELLS", 100), ("MATCHES", 20), ("TOKENS", 200)):
+        monkeypatch.setattr(keyword_batch, name, value)
+    passes = []
+    through = type(corpus).mapInArrow
+    monkeypatch.setattr(type(corpus), "mapInArrow", lambda self, run, *a, **b: passes.append(run) or through(self, run, *a, **b))
+    assert sorted(keyword.search(q, keyword.index(corpus), 3).collect()) == want and len(want) == 72
+    assert q.count() == 24 and len(passes) == 2
